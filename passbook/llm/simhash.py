@@ -144,7 +144,7 @@ def links(fps: DataFrame, *, most: int = 3, block: int = BLOCK) -> DataFrame:
     unit = ["key", "x", "y"]
     # A bucket is bound by ``block``, so a sort within hash partitions keeps each unit together without collecting it.
     rows = small.unionByName(large).repartition(*unit).sortWithinPartitions(*unit, "side", "fp")
-    rows = rows.select(F.xxhash64(*unit).alias("unit"), "key.n", "key.bits", "x", "y", "side", "fp")
+    rows = rows.select("key.n", "key.bits", "x", "y", "side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 SEGMENT_BYTES = 1 << 16
 RECORDS_PER_FILE = 256
 CHUNK_BYTES = 1 << 13
@@ -185,3 +187,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     grouped = grouped.select("type", "id", "key", "url", "digest", "refers_to", block.alias("block"), fault.alias("error"))
     out = "type string, id string, key string, url string, digest string, refers_to string, payload binary, error string"
     return whole.unionByName(grouped).mapInArrow(_bodies, out)
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of what ``read`` gives, for records of integer keys.
+
+    A revisit's payload is that of the record it names, so its size is looked up there; the digest is of bytes read.
+    """
+    rows = found.select(F.col("key").cast("long").alias("page_id"), F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"), F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"), "error")
+    bad = F.raise_error(F.concat(F.lit("record "), F.col("page_id").cast("string"), F.lit(": "), F.col("error"))).cast("long")
+    rows = written(rows.withColumn("n", F.when(F.col("error").isNotNull(), bad).otherwise(F.col("n"))).drop("error"), "digests")
+    first = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("n").alias("first_n"), F.col("digest").alias("first_digest"))
+    named = rows.where("record_type = 'revisit'").select("refers_to").distinct()
+    first = first.join(named, "refers_to", "left_semi").dropDuplicates(["refers_to"])
+    out = rows.join(first, "refers_to", "left")
+    return out.select("page_id", F.coalesce("n", "first_n").alias("payload_bytes"), F.coalesce("digest", "first_digest").alias("payload_digest"), "record_type", "refers_to")
