@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import packed, unpacked, with_row, written
 
 #: Words whose ids go to all tasks.
-CACHED = 400_000
-#: Bits of an id in the packed rank map.
-WIDTH = 20
+CACHED = 250_000
+#: Bits of an id in the packed rank map, and of an id and a place below the rank in the state of a word.
+WIDTH, RANK = 20, 42
+#: Documents handled at once between two batches.
+STEP = 128
 #: Words counted before counts leave a task.
-_COUNTED = 400_000
+_COUNTED = 200_000
 #: Characters of the longest word worth a place in the dictionary.
 _LONGEST = 64
 
@@ -129,28 +131,33 @@ def folded(words: Column, c: Codec) -> Column:
 
 
 def _folded(word: Column, t: Column, edge: int) -> Column:
-    none, rest, end = F.lit(1 << WIDTH), F.lit(1 << 30), F.array(F.lit(edge).cast("bigint"))
+    """The state is one array: of each piece the rank of its merge with the next, its place in the word, and its id.
 
-    def rank(a: Column, b: Column) -> Column:
-        """The merge, or a number of at least ``none``: the owner's bits vanish only if the entry is of row a."""
-        return F.get(t["table"], (F.get(t["base"], a.cast("int")) + b).cast("int")).bitwiseXOR((a + 1) * (1 << WIDTH))
+    Packed in this order, the least element is the pair to merge, leftmost of equals. Edges make every slice valid.
+    """
+    none, rest, ids = F.lit(1 << WIDTH), F.lit(1 << 30), (1 << WIDTH) - 1
 
-    def state(ids: Column, ranks: Column) -> Column:
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"), F.array_min(ranks).alias("low"))
+    def ranked(a: Column, b: Column) -> Column:
+        """The merge of a and b where one is, else ``none``, in its place. The owner's bits vanish only from row a."""
+        found = F.get(t["table"], (F.get(t["base"], a.cast("int")) + b).cast("int")).bitwiseXOR((a + 1) * (1 << WIDTH))
+        return F.shiftleft(F.least(found, none), RANK)
 
     def step(acc: Column, _: Column) -> Column:
-        ids, ranks, low = acc["ids"], acc["ranks"], acc["low"]
-
-        def merged(k: Column) -> Column:  # k: one-based place of the pair; the edges make every slice valid
-            around = F.array(rank(F.get(ids, k - 2), low), rank(low, F.get(ids, k + 1)))
-            new = F.concat(F.slice(ranks, F.lit(1), k - 2), around, F.slice(ranks, k + 2, rest))
-            return _let(new, lambda r: state(F.concat(F.slice(ids, F.lit(1), k - 1), F.array(low), F.slice(ids, k + 2, rest)), r))
+        def merged(k: Column, low: Column) -> Column:  # k: one-based place of the pair
+            new, left = F.shiftright(low, RANK), F.get(acc, k - 2)
+            around = F.array(
+                ranked(left.bitwiseAND(F.lit(ids)), new).bitwiseOR(left.bitwiseAND(F.lit((1 << RANK) - 1))),
+                ranked(new, F.get(acc, k + 1).bitwiseAND(F.lit(ids))).bitwiseOR(low.bitwiseAND(F.lit((1 << RANK) - (1 << WIDTH)))).bitwiseOR(new),
+            )
+            return F.concat(F.slice(acc, F.lit(1), k - 2), around, F.slice(acc, k + 2, rest))
 
-        return F.when(low >= none, acc).otherwise(_let(F.array_position(ranks, low).cast("int"), merged))
+        return _let(F.array_min(acc), lambda low: F.when(low >= 1 << WIDTH + RANK, acc).otherwise(_let(F.array_position(acc, low).cast("int"), lambda k: merged(k, low))))
 
-    ids = F.concat(end, F.transform(word, lambda b: F.get(t["bytes"], b.cast("int"))), end)
-    first = _let(ids, lambda x: _let(F.transform(F.slice(x, F.lit(2), rest), lambda b, i: rank(F.get(x, i), b)), lambda r: state(x, r)))
-    return F.aggregate(word, first, step, lambda acc: F.slice(acc["ids"], F.lit(2), F.size(acc["ids"]) - 2))
+    end = F.array(F.lit(edge).cast("bigint"))
+    place = lambda i: F.least(i, F.lit((1 << RANK - WIDTH) - 1)).cast("bigint") * (1 << WIDTH)
+    pieces_of = F.concat(end, F.transform(word, lambda b: F.get(t["bytes"], b.cast("int"))), end)
+    first = _let(pieces_of, lambda x: F.transform(x, lambda a, i: ranked(a, F.coalesce(F.get(x, i + 1), F.lit(edge))).bitwiseOR(place(i)).bitwiseOR(a)))
+    return F.aggregate(word, first, step, lambda acc: F.transform(F.slice(acc, F.lit(2), F.size(acc) - 2), lambda x: x.bitwiseAND(F.lit(ids))))
 
 
 # Texts ---------------------------------------------------------------------------------------------------------
@@ -206,8 +213,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
         import regex
 
         find, get = regex.compile(pattern).findall, known.value.get
-        for b in batches:
-            rares, ats, runs, order = [], [], [], []
+        for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
+            rares, runs, order = [], [], []
             for t in b.column("text"):
                 parts, rare = list(map(get, found := find(t.as_py()))), {}
                 words_at = [i for i, p in enumerate(parts) if p is None]
@@ -222,7 +229,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     df = df.mapInArrow(cut, with_row(df, "runs array<binary>, places array<int>, rare array<array<smallint>>")).withColumn("ids", folded(F.col("rare"), c)).drop("rare")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
             out = []
             for runs, places, ids in zip(b.column("runs").to_pylist(), b.column("places").to_pylist(), b.column("ids").to_pylist()):
                 words = [np.array(x, "<u4").tobytes() for x in ids]
@@ -237,7 +244,7 @@ def decoded(docs: DataFrame, path: str, *, ids_col: str = "ids", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pieces(path).__getitem__
-        for b in batches:
+        for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
             out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.binary())], names=["row", "decoded"])
 
