@@ -24,6 +24,18 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+#: Rows in a batch between Spark and Python: documents are long, and a batch is in memory on both sides.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no batch hold more than ``BATCH_ROWS`` rows; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_root(spark)}/passbook-{label}-{uuid.uuid4().hex}"
@@ -39,6 +51,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def packed(df: DataFrame, keep: list[str] | None = None, **columns) -> DataFrame:
     """Input columns packed in one struct ``row`` (so that no name can clash) beside the named working columns."""
+    bounded_batches(df.sparkSession)
     cols = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
     row = F.struct(*cols) if cols else F.struct(F.lit(None).cast("int").alias("_"))
     return df.select(row.alias("row"), *[c.alias(n) for n, c in columns.items()])
