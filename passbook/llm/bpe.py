@@ -229,9 +229,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     df = df.mapInArrow(cut, with_row(df, "runs array<binary>, places array<int>, rare array<array<smallint>>"))
     # Four bytes an id, lowest first, in hexadecimal digits.
     four = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])
-    df = df.withColumn("found", F.transform(folded(F.col("rare"), c), lambda ids: F.array_join(F.transform(ids, four), "")))
-    pieces_of = F.transform("runs", lambda run, i: F.concat(F.hex(run), F.coalesce(F.get("found", F.get("places", i)), F.lit(""))))
-    return unpacked(df, ids=F.unhex(F.array_join(pieces_of, "")))
+    found = F.transform(folded(F.col("rare"), c), lambda ids: F.array_join(F.transform(ids, four), ""))
+    joined = lambda f: F.array_join(F.transform("runs", lambda run, i: F.concat(F.hex(run), F.coalesce(F.get(f, F.get("places", i)), F.lit("")))), "")
+    # One expression: as a column of its own the fold would be inlined in the lambda and run again for each piece.
+    return unpacked(df, ids=F.unhex(_let(found, joined)))
 
 
 def decoded(docs: DataFrame, path: str, *, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
