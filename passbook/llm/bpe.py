@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, with_row, written
+from .common import bounded_batches, packed, unpacked, with_row, written
 
 #: Words whose ids go to all tasks.
 CACHED = 200_000
@@ -40,6 +40,8 @@ STEP = 128
 _COUNTED = 200_000
 #: Characters of the longest word worth a place in the dictionary.
 _LONGEST = 64
+#: Pieces between spaces whose ids a task remembers.
+_MEMO = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -168,36 +170,50 @@ def _texts(docs: DataFrame, text_col: str) -> Column:
 
 
 def common_words(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", cached: int = CACHED) -> dict[str, bytes]:
-    """Ids (four bytes each, little-endian) of the tokens that are words, and of the ``cached`` commonest other words.
+    """Ids (four bytes each, little-endian) of the tokens that are words, and of at most ``cached`` commonest other words.
 
-    Tasks count words before the shuffle; the driver gets ``cached`` rows. Which words these are has no effect on results.
+    Pieces between spaces are counted over all documents, and their words at the end of a task. A histogram of counts
+    gives the least count whose words fit, so nothing is sorted and the driver gets ``cached`` rows at most. Which words
+    these are has no effect on results.
     """
     whole = codec(path).whole_words()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, counts = regex.compile(pattern).findall, Counter()
+        find, pieces, counts = regex.compile(pattern).findall, Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            got = [(w, n) for w, n in counts.items() if w not in whole and len(w) <= _LONGEST]
-            counts.clear()
+            for piece, n in pieces.items():
+                if 0 < len(piece) <= _LONGEST:
+                    for w in find(" " + piece):
+                        counts[w] += n
+            got = [(w, n) for w, n in counts.items() if w not in whole]
+            pieces.clear(), counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
 
         for b in batches:
             for t in b.column("text"):
-                counts.update(find(t.as_py()))
-                if len(counts) > _COUNTED:
+                pieces.update(t.as_py().split(" "))
+                if len(pieces) > _COUNTED:
                     yield out()
         yield out()
 
+    bounded_batches(docs.sparkSession)
     counted = docs.select(_texts(docs, text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = written(counted.orderBy(F.desc("n"), "word").limit(cached).select("word"), "words")
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    counted = written(counted.where("n > 1").withColumn("level", level), "words")
+    least, total = 1 << 30, 0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # 8 levels for each doubling of a count
+        total += r["count"]
+        if total > cached:
+            break
+        least = r["level"]
     data = F.encode("word", "UTF-8")
     as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("int"))
-    ids = best.repartition(32).select("word", F.get(folded(F.array(as_bytes), codec(path)), F.lit(0)).alias("ids"))
-    found = written(ids, "dictionary").toArrow()
-    words, lists = found.column("word").to_pylist(), found.column("ids").to_pylist()
+    found = counted.where(F.col("level") >= least).repartition(32).select("word", F.get(folded(F.array(as_bytes), codec(path)), F.lit(0)).alias("ids"))
+    got = written(found, "dictionary").toArrow()
+    words, lists = got.column("word").to_pylist(), got.column("ids").to_pylist()
     return whole | {w: np.array(x, "<u4").tobytes() for w, x in zip(words, lists)}
 
 
@@ -212,15 +228,44 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, get = regex.compile(pattern).findall, known.value.get
+        find, get, blanks = regex.compile(pattern).findall, known.value.get, regex.compile(r"\s\s").search
+        memo: dict[str, bytes] = {}
+
+        def words_of(text: str) -> tuple[list[bytes | None], list[str]]:
+            """Ids of stretches of the text in order, None for each word that is not known, and these words.
+
+            A space between two other characters always begins a word, so the pieces between such spaces can be looked up.
+            """
+            if text[:1].isspace() or text[-1:].isspace() or blanks(text):
+                found = find(text)
+                parts = list(map(get, found))
+                return parts, [w for w, p in zip(found, parts) if p is None]
+            pieces = text.split(" ")
+            parts, rare, at = list(map(memo.get, pieces)), [], 0
+            parts[0] = None  # the first piece has no space before it
+            out: list[bytes | None] = []
+            for i in [i for i, p in enumerate(parts) if p is None]:
+                found = find(" " + pieces[i] if i else pieces[i])
+                ids = list(map(get, found))
+                out += parts[at:i]
+                if None in ids:
+                    rare += [w for w, p in zip(found, ids) if p is None]
+                    out += ids
+                else:
+                    out.append(b"".join(ids))
+                    if i and len(memo) < _MEMO and len(pieces[i]) <= _LONGEST:
+                        memo[pieces[i]] = out[-1]
+                at = i + 1
+            return out + parts[at:], rare
+
         for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
             rares, runs, order = [], [], []
             for t in b.column("text"):
-                parts, rare = list(map(get, found := find(t.as_py()))), {}
-                words_at = [i for i, p in enumerate(parts) if p is None]
-                edges = [-1, *words_at, len(parts)]
+                parts, unknown = words_of(t.as_py())
+                rare: dict[str, int] = {}
+                edges = [-1, *[i for i, p in enumerate(parts) if p is None], len(parts)]
                 runs.append([b"".join(parts[i + 1 : j]) for i, j in zip(edges, edges[1:])])
-                order.append([rare.setdefault(found[i], len(rare)) for i in words_at])
+                order.append([rare.setdefault(w, len(rare)) for w in unknown])
                 rares.append([list(w.encode()) for w in rare])
             cols = [b.column("row"), pa.array(runs, pa.list_(pa.binary())), pa.array(order, pa.list_(pa.int32())), pa.array(rares, pa.list_(pa.list_(pa.int16())))]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "runs", "places", "rare"])
