@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, packed, unpacked, with_row, written
 
 #: Words whose ids go to all tasks.
-CACHED = 200_000
+CACHED = 150_000
 #: Bits of an id in the packed rank map, and of an id and a place below the rank in the state of a word.
 WIDTH, RANK = 20, 42
 #: Documents handled at once between two batches.
@@ -41,7 +41,7 @@ _COUNTED = 200_000
 #: Characters of the longest word worth a place in the dictionary.
 _LONGEST = 64
 #: Pieces between spaces whose ids a task remembers.
-_MEMO = 200_000
+_MEMO = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,15 +88,16 @@ class Codec:
         self.base, self.table = displaced(pair_merges(self.ranks), self.n_ids)
         self.bytes = [self.ranks[bytes([b])] for b in range(256)]
 
-    def whole_words(self) -> dict[str, bytes]:
-        """Tokens that are text, with their id in four bytes."""
-        out = {}
-        for t, n in self.ranks.items():
-            try:
-                out[t.decode()] = n.to_bytes(4, "little")
-            except UnicodeDecodeError:
-                pass
-        return out
+
+def whole_words(path: str) -> dict[str, bytes]:
+    """Tokens that are text, with their id in four bytes."""
+    out = {}
+    for t, n in load_ranks(path).items():
+        try:
+            out[t.decode()] = n.to_bytes(4, "little")
+        except UnicodeDecodeError:
+            pass
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -169,14 +170,14 @@ def _texts(docs: DataFrame, text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
 
-def common_words(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", cached: int = CACHED) -> dict[str, bytes]:
-    """Ids (four bytes each, little-endian) of the tokens that are words, and of at most ``cached`` commonest other words.
+def common_words(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", cached: int = CACHED) -> pa.Table:
+    """(word, ids: four bytes each, little-endian) of at most ``cached`` commonest words that are no tokens.
 
     Pieces between spaces are counted over all documents, and their words at the end of a task. A histogram of counts
     gives the least count whose words fit, so nothing is sorted and the driver gets ``cached`` rows at most. Which words
     these are has no effect on results.
     """
-    whole = codec(path).whole_words()
+    whole = whole_words(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -211,24 +212,32 @@ def common_words(docs: DataFrame, path: str, pattern: str, *, text_col: str = "t
         least = r["level"]
     data = F.encode("word", "UTF-8")
     as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("int"))
-    found = counted.where(F.col("level") >= least).repartition(32).select("word", F.get(folded(F.array(as_bytes), codec(path)), F.lit(0)).alias("ids"))
-    got = written(found, "dictionary").toArrow()
-    words, lists = got.column("word").to_pylist(), got.column("ids").to_pylist()
-    return whole | {w: np.array(x, "<u4").tobytes() for w, x in zip(words, lists)}
+    ids = _hexed(folded(F.array(as_bytes), codec(path)))
+    found = counted.where(F.col("level") >= least).repartition(32).select("word", F.unhex(F.get(ids, F.lit(0))).alias("ids"))
+    return written(found, "dictionary").toArrow()
+
+
+def _hexed(words: Column) -> Column:
+    """Each word's ids as hexadecimal digits, four bytes an id, lowest first."""
+    four = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])
+    return F.transform(words, lambda ids: F.array_join(F.transform(ids, four), ""))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", keep: list[str] | None = None, words: dict[str, bytes] | None = None) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", keep: list[str] | None = None, words: pa.Table | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) with ``ids``: little-endian unsigned 32-bit ids, as binary.
 
     ``words`` may give the dictionary of ``common_words``; it is made if not.
     """
     spark, c = docs.sparkSession, codec(path)
-    known = spark.sparkContext.broadcast(common_words(docs, path, pattern, text_col=text_col) if words is None else words)
+    table = common_words(docs, path, pattern, text_col=text_col) if words is None else words
+    # Arrow buffers: some MB on the driver, whatever the number of words.
+    known = spark.sparkContext.broadcast(table.combine_chunks())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, get, blanks = regex.compile(pattern).findall, known.value.get, regex.compile(r"\s\s").search
+        ids_of = whole_words(path) | dict(zip(known.value.column("word").to_pylist(), known.value.column("ids").to_pylist()))
+        find, get, blanks = regex.compile(pattern).findall, ids_of.get, regex.compile(r"\s\s").search
         memo: dict[str, bytes] = {}
 
         def words_of(text: str) -> tuple[list[bytes | None], list[str]]:
@@ -272,9 +281,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
 
     df = packed(docs, keep, text=_texts(docs, text_col))
     df = df.mapInArrow(cut, with_row(df, "runs array<binary>, places array<int>, rare array<array<smallint>>"))
-    # Four bytes an id, lowest first, in hexadecimal digits.
-    four = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])
-    found = F.transform(folded(F.col("rare"), c), lambda ids: F.array_join(F.transform(ids, four), ""))
+    found = _hexed(folded(F.col("rare"), c))
     joined = lambda f: F.array_join(F.transform("runs", lambda run, i: F.concat(F.hex(run), F.coalesce(F.get(f, F.get("places", i)), F.lit("")))), "")
     # One expression: as a column of its own the fold would be inlined in the lambda and run again for each piece.
     return unpacked(df, ids=F.unhex(_let(found, joined)))
