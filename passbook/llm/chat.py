@@ -105,10 +105,12 @@ def json_turns(df: DataFrame, json_col: str) -> DataFrame:
     lists = sorted({p.split("[]")[0] for p in _VOCABULARY if "[]" in p})
     plain = [p for p in _VOCABULARY if "[]" not in p]
     top = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
-    inner = [
-        F.transform(F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{c}[0]")), F.array().cast("array<string>")), lambda k, c=c: F.concat(F.lit(f"{c}[]."), k))
-        for c in lists
-    ]
+
+    def keys_in(name: str) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{name}[0]")), F.array().cast("array<string>"))
+        return F.transform(keys, lambda k: F.concat(F.lit(f"{name}[]."), k))
+
+    inner = [keys_in(name) for name in lists]
     known = F.array(*[F.lit(p) for p in _VOCABULARY])
     paths = F.array_sort(F.array_intersect(F.array_distinct(F.concat(F.array_intersect(top, F.array(*[F.lit(p) for p in plain])), *inner)), known))
     names = F.create_map(*[F.lit(x) for kv in BY_FINGERPRINT.items() for x in kv])
