@@ -124,50 +124,63 @@ def _keys(fps: DataFrame, most: int) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keyed)).alias("key"))
 
 
-def links(fps: DataFrame, *, most: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between different fingerprints (column ``fp``, distinct) that span the components at ``most`` bits."""
-    if not 0 <= most < SEGMENTS:
-        raise ValueError(f"most must be under {SEGMENTS}")
-    keys = _keys(fps, most)
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = written(keys.join(sizes, "key"), "meetings")
+def in_blocks(met: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Rows of ``met`` (key, size of the key's bucket, ``columns``) dealt out in units of work: (key, x, y, side, ``columns``).
 
-    # Small buckets, and blocks of large ones: rows of a unit are neighbours after the sort, side 0 before side 1.
-    small = met.where(F.col("size") <= block).select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "fp")
+    A small bucket is one unit; of a larger one every pair of blocks (x, y) is. Rows of a unit are neighbours, side 0
+    before side 1. A unit is bound by two blocks, so a sort within hash partitions keeps it together without collecting it.
+    """
+    small = met.where(F.col("size") <= block).select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), *columns)
     blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64(columns[0]), blocks).cast("int")
     large = met.where(F.col("size") > block).withColumn("blocks", blocks).withColumn("mine", mine)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     large = large.select("*", other.alias("o")).select(
-        "key", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"), (F.col("mine") > F.col("o")).cast("int").alias("side"), "fp"
+        "key", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"), (F.col("mine") > F.col("o")).cast("int").alias("side"), *columns
     )
     unit = ["key", "x", "y"]
-    # A bucket is bound by ``block``, so a sort within hash partitions keeps each unit together without collecting it.
-    rows = small.unionByName(large).repartition(*unit).sortWithinPartitions(*unit, "side", "fp")
-    rows = rows.select("key.n", "key.bits", "x", "y", "side", "fp")
+    return small.unionByName(large).repartition(*unit).sortWithinPartitions(*unit, "side", columns[0])
+
+
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Units of work of ``in_blocks``, whole: neighbours that agree in n, bits, x and y."""
+    kept: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        got = pa.Table.from_batches([b])
+        got = pa.concat_tables([kept, got]) if kept is not None else got
+        keys = np.stack([got.column(c).to_numpy().astype(np.int64) for c in ("n", "bits", "x", "y")], axis=1)
+        cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+        for i, j in zip([0, *cuts], cuts):
+            yield got.slice(i, j - i)
+        kept = got.slice(cuts[-1] if cuts else 0).combine_chunks()
+    if kept is not None:
+        yield kept
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
 
-        def linked(part: np.ndarray) -> list[tuple[int, int]]:
-            side, fp = part[:, 4], part[:, 5].view(np.uint64)
-            left, right = (fp[side == 0], fp[side == 1]) if (side == 1).any() else (fp, fp)
-            return forest(left, right, most)
+def links(fps: DataFrame, *, most: int = 3, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between different fingerprints (column ``fp``, distinct) that span the components at ``most`` bits."""
+    if not 0 <= most < SEGMENTS:
+        raise ValueError(f"most must be under {SEGMENTS}")
+    keys = _keys(fps, most)
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = written(keys.join(sizes, "key"), "meetings")
+
+    rows = in_blocks(met, ["fp"], block).select("key.n", "key.bits", "x", "y", "side", "fp")
 
-        def batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    def linked(part: np.ndarray) -> list[tuple[int, int]]:
+        side, fp = part[:, 4], part[:, 5].view(np.uint64)
+        left, right = (fp[side == 0], fp[side == 1]) if (side == 1).any() else (fp, fp)
+        return forest(left, right, most)
 
-        for b in batches:
-            got = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "bits", "x", "y", "side", "fp")], axis=1)
-            if not len(got):
-                continue
-            got = np.concatenate([*kept, got])
-            cuts = np.flatnonzero((got[1:, :4] != got[:-1, :4]).any(axis=1)) + 1
-            parts = np.split(got, cuts)
-            kept = [parts.pop()]
-            yield batch([p for part in parts for p in linked(part)])
-        if kept:
-            yield batch(linked(kept[0]))
+    def batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            columns = [unit.column(c).to_numpy().astype(np.int64) for c in ("n", "bits", "x", "y", "side", "fp")]
+            yield batch(linked(np.stack(columns, axis=1)))
 
     return rows.mapInArrow(run, "a long, b long")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passbook.llm import bpe, chat, decontaminate, digest, graph, html_text, quality, queries, secrets, simhash, transducer, warc
+from passbook.llm import bpe, chat, decontaminate, digest, graph, html_text, near_copies, quality, queries, secrets, simhash, transducer, warc
 
 SF = "/root/testdata/sf0.001"
 LONG = "xé" * 3000 + "  \n\t " + "!?" * 500 + "\U0001f600 日本語 ½² <|endoftext|> it's"
@@ -101,6 +101,36 @@ def test_links_in_blocks(spark):
                 assert comp[a] == comp[b]
 
 
+def test_near_copies(spark, odd):
+    """Groups equal those of brute force over all pairs; edits of one text, more than a block, stay one group."""
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    edits = [" ".join(f"e{n}" if i == n % 397 else w for i, w in enumerate(words)) for n in range(40)]
+    texts = [*(t for t in (r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect())), *edits, None, "", " \n", LONG, LONG, "A b c", "a  b c", "a b"]
+    for t in [t for t in texts[:150] if t and len(t.split()) > 30]:  # a few words changed, left out or added at random
+        w = t.split()
+        for _ in range(rnd.randint(1, max(1, len(w) // 40))):
+            w[rnd.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 0.8 * max(len(x), len(sets[j])) <= min(len(x), len(sets[j])) and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.id: r.component for r in near_copies.groups(docs, block=16).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    kept = near_copies.deduplicated(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == [(0, 7), (1, 0), (3, len(LONG)), (4, 5), (4, len(LONG))]
+    assert near_copies.deduplicated(odd.where("false")).count() == 0
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301), (5, 5), (None, 1)], "a long, b long")
     got = {r.node: r.component for r in graph.components(chain).collect()}
