@@ -6,9 +6,11 @@ on ``BANDS`` bands of least shingle hashes instead: texts alike to 0.8 meet with
 0.9999. Of texts that meet, a pair has to have a pigeonring chain of segments within proportional budgets, then at most
 ``MOST`` differing bits, and at last exact shingle sets alike to the threshold.
 
-Texts equal in their words (ASCII case apart) are one node. Nodes that meet are handled in units of at most two blocks:
-a least spanning forest by differing bits comes out of each, so a group of copies costs its size in links, not its
-square. The forest joins the nearest first, which keeps together what the exact check holds together.
+Texts equal in their words (ASCII case apart) are one node. Nodes that meet are handled in units of at most two blocks,
+in two passes. Out of the first comes a least spanning forest by differing bits of each unit; its links that are alike to
+the threshold make the first components. Out of the second comes every pair that is near, could be alike by the sizes of
+its sets and is not in one component yet, and each is checked exactly. So no pair is passed over but those that checked
+links connect already, and a group of copies costs about its size in links, not its square.
 
 Nulls: a null text has no words, as an empty one; both are copies of each other. Texts of fewer words than a shingle
 are one shingle. A null id stays its own row without a component. Of an id with several rows all go if every one is a
@@ -87,20 +89,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketched(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, fp, bands): one row for each row of ``docs``."""
+    """(id, node, fp, bands, size of the shingle set): one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps, bands = [], [], []
+            nodes, fps, bands, counts = [], [], [], []
             for t in b.column("text"):
                 words = words_of(t.as_py() or b"")
-                fp, keys = sketch(shingles(words))
-                nodes.append(node_of(words)), fps.append(fp), bands.append(keys)
-            cols = [b.column("id"), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "fp", "bands"])
+                fp, keys = sketch(found := shingles(words))
+                nodes.append(node_of(words)), fps.append(fp), bands.append(keys), counts.append(len(found))
+            cols = [b.column("id"), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "fp", "bands", "shingles"])
 
     bounded_batches(docs.sparkSession)
-    return _plain(docs, id_col, text_col).mapInArrow(run, "id long, node binary, fp binary, bands array<long>")
+    return _plain(docs, id_col, text_col).mapInArrow(run, "id long, node binary, fp binary, bands array<long>, shingles long")
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,19 +139,60 @@ def spanning(fps: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
     return links
 
 
-def candidates(nodes: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between different nodes (columns node, fp, bands) that meet in a band and are near by fingerprint."""
-    keys = nodes.select("node", "fp", F.posexplode("bands").alias("n", "bits")).select(F.struct("n", "bits").alias("key"), "node", "fp")
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(key, node, fp, shingles, size): nodes beside each band in which they meet others, and how many meet there."""
+    keys = nodes.select("node", "fp", "shingles", F.posexplode("bands").alias("n", "bits")).select(F.struct("n", "bits").alias("key"), "node", "fp", "shingles")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = written(keys.join(sizes, "key"), "meetings")
+    return written(keys.join(sizes, "key"), "meetings")
+
+
+def _fps(unit: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(unit.column("fp").to_pylist()), np.uint32).reshape(-1, SEGMENTS)
+
+
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    pairs = [(min(p), max(p)) for p in pairs]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def candidates(met: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """(a, b): of the nodes of each unit of ``met`` a least spanning forest of the pairs that are near by fingerprint."""
     rows = in_blocks(met, ["node", "fp"], block).select("key.n", "key.bits", "x", "y", "node", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches):
-            fps = np.frombuffer(b"".join(unit.column("fp").to_pylist()), np.uint32).reshape(-1, SEGMENTS)
             names = unit.column("node").to_pylist()
-            pairs = [sorted((names[i], names[j])) for i, j in spanning(fps)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            yield _links([(names[i], names[j]) for i, j in spanning(_fps(unit))])
+
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def remaining(met: DataFrame, linked: DataFrame, *, least: float = LEAST, block: int = BLOCK) -> DataFrame:
+    """(a, b): every pair of nodes that meet, are near, may be alike to ``least`` by size and are not yet ``linked``.
+
+    ``linked`` is (node, component). Nothing is thinned out here: what comes out has to be checked exactly.
+    """
+    met = met.join(linked, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    columns = ["node", "fp", "shingles", "root"]
+    rows = in_blocks(met.join(mixed, "key", "left_semi"), columns, block).select("key.n", "key.bits", "x", "y", "side", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            fps, names = _fps(unit), unit.column("node").to_pylist()
+            root = unit.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+            count = unit.column("shingles").to_numpy()
+            # Of two blocks the pairs across, of one block (or a small bucket) all.
+            split = int((unit.column("side").to_numpy() == 0).sum())
+            across = split < len(names)
+            for i in range(split):
+                at = split if across else i + 1
+                sizes = np.minimum(count[at:], count[i]) >= (least - 1e-9) * np.maximum(count[at:], count[i])
+                rows = np.flatnonzero((root[at:] != root[i]) & sizes) + at
+                if len(rows):
+                    rows = rows[near(np.bitwise_count(fps[rows] ^ fps[i]))]
+                if len(rows):
+                    yield _links([(names[i], names[j]) for j in rows.tolist()])
 
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -186,10 +229,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     if least < LEAST:
         raise ValueError(f"least must be {LEAST} or more")
     rows = written(sketched(docs, id_col=id_col, text_col=text_col), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "bands", "shingles")])
     nodes = written(nodes, "nodes")
-    links = written(candidates(nodes.where("first IS NOT NULL"), block=block), "candidates")
-    linked = components(verified(links, docs, nodes, id_col=id_col, text_col=text_col, least=least)).withColumnRenamed("component", "root")
+    met = meetings(nodes.where("first IS NOT NULL"))
+    check = lambda links, label: written(verified(written(links, "candidates"), docs, nodes, id_col=id_col, text_col=text_col, least=least), label)
+    first = check(candidates(met, block=block), "links")
+    more = check(remaining(met, components(first), least=least, block=block), "links")
+    linked = components(first.unionByName(more)).withColumnRenamed("component", "root")
     named = nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     component = named.groupBy("root").agg(F.min("first").alias("component"))
     names = named.join(component, "root").select("node", "component")

@@ -131,6 +131,28 @@ def test_near_copies(spark, odd):
     assert near_copies.deduplicated(odd.where("false")).count() == 0
 
 
+def test_near_copies_at_the_threshold(spark):
+    """Groups whose pairs lie right at the threshold equal brute force: no link is lost to thinning by fingerprint."""
+    rnd, texts = random.Random(11), []
+    for group, (size, changes) in enumerate([(100, 5), (40, 5), *[(10, 5)] * 6]):  # mean similarity about 0.78
+        base = [f"g{group}w{i}" for i in range(400)]
+        for n in range(size):
+            w = list(base)
+            for k in rnd.sample(range(400), changes):
+                w[k] = f"e{len(texts)}x{k}"
+            texts.append(" ".join(w))
+    sets, root = [frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)], list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (simhash.BLOCK, 16):
+        got = {r.id: r.component for r in near_copies.groups(docs, block=block).collect()}
+        assert sum(got[i] != find(i) for i in range(len(texts))) == 0
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301), (5, 5), (None, 1)], "a long, b long")
     got = {r.node: r.component for r in graph.components(chain).collect()}
