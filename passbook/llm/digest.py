@@ -24,8 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, RUN, POPULAR = 64, 64, 16
-#: Entropies are counted over all documents in windows this many bytes apart.
-SPACING = 256
 GROUP = 1 << 18
 #: Texts held at once while neighbours are compared.
 STEP = 256
@@ -65,17 +63,6 @@ def entropies(data: np.ndarray) -> np.ndarray:
     return _level(clog)
 
 
-def spaced_entropies(data: np.ndarray) -> np.ndarray:
-    """Entropy levels of the windows that begin at multiples of ``SPACING``."""
-    n = (len(data) + SPACING - WINDOW) // SPACING
-    rows = np.sort(np.lib.stride_tricks.as_strided(data, (n, WINDOW), (SPACING, 1)), axis=1)
-    new = np.ones(rows.shape, bool)
-    new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-    starts = np.flatnonzero(new)
-    clog = _CLOG[np.diff(np.append(starts, rows.size))]
-    return _level(np.add.reduceat(clog, np.searchsorted(starts, np.arange(0, rows.size, WINDOW)))) if len(rows) else np.empty(0, np.int16)
-
-
 def selected(levels: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Places of the improbable windows, in order."""
     n = len(levels)
@@ -141,7 +128,7 @@ def decoded(fingerprint: str) -> np.ndarray:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Rank of each entropy level, rarest first, by its count over all documents; -1 for levels under ``LEAST``.
+    """Rank of each entropy level, rarest first, by its count over all windows of all documents; -1 for levels under ``LEAST``.
 
     Each task sends its counts of at most ``LEVELS`` levels; the driver gets that many rows.
     """
@@ -149,9 +136,8 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                if t and len(t) >= WINDOW:
-                    total += np.bincount(spaced_entropies(np.frombuffer(t, np.uint8)), minlength=LEVELS)
+            for _, levels in grouped_levels([t for t in b.column("text").to_pylist() if t]):
+                total += np.bincount(levels, minlength=LEVELS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["level", "n"])
 

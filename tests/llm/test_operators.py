@@ -220,6 +220,24 @@ def test_digest(spark, odd):
     assert digest.with_next(odd, rank=rank).count() == len(ODD)
 
 
+def test_rarity(spark, odd):
+    """Ranks follow counts over every window of every text."""
+    from collections import Counter
+    from math import log2
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(12).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    counts = Counter()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        for i in range(len(raw) - digest.WINDOW + 1):
+            clog = sum(round(c * log2(c) * (1 << 20)) for c in Counter(raw[i : i + digest.WINDOW]).values())
+            full = digest.WINDOW * 6 * (1 << 20)
+            counts[(full - clog) * (digest.LEVELS - 1) // full] += 1
+    order = sorted(range(digest.LEVELS), key=lambda x: (counts[x], x))
+    want = {x: n if x >= digest.LEAST else -1 for n, x in enumerate(order)}
+    assert dict(enumerate(digest.rarity(docs).tolist())) == want
+
+
 def test_main_text():
     page = "<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>One &amp;  two.</p><p>Three.</p></article><footer>c</footer></body></html>"
     assert html_text.main_text(page) == "Head\nOne & two.\nThree." and html_text.main_text(None) == "" and html_text.main_text("<p") == ""
