@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. A line weighs as many characters as its text has, and
-nothing if it stands in a part that is not running text (menus, forms, adverts ...) or is mostly links; where the
-page marks its article, lines outside it weigh nothing either. The weights are summed over windows of ``WINDOW``
-lines. A surge is where the sum rises from nothing, a dive where it falls back to nothing; the text of weighing
-lines between a surge and its dive is kept if some window between reaches ``SURGE`` characters (in a marked article:
-always; if none does: the heaviest stretch). Nothing is capped.
+nothing if it stands in a part that is not running text (menus, forms, adverts ...) or is mostly links. The weights
+are summed over windows of ``WINDOW`` lines, on every page over all its lines. A surge is where the sum rises from
+nothing, a dive where it falls back to nothing; the text of weighing lines between a surge and its dive is kept if
+some window between reaches ``SURGE`` characters (if none does: the heaviest stretch). Where the page marks an article
+that holds at least half of the weight, its lines of links weigh too and its light stretches are kept; a mark never
+takes weight from lines outside it. Nothing is capped.
 
 Nulls: a null page is empty and gives the empty text. Unclosed, crossed and cut-off tags are read to the end.
 """
@@ -116,10 +117,14 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def kept(found: list[tuple[str, int, bool, bool]]) -> list[str]:
     """The lines between surges and dives of the line-block distribution."""
-    marked = any(article and not aside for _, _, aside, article in found)
-    weights = [0 if aside or (not article if marked else 2 * links > len(text)) else len(text) for text, links, aside, article in found]
+    plain = [0 if aside or 2 * links > len(text) else len(text) for text, links, aside, _ in found]
+    inside = [article and not aside for _, _, aside, article in found]
+    full = [len(line[0]) if article else weight for line, weight, article in zip(found, plain, inside)]
+    marked = sum(w for w, article in zip(full, inside) if article)
+    trusted = marked > 0 and 2 * marked >= sum(full)
+    weights = full if trusted else plain
     sums = [sum(weights[i : i + WINDOW]) for i in range(1 - WINDOW, len(weights))]  # of the window that ends at line i + WINDOW - 1
-    stretches: list[tuple[int, int, int, int]] = []  # first, last window, highest sum, whole weight
+    stretches: list[tuple[int, int, int, int]] = []  # first, last line, highest sum, whole weight
     i = 0
     while i < len(sums):
         if sums[i]:
@@ -130,8 +135,9 @@ def kept(found: list[tuple[str, int, bool, bool]]) -> list[str]:
             stretches.append((first, last, max(sums[i : j + 1]), sum(weights[max(0, i + 1 - WINDOW) : j + 1])))
             i = j
         i += 1
-    if not marked and stretches:
-        stretches = [s for s in stretches if s[2] >= SURGE] or [max(stretches, key=lambda s: s[3])]
+    if stretches:
+        light = lambda s: trusted and any(inside[s[0] : s[1] + 1])
+        stretches = [s for s in stretches if s[2] >= SURGE or light(s)] or [max(stretches, key=lambda s: s[3])]
     chosen = {k for first, last, _, _ in stretches for k in range(first, last + 1)}
     return [line[0] for k, line in enumerate(found) if k in chosen and weights[k]]
 

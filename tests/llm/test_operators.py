@@ -243,6 +243,15 @@ def test_main_text():
     assert html_text.main_text(page) == "Head\nOne & two.\nThree." and html_text.main_text(None) == "" and html_text.main_text("<p") == ""
 
 
+def test_main_text_beside_a_mark():
+    """Lines outside an <article> are weighed as others: a teaser card takes nothing from the text of the page."""
+    body = [f"Paragraph {n} of a text that stands in plain blocks and is the main text." for n in range(6)]
+    page = "<body><div>" + "</div><div>".join(body) + "</div><form>x</form><form>x</form><form>x</form><form>x</form><article class=card><h2>Next</h2></article></body>"
+    assert html_text.main_text(page) == "\n".join(body)
+    beside = "<article><h1>Head</h1><form>x</form><form>x</form><form>x</form><p>" + "In the article. " * 40 + "</p></article><div>" + body[0] + "</div><div>" + body[1] + "</div>"
+    assert html_text.main_text(beside) == "\n".join(["Head", ("In the article. " * 40).strip(), *body[:2]])
+
+
 def test_secrets(spark, odd):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
