@@ -8,6 +8,10 @@ some window between reaches ``SURGE`` characters (if none does: the heaviest str
 that holds at least half of the weight, its lines of links weigh too and its light stretches are kept; a mark never
 takes weight from lines outside it. Nothing is capped.
 
+Script, style and textarea run to their end tag or the end of the page. Drawings, templates, frames and noscript are
+dropped up to their end tag; without one, or if closed in themselves (``<svg/>``), only the tag is. Formulas and what
+stands in object, audio, video and canvas are text like any other.
+
 Nulls: a null page is empty and gives the empty text. Unclosed, crossed and cut-off tags are read to the end.
 """
 
@@ -28,13 +32,19 @@ SURGE = 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|object|canvas|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"|<(?P<raw>script|style|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i iframe img ins kbd label mark nobr noscript object q rp rt ruby s samp small span strike strong sub sup svg"
+    " time tt u var video wbr math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext"
+    " mtr munder munderover semantics annotation annotation-xml".split()
+)
+#: Elements dropped whole if their end tag is there.
+_DROPPED = {t: re.compile(rf"</{t}\s*(?:>|\s[^>]*>)", re.I) for t in ("svg", "template", "iframe", "noscript")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never part of an article.
 _ASIDE = frozenset("nav footer aside form head title menu button select dialog".split())
@@ -63,6 +73,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     stack: list[tuple[str, bool, bool]] = []  # open elements that are not inline: name, aside, article
     text: list[str] = []
     linked, in_link, at = 0, False, 0
+    unended: set[str] = set()  # dropped elements of which no end tag follows
 
     def close() -> None:
         nonlocal linked
@@ -79,12 +90,17 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             text.append(plain := html.unescape(raw))
             linked += len(plain.strip()) if in_link else 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         put(page[at : m.start()])
         at, tag = m.end(), m["tag"]
         if tag is None:
             continue
         tag, end = tag.lower(), bool(m["end"])
+        if tag in _DROPPED and not end and tag not in unended and not (tag == "svg" and m["attrs"].endswith("/")):
+            if over := _DROPPED[tag].search(page, at):
+                at = over.end()
+                continue
+            unended.add(tag)
         if tag == "br":
             text.append(" ")
         elif tag in _INLINE:

@@ -252,6 +252,16 @@ def test_main_text_beside_a_mark():
     assert html_text.main_text(beside) == "\n".join(["Head", ("In the article. " * 40).strip(), *body[:2]])
 
 
+def test_main_text_after_unclosed_elements():
+    page = lambda inner: f"<article><p>First {inner} words.</p><p>All of the rest.</p></article>"
+    for icon in ('<svg class="i"/>', "<math/>", "<object data=x>", "<video src=x>", "<svg>", "<template>", "<iframe src=x>", "<svg><path d='z'/></svg>", "<noscript>n</noscript>", "<script>s</script>"):
+        assert html_text.main_text(page(icon)).split() == "First words. All of the rest.".split(), icon
+    assert html_text.main_text(page("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>")) == "First x=1 words.\nAll of the rest."
+    for tag in ("object", "audio", "video", "canvas"):
+        assert html_text.main_text(page(f"<{tag}>instead</{tag}>")) == "First instead words.\nAll of the rest.", tag
+    assert html_text.main_text(page("<textarea>never closed")) == "First"
+
+
 def test_secrets(spark, odd):
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
