@@ -149,8 +149,9 @@ def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
             rows = [features(t, FIT_PASSAGES).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "bag"])
 
-    # The sample's size is bound by ``sample``, whatever the tables hold.
-    got = texts.join(F.broadcast(chosen), "id").limit(2 * sample).select("id", "label", "text").mapInArrow(run, "id long, label int, bag binary").collect()
+    # The sample's size is bound by ``sample``, whatever the tables hold: of an id with several texts the least is learned from.
+    one = texts.join(F.broadcast(chosen.select("id").distinct()), "id").groupBy("id").agg(F.min("text").alias("text"))
+    got = one.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(run, "id long, label int, bag binary").collect()
     got.sort(key=lambda r: (r["id"], r["label"], r["bag"]))
     return fit([np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in got], [r["label"] for r in got])
 

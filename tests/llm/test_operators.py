@@ -206,6 +206,17 @@ def test_quality(spark, odd):
     assert len(model.scores(x, np.array([len(b) for b in bags]))) == 2
 
 
+def test_quality_of_repeated_ids(spark, monkeypatch):
+    """Of an id with several texts one is learned from, the same in any order of the rows."""
+    rows = [(i, f"{'word ' * (k + 1)}{i}") for i in range(40) for k in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, found: seen.append([(b.tobytes(), y) for b, y in zip(bags, found)]))
+    for order in (rows, rows[::-1]):
+        quality.trained(spark.createDataFrame(order, "doc_id long, text string"), labels, sample=10)
+    assert len(seen[0]) == 10 and seen[0] == seen[1]
+
+
 def test_digest(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
     rank = digest.rarity(docs)
