@@ -9,13 +9,16 @@ change of the count, so totals are sums of what transitions emit. States are com
 into one table of (next state, emitted); a full table is compiled anew from the states in use, which changes no
 count.
 
-Texts are cut in chunks at places where every state agrees what follows (a space after an ASCII letter or digit ends
-the word, whatever it was): there the state map of a chunk is constant, it composes with its neighbours' by adding
-counts, and all chunks of a batch step through the table side by side; the scan over chunks is a running sum.
+Texts are cut in chunks, which step through the table side by side. The state map of a chunk tells for each entry
+state its exit state and what it emits. After a place where every state agrees what follows (a space after an ASCII
+letter or digit ends the word, whatever it was) the map is constant. Elsewhere a chunk is first run from the state that
+the bytes before it lead to, and then from every exit state of the chunk before that its map does not have yet, until
+each map covers all that can enter it. A parallel prefix scan composes the maps of a batch, so a text without a single
+blank is cut like any other, and no chunk waits for the one before.
 
 The special token's string counts as one token wherever it stands, as the library does by default. Nulls: a null text
-is empty and has no tokens. Very long texts take more steps or more chunks, not more memory a byte. An empty table
-gives no rows.
+is empty and has no tokens. Very long texts take more chunks, not more memory a byte. Repeated rows are each counted.
+Extra columns pass through; an input column named like a result is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import packed, unpacked, with_row
 
-#: Bytes from one cut to the next place that allows one.
-CHUNK = 512
+#: Bytes from one cut to the next place that allows one; chunks beyond ``WIDEST`` are cut anywhere between characters.
+CHUNK, WIDEST = 512, 2048
+#: Bytes before such a cut that give the first guess of its state.
+_BACK = 64
 #: States of a compiled table, and bytes of text that step side by side.
 STATES, BATCH = 1 << 18, 1 << 23
-#: Emitted counts lie in a signed byte beside the next state.
-_BIAS, _BITS = 128, 8
+#: Emitted counts lie in signed bits beside the next state.
+_BIAS, _BITS = 512, 10
 _CONTRACTIONS = {"s": True, "t": True, "m": True, "d": True, "re": True, "ve": True, "ll": True}
 _SPACES = frozenset("\t\n\v\f\r \x85\xa0                　")
 
@@ -211,6 +216,8 @@ class Transducer:
         else:
             (kind, word, held), emitted = self._char(kind, word, held, char.decode("utf-8", "replace"))
             name = (kind, word, held, b"")
+        if not -_BIAS <= emitted < _BIAS:
+            raise OverflowError("a transition emits more than its bits hold")
         return self._intern(name) << _BITS | (emitted + _BIAS)
 
     def _columns(self, data: np.ndarray) -> np.ndarray:
@@ -223,11 +230,15 @@ class Transducer:
             self.column[b], self.columns = self.columns, self.columns + 1
         return self.column[data]
 
-    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each chunk ``data[start:end]``; all chunks step side by side, the longest first in line."""
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entries: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(exit state, emitted) of each chunk ``data[start:end]`` from its entry (names of states; else nothing read).
+
+        All chunks step side by side, the longest first in line. Numbers of states hold until the next call.
+        """
         order = np.argsort(starts - ends, kind="stable")
         at, left = starts[order], (ends - starts)[order]
-        state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        total = np.zeros(len(order), np.int64)
+        state = np.zeros(len(order), np.int64) if entries is None else np.array([self._intern(entries[i]) for i in order.tolist()], np.int64)
         columns = self._columns(data)
         live = np.searchsorted(-left, -np.arange(1, (int(left[0]) if len(left) else 0) + 1), side="right")
         for step, n in enumerate(live.tolist()):
@@ -248,21 +259,80 @@ class Transducer:
                 got = self.table[state[:n], col]
             state[:n] = got >> _BITS
             total[:n] += (got & ((1 << _BITS) - 1)) - _BIAS
-        for s in np.unique(state).tolist():
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[back], total[back]
+
+    def ended(self, states: np.ndarray) -> np.ndarray:
+        """What is emitted where a word ends in each of ``states``."""
+        for s in np.unique(states).tolist():
             if self.ends[s] < 0:
                 self.ends[s] = self._end(self.names[s])
-        total += self.ends[state]
-        out = np.empty(len(order), np.int64)
-        out[order] = total
-        return out
+        return self.ends[states].astype(np.int64)
+
+    def running(self, data: np.ndarray, starts: np.ndarray, firm: np.ndarray) -> np.ndarray:
+        """Tokens up to the end of each chunk. ``firm``: chunks that begin where all states agree, or a text does."""
+        n, ends = len(starts), np.append(starts[1:], len(data))
+        closes = np.append(firm[1:], True)  # a word ends with the chunk
+        loose = np.flatnonzero(~firm)
+        before = np.maximum(starts[loose] - _BACK, starts[loose - 1])
+        before += np.array([np.argmax(data[b : b + 4] & 0xC0 != 0x80) for b in before.tolist()], np.int64)
+        guess, _ = self.run(data, before, starts[loose])
+        start = self.names[0]
+        todo = [(c, start) for c in np.flatnonzero(firm).tolist()] + [(c, self.names[g]) for c, g in zip(loose.tolist(), guess.tolist())]
+        maps: list[dict[tuple, int]] = [{} for _ in range(n)]  # entry -> its number
+        for c, entry in todo:
+            maps[c][entry] = 0
+        found: list[tuple[int, int, tuple | None, int]] = []  # chunk, number of the entry, exit, emitted
+        while todo:
+            which = np.array([c for c, _ in todo])
+            exits, emitted = self.run(data, starts[which], ends[which], [e for _, e in todo])
+            emitted += np.where(closes[which], self.ended(exits), 0)
+            names = [None if shut else self.names[s] for shut, s in zip(closes[which].tolist(), exits.tolist())]
+            found += [(c, maps[c][entry], name, e) for (c, entry), name, e in zip(todo, names, emitted.tolist())]
+            todo = []
+            for c, name in zip(which.tolist(), names):
+                if name is not None and name not in maps[c + 1]:
+                    maps[c + 1][name] = len(maps[c + 1])
+                    todo.append((c + 1, name))
+        to, count = np.zeros((2, n, max(map(len, maps), default=1)), np.int64)
+        for c, k, name, e in found:
+            to[c, k], count[c, k] = 0 if name is None else maps[c + 1][name], e
+        return scanned(to, count)[:, 0]
+
+
+def scanned(to: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Counts of the composition of all state maps up to each one, by a parallel prefix scan.
+
+    Row c says for each entry of chunk c which entry of chunk c + 1 it leads to, and what it counts.
+    """
+    step = 1
+    while step < len(to):
+        first = to[:-step]
+        count = np.concatenate([count[:step], count[:-step] + np.take_along_axis(count[step:], first, 1)])
+        to = np.concatenate([to[:step], np.take_along_axis(to[step:], first, 1)])
+        step *= 2
+    return count
+
 
+def cuts(data: np.ndarray, bounds: np.ndarray, chunk: int = CHUNK, widest: int = WIDEST) -> tuple[np.ndarray, np.ndarray]:
+    """(where chunks begin, whether all states agree there).
 
-def cuts(data: np.ndarray, bounds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """Where chunks begin: at the bounds of texts, and at the first agreed place after each ``chunk`` bytes."""
+    At the bounds of texts, at the first agreed place after each ``chunk`` bytes, and between characters wherever more
+    than ``widest`` bytes would be left.
+    """
     before = data[:-1] | 0x20
     agreed = np.flatnonzero((data[1:] == 32) & (((before >= 97) & (before <= 122)) | ((data[:-1] >= 48) & (data[:-1] <= 57)))) + 1
     wanted = np.searchsorted(agreed, np.arange(chunk, len(data), chunk))
-    return np.unique(np.concatenate([bounds, agreed[np.unique(wanted[wanted < len(agreed)])]]))
+    firm = np.unique(np.concatenate([bounds, agreed[np.unique(wanted[wanted < len(agreed)])]]))
+    size = np.diff(np.append(firm, len(data)))
+    loose = [at + k for at, n in zip(firm[size > widest].tolist(), size[size > widest].tolist()) for k in range(widest, n, widest)]
+    # A continuation byte is never the first of a chunk.
+    loose = np.array(loose, np.int64)
+    for _ in range(3):
+        loose += (loose < len(data)) & (data[np.minimum(loose, len(data) - 1)] & 0xC0 == 0x80)
+    starts = np.union1d(firm, loose[loose < len(data)])
+    return starts, np.isin(starts, firm)
 
 
 @lru_cache(maxsize=1)
@@ -284,9 +354,8 @@ def count_tokens(texts: list[bytes], path: str) -> list[int]:
         if size:
             data = np.frombuffer(b"".join(pieces), np.uint8)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-            starts = cuts(data, bounds[:-1])
-            counts = machine.run(data, starts, np.append(starts[1:], len(data)))
-            running = np.concatenate([[0], np.cumsum(counts)])
+            starts, firm = cuts(data, bounds[:-1])
+            running = np.concatenate([[0], machine.running(data, starts, firm)])
             at = np.searchsorted(starts, bounds[:-1])
             np.add.at(totals, np.array(owners), running[np.append(at[1:], len(starts))] - running[at])
         out.extend(totals.tolist())
