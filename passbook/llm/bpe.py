@@ -4,14 +4,15 @@ The rank file becomes literal arrays in the plan: the id of each byte, and a ran
 their merge (which is its rank), in which a pair has one of two places. A fold over a word's bytes merges the
 leftmost pair of lowest rank until none has a rank.
 
-Words are counted over all documents; the ``cached`` commonest are folded once and go to all tasks as a dictionary
-of that many words at most. A document's words that are neither in it nor whole tokens are folded with the document,
-each distinct one once, so every word is encoded and nothing is shuffled but word counts. Decoding concatenates the
-pieces of the ids.
-
-Nulls: a null text is empty and has no ids. Equal texts have equal ids. Long words take time quadratic in their length
-at worst, as each merge copies an array. Extra columns pass through; an input column named like a result is replaced.
-An empty table gives no rows.
+Texts are cut once. A task gathers its documents in pages of a bounded number of characters and words; a document becomes
+references, to tokens or to words of its page, and each page lists its words that are no tokens. The pages are written,
+bucketed by page. Then equal words of all pages meet in a shuffle, each distinct word is folded once for the whole
+corpus, and its ids go back to the pages that hold it, so no task and no driver ever holds a dictionary of the corpus.
+Decoding concatenates the pieces of the ids.
+
+Nulls: a null text is empty and has no ids. Equal texts have equal ids; repeated rows are each encoded. Long words take
+time quadratic in their length, as each merge copies an array. Extra columns pass through; an input column named like a
+result is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,29 +20,31 @@ from __future__ import annotations
 import base64
 import json
 import random
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import bounded_batches, packed, unpacked, with_row, written
-
-#: Words whose ids go to all tasks.
-CACHED = 150_000
-#: Bits of an id in the packed rank map, and of an id and a place below the rank in the state of a word.
-WIDTH, RANK = 20, 42
-#: Documents handled at once between two batches.
-STEP = 128
-#: Words counted before counts leave a task.
-_COUNTED = 200_000
-#: Characters of the longest word worth a place in the dictionary.
-_LONGEST = 64
-#: Pieces between spaces whose ids a task remembers.
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .common import bucketed, packed, unpacked, with_row
+
+#: A page ends when it has this many characters of text or this many words of its own.
+PAGE_CHARS, PAGE_WORDS = 1 << 25, 600_000
+#: Bits of a word's number in its page, and of a page's number in its task.
+_AT, _PAGE = 24, 12
+#: Documents handled at once between two batches, and words that go back to their pages at once.
+STEP, BACK = 128, 150_000
+#: Pieces between blanks that a page remembers; the others are looked up word by word.
 _MEMO = 150_000
+#: Pages that one row of a word names; a word of more pages is folded once for each so many.
+_HOLDERS = 1 << 14
+#: Fixed value: the pattern for which a space between two other characters always begins a word.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,10 +60,10 @@ def pair_merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return {(ranks[t[:i]], ranks[t[i:]]): n for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
 
 
-def displaced(merges: dict[tuple[int, int], int], ids: int) -> tuple[list[int], list[int]]:
+def displaced(merges: dict[tuple[int, int], int], ids: int, width: int) -> tuple[list[int], list[int]]:
     """(base, table): rows of the pair table laid over each other without two entries in one place.
 
-    ``table[base[a] + b]`` is ``(a + 1) << WIDTH | merge`` where a and b merge, and belongs to another row or is 0 where
+    ``table[base[a] + b]`` is ``(a + 1) << width | merge`` where a and b merge, and belongs to another row or is 0 where
     they don't. The longest rows come first; each is tried at one pseudo-random place after another. ``ids`` itself
     stands for the edge of a word and merges with nothing.
     """
@@ -75,7 +78,7 @@ def displaced(merges: dict[tuple[int, int], int], ids: int) -> tuple[list[int],
         while table[place + cols].any():
             place = draw.randrange(span)
         base[a] = place
-        table[place + cols] = [(a + 1) << WIDTH | merges[a, b] for b in row]
+        table[place + cols] = [(a + 1) << width | merges[a, b] for b in row]
     return base, table.tolist()
 
 
@@ -83,10 +86,13 @@ class Codec:
     """What encoding and decoding take of a rank file."""
 
     def __init__(self, path: str):
-        self.path, self.ranks = path, load_ranks(path)
-        self.n_ids = max(self.ranks.values()) + 1
-        self.base, self.table = displaced(pair_merges(self.ranks), self.n_ids)
-        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
+        ranks = load_ranks(path)
+        self.path, self.n_ids = path, max(ranks.values()) + 1
+        #: Bits of an id, and of a place and an id below the rank in the state of a word; the rank takes one bit more than an id.
+        self.width = self.n_ids.bit_length()
+        self.rank = 62 - self.width
+        base, table = displaced(pair_merges(ranks), self.n_ids, self.width)
+        self.literals = [json.dumps(x) for x in ([ranks[bytes([b])] for b in range(256)], base, table)]
 
 
 def whole_words(path: str) -> dict[str, bytes]:
@@ -115,8 +121,8 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def _literal(values: list[int]) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+def _literal(values: str) -> Column:
+    return F.from_json(F.lit(values), "array<bigint>")
 
 
 def _let(value: Column, then) -> Column:
@@ -129,35 +135,35 @@ def folded(words: Column, c: Codec) -> Column:
 
     The tables stand once in the plan; a lambda variable carries them inwards.
     """
-    tables = F.struct(_literal(c.bytes).alias("bytes"), _literal(c.base).alias("base"), _literal(c.table).alias("table"))
-    return _let(tables, lambda t: F.transform(words, lambda w: _folded(w, t, c.n_ids)))
+    tables = F.struct(*[_literal(x).alias(k) for k, x in zip(("bytes", "base", "table"), c.literals)])
+    return _let(tables, lambda t: F.transform(words, lambda w: _folded(w, t, c.n_ids, c.width, c.rank)))
 
 
-def _folded(word: Column, t: Column, edge: int) -> Column:
+def _folded(word: Column, t: Column, edge: int, width: int, rank: int) -> Column:
     """The state is one array: of each piece the rank of its merge with the next, its place in the word, and its id.
 
     Packed in this order, the least element is the pair to merge, leftmost of equals. Edges make every slice valid.
     """
-    none, rest, ids = F.lit(1 << WIDTH), F.lit(1 << 30), (1 << WIDTH) - 1
+    none, rest, ids = F.lit(1 << width), F.lit(1 << 30), (1 << width) - 1
 
     def ranked(a: Column, b: Column) -> Column:
         """The merge of a and b where one is, else ``none``, in its place. The owner's bits vanish only from row a."""
-        found = F.get(t["table"], (F.get(t["base"], a.cast("int")) + b).cast("int")).bitwiseXOR((a + 1) * (1 << WIDTH))
-        return F.shiftleft(F.least(found, none), RANK)
+        found = F.get(t["table"], (F.get(t["base"], a.cast("int")) + b).cast("int")).bitwiseXOR((a + 1) * (1 << width))
+        return F.shiftleft(F.least(found, none), rank)
 
     def step(acc: Column, _: Column) -> Column:
         def merged(k: Column, low: Column) -> Column:  # k: one-based place of the pair
-            new, left = F.shiftright(low, RANK), F.get(acc, k - 2)
+            new, left = F.shiftright(low, rank), F.get(acc, k - 2)
             around = F.array(
-                ranked(left.bitwiseAND(F.lit(ids)), new).bitwiseOR(left.bitwiseAND(F.lit((1 << RANK) - 1))),
-                ranked(new, F.get(acc, k + 1).bitwiseAND(F.lit(ids))).bitwiseOR(low.bitwiseAND(F.lit((1 << RANK) - (1 << WIDTH)))).bitwiseOR(new),
+                ranked(left.bitwiseAND(F.lit(ids)), new).bitwiseOR(left.bitwiseAND(F.lit((1 << rank) - 1))),
+                ranked(new, F.get(acc, k + 1).bitwiseAND(F.lit(ids))).bitwiseOR(low.bitwiseAND(F.lit((1 << rank) - (1 << width)))).bitwiseOR(new),
             )
             return F.concat(F.slice(acc, F.lit(1), k - 2), around, F.slice(acc, k + 2, rest))
 
-        return _let(F.array_min(acc), lambda low: F.when(low >= 1 << WIDTH + RANK, acc).otherwise(_let(F.array_position(acc, low).cast("int"), lambda k: merged(k, low))))
+        return _let(F.array_min(acc), lambda low: F.when(low >= 1 << width + rank, acc).otherwise(_let(F.array_position(acc, low).cast("int"), lambda k: merged(k, low))))
 
     end = F.array(F.lit(edge).cast("bigint"))
-    place = lambda i: F.least(i, F.lit((1 << RANK - WIDTH) - 1)).cast("bigint") * (1 << WIDTH)
+    place = lambda i: i.cast("bigint") * (1 << width)
     pieces_of = F.concat(end, F.transform(word, lambda b: F.get(t["bytes"], b.cast("int"))), end)
     first = _let(pieces_of, lambda x: F.transform(x, lambda a, i: ranked(a, F.coalesce(F.get(x, i + 1), F.lit(edge))).bitwiseOR(place(i)).bitwiseOR(a)))
     return F.aggregate(word, first, step, lambda acc: F.transform(F.slice(acc, F.lit(2), F.size(acc) - 2), lambda x: x.bitwiseAND(F.lit(ids))))
@@ -166,125 +172,170 @@ def _folded(word: Column, t: Column, edge: int) -> Column:
 # Texts ---------------------------------------------------------------------------------------------------------
 
 
-def _texts(docs: DataFrame, text_col: str) -> Column:
-    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-
+class _Page:
+    """References of documents in one page: an id under ``edge`` is a token, the others are words of the page."""
 
-def common_words(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", cached: int = CACHED) -> pa.Table:
-    """(word, ids: four bytes each, little-endian) of at most ``cached`` commonest words that are no tokens.
-
-    Pieces between spaces are counted over all documents, and their words at the end of a task. A histogram of counts
-    gives the least count whose words fit, so nothing is sorted and the driver gets ``cached`` rows at most. Which words
-    these are has no effect on results.
-    """
-    whole = whole_words(path)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, number: int, whole: dict[str, bytes], edge: int, pattern: str, longest: int):
         import regex
 
-        find, pieces, counts = regex.compile(pattern).findall, Counter(), Counter()
-
-        def out() -> pa.RecordBatch:
-            for piece, n in pieces.items():
-                if 0 < len(piece) <= _LONGEST:
-                    for w in find(" " + piece):
-                        counts[w] += n
-            got = [(w, n) for w, n in counts.items() if w not in whole]
-            pieces.clear(), counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
-
-        for b in batches:
-            for t in b.column("text"):
-                pieces.update(t.as_py().split(" "))
-                if len(pieces) > _COUNTED:
-                    yield out()
-        yield out()
-
-    bounded_batches(docs.sparkSession)
-    counted = docs.select(_texts(docs, text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    counted = written(counted.where("n > 1").withColumn("level", level), "words")
-    least, total = 1 << 30, 0
-    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # 8 levels for each doubling of a count
-        total += r["count"]
-        if total > cached:
-            break
-        least = r["level"]
-    data = F.encode("word", "UTF-8")
-    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("word")), lambda i: F.conv(F.hex(F.substr(data, i, F.lit(1))), 16, 10).cast("int"))
-    ids = _hexed(folded(F.array(as_bytes), codec(path)))
-    found = counted.where(F.col("level") >= least).repartition(32).select("word", F.unhex(F.get(ids, F.lit(0))).alias("ids"))
-    return written(found, "dictionary").toArrow()
-
-
-def _hexed(words: Column) -> Column:
-    """Each word's ids as hexadecimal digits, four bytes an id, lowest first."""
-    four = lambda n: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4)])
-    return F.transform(words, lambda ids: F.array_join(F.transform(ids, four), ""))
-
-
-def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", keep: list[str] | None = None, words: pa.Table | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all by default) with ``ids``: little-endian unsigned 32-bit ids, as binary.
-
-    ``words`` may give the dictionary of ``common_words``; it is made if not.
-    """
-    spark, c = docs.sparkSession, codec(path)
-    table = common_words(docs, path, pattern, text_col=text_col) if words is None else words
-    # Arrow buffers: some MB on the driver, whatever the number of words.
-    known = spark.sparkContext.broadcast(table.combine_chunks())
+        self.number, self.whole, self.edge, self.longest, self.size = number, whole, edge, longest, 0
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.find, self.blanks, self.spaced = regex.compile(pattern).findall, regex.compile(r"\s\s").search, pattern == SPACED
+
+    def _word(self, word: str) -> bytes:
+        ref = self.whole.get(word) or self.words.get(word)
+        if ref is None:
+            if len(word) * 4 >= self.longest or len(self.words) >> _AT:
+                raise ValueError("a word is too long, or a document has too many different ones")
+            ref = self.words[word] = (self.edge + len(self.words)).to_bytes(4, "little")
+        return ref
+
+    def refs(self, text: str) -> bytes:
+        self.size += len(text)
+        if not self.spaced or text[:1].isspace() or text[-1:].isspace() or self.blanks(text):
+            return b"".join(map(self._word, self.find(text)))
+        first, *rest = text.split(" ")  # each piece begins a word, with the space before it
+        parts = list(map(self.pieces.get, rest))
+        if None in parts:
+            for i, p in enumerate(parts):
+                if p is None:
+                    if (p := self.pieces.get(rest[i])) is None:
+                        p = b"".join(map(self._word, self.find(" " + rest[i])))
+                        if len(self.pieces) < _MEMO:
+                            self.pieces[rest[i]] = p
+                    parts[i] = p
+        return b"".join([*map(self._word, self.find(first)), *parts])
+
+    def full(self) -> bool:
+        return self.size >= PAGE_CHARS or len(self.words) >= PAGE_WORDS
+
+
+def _pages(docs: DataFrame, c: Codec, pattern: str, text_col: str, keep: list[str] | None) -> DataFrame:
+    """(page, row, refs) of each document and (page, words) of each page, written in buckets by page."""
+    path, edge, longest = c.path, c.n_ids, 1 << c.rank - c.width
+    df = packed(docs, keep, text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    kind = T.StructType([T.StructField("page", T.LongType()), T.StructField("row", df.schema["row"].dataType), *T.StructType.fromDDL("refs binary, words array<string>").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        whole, part, made, page, row = whole_words(path), TaskContext.get().partitionId(), 0, None, None
+        if part >= 1 << 63 - _AT - _PAGE:
+            raise ValueError("too many partitions to number their pages")
 
-        ids_of = whole_words(path) | dict(zip(known.value.column("word").to_pylist(), known.value.column("ids").to_pylist()))
-        find, get, blanks = regex.compile(pattern).findall, ids_of.get, regex.compile(r"\s\s").search
-        memo: dict[str, bytes] = {}
-
-        def words_of(text: str) -> tuple[list[bytes | None], list[str]]:
-            """Ids of stretches of the text in order, None for each word that is not known, and these words.
-
-            A space between two other characters always begins a word, so the pieces between such spaces can be looked up.
-            """
-            if text[:1].isspace() or text[-1:].isspace() or blanks(text):
-                found = find(text)
-                parts = list(map(get, found))
-                return parts, [w for w, p in zip(found, parts) if p is None]
-            pieces = text.split(" ")
-            parts, rare, at = list(map(memo.get, pieces)), [], 0
-            parts[0] = None  # the first piece has no space before it
-            out: list[bytes | None] = []
-            for i in [i for i, p in enumerate(parts) if p is None]:
-                found = find(" " + pieces[i] if i else pieces[i])
-                ids = list(map(get, found))
-                out += parts[at:i]
-                if None in ids:
-                    rare += [w for w, p in zip(found, ids) if p is None]
-                    out += ids
-                else:
-                    out.append(b"".join(ids))
-                    if i and len(memo) < _MEMO and len(pieces[i]) <= _LONGEST:
-                        memo[pieces[i]] = out[-1]
-                at = i + 1
-            return out + parts[at:], rare
+        def batch(row: pa.Array, refs: list, words: list) -> pa.RecordBatch:
+            cols = [pa.array([page.number] * len(refs), pa.int64()), row, pa.array(refs, pa.binary()), pa.array(words, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(cols, names=["page", "row", "refs", "words"])
 
         for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
-            rares, runs, order = [], [], []
-            for t in b.column("text"):
-                parts, unknown = words_of(t.as_py())
-                rare: dict[str, int] = {}
-                edges = [-1, *[i for i, p in enumerate(parts) if p is None], len(parts)]
-                runs.append([b"".join(parts[i + 1 : j]) for i, j in zip(edges, edges[1:])])
-                order.append([rare.setdefault(w, len(rare)) for w in unknown])
-                rares.append([list(w.encode()) for w in rare])
-            cols = [b.column("row"), pa.array(runs, pa.list_(pa.binary())), pa.array(order, pa.list_(pa.int32())), pa.array(rares, pa.list_(pa.list_(pa.int16())))]
-            yield pa.RecordBatch.from_arrays(cols, names=["row", "runs", "places", "rare"])
-
-    df = packed(docs, keep, text=_texts(docs, text_col))
-    df = df.mapInArrow(cut, with_row(df, "runs array<binary>, places array<int>, rare array<array<smallint>>"))
-    found = _hexed(folded(F.col("rare"), c))
-    joined = lambda f: F.array_join(F.transform("runs", lambda run, i: F.concat(F.hex(run), F.coalesce(F.get(f, F.get("places", i)), F.lit("")))), "")
-    # One expression: as a column of its own the fold would be inlined in the lambda and run again for each piece.
-    return unpacked(df, ids=F.unhex(_let(found, joined)))
+            if page is None:
+                if made >> _PAGE:
+                    raise ValueError("too many pages in one partition")
+                page, made = _Page(part << _PAGE | made, whole, edge, pattern, longest), made + 1
+            row = b.column("row")
+            refs = [page.refs(t) for t in b.column("text").to_pylist()]
+            yield batch(row, refs, [None] * len(refs))
+            if page.full():
+                yield batch(pa.nulls(1, row.type), [None], [list(page.words)])
+                page = None
+        if page is not None:
+            yield batch(pa.nulls(1, row.type), [None], [list(page.words)])
+
+    return bucketed(df.mapInArrow(cut, kind), "page", "pages")
+
+
+def _gathered(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``at`` and are ``size`` long, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers under 2^32, compressed."""
+    import zstandard
+
+    return zstandard.compress(numbers.astype("<u4").tobytes(), 1)
+
+
+def _numbers(squeezed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(squeezed), "<u4").astype(np.int64)
+
+
+def _sent_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded words (places, ids) -> of each page (numbers of its words, ids of each, all ids), packed."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        places, ids = (t.column(k).chunk(0) for k in ("places", "ids"))
+        owner = np.repeat(np.arange(t.num_rows), places.value_lengths().to_numpy())
+        place, size = places.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        flat, start = ids.flatten().to_numpy().astype("<u4"), np.cumsum(size) - size
+        page = place >> _AT
+        cuts = np.flatnonzero(np.diff(page)) + 1
+        rows = []
+        for i, j in zip([0, *cuts], [*cuts, len(page)]):
+            o = owner[i:j]
+            rows.append((int(page[i]), _squeezed(np.diff(place[i:j] & (1 << _AT) - 1, prepend=0)), _squeezed(size[o]), _squeezed(flat[_gathered(start[o], size[o])])))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["page", "at", "size", "ids"])
+
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.column("places").value_lengths().to_numpy().sum()
+        if n >= BACK:
+            yield out(held)
+            held, n = [], 0
+    if held:
+        yield out(held)
+
+
+def _assembled(edge: int, kind: pa.DataType):
+    def run(body: pa.Table, found: pa.Table) -> pa.Table:
+        none = np.empty(0, np.int64)
+        number = lambda name, each=_numbers: np.concatenate([none, *[each(x) for x in found.column(name).to_pylist()]])
+        at, length, ids = number("at", lambda x: np.cumsum(_numbers(x))), number("size"), number("ids")
+        size = np.concatenate([np.ones(edge, np.int64), np.zeros(int(at.max(initial=-1)) + 1, np.int64)])
+        start = np.concatenate([np.arange(edge), np.zeros(len(size) - edge, np.int64)])
+        size[edge + at], start[edge + at] = length, edge + np.cumsum(length) - length
+        flat = np.concatenate([np.arange(edge), ids]).astype("<u4")
+        refs = pa.chunked_array(body.column("refs").chunks, pa.binary()).combine_chunks().cast(pa.large_binary())
+        ends = np.frombuffer(refs.buffers()[1], np.int64)[refs.offset : refs.offset + len(refs) + 1] // 4
+        refs = np.frombuffer(refs.buffers()[2] or b"", "<u4")
+        parts, before = [], np.zeros(len(ends), np.int64)  # ids before each document
+        for i, j in zip(range(0, len(ends) - 1, STEP), [*range(STEP, len(ends) - 1, STEP), len(ends) - 1]):
+            own = refs[ends[i] : ends[j]]
+            each = size[own]
+            if len(each) and not each.all():
+                raise ValueError("a word of a page has not come back")
+            parts.append(flat[_gathered(start[own], each)])
+            before[i + 1 : j + 1] = before[i] + np.concatenate([[0], np.cumsum(each)])[ends[i + 1 : j + 1] - ends[i]]
+        data = np.concatenate(parts) if parts else np.empty(0, "<u4")
+        out = pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [None, pa.py_buffer(before * 4), pa.py_buffer(data)]).cast(pa.binary())
+        return pa.table([pa.chunked_array(body.column("row").chunks, kind), out], names=["row", "ids"])
+
+    return run
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all by default) with ``ids``: little-endian unsigned 32-bit ids, as binary."""
+    c = codec(path)
+    pages = _pages(docs, c, pattern, text_col, keep)
+    words = pages.where("words IS NOT NULL").select("page", "words")
+    groups = -(-words.select("page").count() // _HOLDERS) or 1
+    held = words.select("page", F.posexplode("words").alias("at", "word")).select("word", F.shiftleft("page", _AT).bitwiseOR(F.col("at").cast("long")).alias("place"), F.pmod("page", F.lit(groups)).alias("part"))
+    distinct = held.repartition("word", "part").groupBy("word", "part").agg(F.collect_list("place").alias("places"))
+    # A character of this string is a byte of the word.
+    as_bytes = F.transform(F.split(F.decode(F.encode("word", "UTF-8"), "ISO-8859-1"), ""), F.ascii)
+    found = distinct.select("places", F.get(folded(F.array(as_bytes), c), F.lit(0)).alias("ids"))
+    back = found.mapInArrow(_sent_back, "page long, at binary, size binary, ids binary")
+    body = pages.where("refs IS NOT NULL").select("page", "row", "refs")
+    out = T.StructType([body.schema["row"], *T.StructType.fromDDL("ids binary").fields])
+    joined = body.groupBy("page").cogroup(back.groupBy("page")).applyInArrow(_assembled(c.n_ids, to_arrow_type(body.schema["row"].dataType)), out)
+    return unpacked(joined, ids=F.col("ids"))
 
 
 def decoded(docs: DataFrame, path: str, *, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:

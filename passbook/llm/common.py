@@ -49,6 +49,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back in buckets of ``key``: a join or cogroup on it moves nothing.
+
+    The catalog knows the files as an external table only until they are read back; no name stays in it.
+    """
+    spark = df.sparkSession
+    name = f"passbook_{label}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key)
+    writer.option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def packed(df: DataFrame, keep: list[str] | None = None, **columns) -> DataFrame:
     """Input columns packed in one struct ``row`` (so that no name can clash) beside the named working columns."""
     bounded_batches(df.sparkSession)
