@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, bucketed, written
 from .graph import components
 from .simhash import BLOCK, SEED, in_blocks, units
 
 SHINGLE, LEAST = 5, 0.8
 WIDE, MOST, SEGMENTS = 256, 68, 8
 BANDS, ROWS = 20, 4
+#: Links of one text that are checked in one place.
+HUB = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes handled at once.
 _STEP = 1 << 12
@@ -197,31 +199,45 @@ def remaining(met: DataFrame, linked: DataFrame, *, least: float = LEAST, block:
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def verified(links: DataFrame, docs: DataFrame, nodes: DataFrame, *, id_col: str, text_col: str, least: float = LEAST) -> DataFrame:
-    """The links whose exact shingle sets are alike to ``least``; the text of a node is that of its first id."""
+def texts_of(docs: DataFrame, nodes: DataFrame, met: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the nodes that meet others, in buckets by node; the text of a node is one of its first id."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [node_of(words_of(t.as_py() or b"")) == n.as_py() for t, n in zip(b.column("text"), b.column("node"))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
+    first = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "first")
+    texts = _plain(docs, id_col, text_col).join(first, F.col("id") == F.col("first")).select("node", "text")
+    return bucketed(texts.mapInArrow(own, "node binary, text binary").groupBy("node").agg(F.first("text").alias("text")), "node", "texts")
+
+
+def verified(links: DataFrame, texts: DataFrame, *, least: float = LEAST) -> DataFrame:
+    """The links (written, distinct) whose exact shingle sets are alike to ``least``.
+
+    A link takes the text of its end of fewer links to the other end, so of n links none sends one text more than about
+    the root of 2n times; the links of a hub are split in parts of about ``HUB``, each with a copy of the hub's text.
+    """
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes, np.ndarray] | None = None
         for b in batches:
             keep = []
-            for a, x, y in zip(b.column("a"), b.column("text_a"), b.column("text_b")):
-                if last is None or last[0] != a.as_py():
-                    last = a.as_py(), shingles(words_of(x.as_py() or b""))
-                keep.append(similarity(last[1], shingles(words_of(y.as_py() or b""))) >= least)
+            for name, x, y in zip(b.column("b"), b.column("text_a"), b.column("text_b")):
+                if last is None or last[0] != name.as_py():
+                    last = name.as_py(), shingles(words_of(y.as_py() or b""))
+                keep.append(similarity(shingles(words_of(x.as_py() or b"")), last[1]) >= least)
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    first = nodes.where("first IS NOT NULL").join(ends, "node").select("node", "first")
-    texts = _plain(docs, id_col, text_col).join(first, F.col("id") == F.col("first")).select("node", "text")
-    texts = texts.mapInArrow(own, "node binary, text binary").groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "texts")
-    sides = links.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return sides.mapInArrow(exact, "a binary, b binary")
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    both = links.join(degree.toDF("a", "of_a"), "a").join(degree.toDF("b", "of_b"), "b")
+    low = F.col("of_a") <= F.col("of_b")
+    parts = F.ceil(F.greatest("of_a", "of_b") / HUB).cast("int")
+    led = both.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"), parts.alias("parts"))
+    sent = led.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).join(texts.toDF("a", "text_a"), "a")
+    hubs = led.select("b", "parts").distinct().join(texts.toDF("b", "text_b"), "b")
+    hubs = hubs.select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return sent.join(hubs, ["b", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(exact, "a binary, b binary")
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
@@ -232,9 +248,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     nodes = rows.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "bands", "shingles")])
     nodes = written(nodes, "nodes")
     met = meetings(nodes.where("first IS NOT NULL"))
-    check = lambda links, label: written(verified(written(links, "candidates"), docs, nodes, id_col=id_col, text_col=text_col, least=least), label)
-    first = check(candidates(met, block=block), "links")
-    more = check(remaining(met, components(first), least=least, block=block), "links")
+    texts = texts_of(docs, nodes, met, id_col=id_col, text_col=text_col)
+    check = lambda links: written(verified(written(links, "candidates"), texts, least=least), "links")
+    first = check(candidates(met, block=block))
+    more = check(remaining(met, components(first), least=least, block=block))
     linked = components(first.unionByName(more)).withColumnRenamed("component", "root")
     named = nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     component = named.groupBy("root").agg(F.min("first").alias("component"))
