@@ -139,7 +139,9 @@ def in_blocks(met: DataFrame, columns: list[str], block: int) -> DataFrame:
         "key", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"), (F.col("mine") > F.col("o")).cast("int").alias("side"), *columns
     )
     unit = ["key", "x", "y"]
-    return small.unionByName(large).repartition(*unit).sortWithinPartitions(*unit, "side", columns[0])
+    # The number is given: the work grows faster than the bytes by which small partitions would be joined.
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionByName(large).repartition(parts, *unit).sortWithinPartitions(*unit, "side", columns[0])
 
 
 def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -198,10 +200,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     root = named.groupBy("root").agg(F.min("first").alias("component"))
     names = named.join(root, "root").select("fp", "component")
     return rows.join(names, "fp").select("id", "fp", "component")
-
-
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
-    """The documents of ``docs`` with the smallest id of each component; of rows that share that id all stay. Null ids stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, most=most)
-    losers = found.where(F.col("id") != F.col("component")).select("id").distinct()
-    return docs.join(losers, docs[id_col] == losers["id"], "left_anti")
