@@ -111,4 +111,19 @@ ORACLE_SQL = {
                CAST(sum(length('<|im_start|>') + length(head) + 1 + length(out) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op6_decontamination": r"""
+        WITH d AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+        ), b AS (
+          SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+        ), cut AS (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item, w[s : s + 9] AS words, len(w[s : s + 9]) AS n FROM cut),
+        sizes AS (SELECT DISTINCT n FROM win),
+        spots AS (SELECT doc_id, n, w, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS s FROM d, sizes WHERE len(w) >= n),
+        hit AS (SELECT a.doc_id, a.s, a.n, win.item FROM (SELECT doc_id, n, s, w[s : s + n - 1] AS words FROM spots) a JOIN win ON a.words = win.words),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
 }
