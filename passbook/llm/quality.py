@@ -1,16 +1,18 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of about ``PASSAGE`` bytes, which together are its whole text. Each passage is encoded
-(shares of kinds of characters, distinct words, word length; then one learned layer); gated attention,
-softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages, and the weighted sum is scored by a logistic layer. All
-weights are learned together from document labels alone. Only the text is an input.
+A document is a bag of passages, which together are its whole text: of about ``PASSAGE`` bytes, or of a ``MOST``-th of
+a very long text. Each passage is encoded (hashed byte trigrams, shares of kinds of characters, distinct words, word
+length; then one learned layer); gated attention, softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages, and the
+weighted sum is scored by a logistic layer. All weights are learned together from document labels alone. Only the text
+is an input.
 
-Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows (those of the smallest hash of the id) and at most
-``FIT_PASSAGES`` evenly spaced passages of each. Scoring reads every passage of every document.
+Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows, those of the smallest hash of the id, with all their
+passages. Scoring reads every passage of every document.
 
 Nulls: a null text is empty; an empty text is one empty passage and gets a score. Null labels and labels of documents
-that are not there are not learned from. Equal texts have equal scores. If the sample lacks one of the labels the
-score is the share of label 1 (0.5 without any). An empty table gives no rows.
+that are not there are not learned from. Equal texts have equal scores, as each document is scored by itself. If the
+sample lacks one of the labels the score is the share of label 1 (0.5 without any). Repeated rows are each scored. Extra
+columns pass through; an input column named ``score`` is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ from pyspark.sql import functions as F
 
 from .common import packed, unpacked, with_row
 
-PASSAGE, SAMPLE, FIT_PASSAGES = 512, 4000, 48
+PASSAGE, MOST, SAMPLE = 512, 4096, 4000
 HIDDEN, GATE = 16, 8
-STEPS, RATE, DECAY = 400, 0.02, 1e-4
+STEPS, RATE, DECAY = 300, 0.02, 1e-4
 THRESHOLD = 0.3
 
 #: Kinds of bytes counted in a passage.
 _KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\r\f\v", b"\n", b".,;:'\"()-", b"!?", b"#$%&*+=@^~", b"|/\\_<>[]{}`", bytes(range(128, 256)))
-FEATURES = len(_KINDS) + 4
+#: Buckets of byte trigrams.
+GRAMS = 64
+#: Bytes counted at once.
+_STEP = 1 << 20
+FEATURES = len(_KINDS) + 4 + GRAMS
 
 
 def _table() -> np.ndarray:
@@ -45,27 +51,35 @@ _KIND_OF = _table()
 
 
 def passages(text: bytes) -> list[bytes]:
-    """The text in pieces of ``PASSAGE`` bytes; a last piece under half of that joins the one before."""
-    n = max(1, (len(text) + PASSAGE // 2) // PASSAGE)
-    return [text[i * PASSAGE : (i + 1) * PASSAGE if i < n - 1 else len(text)] for i in range(n)]
+    """The text in pieces of ``PASSAGE`` bytes (at most ``MOST`` pieces); a last piece under half of that joins the one before."""
+    size = max(PASSAGE, -(-len(text) // MOST))
+    n = max(1, (len(text) + size // 2) // size)
+    return [text[i * size : (i + 1) * size if i < n - 1 else len(text)] for i in range(n)]
 
 
-def features(text: bytes, most: int | None = None) -> np.ndarray:
-    """A row for each passage (``most`` evenly spaced ones if given)."""
+def features(text: bytes) -> np.ndarray:
+    """A row for each passage."""
     parts = passages(text)
-    if most and len(parts) > most:
-        parts = [parts[i * len(parts) // most] for i in range(most)]
     out = np.zeros((len(parts), FEATURES), np.float32)
-    for row, part in zip(out, parts):
-        if not part:
-            continue
-        row[: len(_KINDS)] = np.bincount(_KIND_OF[np.frombuffer(part, np.uint8)], minlength=len(_KINDS) + 1)[: len(_KINDS)] / len(part)
+    if not text:
+        return out
+    data, size, sizes = np.frombuffer(text, np.uint8), len(parts[0]), np.array(list(map(len, parts)), np.float32)[:, None]
+    many = max(1, _STEP // size)  # passages counted at once
+    for k in range(0, len(parts), many):
+        n, end = min(many, len(parts) - k), len(data) if k + many >= len(parts) else (k + many) * size
+        passage = np.minimum(np.arange(end - k * size) // size, n - 1)
+        count = lambda values, kinds: np.bincount(passage[: len(values)] * kinds + values, minlength=n * kinds).reshape(-1, kinds)
+        out[k : k + n, : len(_KINDS)] = count(_KIND_OF[data[k * size : end]], len(_KINDS) + 1)[:, :-1] / sizes[k : k + n]
+        d = data[k * size : end + 2].astype(np.uint32)
+        gram = (d[:-2] * np.uint32(0x9E3779B1) + d[1:-1] * np.uint32(0x85EBCA77) + d[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(26)
+        out[k : k + n, -GRAMS:] = np.sqrt(count(gram.astype(np.int64), GRAMS) / sizes[k : k + n])
+    for row, part in zip(out[:, len(_KINDS) : len(_KINDS) + 4], parts):
         words = part.split()
         if words:
-            row[-4] = len(set(words)) / len(words)
-            row[-3] = min(len(part) / len(words) / 16, 4)
-            row[-2] = max(map(len, words)) / 64 if len(words) else 0
-        row[-1] = len(part) / PASSAGE
+            row[0] = len(set(words)) / len(words)
+            row[1] = min(len(part) / len(words) / 16, 4)
+            row[2] = max(map(len, words)) / 64
+        row[3] = len(part) / PASSAGE
     return np.minimum(out, 4)
 
 
@@ -146,7 +160,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [features(t, FIT_PASSAGES).tobytes() for t in b.column("text").to_pylist()]
+            rows = [features(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "bag"])
 
     # The sample's size is bound by ``sample``, whatever the tables hold: of an id with several texts the least is learned from.
@@ -161,8 +175,8 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [features(t.as_py()) for t in b.column("text")]
-            score = model.scores(np.concatenate(bags), np.array([len(x) for x in bags])) if bags else np.zeros(0)
+            bags = (features(t.as_py()) for t in b.column("text"))
+            score = [model.scores(x, np.array([len(x)]))[0] for x in bags]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 
     df = packed(docs, keep, text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"))
