@@ -28,7 +28,7 @@ def test_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(f"select {', '.join(columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want))
@@ -131,8 +131,8 @@ def test_near_copies(spark, odd):
     assert near_copies.deduplicated(odd.where("false")).count() == 0
 
 
-def test_near_copies_at_the_threshold(spark):
-    """Groups whose pairs lie right at the threshold equal brute force: no link is lost to thinning by fingerprint."""
+def test_near_copies_at_the_threshold(spark, monkeypatch):
+    """Groups whose pairs lie right at the threshold equal brute force: no link is lost to thinning by fingerprint, or to the parts of a hub."""
     rnd, texts = random.Random(11), []
     for group, (size, changes) in enumerate([(100, 5), (40, 5), *[(10, 5)] * 6]):  # mean similarity about 0.78
         base = [f"g{group}w{i}" for i in range(400)]
@@ -148,7 +148,8 @@ def test_near_copies_at_the_threshold(spark):
             if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for block in (simhash.BLOCK, 16):
+    for block, hub in ((simhash.BLOCK, near_copies.HUB), (16, 3)):
+        monkeypatch.setattr(near_copies, "HUB", hub)
         got = {r.id: r.component for r in near_copies.groups(docs, block=block).collect()}
         assert sum(got[i] != find(i) for i in range(len(texts))) == 0
 
@@ -171,12 +172,38 @@ def test_token_counts(spark, odd):
     assert transducer.count_tokens([t.encode() for t in texts], path) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
     small = transducer.Transducer(path, states=300)
     data = np.frombuffer(LONG.replace("<|endoftext|>", "").encode() * 2, np.uint8)
-    starts = transducer.cuts(data, np.array([0]))
-    assert small.run(data, starts, np.append(starts[1:], len(data))).sum() == len(tok.encode(LONG.replace("<|endoftext|>", "") * 2, add_special_tokens=False).ids)
+    starts, firm = transducer.cuts(data, np.array([0]))
+    assert small.running(data, starts, firm)[-1] == len(tok.encode(LONG.replace("<|endoftext|>", "") * 2, add_special_tokens=False).ids)
     for r in transducer.counted(odd, path).collect():
         assert r.n_tokens == len(tok.encode(r.text or "", add_special_tokens=False).ids) and r.n_bytes == len((r.text or "").encode()) and r.row == "r"
 
 
+def test_token_counts_without_blanks(spark):
+    """Chunks cut anywhere: their state maps, composed by the scan, count what the library counts for the whole text."""
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    path = p.path("byte_bpe_50k.json")
+    tok, machine, rnd = Tokenizer.from_file(path), transducer.Transducer(path), random.Random(8)
+    kana = "".join(chr(rnd.choice([*range(0x3041, 0x3097), *range(0x4E00, 0x4E40)])) for _ in range(900))
+    for text in (kana, "foo, bar; " * 90, "aaaaaaaaab" * 80, "=" * 700 + " " * 300 + "x" * 300, "it's'd've" * 70, "\u00e9\U0001f600" * 200, "".join(rnd.choices("abcdefghij\n'.", k=1500))):
+        data = np.frombuffer(text.encode(), np.uint8)
+        for chunk, widest in ((8, 16), (40, 90), (10**9, 37)):
+            starts, firm = transducer.cuts(data, np.array([0]), chunk, widest)
+            assert not firm.all() and machine.running(data, starts, firm)[-1] == len(tok.encode(text, add_special_tokens=False).ids)
+
+
+def test_scan():
+    """The prefix scan of state maps equals one step after the other."""
+    rnd = np.random.default_rng(4)
+    to, count = rnd.integers(0, 3, (77, 3)), rnd.integers(-5, 9, (77, 3))
+    state, total, want = 0, 0, []
+    for c in range(77):
+        total, state = total + count[c, state], to[c, state]
+        want.append(total)
+    assert transducer.scanned(to, count)[:, 0].tolist() == want
+
+
 def test_chat_layouts(spark):
     rows = ['{"messages":[{"role":"user","content":"q <|im_end|>"},{"role":"assistant","content":"a & b"}]}', '{"prompt":"q","completion":"a"}', '{"instruction":"q","input":"","output":"a"}', '{"x":1}', None]
     got = chat.json_turns(spark.createDataFrame([(r,) for r in rows], "j string"), "j").collect()
