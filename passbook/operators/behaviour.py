@@ -24,15 +24,18 @@ def _sum(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast("decimal(28,2)")
 
 
-def totals(ledger: DataFrame) -> DataFrame:
-    """Span, totals, spend by kind and ratios of each customer; sums are combined before the one shuffle."""
+def _total_sums() -> list[Column]:
     debit, credit = _zero("debit"), _zero("credit")
     spent = lambda names: _sum(F.when(F.col("category").isin(*names), debit))
-    df = ledger.groupBy("customer_id").agg(
+    return [
         F.count(F.lit(1)).alias("n_transactions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         _sum(credit).alias("incoming_total"), _sum(debit).alias("outgoing_total"), _sum(F.when(F.weekday("date") >= 5, debit)).alias("weekend_spend"),
         spent(INVESTMENTS).alias("investment_spend"), spent(EMI).alias("emi_spend"), spent(DEBT).alias("debt_spend"),
-    )
+    ]
+
+
+def _totals(df: DataFrame, *more: str) -> DataFrame:
+    """Span, totals and ratios from the sums of each customer, beside the columns ``more``."""
     df = df.withColumn("days_covered", F.greatest(F.expr("timestampdiff(DAY, first_date, last_date)"), F.lit(0)).cast("long"))
     months = F.greatest(double(F.col("days_covered")) / 30.0, F.lit(1.0) / 30.0)
     weeks = F.greatest(double(F.col("days_covered")) / 7.0, F.lit(1.0) / 7.0)
@@ -43,23 +46,34 @@ def totals(ledger: DataFrame) -> DataFrame:
         (double(outgoing) / months).alias("monthly_spend"), (double(outgoing) / weeks).alias("weekly_spend"), (double(net) / months).alias("monthly_saving"),
         ratio(F.col("weekend_spend"), outgoing).alias("weekend_spend_ratio"), "investment_spend", "emi_spend", "debt_spend",
         ratio(net, incoming).alias("savings_ratio"), ratio(F.col("investment_spend"), incoming).alias("investment_ratio"), ratio(F.col("emi_spend"), incoming).alias("emi_ratio"),
-        ratio(F.col("debt_spend"), incoming).alias("debt_ratio"), ratio(outgoing, incoming).alias("expense_ratio"),
+        ratio(F.col("debt_spend"), incoming).alias("debt_ratio"), ratio(outgoing, incoming).alias("expense_ratio"), *more,
     )
 
 
+def totals(ledger: DataFrame) -> DataFrame:
+    """Span, totals, spend by kind and ratios of each customer; sums are combined before the one shuffle."""
+    return _totals(ledger.groupBy("customer_id").agg(*_total_sums()))
+
+
+def _balance_columns() -> list[Column]:
+    mean = F.when(F.count("balance") > 0, double(F.sum("balance")) / double(F.count("balance")))
+    return [double(F.min("balance")).alias("balance_min"), double(F.max("balance")).alias("balance_max"), mean.alias("balance_mean")]
+
+
 def balance_stats(ledger: DataFrame) -> DataFrame:
     """Least, greatest and mean balance over the rows that have one."""
-    mean = F.when(F.count("balance") > 0, double(F.sum("balance")) / double(F.count("balance")))
-    return ledger.groupBy("customer_id").agg(double(F.min("balance")).alias("balance_min"), double(F.max("balance")).alias("balance_max"), mean.alias("balance_mean"))
+    return ledger.groupBy("customer_id").agg(*_balance_columns())
+
+
+def _point_sums(x: Column, y: Column) -> list[Column]:
+    """Exact sums of a line through points; null points are left out."""
+    x = F.when(y.isNotNull(), x).cast("decimal(12,0)")
+    return [F.count(y), F.sum(x), F.sum(y), F.sum((x * x).cast("decimal(24,0)")), F.sum((x * y).cast("decimal(30,2)"))]
 
 
 def _slopes(points: DataFrame, name: str) -> DataFrame:
     """Slope of y over x (integers) for each customer, from exact sums."""
-    x, y = F.col("x").cast("decimal(12,0)"), F.col("y")
-    df = points.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum((x * x).cast("decimal(24,0)")).alias("sxx"), F.sum((x * y).cast("decimal(30,2)")).alias("sxy")
-    )
-    return df.select("customer_id", slope(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy")]).alias(name))
+    return points.groupBy("customer_id").agg(slope(*_point_sums(F.col("x"), F.col("y"))).alias(name))
 
 
 def daily_trend(ledger: DataFrame) -> DataFrame:
@@ -77,12 +91,16 @@ def period_trend(ledger: DataFrame, period: str) -> DataFrame:
     return _slopes(last.select("customer_id", x.alias("x"), "y"), f"balance_{period}ly_trend")
 
 
+def _size_columns() -> list[Column]:
+    spent = F.when(F.col("debit") > 0, F.col("debit"))
+    n, total, squares = F.count(spent), F.sum(spent), F.sum((spent * spent).cast("decimal(38,4)"))
+    median = F.percentile(double(spent), F.lit(0.5))
+    return [F.when(n > 0, double(total) / double(n)).alias("txn_size_mean"), median.alias("txn_size_median"), variance(n, total, squares).alias("txn_size_variance")]
+
+
 def size_stats(ledger: DataFrame) -> DataFrame:
     """Mean, median and population variance of debits over 0."""
-    spent = ledger.where("debit > 0")
-    square = (F.col("debit") * F.col("debit")).cast("decimal(38,4)")
-    df = spent.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.sum("debit").alias("s"), F.sum(square).alias("ss"), F.percentile(double(F.col("debit")), F.lit(0.5)).alias("txn_size_median"))
-    return df.select("customer_id", (double(F.col("s")) / double(F.col("n"))).alias("txn_size_mean"), "txn_size_median", variance(F.col("n"), F.col("s"), F.col("ss")).alias("txn_size_variance"))
+    return ledger.where("debit > 0").groupBy("customer_id").agg(*_size_columns())
 
 
 def frequencies(ledger: DataFrame, column: str) -> DataFrame:
@@ -101,39 +119,71 @@ def loyalty(ledger: DataFrame) -> DataFrame:
     return frequencies(ledger, "merchant").groupBy("customer_id").agg(ratio(F.max("n"), F.sum("n")).alias("merchant_loyalty"))
 
 
-def volatility(ledger: DataFrame) -> DataFrame:
-    """Absolute coefficient of variation of monthly net flow from first to last month, empty months as 0.
+def _volatility(net: Column, month: Column) -> Column:
+    """Absolute coefficient of variation of the months' net flow, months without rows as 0.
 
-    Months without rows add nothing to the sums, so only their number is needed and no calendar is generated.
+    Such months add nothing to the sums, so only their number is needed and no calendar is generated.
     """
-    net = (F.sum(_zero("credit")) - F.sum(_zero("debit"))).cast("decimal(18,2)")
-    monthly = ledger.groupBy("customer_id", F.date_trunc("month", "date").alias("month")).agg(net.alias("net"))
-    number = F.year("month") * 12 + F.month("month")
-    df = monthly.groupBy("customer_id").agg((F.max(number) - F.min(number) + 1).alias("n"), F.sum("net").alias("s"), F.sum((F.col("net") * F.col("net")).cast("decimal(38,4)")).alias("ss"))
-    mean = double(F.col("s")) / double(F.col("n"))
-    spread = F.sqrt(variance(F.col("n"), F.col("s"), F.col("ss")))
-    return df.select("customer_id", F.when((F.col("n") >= 2) & (mean != 0), F.abs(spread / mean)).otherwise(F.lit(0.0)).alias("cashflow_volatility"))
+    number = F.year(month) * 12 + F.month(month)
+    n, total, squares = F.max(number) - F.min(number) + 1, F.sum(net), F.sum((net * net).cast("decimal(38,4)"))
+    mean = double(total) / double(n)
+    return F.when((n >= 2) & (mean != 0), F.abs(F.sqrt(variance(n, total, squares)) / mean)).otherwise(F.lit(0.0))
+
+
+def _net() -> Column:
+    return (F.sum(_zero("credit")) - F.sum(_zero("debit"))).cast("decimal(18,2)")
+
+
+def volatility(ledger: DataFrame) -> DataFrame:
+    """Absolute coefficient of variation of monthly net flow from first to last month, empty months as 0."""
+    monthly = ledger.groupBy("customer_id", F.date_trunc("month", "date").alias("month")).agg(_net().alias("net"))
+    return monthly.groupBy("customer_id").agg(_volatility(F.col("net"), F.col("month")).alias("cashflow_volatility"))
 
 
 def salaries(ledger: DataFrame) -> DataFrame:
     """(customer_id, salary_amount) where large credits repeat: median of the commonest thousand among the top quarter."""
+    whole = Window.partitionBy("customer_id")
     credits = ledger.where("credit > 0").select("customer_id", "credit")
-    top = credits.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"), F.percentile(double(F.col("credit")), F.lit(0.75)).alias("q")).where("n >= 2")
-    large = credits.join(top, "customer_id").where(double(F.col("credit")) >= F.col("q"))
+    top = credits.select("*", F.count(F.lit(1)).over(whole).alias("n"), F.percentile(double(F.col("credit")), F.lit(0.75)).over(whole).alias("q"))
+    large = top.where((F.col("n") >= 2) & (double(F.col("credit")) >= F.col("q")))
     buckets = large.groupBy("customer_id", F.bround((F.col("credit") / 1000).cast("decimal(24,8)"), 0).cast("long").alias("bucket"))
     buckets = buckets.agg(F.count(F.lit(1)).alias("n"), F.percentile(double(F.col("credit")), F.lit(0.5)).alias("median"))
     best = buckets.groupBy("customer_id").agg(F.sum("n").alias("kept"), F.max_by(F.struct("n", "median"), F.struct(F.col("n"), -F.col("bucket"))).alias("b"))
     return best.where("kept >= 2 AND b.n >= 2").select("customer_id", F.col("b.median").alias("salary_amount"))
 
 
-def summary(ledger: DataFrame) -> DataFrame:
-    """Everything above in one row a customer."""
-    out = totals(ledger)
-    parts = [balance_stats(ledger), daily_trend(ledger), period_trend(ledger, "month"), period_trend(ledger, "quarter"), size_stats(ledger), loyalty(ledger), volatility(ledger), salaries(ledger)]
-    for part in parts:
+def period_stats(ledger: DataFrame) -> DataFrame:
+    """(customer_id, balance_monthly_trend, balance_quarterly_trend, cashflow_volatility) from one roll-up by month."""
+    last = F.max_by("balance", F.when(F.col("balance").isNotNull(), F.struct("date", "seq")))
+    monthly = ledger.groupBy("customer_id", F.date_trunc("month", "date").alias("month")).agg(_net().alias("net"), last.alias("y"))
+    by_month = Window.partitionBy("customer_id").orderBy("month")
+    held = F.when(F.col("y").isNotNull(), F.date_trunc("quarter", "month"))
+    after = F.first(held, ignorenulls=True).over(by_month.rowsBetween(1, Window.unboundedFollowing))
+    # The last month with a balance stands for its quarter.
+    closes = F.when(F.col("y").isNotNull() & (after.isNull() | (after != F.date_trunc("quarter", "month"))), F.col("y"))
+    df = monthly.select("*", closes.alias("q")).select("*", (F.count("y").over(by_month) - 1).alias("x"), (F.count("q").over(by_month) - 1).alias("qx"))
+    return df.groupBy("customer_id").agg(
+        slope(*_point_sums(F.col("x"), F.col("y"))).alias("balance_monthly_trend"), slope(*_point_sums(F.col("qx"), F.col("q"))).alias("balance_quarterly_trend"),
+        _volatility(F.col("net"), F.col("month")).alias("cashflow_volatility"),
+    )
+
+
+def summary(ledger: DataFrame, *more: Column) -> DataFrame:
+    """Everything above in one row a customer, with aggregates ``more`` (named) over the customer's rows.
+
+    One pass for all that is a sum or a median over rows, one for months, one for merchants and one for credits.
+    """
+    first = F.min(F.when(F.col("balance").isNotNull(), F.col("date"))).over(Window.partitionBy("customer_id"))
+    days = F.expr("timestampdiff(DAY, first_held, date)")
+    df = ledger.withColumn("first_held", first).groupBy("customer_id")
+    daily = slope(*_point_sums(days, F.col("balance"))).alias("balance_daily_trend")
+    df = df.agg(*_total_sums(), *_balance_columns(), *_size_columns(), daily, *more)
+    out = _totals(df, *df.columns[len(_total_sums()) + 1 :])
+    names = frequencies(ledger, "merchant").groupBy("customer_id").agg(ratio(F.max("n"), F.sum("n")).alias("merchant_loyalty"), F.count(F.lit(1)).alias("n_merchants"))
+    for part in (period_stats(ledger), names, salaries(ledger)):
         out = out.join(part, "customer_id", "left")
     zero = ["balance_daily_trend", "balance_monthly_trend", "balance_quarterly_trend", "txn_size_mean", "txn_size_median", "txn_size_variance", "merchant_loyalty", "cashflow_volatility"]
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in zero} | {"salary_detected": F.col("salary_amount").isNotNull()})
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in zero} | {"n_merchants": F.coalesce("n_merchants", F.lit(0)), "salary_detected": F.col("salary_amount").isNotNull()})
 
 
 def with_customers(found: DataFrame, customers: DataFrame) -> DataFrame:

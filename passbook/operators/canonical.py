@@ -15,17 +15,16 @@ _KEPT = 200
 def normalised(cells: DataFrame, mapping: DataFrame, *, bank: DataFrame | None = None, currency: str = "INR", compat_dates: bool = False) -> tuple[DataFrame, DataFrame]:
     """(transactions, rejected): cells (path, row, pos, header, value) by the mapping of their file.
 
-    Rows without a date or with a cell that is no amount are rejected with a reason. A signed amount splits into debit
+    A column is known by its place, so headers may repeat. Rows without a date or with a cell that is no amount are rejected with a reason. A signed amount splits into debit
     and credit where neither is mapped. An empty description is made of the unmapped cells.
     """
-    fields = mapping.select("path", F.col("source_column").alias("header"), "field")
-    long = cells.join(F.broadcast(fields), ["path", "header"], "left")  # as many rows as files have headers
+    long = cells.join(mapping.select("path", "pos", "field"), ["path", "pos"], "left")
     value = text.clean_cell(F.col("value"))
     pick = lambda f: F.max(F.when(F.col("field") == f, value)).alias(f)
     spare = F.array_sort(F.collect_list(F.when(F.col("field").isNull() & (value != ""), F.struct("pos", value.alias("v")))))
     split = mapping.groupBy("path").agg(F.max(F.col("field").isin("debit", "credit").cast("int")).alias("has_sides"))
     wide = long.groupBy("path", "row").agg(*[pick(f) for f in ("date", "description", "debit", "credit", "balance", "reference_number", "amount")], spare.alias("spare"))
-    wide = wide.join(F.broadcast(split), "path", "left")
+    wide = wide.join(split, "path", "left")
     if bank is not None:
         wide = wide.join(bank.select("path", "bank"), "path", "left")
     signed = F.when(F.coalesce("has_sides", F.lit(0)) == 0, text.amount(F.col("amount")))
@@ -55,20 +54,24 @@ def with_merchants(df: DataFrame) -> DataFrame:
     return df.withColumn("merchant", F.coalesce("_s.name", "_m.merchant")).withColumn("payment_mode", F.coalesce("payment_mode", text.mode_by_word(F.col("description")))).drop("_m", "_c", "_s")
 
 
-def with_categories(df: DataFrame, model=None, least: float = 0.5) -> DataFrame:
-    """Adds category and category_confidence: by rules, else by ``model`` (see ``tier2``), else Others.
-
-    Only rows that no rule settles reach the model.
+def with_categories(df: DataFrame, model=None, *, code_col: str | None = None) -> DataFrame:
+    """Adds category and category_confidence: by merchant, category code (column ``code_col``) or keyword, else by ``model``
+    (see ``tier2``), else Others. One pass; texts that a rule settles are blank to the model.
     """
-    df = df.withColumn("_r", text.ruled_category(F.col("merchant"), F.col("description")))
-    other = F.struct(F.lit("Others").alias("category"), F.lit(rules.CONFIDENCE["default"]).alias("confidence"))
-    ruled = df.where(F.col("_r.category").isNotNull())
-    rest = df.where(F.col("_r.category").isNull())
+    rule = text.ruled_category(F.col("merchant"), F.col("description"), F.col(code_col).cast("string") if code_col else None)
+    df = df.withColumn("_r", rule)
+    none = F.lit(None)
+    guess, sure = none.cast("string"), none.cast("double")
     if model is not None:
         from .tier2 import predicted
 
-        rest = predicted(rest.drop("_r"), model).withColumn("_r", F.when(F.col("guess").isNotNull(), F.struct(F.col("guess").alias("category"), F.col("guess_confidence").alias("confidence"))).otherwise(other)).drop("guess", "guess_confidence")
-    else:
-        rest = rest.withColumn("_r", other)
-    out = ruled.unionByName(rest)
-    return out.withColumn("category", F.col("_r.category")).withColumn("category_confidence", F.col("_r.confidence")).drop("_r")
+        df = predicted(df, model, where=F.col("_r.category").isNull())
+        guess, sure = F.col("guess"), F.col("guess_confidence")
+    category = F.coalesce("_r.category", guess, F.lit("Others"))
+    confidence = F.coalesce("_r.confidence", sure, F.lit(rules.CONFIDENCE["default"]).cast("double"))
+    return df.withColumn("category", category).withColumn("category_confidence", confidence).drop("_r", "guess", "guess_confidence")
+
+
+def contract(df: DataFrame) -> DataFrame:
+    """The columns of a canonical transaction, in order; those that ``df`` lacks are null."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in CONTRACT])

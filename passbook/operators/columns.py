@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.similarity import token_sort
 
+# Fields in the order of assignment, confidence of what a column's values show, rows looked at, dates.
 FIELDS = ["date", "description", "debit", "credit", "balance", "reference_number", "amount"]
 INFERRED = {"date": 0.75, "balance": 0.70, "debit": 0.65, "credit": 0.65, "amount": 0.65}
 SEEN, SEEN_BALANCE, LEAST = 20, 30, 3
@@ -41,10 +42,10 @@ def column_tests(cells: DataFrame) -> DataFrame:
 
 
 def column_mapping(cells: DataFrame, names: dict[str, list[str]] | None = None) -> DataFrame:
-    """(path, field, source_column, confidence, method): exact names, then similar ones, then what a column looks like.
+    """(path, pos, field, source_column, confidence, method): exact names, then similar ones, then what a column looks like.
 
-    A column is used once, fields go in a fixed order. Columns that no field takes have field null. Files without
-    rows have none here.
+    A column is used once and is known by its place, as headers may repeat; fields go in a fixed order. Columns that no
+    field takes have field null. Files without rows have none here.
     """
     names = names or rules.COLUMN_NAMES
     tests = column_tests(cells).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "header", "is_date", "is_amount", "is_balance"))).alias("columns"))
@@ -60,7 +61,7 @@ def column_mapping(cells: DataFrame, names: dict[str, list[str]] | None = None)
                 taken: dict[str, tuple] = {}
 
                 def take(field, c, sure, how, free=free, taken=taken):
-                    taken[field] = (c["header"], sure, how)
+                    taken[field] = (c["pos"], c["header"], sure, how)
                     del free[c["pos"]]
 
                 for field in FIELDS:
@@ -77,10 +78,10 @@ def column_mapping(cells: DataFrame, names: dict[str, list[str]] | None = None)
                     test = {"date": "is_date", "balance": "is_balance"}.get(field, "is_amount")
                     if field not in taken and (c := next((c for c in free.values() if c[test]), None)) is not None:
                         take(field, c, sure, "inferred")
-                out += [(path, f, *v) for f, v in taken.items()] + [(path, None, c["header"], 0.0, "unmapped") for c in free.values()]
-            yield pd.DataFrame(out, columns=["path", "field", "source_column", "confidence", "method"])
+                out += [(path, v[0], f, *v[1:]) for f, v in taken.items()] + [(path, c["pos"], None, c["header"], 0.0, "unmapped") for c in free.values()]
+            yield pd.DataFrame(out, columns=["path", "pos", "field", "source_column", "confidence", "method"])
 
-    return tests.mapInPandas(assign, "path string, field string, source_column string, confidence double, method string")
+    return tests.mapInPandas(assign, "path string, pos int, field string, source_column string, confidence double, method string")
 
 
 def unique_headers(headers: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.stats import double, ratio
 from . import behaviour
-from .recurring import recurring
+from .recurring import ranked, recurring
 
 TOP = 5
 # Categories and payment modes with a column of their own.
 SHARES = ["Food", "Groceries", "Shopping", "Healthcare", "Travel", "Entertainment", "Utilities", "Investments", "Rent", "Education", "Insurance", "Transfers", "Telecom", "Fuel"]
 ONLINE, OFFLINE = ["UPI", "NEFT", "IMPS", "RTGS"], ["ATM", "POS"]
+# The columns of a feature row, in order.
 FEATURES = [
     "customer_id", "avg_income", "income_consistency", "avg_monthly_spend", "avg_monthly_saving", "savings_rate", "investment_ratio", "emi_ratio", "debt_ratio", "expense_ratio",
     "balance_min", "balance_max", "balance_mean", "balance_monthly_trend", "txn_size_mean", "txn_size_median", "txn_size_variance", "credit_frequency", "debit_frequency",
@@ -22,12 +23,23 @@ FEATURES = [
 ]
 
 
+def _paid(found: DataFrame, *more) -> DataFrame:
+    """Of the recurring items of each customer: the surest salary, its confidence, the number of subscriptions, and ``more``."""
+    salary = F.col("category") == "Salary"
+    order = F.when(salary, F.struct(F.col("confidence"), F.col("occurrences"), -F.col("cluster")))
+    sure = [F.max_by("median_amount", order).alias("sure"), F.max(F.when(salary, F.col("confidence"))).alias("stability")]
+    return found.groupBy("customer_id").agg(*sure, F.count_if(F.col("category") == "Subscription").alias("subscriptions"), *more)
+
+
+def _income() -> dict:
+    """Income and its stability: the surest recurring salary, else the detected one (stability 0.5)."""
+    return {"income": F.coalesce("sure", "salary_amount"), "income_stability": F.coalesce("stability", F.when(F.col("salary_amount").isNotNull(), F.lit(0.5)))}
+
+
 def income(found: DataFrame, salaries: DataFrame) -> DataFrame:
-    """(customer_id, income, income_stability): the surest recurring salary, else the detected one (stability 0.5)."""
-    order = F.struct(F.col("confidence"), F.col("occurrences"), -F.col("cluster"))
-    sure = found.where("category = 'Salary'").groupBy("customer_id").agg(F.max_by("median_amount", order).alias("sure"), F.max("confidence").alias("stability"))
-    both = sure.join(salaries, "customer_id", "full")
-    return both.select("customer_id", F.coalesce("sure", "salary_amount").alias("income"), F.coalesce("stability", F.when(F.col("salary_amount").isNotNull(), F.lit(0.5))).alias("income_stability"))
+    """(customer_id, income, income_stability) of customers with a recurring or detected salary."""
+    both = _paid(found).join(salaries, "customer_id", "full").withColumns(_income())
+    return both.where("income IS NOT NULL").select("customer_id", "income", "income_stability")
 
 
 def top_names(ledger: DataFrame, column: str, most: int = TOP) -> DataFrame:
@@ -50,15 +62,11 @@ def _list(ledger: DataFrame, column: str, name: str) -> DataFrame:
 
 def profiles(ledger: DataFrame) -> DataFrame:
     """One row a customer: income, spend, saving, ratios, preferred names and the expected cash flow as a struct."""
-    found = recurring(ledger)
-    base = behaviour.summary(ledger)
     shares = category_shares(ledger).groupBy("customer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "share")))).alias("shares"))
-    items = found.groupBy("customer_id").agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("confidence", "occurrences", "merchant", "direction", "category", "cadence", "median_amount", "amount_tolerance")))).alias("items"),
-        F.count_if(F.col("category") == "Subscription").alias("subscriptions"),
-    )
-    df = base.join(income(found, base.where("salary_detected").select("customer_id", "salary_amount")), "customer_id", "left")
-    for part in (_list(ledger, "merchant", "preferred_merchants"), _list(ledger, "payment_mode", "preferred_payment_modes"), shares, items):
+    item = F.struct("rank", "merchant", "direction", "category", "cadence", "median_amount", "amount_tolerance", "occurrences", "confidence")
+    items = F.array_sort(F.collect_list(item)).alias("items")
+    df = behaviour.summary(ledger).join(_paid(ranked(recurring(ledger)), items), "customer_id", "left").withColumns(_income())
+    for part in (_list(ledger, "merchant", "preferred_merchants"), _list(ledger, "payment_mode", "preferred_payment_modes"), shares):
         df = df.join(part, "customer_id", "left")
     flow = F.struct(
         F.coalesce("income", F.lit(0.0)).alias("expected_income"), F.col("monthly_spend").alias("expected_spend"), F.col("monthly_saving").alias("expected_saving"), "net_cashflow",
@@ -69,21 +77,18 @@ def profiles(ledger: DataFrame) -> DataFrame:
 
 def feature_table(ledger: DataFrame) -> DataFrame:
     """The feature row: exactly the columns ``FEATURES``, nulls as 0."""
-    found = recurring(ledger)
-    base = behaviour.summary(ledger)
     named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     mode = lambda *names: F.count_if(F.col("payment_mode").isin(*names))
-    counts = ledger.groupBy("customer_id").agg(
+    counts = [
         F.count_if(F.col("category") == "Salary").alias("salaries"), F.count_if(named("category")).alias("with_category"), F.count_if(named("payment_mode")).alias("with_mode"),
-        mode(*ONLINE).alias("online"), mode(*ONLINE, *OFFLINE).alias("known"), F.count_distinct(F.when(named("merchant"), F.col("merchant"))).alias("merchants"),
+        mode(*ONLINE).alias("online"), mode(*ONLINE, *OFFLINE).alias("known"),
         *[F.count_if(F.col("category") == c).alias(f"c_{c}") for c in SHARES], *[mode(m).alias(f"m_{m}") for m in rules.KNOWN_SHARES],
-    )
-    subs = found.groupBy("customer_id").agg(F.count_if(F.col("category") == "Subscription").alias("subscriptions"))
-    df = base.join(counts, "customer_id").join(subs, "customer_id", "left").join(income(found, base.where("salary_detected").select("customer_id", "salary_amount")), "customer_id", "left")
+    ]
+    df = behaviour.summary(ledger, *counts).join(_paid(recurring(ledger)), "customer_id", "left").withColumns(_income())
     n, zero = F.col("n_transactions"), F.lit(0.0)
     values = {
         "avg_income": F.col("income"), "income_consistency": F.col("income_stability"), "avg_monthly_spend": F.col("monthly_spend"), "avg_monthly_saving": F.col("monthly_saving"),
         "savings_rate": F.col("savings_ratio"), "credit_frequency": ratio(F.col("salaries"), n), "debit_frequency": ratio(n - F.col("salaries"), n), "upi_frequency": ratio(F.col("m_UPI"), n),
-        "atm_frequency": ratio(F.col("m_ATM"), n), "online_spend_ratio": ratio(F.col("online"), F.col("known")), "merchant_diversity": ratio(F.col("merchants"), n), "subscription_count": double(F.col("subscriptions")),
+        "atm_frequency": ratio(F.col("m_ATM"), n), "online_spend_ratio": ratio(F.col("online"), F.col("known")), "merchant_diversity": ratio(F.col("n_merchants"), n), "subscription_count": double(F.col("subscriptions")),
     } | {f"pct_{c.lower()}": ratio(F.col(f"c_{c}"), F.col("with_category")) for c in SHARES} | {f"freq_{m.lower()}": ratio(F.col(f"m_{m}"), F.col("with_mode")) for m in rules.KNOWN_SHARES}
     return df.select("customer_id", *[F.coalesce(values.get(c, F.col(c)), zero).alias(c) for c in FEATURES[1:]])

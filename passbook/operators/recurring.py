@@ -1,15 +1,19 @@
 """Recurring payments: rows of one merchant and direction whose amounts stay in a band and whose dates keep a cadence.
 
 Amounts are clustered in ascending order: an amount joins the current cluster if it is within 10 % (1.0 at least) of
-the cluster's running mean. Equal amounts always fall together, and an amount further than the band from the amount
-before it opens a cluster whatever came before; so rows are counted by amount first and the fold runs over distinct
-amounts between such breaks, which keeps its groups small. Rows without merchant or without an amount take no part.
+the cluster's running mean. Equal amounts always fall together, so rows are counted by amount first; the fold then reads
+the distinct amounts of a key in order, as a stream that holds three numbers, however many there are. Rows without
+merchant or without an amount take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import double, variance
 
@@ -36,36 +40,29 @@ def prepared(ledger: DataFrame) -> DataFrame:
     return df.where((F.col("merchant") != "") & (F.col("amount") != 0))
 
 
-def _band(anchor: Column) -> Column:
-    return F.greatest(F.lit(BAND) * F.abs(anchor), F.lit(LEAST_BAND))
-
-
 def amount_clusters(rows: DataFrame) -> DataFrame:
     """(key, amount, cluster): cluster is the smallest amount of its cluster."""
     counted = rows.groupBy(*KEY, "amount").agg(F.count(F.lit(1)).alias("n"))
-    by_amount = Window.partitionBy(*KEY).orderBy("amount")
-    before = double(F.lag("amount").over(by_amount))
-    a = double(F.col("amount"))
-    counted = counted.withColumn("opens", F.coalesce((a - before > _band(before)).cast("int"), F.lit(0)))
-    counted = counted.withColumn("part", F.sum("opens").over(by_amount))
-    points = F.array_sort(F.collect_list(F.struct("amount", "n")))
-    grouped = counted.groupBy(*KEY, "part").agg(points.alias("points"))
-    kind = "array<struct<amount:decimal(18,2),cluster:decimal(18,2)>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        anchor = double(acc["s"]) / double(acc["n"])
-        joins = (acc["n"] > 0) & (F.abs(double(p["amount"]) - anchor) <= _band(anchor))
-        total = (p["amount"] * p["n"].cast("decimal(10,0)")).cast("decimal(28,2)")
-        first = F.when(joins, acc["first"]).otherwise(p["amount"])
-        return F.struct(
-            F.when(joins, (acc["s"] + total).cast("decimal(28,2)")).otherwise(total).alias("s"), F.when(joins, acc["n"] + p["n"]).otherwise(p["n"]).alias("n"), first.alias("first"),
-            F.concat(acc["out"], F.array(F.struct(p["amount"].alias("amount"), first.alias("cluster")))).alias("out"),
-        )
-
-    head = F.get("points", F.lit(0))
-    zero = F.struct((head["amount"] * head["n"].cast("decimal(10,0)")).cast("decimal(28,2)").alias("s"), head["n"].alias("n"), head["amount"].alias("first"), F.array(F.struct(head["amount"].alias("amount"), head["amount"].alias("cluster"))).cast(kind).alias("out"))
-    folded = F.aggregate(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), zero, step, lambda acc: acc["out"])
-    return grouped.select(*KEY, F.explode(folded).alias("p")).select(*KEY, "p.amount", "p.cluster")
+    cents = counted.select(*KEY, (F.col("amount") * 100).cast("decimal(20,0)").cast("long").alias("cents"), "n")
+    ordered = cents.repartition(*KEY).sortWithinPartitions(*KEY, "cents")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total, count, first, mean = None, 0, 0, 0, 0.0
+        for b in batches:
+            out = []
+            keys = zip(*[b.column(k).to_pylist() for k in KEY])
+            for key, amount, n in zip(keys, b.column("cents").to_pylist(), b.column("n").to_pylist()):
+                if key == last and abs(amount / 100 - mean) <= max(BAND * abs(mean), LEAST_BAND):
+                    total, count = total + amount * n, count + n
+                else:
+                    last, total, count, first = key, amount * n, n, amount
+                mean = total / 100 / count
+                out.append(first)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in (*KEY, "cents")], pa.array(out, pa.int64())], names=[*KEY, "cents", "first"])
+
+    kind = T.StructType([*[ordered.schema[k] for k in (*KEY, "cents")], T.StructField("first", T.LongType())])
+    money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    return ordered.mapInArrow(fold, kind).select(*KEY, money("cents").alias("amount"), money("first").alias("cluster"))
 
 
 def clustered(ledger: DataFrame) -> DataFrame:
@@ -82,6 +79,12 @@ def _kind(direction: Column, cadence: Column, amount: Column, has: dict[str, Col
     return ordered.when((cadence == "monthly") & (amount >= LARGE_RENT), "Rent").otherwise("Subscription")
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """``recurring`` with rank: the surest first, then those of more occurrences, then by key and cluster."""
+    order = Window.partitionBy("customer_id").orderBy(F.desc("confidence"), F.desc("occurrences"), "merchant", "direction", "cluster")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
 def recurring(ledger: DataFrame) -> DataFrame:
     """(key, cluster, category, cadence, median_amount, amount_tolerance, occurrences, regularity, confidence)."""
     by_date = Window.partitionBy(*KEY, "cluster").orderBy("date")

@@ -51,6 +51,42 @@ def after_drain(queue: DataFrame, results: DataFrame) -> DataFrame:
     return df.select("merchant", "queued_at", (F.coalesce("attempts", F.lit(0)) + tried.cast("int")).alias("attempts"), F.coalesce("error", "last_error").alias("last_error"))
 
 
+def category_keys(df: DataFrame) -> DataFrame:
+    """``df`` with key: a hash of merchant and description, whatever their case and outer blanks."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return df.withColumn("key", F.sha2(F.concat(plain("merchant"), F.lit("\n"), plain("description")), 256))
+
+
+def cached_categories(df: DataFrame, cache: DataFrame, ask) -> DataFrame:
+    """``df`` with category and category_confidence: from ``cache`` (key, category, confidence), else from ``ask``.
+
+    ``ask(list of texts)`` gives (category, confidence) for each; a key that the cache lacks is asked once.
+    """
+    keyed = category_keys(df)
+    kept = cache.groupBy("key").agg(F.max_by(F.struct("category", "confidence"), "confidence").alias("known"))
+    text = F.trim(F.concat_ws(" ", "merchant", "description"))
+    unknown = keyed.join(kept, "key", "left_anti").groupBy("key").agg(F.min(text).alias("text"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            got = pd.DataFrame(ask(b["text"].tolist()), columns=["category", "confidence"])
+            yield pd.concat([b[["key"]].reset_index(drop=True), got], axis=1)
+
+    asked = unknown.mapInPandas(run, "key string, category string, confidence double").select("key", F.struct("category", "confidence").alias("known"))
+    out = keyed.join(kept.unionByName(asked), "key", "left")
+    return out.withColumn("category", F.col("known.category")).withColumn("category_confidence", F.col("known.confidence")).drop("known", "key")
+
+
+def registered(datasets: DataFrame, df: DataFrame, name: str, path: str) -> DataFrame:
+    """The registry (name, path, n_rows, columns) with ``df`` written to ``path`` under ``name``; a name is there once."""
+    save(df, path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
+    new = rows.select(F.lit(name).alias("name"), F.lit(path).alias("path"), "n_rows", F.array(*[F.lit(c) for c in df.columns]).alias("columns"))
+    return datasets.where(F.col("name") != name).unionByName(new)
+
+
 def transactions(df: DataFrame, *, customer_id=None, category: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest first, ties by transaction_id; a page of ``limit`` rows, which is the feature."""
     if customer_id is not None:

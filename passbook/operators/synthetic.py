@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRID = 200
 CLOSE = 1e-6
@@ -59,8 +60,20 @@ def copula_samples(df: DataFrame, n: int, *, id_col: str = "customer_id", seed:
     return df.sparkSession.range(n).mapInPandas(draw, f"{id_col} string, " + ", ".join(f"`{c}` double" for c in columns))
 
 
+def _correlation(df: DataFrame, columns: list[str]):
+    import numpy as np
+
+    clean = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    return np.nan_to_num(Correlation.corr(VectorAssembler(inputCols=columns, outputCol="v").transform(clean), "v").first()[0].toArray())
+
+
 def fidelity(real: DataFrame, made: DataFrame, columns: list[str], grid: int = GRID) -> dict[str, float]:
-    """1 minus the greatest difference of the distribution functions, by column, on the grid of the real quantiles."""
+    """1 minus the greatest difference of the distribution functions, by column, on the grid of the real quantiles.
+
+    ``correlation`` is 1 minus half of the mean difference of the correlations of all pairs of columns (1 for one column).
+    """
+    import numpy as np
+
     marks = _quantiles(real.select(*columns), columns, grid)
 
     def shares(df: DataFrame) -> list[float]:
@@ -71,37 +84,91 @@ def fidelity(real: DataFrame, made: DataFrame, columns: list[str], grid: int = G
     for c, ms in zip(columns, marks):
         out[c] = 1 - max(abs((x or 0) - (y or 0)) for x, y in zip(a[at : at + len(ms)], b[at : at + len(ms)]))
         at += len(ms)
+    apart = np.abs(_correlation(real, columns) - _correlation(made, columns))[np.triu_indices(len(columns), 1)]
+    out["correlation"] = 1 - float(apart.mean()) / 2 if len(apart) else 1.0
     return out
 
 
-def nearest(queries: DataFrame, rows: DataFrame, *, block: int = 512) -> DataFrame:
-    """(id, distance): Euclidean distance of each query (id, v: array<double>) to the nearest of ``rows`` (v).
+def _cells(df: DataFrame, pivots) -> DataFrame:
+    """Adds ``far``, the distance of v to each pivot."""
+
+    @F.pandas_udf("array<double>")
+    def far(v):
+        import numpy as np
+        import pandas as pd
+
+        at = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, pivots.shape[1]))
+        return pd.Series([np.sqrt(((pivots - x) ** 2).sum(1)) for x in at])
+
+    return df.withColumn("far", far("v"))
+
+
+def _least(asked: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """(id, h, best): least distance of each query (id, h, v, cell) to the rows (v, cell) of its cells.
+
+    A cell is cut in blocks of about ``block`` rows and of as many queries; a pair of blocks is one unit of work, so none
+    grows with a cell.
+    """
+    count = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = count(rows, "row_blocks").join(count(asked, "asked_blocks"), "cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    q = asked.join(sizes, "cell").select("cell", every("row_blocks").alias("x"), mine("asked_blocks").alias("y"), "id", "h", "v")
+    r = rows.join(sizes, "cell").select("cell", mine("row_blocks").alias("x"), every("asked_blocks").alias("y"), "v")
+
+    def unit(q, r):
+        import numpy as np
+
+        out = q[["id", "h"]].copy()
+        out["best"] = np.inf
+        if len(q) and len(r):
+            a, b = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (q, r))
+            out["best"] = [np.sqrt(((b - x) ** 2).sum(1).min()) for x in a]
+        return out
+
+    kind = T.StructType([asked.schema["id"], *T.StructType.fromDDL("h long, best double").fields])
+    return q.groupBy("cell", "x", "y").cogroup(r.groupBy("cell", "x", "y")).applyInPandas(unit, kind).groupBy("id", "h").agg(F.min("best").alias("best"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, *, block: int = 2048, pivots: int = 64) -> DataFrame:
+    """(id, distance): Euclidean distance of each query (id, v: array<double>) to the nearest of ``rows`` (v), exactly.
 
-    The stated queries go to the tasks in blocks of a checked number; every row is read once a block, nothing is paired
-    up in a table. Each task sends one minimum a query.
+    Rows belong to the cell of their nearest pivot (a bounded choice of rows). A query looks in its own cell first, then
+    only in those cells that, by their radius, could hold something nearer. Queries without any row get null; of an id
+    with several vectors each has a row; null vectors are left out.
     """
     import numpy as np
 
-    n = queries.count()
-    out = None
-    for at in range(0, n, block):
-        part = queries.orderBy("id").offset(at).limit(block).collect()
-        ids, q = [r["id"] for r in part], np.array([r["v"] for r in part], np.float64)
-
-        def run(batches, ids=ids, q=q):
-            import pandas as pd
-
-            best = np.full(len(ids), np.inf)
-            for b in batches:
-                if len(b):
-                    v = np.stack(b["v"].to_numpy()).astype(np.float64)
-                    for i in range(0, len(v), 1024):
-                        best = np.minimum(best, np.sqrt(((q[:, None, :] - v[None, i : i + 1024, :]) ** 2).sum(-1)).min(1))
-            yield pd.DataFrame({"id": ids, "distance": best})
-
-        least = rows.select("v").mapInPandas(run, "id long, distance double").groupBy("id").agg(F.min("distance").alias("distance"))
-        out = least if out is None else out.unionByName(least)
-    return out if out is not None else queries.select("id", F.lit(None).cast("double").alias("distance"))
+    # New names for the columns: both may come of one table.
+    queries, rows = queries.where("v IS NOT NULL").select("id", "v").toDF("id", "v"), rows.where("v IS NOT NULL").select("v").toDF("v")
+    chosen = np.array([r["v"] for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()], np.float64)
+    if not len(chosen):
+        return queries.select("id", F.lit(None).cast("double").alias("distance"))
+    cell = F.array_position("far", F.array_min("far")).cast("int")
+    placed = _cells(rows.select("v"), chosen).select("v", cell.alias("cell"), F.array_min("far").alias("r"))
+    radius = placed.groupBy("cell").agg(F.max("r").alias("radius"))
+    asked = _cells(queries.select("id", "v", F.xxhash64("id", "v").alias("h")), chosen)
+    cells = radius.agg(F.collect_list(F.struct("cell", "radius")).alias("cells"))  # one row, as many cells as pivots
+    asked = asked.join(F.broadcast(cells))
+    own = F.array_min(F.transform("cells", lambda c: F.struct(F.get("far", c["cell"] - 1).alias("far"), c["cell"].alias("cell"))))["cell"]
+    first = _least(asked.select("id", "h", "v", own.alias("cell")), placed.select("v", "cell"), block)
+    # Rounding must not hide a cell.
+    reach = asked.join(first, ["id", "h"]).select("id", "h", "v", own.alias("own"), "best", "far", F.explode("cells").alias("c"))
+    near = (F.col("c.cell") != F.col("own")) & (F.get("far", F.col("c.cell") - 1) - F.col("c.radius") <= F.col("best") * (1 + 1e-9) + 1e-9)
+    more = _least(reach.where(near).select("id", "h", "v", F.col("c.cell").alias("cell")), placed.select("v", "cell"), block)
+    return first.unionByName(more).groupBy("id", "h").agg(F.min("best").alias("distance")).select("id", "distance")
+
+
+def scaled(df: DataFrame, real: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with v: the columns, each from 0 to 1 over the range of the real rows (a range of 0 counts as 1), nulls as 0."""
+    ends = real.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max))])
+    unit = [F.coalesce((F.col(c).cast("double") - F.col(f"low_{i}")) / F.coalesce(F.nullif(F.col(f"high_{i}") - F.col(f"low_{i}"), F.lit(0.0)), F.lit(1.0)), F.lit(0.0)) for i, c in enumerate(columns)]
+    return df.join(F.broadcast(ends)).select(*df.columns, F.array(*unit).alias("v"))
+
+
+def privacy_check(real: DataFrame, made: DataFrame, columns: list[str], *, id_col: str = "customer_id") -> DataFrame:
+    """``privacy`` of the made rows' distances to the nearest real row, columns scaled by the real range."""
+    return privacy(nearest(scaled(made, real, columns).select(F.col(id_col).alias("id"), "v"), scaled(real, real, columns).select("v")))
 
 
 def privacy(distances: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that make a line a credit, words of transaction tables, the height of a row of tokens.
+# Words that make a line a credit, words of transaction tables, the height of a row of tokens, lines with a
+# date in front and amounts at the end.
 CREDIT_HINTS = ["salary", "neft-", "imps-", "rtgs-", "interest", "refund", "deposit", "credit", "upi-cr"]
 TABLE_WORDS = ["date", "debit", "credit", "balance", "description", "particular", "narration", "withdrawal", "deposit", "ref"]
 ROW_HEIGHT = 12.0

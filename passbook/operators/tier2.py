@@ -49,10 +49,12 @@ def load_or_fit(spark: SparkSession, path: str) -> PipelineModel:
         return model
 
 
-def predicted(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """``df`` with guess and guess_confidence from merchant and description; null for blank texts."""
+def predicted(df: DataFrame, model: PipelineModel, *, where: Column | None = None) -> DataFrame:
+    """``df`` with guess and guess_confidence from merchant and description; null for blank texts and where ``where`` is not true."""
     text = F.trim(F.concat_ws(" ", "merchant", "description"))
-    out = model.transform(df.withColumn("grams", ngrams(text)).withColumn("_blank", text == ""))
-    sure = F.array_max(vector_to_array("probability"))
-    guess = F.when(~F.col("_blank"), F.col("guess"))
-    return out.select(*df.columns, guess.alias("guess"), F.when(~F.col("_blank"), sure).alias("guess_confidence"))
+    wanted = (text != "") & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    df = df.withColumn("_wanted", wanted).withColumn("grams", F.when(F.col("_wanted"), ngrams(text)).otherwise(F.array().cast("array<string>")))
+    out = model.transform(df)
+    known = F.col("_wanted")
+    kept = [c for c in df.columns if c not in ("_wanted", "grams")]
+    return out.select(*kept, F.when(known, F.col("guess")).alias("guess"), F.when(known, F.array_max(vector_to_array("probability"))).alias("guess_confidence"))

@@ -202,6 +202,15 @@ def recurring_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurring.recurring(entries(spark, sf_dir))
 
 
+@query(
+    f"""{_WITH}, {_CLUSTERS}, {_RECURRING}, c2 AS (SELECT *, 0.5::DOUBLE * regularity + 0.5::DOUBLE * least({_d('occurrences')} / 6.0::DOUBLE, 1.0::DOUBLE) AS confidence FROM recurring)
+    SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY confidence DESC, occurrences DESC, merchant, direction, cluster) AS rank, merchant, direction, cluster, confidence FROM c2"""
+)
+def recurring_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recurring.ranked(recurring.recurring(entries(spark, sf_dir)))
+    return found.select("customer_id", F.col("rank").cast("long").alias("rank"), "merchant", "direction", "cluster", "confidence")
+
+
 @query(f"{_WITH}, f AS (SELECT customer_id, merchant AS name, count(*) AS n FROM ledger WHERE merchant <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, name) AS rank FROM f) SELECT customer_id, rank, name, n FROM r WHERE rank <= 5")
 def top_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.top_names(entries(spark, sf_dir), "merchant").select("customer_id", F.col("rank").cast("long").alias("rank"), "name", "n")
@@ -212,13 +221,67 @@ def spend_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.category_shares(entries(spark, sf_dir))
 
 
-@query()
+_PAID = """
+    items AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY confidence DESC, occurrences DESC, merchant, direction, cluster) AS rank,
+      row_number() OVER (PARTITION BY customer_id, category ORDER BY confidence DESC, occurrences DESC, cluster) AS in_kind FROM recurring_items),
+    paid AS (SELECT customer_id, max(median_amount) FILTER (WHERE category = 'Salary' AND in_kind = 1) AS sure, max(confidence) FILTER (WHERE category = 'Salary') AS stability,
+      count(*) FILTER (WHERE category = 'Subscription') AS subscriptions, string_agg(concat_ws(':', merchant, direction, category, cadence, occurrences), ',' ORDER BY rank) AS items FROM items GROUP BY customer_id)
+"""
+_PARTS = ["behaviour_totals", "behaviour_ratios", "balance_stats", "balance_trend_monthly", "txn_size_stats", "merchant_loyalty", "cashflow_volatility", "salary_detection"]
+_JOINED = "behaviour_totals " + " ".join(f"LEFT JOIN {q} USING (customer_id)" for q in [*_PARTS[1:], "paid"])
+_INCOME = "coalesce(sure, salary_amount)"
+_STABILITY = "coalesce(stability, CASE WHEN salary_amount IS NOT NULL THEN 0.5::DOUBLE END)"
+
+
+def _with_parts(*more: str) -> str:
+    """The SQL of other queries as common table expressions of their names."""
+    return _WITH + "".join(f", {q} AS ({SQL[q]})" for q in [*_PARTS, "recurring_items", *more]) + f", {_PAID}"
+
+
+@query(
+    f"""{_with_parts("top_merchants", "spend_by_category")}, {_TOTALS},
+    m AS (SELECT customer_id, string_agg(name, '|' ORDER BY rank) AS preferred_merchants FROM top_merchants GROUP BY customer_id),
+    f AS (SELECT customer_id, payment_mode AS name, count(*) AS n FROM ledger WHERE payment_mode <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY n DESC, name) AS rank FROM f),
+    p AS (SELECT customer_id, string_agg(name, '|' ORDER BY rank) AS preferred_payment_modes FROM r WHERE rank <= 5 GROUP BY customer_id),
+    s AS (SELECT customer_id, string_agg(category || '=' || CAST(floor(share * 1000000) AS BIGINT), ',' ORDER BY category) AS spend_by_category FROM spend_by_category GROUP BY customer_id)
+    SELECT customer_id, {_INCOME} AS income, {_STABILITY} AS income_stability, b.monthly_spend, b.monthly_saving, b.savings_ratio, b.investment_ratio, b.debt_ratio, b.expense_ratio,
+      coalesce(preferred_merchants, '') AS preferred_merchants, coalesce(preferred_payment_modes, '') AS preferred_payment_modes, coalesce({_INCOME}, 0.0::DOUBLE) AS expected_income, b.net_cashflow, coalesce(spend_by_category, '') AS spend_by_category,
+      coalesce(b.cashflow_volatility, 0.0::DOUBLE) AS cashflow_volatility, coalesce(b.items, '') AS recurring, coalesce(b.subscriptions, 0) AS subscription_count, b.balance_mean, totals.months_covered
+    FROM (SELECT * FROM {_JOINED}) b LEFT JOIN totals USING (customer_id) LEFT JOIN m USING (customer_id) LEFT JOIN p USING (customer_id) LEFT JOIN s USING (customer_id)"""
+)
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = profile.profiles(ledger(spark, sf_dir))
-    return df.withColumn("expected_cashflow", F.to_json("expected_cashflow"))
+    """Profiles with the lists and the expected cash flow as plain columns."""
+    df, flow = profile.profiles(ledger(spark, sf_dir)), "expected_cashflow"
+    share = F.transform(F.array_sort(F.map_entries(f"{flow}.spend_by_category")), lambda e: F.concat_ws("=", e["key"], F.floor(e["value"] * 1000000).cast("string")))
+    item = F.transform(f"{flow}.recurring", lambda i: F.concat_ws(":", i["merchant"], i["direction"], i["category"], i["cadence"], i["occurrences"]))
+    text_of = lambda c, by: F.coalesce(F.array_join(c, by), F.lit(""))
+    return df.select(
+        "customer_id", "income", "income_stability", "monthly_spend", "monthly_saving", "savings_ratio", "investment_ratio", "debt_ratio", "expense_ratio",
+        text_of("preferred_merchants", "|").alias("preferred_merchants"), text_of("preferred_payment_modes", "|").alias("preferred_payment_modes"), f"{flow}.expected_income",
+        F.col(f"{flow}.net_cashflow").cast("double").alias("net_cashflow"), text_of(share, ",").alias("spend_by_category"), f"{flow}.cashflow_volatility", text_of(item, ",").alias("recurring"),
+        F.col(f"{flow}.subscription_count").cast("long").alias("subscription_count"), f"{flow}.balance_mean", f"{flow}.months_covered",
+    )
+
+
+_mode_is = lambda *names: f"count(*) FILTER (WHERE payment_mode IN ({', '.join(repr(n) for n in names)}))"
+_COUNTS = ", ".join(
+    [
+        "count(*) AS n", "count(*) FILTER (WHERE category = 'Salary') AS salaries", "count(*) FILTER (WHERE category <> '') AS with_category", "count(*) FILTER (WHERE payment_mode <> '') AS with_mode",
+        f"{_mode_is(*profile.ONLINE)} AS online", f"{_mode_is(*profile.ONLINE, *profile.OFFLINE)} AS known", "count(DISTINCT merchant) FILTER (WHERE merchant <> '') AS merchants",
+        *[f"count(*) FILTER (WHERE category = '{c}') AS c_{c}" for c in profile.SHARES], *[f"{_mode_is(m)} AS m_{m}" for m in rules.KNOWN_SHARES],
+    ]
+)
+_FEATURE_SQL = {
+    "avg_income": _INCOME, "income_consistency": _STABILITY, "avg_monthly_spend": "monthly_spend", "avg_monthly_saving": "monthly_saving", "savings_rate": "savings_ratio",
+    "credit_frequency": _ratio("salaries", "n"), "debit_frequency": _ratio("(n - salaries)", "n"), "upi_frequency": _ratio("m_UPI", "n"), "atm_frequency": _ratio("m_ATM", "n"),
+    "online_spend_ratio": _ratio("online", "known"), "merchant_diversity": _ratio("merchants", "n"), "subscription_count": "CAST(subscriptions AS DOUBLE)",
+} | {f"pct_{c.lower()}": _ratio(f"c_{c}", "with_category") for c in profile.SHARES} | {f"freq_{m.lower()}": _ratio(f"m_{m}", "with_mode") for m in rules.KNOWN_SHARES}
 
 
-@query()
+@query(
+    f"""{_with_parts()}, counts AS (SELECT customer_id, {_COUNTS} FROM ledger GROUP BY customer_id)
+    SELECT customer_id, {', '.join(f"coalesce({_FEATURE_SQL.get(c, c)}, 0.0::DOUBLE) AS {c}" for c in profile.FEATURES[1:])} FROM {_JOINED} LEFT JOIN counts USING (customer_id)"""
+)
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.feature_table(ledger(spark, sf_dir))
 
@@ -306,14 +369,19 @@ def bank_and_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.bank_of(F.col("text")).alias("bank"), text.layout_hint(F.col("text")).alias("layout"))
 
 
-def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as raw cells of one file a customer."""
+def _numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with path (the customer) and row."""
     from pyspark.sql import Window
 
-    o = table(spark, sf_dir, "orders")
     row = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")
+    return table(spark, sf_dir, "orders").select("*", F.col("o_custkey").cast("string").alias("path"), row.alias("row"))
+
+
+def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw cells of one file a customer."""
+    o = _numbered_orders(spark, sf_dir)
     cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(h).alias("header"), v.alias("value")) for i, (h, v) in enumerate([("When", F.date_format("o_orderdate", "dd/MM/yyyy")), ("What", F.col("o_orderpriority")), ("Sum", F.col("o_totalprice").cast("decimal(18,2)").cast("string"))])])
-    return o.select(F.col("o_custkey").cast("string").alias("path"), row.alias("row"), F.explode(cells).alias("c")).select("path", "row", "c.*")
+    return o.select("path", "row", F.explode(cells).alias("c")).select("path", "row", "c.*")
 
 
 @query(
@@ -328,11 +396,157 @@ def column_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_tests(_order_cells(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH t AS ({SQL['column_tests']}) SELECT path, pos, CASE WHEN header = 'When' AND is_date THEN 'date' WHEN header = 'Sum' AND is_balance THEN 'balance' WHEN header = 'Sum' AND is_amount THEN 'debit' END AS field, header AS source_column,
+    CASE WHEN header = 'When' AND is_date THEN 0.75::DOUBLE WHEN header = 'Sum' AND is_balance THEN 0.7::DOUBLE WHEN header = 'Sum' AND is_amount THEN 0.65::DOUBLE ELSE 0.0::DOUBLE END AS confidence,
+    CASE WHEN header <> 'What' AND (is_date OR is_amount) THEN 'inferred' ELSE 'unmapped' END AS method FROM t"""
+)
 def column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers that no name fits, so what their values show decides."""
     return columns.column_mapping(_order_cells(spark, sf_dir))
 
 
+_ORDER_ROWS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row, * FROM orders)"
+
+
+@query(
+    f"""WITH {_ORDER_ROWS}, m AS (SELECT path, max(field) FILTER (WHERE source_column = 'Sum') AS sum_is, count(*) FILTER (WHERE field = 'date') AS has_date FROM ({SQL['column_mapping']}) GROUP BY path),
+    r AS (SELECT path, row, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS date, o_orderpriority AS description, CAST(o_totalprice AS DECIMAL(18,2)) AS v, sum_is, lower(o_orderpriority) AS low FROM o JOIN m USING (path) WHERE has_date > 0)
+    SELECT path, row, date, description, CASE WHEN sum_is = 'debit' THEN v END AS debit, CAST(NULL AS DECIMAL(18,2)) AS credit, CASE WHEN sum_is = 'balance' THEN v END AS balance, coalesce({_KEYWORD_CASE}, 'Others') AS category FROM r""",
+    money="debit credit balance",
+)
+def statement_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw cells of many files to transactions with a category: mapping, normalising, merchants, rules."""
+    cells = _order_cells(spark, sf_dir)
+    found, _ = canonical.normalised(cells, columns.column_mapping(cells))
+    done = canonical.with_categories(found.withColumn("merchant", F.lit(None).cast("string")))
+    return done.select("path", "row", "date", "description", "debit", "credit", "balance", "category")
+
+
+@query(
+    f"""WITH {_ORDER_ROWS}, m AS (SELECT path, count(*) FILTER (WHERE field = 'date') AS has_date FROM ({SQL['column_mapping']}) GROUP BY path)
+    SELECT path, row, 'no date' AS reason FROM o JOIN m USING (path) WHERE has_date = 0"""
+)
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _order_cells(spark, sf_dir)
+    return canonical.normalised(cells, columns.column_mapping(cells))[1]
+
+
+_CODE = "CAST(CASE p_size % 4 WHEN 0 THEN 5411 WHEN 1 THEN 5812 ELSE p_size END AS VARCHAR)"
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey, {_CODE} AS code, lower(concat_ws(' ', p_brand, p_name)) AS low FROM part)
+    SELECT p_partkey, coalesce(by_code, by_word, 'Others') AS category, CASE WHEN by_code IS NOT NULL THEN {rules.CONFIDENCE['code']}::DOUBLE WHEN by_word IS NOT NULL THEN {rules.CONFIDENCE['keyword']}::DOUBLE ELSE {rules.CONFIDENCE['default']}::DOUBLE END AS category_confidence
+    FROM (SELECT p_partkey, CASE code {' '.join(f"WHEN '{n}' THEN '{c}'" for c, ns in rules.CATEGORY_CODES.items() for n in ns)} END AS by_code, {_KEYWORD_CASE} AS by_word FROM r)"""
+)
+def category_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of merchants that come with a category code, which goes before keywords."""
+    code = F.when(F.col("p_size") % 4 == 0, 5411).when(F.col("p_size") % 4 == 1, 5812).otherwise(F.col("p_size"))
+    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("merchant"), F.col("p_name").alias("description"), code.alias("code"))
+    return canonical.with_categories(df, code_col="code").select("p_partkey", "category", "category_confidence")
+
+
+@query(
+    f"""WITH {_ORDER_ROWS}, c AS (SELECT path, row, CASE o_orderkey % 3 WHEN 0 THEN [o_orderpriority, o_orderstatus] WHEN 1 THEN [o_orderpriority, o_orderstatus, 'x', 'y'] ELSE [o_orderpriority, o_orderstatus, 'x'] END AS cells FROM o),
+    h AS (SELECT *, first_value(cells) OVER (PARTITION BY path ORDER BY row) AS header FROM c),
+    k AS (SELECT *, len(list_filter(range(1, least(len(cells), len(header)) + 1), lambda i: lower(cells[i]) = lower(header[i]))) AS same, len(header) AS w FROM h WHERE row > 0)
+    SELECT path, row, array_to_string(CASE WHEN len(cells) > w THEN list_append(cells[1 : w - 1], array_to_string(cells[w:], ' ')) ELSE list_concat(cells, [x FOR x IN ['', '', '', ''][1 : w - len(cells)]]) END, '|') AS cells
+    FROM k WHERE same < greatest(2, w // 2)"""
+)
+def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables cut over pages: repeated headers go, rows get the header's width."""
+    o = _numbered_orders(spark, sf_dir)
+    kind = F.col("o_orderkey") % 3
+    first = [F.col("o_orderpriority"), F.col("o_orderstatus")]
+    cells = F.when(kind == 0, F.array(*first)).when(kind == 1, F.array(*first, F.lit("x"), F.lit("y"))).otherwise(F.array(*first, F.lit("x")))
+    rows = o.select("path", F.floor(F.col("row") / 4).cast("int").alias("page"), "row", cells.alias("cells"))
+    return tables.joined_tables(rows).select("path", "row", F.array_join("cells", "|").alias("cells"))
+
+
+@query(
+    """WITH t AS (SELECT c_nationkey AS path, c_custkey AS tab, c_custkey % 40 AS n_rows, CASE c_custkey % 4 WHEN 0 THEN ['Date', 'Debit', 'Credit', 'Balance'] WHEN 1 THEN ['Account Summary', 'x'] WHEN 2 THEN ['a', 'b', 'c'] ELSE ['Value Date', 'Narration', 'Amount', 'Ref'] END AS header FROM customer),
+    s AS (SELECT *, len(header) AS width, lower(array_to_string(header, ' ')) AS low FROM t),
+    c AS (SELECT path, tab, width, 10 * n_rows + width + 100 * ("""
+    + " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in tables.TABLE_WORDS)
+    + """) - CASE WHEN contains(low, 'account summary') OR contains(low, 'available balance') THEN 500 ELSE 0 END AS score FROM s),
+    b AS (SELECT path, width FROM (SELECT path, width, row_number() OVER (PARTITION BY path ORDER BY sum(score) DESC, width DESC) AS k FROM c GROUP BY path, width) WHERE k = 1)
+    SELECT path, tab, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY path ORDER BY score DESC, tab) AS rank FROM c JOIN b USING (path, width)"""
+)
+def best_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as tables of their nation's file: the width of the best total score, ranked."""
+    heads = [["Date", "Debit", "Credit", "Balance"], ["Account Summary", "x"], ["a", "b", "c"], ["Value Date", "Narration", "Amount", "Ref"]]
+    header = F.get(F.array(*[F.array(*map(F.lit, h)) for h in heads]), (F.col("c_custkey") % 4).cast("int"))
+    t = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("path"), F.col("c_custkey").alias("table"), header.alias("header"), (F.col("c_custkey") % 40).alias("n_rows"))
+    return tables.best_tables(t).select("path", F.col("table").alias("tab"), F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """WITH c AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_returnflag = 'R' AS minus FROM lineitem), p AS (SELECT path, avg(CAST(minus AS INT)) AS share FROM c GROUP BY path)
+    SELECT path, CASE WHEN CAST(path AS BIGINT) % 2 = 0 THEN 'Amount' ELSE 'Value' END AS header FROM p WHERE CAST(path AS BIGINT) % 2 = 0 OR share > 0.1"""
+)
+def signed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as files with one column of amounts, signed where returned; half of them under a telling header."""
+    li = table(spark, sf_dir, "lineitem")
+    value = F.concat(F.when(F.col("l_returnflag") == "R", "-").otherwise(""), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
+    both = F.array(F.struct(F.lit(0).alias("pos"), F.lit("Kind").alias("header"), F.col("l_linestatus").alias("value")), F.struct(F.lit(1).alias("pos"), F.when(F.col("l_orderkey") % 2 == 0, "Amount").otherwise("Value").alias("header"), value.alias("value")))
+    return columns.signed_amount_columns(li.select(F.col("l_orderkey").cast("string").alias("path"), F.explode(both).alias("c")).select("path", "c.*"))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS n_rows, sum(length(o_orderpriority)) AS n_letters FROM orders GROUP BY o_custkey")
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages of scanned tokens, four a row of text and slightly off its line: put together in rows again."""
+    o = _numbered_orders(spark, sf_dir)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((F.lit(100.0) - i).alias("x"), (F.col("row") * 40.0 + (i % 2) * 5).alias("y"), F.substr(F.col("o_orderpriority"), i * 4 + 1, F.lit(4)).alias("text")))
+    tokens = o.select("path", F.lit(1).alias("page"), F.explode(parts).alias("t")).select("path", "page", "t.*")
+    found = tables.token_rows(tokens)
+    return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(F.array_join("cells", ""))).alias("n_letters"))
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT p_brand AS merchant FROM part), c AS (SELECT DISTINCT p_brand AS merchant FROM part WHERE p_size = 1) SELECT w.merchant, CASE WHEN c.merchant IS NOT NULL THEN '{}' END AS payload, CASE WHEN c.merchant IS NOT NULL THEN 'cache' ELSE 'queued' END AS source FROM w LEFT JOIN c USING (merchant)"""
+)
+def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("merchant"), "p_size")
+    cache = p.where("p_size = 1").select("merchant", F.lit("{}").alias("payload"), F.lit(True).alias("success")).distinct()
+    return store.enrichment(p.select("merchant").distinct(), cache)
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT p_brand AS merchant FROM part), r AS (SELECT merchant, CAST(right(merchant, 1) AS INT) % 3 AS k FROM q)
+    SELECT merchant, CASE WHEN k = 1 THEN 2 ELSE 1 END AS attempts, CASE WHEN k = 1 THEN '500' ELSE 'old' END AS last_error FROM r WHERE k > 0"""
+)
+def after_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue after one round of look-ups: of three merchants one succeeds, one fails, one is not tried."""
+    merchants = table(spark, sf_dir, "part").select(F.col("p_brand").alias("merchant")).distinct()
+    k = F.substring("merchant", -1, 1).cast("int") % 3
+    queue = merchants.select("merchant", F.lit(None).cast("timestamp").alias("queued_at"), F.lit(1).alias("attempts"), F.lit("old").alias("last_error"))
+    results = merchants.where(k < 2).select("merchant", (k == 0).alias("success"), F.when(k == 1, "500").alias("error"))
+    return store.after_drain(queue, results).select("merchant", "attempts", "last_error")
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS customer_id, max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS old, max(o_orderkey) FILTER (WHERE o_orderkey % 3 = 0) AS new FROM orders GROUP BY o_custkey)
+    SELECT customer_id, '{"last":' || coalesce(new, old) || '}' AS payload FROM o WHERE coalesce(new, old) IS NOT NULL"""
+)
+def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles stored as JSON by customer: the newer version of a key replaces the older one."""
+    o = table(spark, sf_dir, "orders")
+    version = lambda d, n: o.where(F.col("o_orderkey") % d == 0).groupBy(F.col("o_custkey").alias("customer_id")).agg(F.max("o_orderkey").alias("last")).select("customer_id", F.to_json(F.struct("last")).alias("payload"), F.lit(n).alias("version"))
+    return store.upserted(version(2, 1), version(3, 2), ["customer_id"], "version").select("customer_id", "payload")
+
+
+@query(
+    """WITH q AS (SELECT p_partkey, p_brand AS merchant, p_name AS description FROM part), k AS (SELECT *, sha256(lower(trim(merchant)) || chr(10) || lower(trim(description))) AS key FROM q),
+    c AS (SELECT DISTINCT key FROM k WHERE p_partkey % 2 = 0) SELECT p_partkey, CASE WHEN c.key IS NOT NULL THEN 'Shopping' ELSE 'Travel' END AS category FROM k LEFT JOIN c USING (key)"""
+)
+def category_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories from a cache by key, the rest from an injected function, each distinct key asked once."""
+    df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("merchant"), F.col("p_name").alias("description"))
+    cache = store.category_keys(df.where("p_partkey % 2 = 0")).select("key", F.lit("Shopping").alias("category"), F.lit(0.9).alias("confidence")).distinct()
+    return store.cached_categories(df, cache, lambda texts: [("Travel", 0.7) for _ in texts]).select("p_partkey", "category")
+
+
 @query("WITH h AS (SELECT l_orderkey AS path, l_linenumber AS pos, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, CASE WHEN l_returnflag = 'N' THEN 'col' ELSE l_returnflag END AS base FROM lineitem) SELECT path, k AS pos, CASE WHEN row_number() OVER w = 1 THEN base ELSE base || '_' || (row_number() OVER w - 1) END AS uniq FROM h WINDOW w AS (PARTITION BY path, base ORDER BY k)")
 def column_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -373,11 +587,24 @@ def csv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table_summary(table(spark, sf_dir, "nation"))
 
 
-@query()
+@query("SELECT a.vec_id AS id, round(min(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS distance FROM embeddings a, embeddings b WHERE a.label = 0 AND b.label <> 0 GROUP BY a.vec_id")
 def nearest_neighbour_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance from each vector of label 0 to the nearest of the others."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
-    return synthetic.nearest(e.where("label = 0").select("id", "v"), e.where("label <> 0").select("v"))
+    return synthetic.nearest(e.where("label = 0").select("id", "v"), e.where("label <> 0").select("v")).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    """WITH e AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b, min(c_nationkey) AS c, max(c_nationkey) AS d FROM customer),
+    r AS (SELECT (c_acctbal - a) / (b - a) AS x, (c_nationkey - c) / CAST(d - c AS DOUBLE) AS y FROM customer, e), m AS (SELECT (s_acctbal - a) / (b - a) AS x, (s_nationkey - c) / CAST(d - c AS DOUBLE) AS y FROM supplier, e),
+    n AS (SELECT m.x, m.y, min(sqrt((m.x - r.x) * (m.x - r.x) + (m.y - r.y) * (m.y - r.y))) AS d FROM m, r GROUP BY m.x, m.y)
+    SELECT round(min(d), 6) AS min_distance, count(*) AS n, min(d) > 1e-6 AS passed FROM n"""
+)
+def privacy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as if they were made from customers: balance and nation scaled by the customers' ranges."""
+    real = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("customer_id"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return synthetic.privacy_check(real, made, ["balance", "nation"]).select(F.round("min_distance", 6).alias("min_distance"), "n", "passed")
 
 
 @query()
