@@ -9,19 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_root: str | None = None
-
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="spark-passbook-")
-        spark.sparkContext.setCheckpointDir(_own_root)
-    return _own_root
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else the checkpoint folder of the session.
+
+    Where neither is set a local session (tests) gets a temporary one; a cluster is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-passbook-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
 
 
 #: Rows in a batch between Spark and Python: documents are long, and a batch is in memory on both sides.
@@ -41,11 +41,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/passbook-{label}-{uuid.uuid4().hex}"
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Scratch files last as long as the driver: what was read from them may still be asked for."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    _gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,8 +63,10 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"passbook_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}"
     writer = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key)
-    writer.option("path", f"{shared_root(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    writer.option("path", path).option("compression", "zstd").saveAsTable(name)
+    _gone_at_exit(spark, path)
     try:
         return spark.table(name)
     finally:

@@ -11,8 +11,9 @@ are parsed by their Content-Length; continuation records are grouped by origin i
 total length is verified, and the chunked framing is decoded. Segments that are missing, repeated with other
 content or of a wrong total give a null payload and an ``error``.
 
-Nulls: a null payload is empty; a null key gets its own record id. Rows that repeat a key are each written and read; with equal
-payloads they are all responses. Empty tables give no rows.
+Nulls: a null payload is empty, a null url is ``urn:none``; a null key gets its own record id. Rows that repeat a key are
+each written and read; with equal payloads they are all responses. Other columns of the pages are not read, whatever
+their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ def decided(pages: DataFrame, *, key_col: str, payload_col: str, url_col: str, r
     """
     df = pages.select(F.col(f"`{key_col}`").alias("key"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     df = df.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload")).withColumn("rid", F.monotonically_increasing_id())
+    df = written(df, "payloads")  # the numbers of rows stand for good: both branches and every attempt of a task see the same
     large = df.where(F.col("size") >= revisit_from)
     first = large.groupBy("digest").agg(F.max(F.struct("key", "rid")).alias("first"), F.count(F.lit(1)).alias("copies"))
     first = first.where((F.col("copies") > 1) & F.col("first.key").isNotNull()).select("digest", F.col("first.key").alias("first"), F.col("first.rid").alias("first_rid"))
