@@ -1,7 +1,11 @@
 """From raw documents to token ids: each stage is one operator, written as Parquet and read again by the next.
 
 All stages but the last return the columns of documents. ``ORACLE_SQL`` is None, as SQL can't express the learned
-score; tests hold each stage against brute force.
+score; ``tests/llm/test_pipeline.py`` holds what each stage keeps and changes against plain Python over its own input.
+
+Nulls: a null text is empty to every stage and stays null in what it keeps; a null id is never learned from and never
+a copy. Ties and repeated rows: of near copies the smallest id stays, rows that share that id all stay; other stages
+judge each row by itself. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
