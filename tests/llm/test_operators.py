@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from passbook.llm import bpe, chat, decontaminate, digest, graph, html_text, near_copies, quality, queries, secrets, simhash, transducer, warc
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +59,30 @@ def test_warc(spark, odd, tmp_path):
         warc.dechunked(b"5\r\nab\r\n0\r\n\r\n")
 
 
+def test_warc_edges(spark, odd, tmp_path):
+    """An empty table, the digest of an empty payload, and segments that are missing, repeated or of a wrong length."""
+    none = odd.where("false").select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit("u").alias("url"))
+    warc.write(none, str(tmp_path / "none"))
+    assert warc.digests(warc.read(spark, str(tmp_path / "none"))).count() == 0
+    one = odd.where("doc_id IN (2, 3)").select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit("a b").alias("url"), F.lit(1).alias("key"), F.lit("x").alias("digest"))
+    warc.write(one, str(tmp_path / "one"))
+    got = {r.page_id: r for r in warc.digests(warc.read(spark, str(tmp_path / "one"))).collect()}
+    assert (got[2].payload_bytes, got[2].payload_digest) == (0, hashlib.sha1(b"").hexdigest()) and got[3].payload_digest == hashlib.sha1(LONG.encode()).hexdigest()
+
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"y" * 100)
+    own = lambda n, *more: [("WARC-Type", "response" if n == 1 else "continuation"), ("WARC-Record-ID", f"<{n}>"), ("X-Key", "7"), *([("WARC-Segment-Origin-ID", "<1>")] if n > 1 else []), ("WARC-Segment-Number", n), *more]
+    total = lambda n: ("WARC-Segment-Total-Length", n)
+    first, second, last = warc._record(own(1), block[:60]), warc._record(own(2), block[60:90]), warc._record(own(3, total(len(block))), block[90:])
+    wrong = warc._record(own(3, total(1)), block[90:])
+    other = warc._record(own(2), b"other")
+    for name, records, fault in [("ok", [last, first, second], None), ("twice", [first, second, second, last], None), ("gap", [first, last], "missing"), ("headless", [second, last], "missing"), ("length", [first, second, wrong], "length"), ("open", [first, second], "length"), ("clash", [first, second, other, last], "repeated")]:
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.warc").write_bytes(b"".join(r + b"\r\n\r\n" for r in records))
+        (r,) = warc.read(spark, str(folder)).collect()
+        assert (r.error is None and bytes(r.payload) == b"y" * 100) if fault is None else (fault in r.error and r.payload is None), name
+
+
 def test_simhash(spark, odd):
     import xxhash
 
@@ -213,6 +236,74 @@ def test_chat_layouts(spark):
     assert [(t.role, t.text) for t in back.turns] == [("", ""), ("assistant", "x <|im_start|> &amp; \n")] and back.learned == ["x <|im_start|> &amp; \n"]
 
 
+TWO = [("user", "q <|im_end|>"), ("assistant", "a & b")]
+RECORDS = {
+    "messages": ('{"messages":[{"role":"user","content":"q <|im_end|>","x":1},{"role":"assistant","content":"a & b"}]}', TWO),
+    "sharegpt": ('{"conversations":[{"from":"human","value":"q <|im_end|>"},{"from":"gpt","value":"a & b"}]}', TWO),
+    "prompt_completion": ('{"prompt":"q <|im_end|>","completion":"a & b","other":[1]}', TWO),
+    "prompt_response": ('{"prompt":"q <|im_end|>","response":"a & b"}', TWO),
+    "system_prompt_response": ('{"system":"s","prompt":"q <|im_end|>","response":null}', [("system", "s"), ("user", "q <|im_end|>"), ("assistant", "")]),
+    "instruction": ('{"instruction":"q <|im_end|>","output":"a & b"}', TWO),
+    "instruction_input": ('{"instruction":"q","input":"i","output":"o"}', [("user", "q\\n\\ni"), ("assistant", "o")]),
+    "question_answer": ('{"question":"q <|im_end|>","answer":"a & b"}', TWO),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RECORDS))
+def test_chat_layout(spark, name):
+    """Each layout by its JSON record and by its schema, through the template and back."""
+    record, want = RECORDS[name]
+    want = [(r, t.replace("\\n", "\n")) for r, t in want]
+    as_json = spark.createDataFrame([(1, record, "x")], "conv_id long, j string, layout string")
+    got = chat.json_turns(as_json, "j").first()
+    assert got.layout == name and [(t.role, t.text) for t in got.turns] == want
+    typed = spark.read.json(spark.createDataFrame([(record,)], "value string").rdd.map(lambda r: r.value)).withColumn("conv_id", F.lit(1))
+    typed = typed.withColumns({c: F.col(c).cast("string") for c, t in typed.dtypes if t == "void"})
+    back = chat.read_back(chat.formatted(chat.canonical_turns(typed))).first()
+    assert [(t.role, t.text) for t in back.turns] == want and back.learned == [t for r, t in want if r == "assistant"]
+
+
+def test_chat_edges(spark):
+    """Ties and repeated turns, very long texts, empty tables, extra columns, unknown layouts."""
+    long = "<|im_start|>" * 20000
+    rows = [(1, 0, "user", "b", "x", 1), (1, 0, "user", "a", "x", 1), (1, 0, "user", "a", "x", 1), (1, None, "system", long, "x", 1), (None, 1, "assistant", "&lt;|", "x", 1), (2, 1, "a\nb", None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, turns int")
+    back = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.canonical_turns(turns))).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [("system", long), ("user", "a"), ("user", "a"), ("user", "b")] and back[None].learned == ["&lt;|"] and [tuple(t) for t in back[2].turns] == [("a\nb", "")]
+    assert chat.formatted(chat.canonical_turns(turns.where("false"))).count() == 0
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, body string"))
+
+
+def test_decontamination_against_brute_force(spark):
+    """Repeated items, ties in rarity, overlapping windows, items of one word, repeated documents, clashing columns, both ways to join."""
+    rnd = random.Random(2)
+    some = lambda n: " ".join(rnd.choice("abcde") for _ in range(n))
+    items = [(1, some(12)), (2, some(12)), (2, some(11)), (3, "a b a b a b a b a b a b"), (4, "zebra"), (5, "e d"), (6, None), (7, ""), (8, "a b a b a b a b a b a b"), (None, "c c")]
+    docs = [(k, some(rnd.randint(0, 120)) + rnd.choice(["", " zebra", " Zebra, a", " a b a b a b a b a b"])) for k in range(60)]
+    docs += [(60, items[0][1] + " " + items[0][1]), (60, items[0][1]), (61, None), (62, "x " * 30000 + items[1][1])]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    windows = [(None if i is None else str(i), w[k : k + 10]) for i, t in items for w in [words(t)] if w for k in range(max(1, len(w) - 9))]
+    want = []
+    for _, t in docs:
+        w, hit, found = words(t), set(), set()
+        for i, x in windows:
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit |= set(range(k, k + len(x)))
+                    found |= {i} - {None}
+        want.append((len(w), len(hit), sorted(found), bool(hit)))
+    df = spark.createDataFrame([(i, t, "r", [1], 5) for i, t in docs], "doc_id long, text string, row string, items array<int>, n_hit int")
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, wid int")
+    for most in (decontaminate.BROADCAST_ROWS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontaminate, "BROADCAST_ROWS", most)
+            got = decontaminate.contamination(df, bench).collect()
+        assert sorted((r.n_words, r.n_hit, r["items"], r.contaminated) for r in got) == sorted(want) and all(r.row == "r" for r in got)
+    kept = decontaminate.decontaminated(df, bench)
+    assert kept.columns == df.columns and kept.count() == sum(not w[3] for w in want)
+
+
 def test_decontamination(spark, odd):
     item = " ".join(f"w{i}" for i in range(14))
     bench = spark.createDataFrame([(1, item), (2, "short item here"), (3, None), (4, "...")], "item_id long, text string")
@@ -307,13 +398,3 @@ def test_secrets(spark, odd):
         want = [("assign", m.start(), m.end()) for m in assign.finditer(r.text) if len(m[2]) >= 12] + [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", r.text) if len(m[0]) >= 18] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", r.text) if len(m[0]) >= 16]
         assert sorted((s.kind, s.start, s.end) for s in r.spans if s.kind in secrets.BASE) == sorted(want)
     assert secrets.scanned(odd).count() == len(ODD)
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = spark.createDataFrame(stage(spark, kept, SF).collect(), docs.schema)
-        assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
-    out = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in kept.collect()}
