@@ -57,6 +57,15 @@ MERCHANT_CATEGORIES = {
     "Uber": "Travel", "Ola": "Travel", "IRCTC": "Travel", "MakeMyTrip": "Travel", "Jio": "Telecom", "Airtel": "Telecom", "LIC": "Insurance",
 }
 
+# Phrases that the second tier learns from beside keywords and merchants, with their categories.
+TRAINING_PHRASES = {
+    "swiggy order food delivery": "Food", "zomato dinner": "Food", "amazon shopping order": "Shopping", "flipkart purchase": "Shopping",
+    "netflix monthly subscription": "Entertainment", "spotify premium": "Entertainment", "uber ride trip": "Travel", "irctc train ticket": "Travel",
+    "hpcl petrol pump fuel": "Fuel", "bigbasket grocery order": "Groceries", "zepto instant grocery": "Groceries", "salary credit from employer": "Salary",
+    "monthly house rent payment": "Rent", "lic insurance premium": "Insurance", "atm cash withdrawal": "ATM", "jio mobile recharge": "Telecom",
+    "airtel broadband bill": "Telecom", "electricity utility bill": "Utilities", "zerodha stock investment": "Investments", "income tax payment": "Tax",
+}
+
 # Other names of the canonical columns.
 COLUMN_NAMES = {
     "date": ["date", "txn date", "transaction date", "value date", "posting date", "entry date", "trans date"],

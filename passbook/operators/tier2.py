@@ -22,8 +22,8 @@ def ngrams(text: Column) -> Column:
 
 
 def samples(spark: SparkSession) -> DataFrame:
-    """(text, label): the keywords and the merchants whose category is fixed."""
-    rows = [(k, c) for c, ks in rules.CATEGORY_KEYWORDS.items() for k in ks] + list(rules.MERCHANT_CATEGORIES.items())
+    """(text, label): the keywords, the merchants whose category is fixed, and the training phrases."""
+    rows = [(k, c) for c, ks in rules.CATEGORY_KEYWORDS.items() for k in ks] + [*rules.MERCHANT_CATEGORIES.items(), *rules.TRAINING_PHRASES.items()]
     return spark.createDataFrame(rows, "text string, label string")
 
 

@@ -112,7 +112,8 @@ def cells(spark: SparkSession, folder: str, readers: dict[str, Callable[[bytes],
     return both.where("error IS NULL").drop("error"), both.where("error IS NOT NULL").select("path", "error")
 
 
-def csv_table(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV layout as a table of text: blanks are '' and headers are trimmed."""
+def csv_table(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """One CSV layout as a table of text: blanks are '' and headers are trimmed; the first ``most`` rows if given, which is the feature."""
     df = spark.read.csv(path, header=True, inferSchema=False)
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in df.columns])
+    df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in df.columns])
+    return df if most is None else df.limit(most)

@@ -33,24 +33,66 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: str) -> StreamingQuery:
-    """Upsert each micro-batch into the versioned table at ``path`` (a new version a batch, the newest counts).
+#: Parts of an upserted table by the hash of its key; a micro-batch rewrites those that it touches.
+BUCKETS = 64
 
-    A batch that is run again writes the same version again, so each row takes effect once.
+
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: str, *, buckets: int = BUCKETS) -> StreamingQuery:
+    """Upsert each micro-batch into the table at ``path``: the buckets it touches get a new version, the newest counts.
+
+    A batch that is run again writes the same versions again from the ones before it, so each row takes effect once;
+    versions that no batch can be run from any more are removed.
     """
     spark = stream.sparkSession
+    spot = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def put(batch: DataFrame, number: int) -> None:
-        old = latest(spark, path, batch.schema, before=number)
-        upserted(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        new = batch.withColumn("bucket", spot)
+        touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # ``buckets`` at most
+        if not touched:
+            return
+        old = _read(spark, path, {b: v for b, v in _versions(spark, path, before=number).items() if b in touched}, batch.schema)
+        upserted(old, batch, key, order).withColumn("bucket", spot).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+        _drop_older(spark, path, touched, number)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """The newest version of a table written by ``upsert_stream``; empty if there is none."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("version=")] if fs.exists(hadoop) else []
-    found = [v for v in found if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{path}/version={max(found)}") if found else spark.createDataFrame([], schema)
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _listed(spark: SparkSession, path: str, name: str) -> list[int]:
+    place, fs = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}="))
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Bucket -> its newest version (under ``before``)."""
+    found: dict[int, int] = {}
+    for v in _listed(spark, path, "version"):
+        if before is None or v < before:
+            found |= dict.fromkeys(_listed(spark, f"{path}/version={v}", "bucket"), v)
+    return found
+
+
+def _drop_older(spark: SparkSession, path: str, touched: set[int], number: int) -> None:
+    """Of each touched bucket only version ``number`` and the one before it stay."""
+    last = _versions(spark, path, before=number)
+    for v in _listed(spark, path, "version"):
+        for b in touched.intersection(_listed(spark, f"{path}/version={v}", "bucket")):
+            if v < last.get(b, number):
+                place, fs = _folder(spark, f"{path}/version={v}/bucket={b}")
+                fs.delete(place, True)
+
+
+def _read(spark: SparkSession, path: str, versions: dict[int, int], schema) -> DataFrame:
+    paths = [f"{path}/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def latest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table written by ``upsert_stream``, each bucket in its newest version; empty if there is none."""
+    return _read(spark, path, _versions(spark, path), schema)

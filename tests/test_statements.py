@@ -117,3 +117,115 @@ def test_stream_matches_batch(spark, tmp_path):
     assert q.awaitTermination(120) is not False
     got = {(r.user_id, r.event_id) for r in st.latest(spark, str(tmp_path / "t"), "user_id long, event_type string, event_id long").collect()}
     assert got == {(r.user_id, r.e) for r in events.groupBy("user_id").agg(F.max("event_id").alias("e")).collect()}
+
+
+def test_repeated_headers(spark, tmp_path):
+    """A header that occurs twice: the column of the mapping counts, not the largest cell under that name."""
+    (tmp_path / "a.csv").write_text("Date,Description,Amount,Amount\n15/01/2025,UPI-TEA,5.00,9.00\n16/01/2025,NEFT-REFUND,7.00,1.00\n")
+    cells, errors = statements.cells(spark, str(tmp_path))
+    ok, bad = canonical.normalised(cells, columns.column_mapping(cells))
+    assert sorted((r.description, float(r.credit), r.debit) for r in ok.collect()) == [("NEFT-REFUND", 7.0, None), ("UPI-TEA", 5.0, None)] and errors.count() == bad.count() == 0
+
+
+def test_contract(spark):
+    df = spark.createDataFrame([("x", "Netflix", 1)], "transaction_id string, merchant string, other int")
+    assert canonical.contract(df).columns == canonical.CONTRACT and canonical.contract(df).first().merchant == "Netflix"
+
+
+def test_tier2(spark, tmp_path):
+    """Obvious phrases get their category, rules go first, blank texts get none; the model is saved and read again."""
+    from passbook.operators import tier2
+
+    model = tier2.load_or_fit(spark, str(tmp_path / "m"))
+    again = tier2.load_or_fit(spark, str(tmp_path / "m"))
+    df = spark.createDataFrame([(1, None, "petrols stations"), (2, "Netflix", None), (3, None, None), (4, "hospitl clinc", "")], "k int, merchant string, description string")
+    one, two = ({r.k: (r.category, round(r.category_confidence, 6)) for r in canonical.with_categories(df, m).collect()} for m in (model, again))
+    assert one == two and one[1][0] == "Fuel" and one[2] == ("Entertainment", 0.95) and one[3] == ("Others", 0.1) and one[4][0] == "Healthcare"
+
+
+def test_amount_clusters(spark):
+    """The streaming fold equals the rule step by step, for dense amounts, ties and several keys."""
+    import random
+
+    rnd = random.Random(6)
+    rows = [(c, m, "debit", Decimal(rnd.randint(1, 4000)) / 10) for c in (1, 2, None) for m in ("a", "b") for _ in range(300)]
+    df = spark.createDataFrame(rows, "customer_id int, merchant string, direction string, amount decimal(18,2)")
+    got = {(r.customer_id, r.merchant, r.amount): r.cluster for r in recurring.amount_clusters(df).collect()}
+    want = {}
+    for c in (1, 2, None):
+        for m in ("a", "b"):
+            total, n, first = Decimal(0), 0, None
+            for a in sorted(x for k, l, _, x in rows if (k, l) == (c, m)):
+                mean = float(total) / n if n else 0.0
+                if first is None or abs(float(a) - mean) > max(0.1 * abs(mean), 1.0):
+                    total, n, first = Decimal(0), 0, a
+                total, n = total + a, n + 1
+                want[c, m, a] = first
+    assert got == want
+
+
+def test_nearest_is_exact(spark):
+    """Cells, blocks and radii lose no neighbour; null vectors, repeated ids and empty tables have a result."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, (150, 3)), np.concatenate([rng.normal(0, 1, (200, 3)), rng.normal(6, 0.1, (100, 3))])
+    queries = spark.createDataFrame([(i % 140, v.tolist()) for i, v in enumerate(a)] + [(999, None)], "id long, v array<double>")
+    rows = spark.createDataFrame([(v.tolist(),) for v in b], "v array<double>")
+    want = sorted((i % 140, round(float(np.sqrt(((b - v) ** 2).sum(1)).min()), 9)) for i, v in enumerate(a))
+    assert sorted((r.id, round(r.distance, 9)) for r in synthetic.nearest(queries, rows, block=16, pivots=7).collect()) == want
+    assert all(r.distance is None for r in synthetic.nearest(queries, rows.where("false")).collect()) and synthetic.nearest(queries.where("false"), rows).count() == 0
+
+
+def test_fidelity_and_copula(spark):
+    df = spark.range(400).select(F.col("id").cast("string").alias("customer_id"), F.col("id").cast("double").alias("a"), (F.col("id") * 2.0 + F.col("id") % 7).alias("b"))
+    made = synthetic.copula_samples(df, 400)
+    same, other = synthetic.fidelity(df, df, ["a", "b"]), synthetic.fidelity(df, made, ["a", "b"])
+    assert same == {"a": 1.0, "b": 1.0, "correlation": 1.0} and min(other.values()) > 0.85 and made.count() == 400
+    assert synthetic.privacy_check(df, df, ["a", "b"]).first().passed is False
+
+
+def test_stored_tables(spark, tmp_path):
+    """The registry has a name once, SQL over CSV, a bounded read, a cache of categories asked once a key."""
+    df = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "a int, b int")
+    none = spark.createDataFrame([], "name string, path string, n_rows long, columns array<string>")
+    one = store.registered(none, df, "t", str(tmp_path / "t"))
+    two = store.registered(one, df.limit(2), "t", str(tmp_path / "t2"))
+    assert [(r.name, r.n_rows, r["columns"]) for r in two.collect()] == [("t", 2, ["a", "b"])]
+    df.coalesce(1).write.csv(str(tmp_path / "csv"), header=True)
+    got = store.sql_over_csv(spark, "SELECT sum(a) AS s, avg(b) AS m FROM {t}", t=str(tmp_path / "csv")).first()
+    assert (got.s, got.m) == (6, 20.0) and statements.csv_table(spark, str(tmp_path / "csv"), most=2).count() == 2
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(texts):
+        asked.add(len(texts))
+        return [("Travel", 0.7) for _ in texts]
+
+    rows = spark.createDataFrame([("Uber ", "x"), ("uber", "X"), ("Ola", None), (None, None)], "merchant string, description string")
+    cache = store.category_keys(rows.limit(1).where("merchant = 'Ola'")).select("key", F.lit("Food").alias("category"), F.lit(1.0).alias("confidence"))
+    assert {r.category for r in store.cached_categories(rows, cache, ask).collect()} == {"Travel"} and asked.value == 3
+
+
+def test_workbook(spark, tmp_path):
+    """The first sheet of a workbook, with shared and inline strings and skipped cells."""
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Date</t></si><si><r><t>Am</t></r><r><t>ount</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2" t="inlineStr"><is><t>15/01/2025</t></is></c><c r="C2"><v>5.5</v></c></row></sheetData></worksheet>')
+    cells, errors = statements.cells(spark, str(tmp_path))
+    assert sorted((r.row, r.pos, r.header, r.value) for r in cells.collect()) == [(0, 0, "Date", "15/01/2025"), (0, 1, "", ""), (0, 2, "Amount", "5.5")] and errors.count() == 0
+
+
+def test_upsert_in_buckets(spark, tmp_path):
+    """Several micro-batches touch some buckets each; untouched ones stay as they are, and old versions go."""
+    from passbook.streaming import statements as st
+
+    schema = "k long, v long"
+    for n in range(4):
+        spark.createDataFrame([(k, n * 100 + k) for k in range(n, 40, n + 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = st.event_stream(spark, str(tmp_path / "in"), schema)
+        assert st.upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["k"], "v", buckets=8).awaitTermination(120) is not False
+    want = {k: max(n * 100 + k for n in range(4) if k in range(n, 40, n + 1)) for k in range(40)}
+    assert {r.k: r.v for r in st.latest(spark, str(tmp_path / "t"), schema).collect()} == want
