@@ -87,11 +87,11 @@ def ruled_category(merchant: Column, description: Column, code: Column | None =
     by_merchant = F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.MERCHANT_CATEGORIES.items() for x in kv]), merchant)
     codes = F.create_map(*[F.lit(x) for c, ns in rules.CATEGORY_CODES.items() for n in ns for x in (n, c)])
     by_code = F.try_element_at(codes, code) if code is not None else F.lit(None).cast("string")
-    by_word = keyword_category(F.concat_ws(" ", merchant, description))
-    return F.struct(
-        F.coalesce(by_merchant, by_code, by_word).alias("category"),
-        F.when(by_merchant.isNotNull(), rules.CONFIDENCE["merchant"]).when(by_code.isNotNull(), rules.CONFIDENCE["code"]).when(by_word.isNotNull(), rules.CONFIDENCE["keyword"]).cast("double").alias("confidence"),
-    )
+    # Tried in order, each once: keywords are the dear ones, so they come in where nothing else holds.
+    rule = lambda found, sure: F.when(found.isNotNull(), F.struct(found.alias("category"), F.lit(sure).cast("double").alias("confidence")))
+    by_word = F.get(F.transform(F.array(keyword_category(F.concat_ws(" ", merchant, description))), lambda c: rule(c, rules.CONFIDENCE["keyword"])), F.lit(0))
+    none = F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("confidence"))
+    return F.coalesce(rule(by_merchant, rules.CONFIDENCE["merchant"]), rule(by_code, rules.CONFIDENCE["code"]), by_word, none)
 
 
 def amount(c: Column) -> Column:
