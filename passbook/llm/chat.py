@@ -5,7 +5,9 @@ declarative mapping to turns (role, text). Extra fields do not matter: paths out
 are left out before hashing. Unknown layouts give null turns in the JSON form and raise in the typed form.
 
 Nulls: null role or text is empty; a null turn number sorts first; a null record has null turns. Ties in the
-turn number go by role, then text. Repeated rows are kept as repeated turns. Empty input gives no rows.
+turn number go by role, then text. Repeated rows are kept as repeated turns. A conversation is one row, however long
+its texts are. Columns that are no part of the layout are not read, whatever their names; in the JSON form they stay,
+but ``layout`` and ``turns`` are replaced. Empty input gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ chain takes its best match, and the mean is the likeness.
 
 Windows of (nearly) no entropy are never selected. A text without a selected window has itself as its one feature;
 the empty text has none. Likeness of two texts of which one has no feature is 1 if neither has, else 0.
-Nulls: a null text is empty. Equal texts have equal digests. An empty table gives no rows.
+Nulls: a null text is empty. Equal texts have equal digests; repeated rows are each digested. Ties in rarity go to the
+lower level, of equally rare windows to the leftmost. Very long texts take a chain of more filters. Extra columns pass
+through ``fingerprinted`` (one named ``fingerprint`` is replaced) and are not read by ``with_next``. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Script, style and textarea run to their end tag or the end of the page. Drawings
 dropped up to their end tag; without one, or if closed in themselves (``<svg/>``), only the tag is. Formulas and what
 stands in object, audio, video and canvas are text like any other.
 
-Nulls: a null page is empty and gives the empty text. Unclosed, crossed and cut-off tags are read to the end.
+Nulls: a null page is empty and gives the empty text. Unclosed, crossed and cut-off tags are read to the end. Equal pages
+have equal texts, repeated rows are each read; very long pages are read whole. Of stretches of equal weight the first is
+the heaviest. Extra columns pass through; an input column named ``text`` is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ tried only at the places of its own keywords, leftmost first and without overlap
 (``github``, ``npm``: six base-62 digits of the CRC-32 of the rest) are kept only if it fits. A run of hexadecimal
 digits has no keyword, so a direct expression finds it.
 
-Nulls: a null text is empty and has no spans. Equal texts have equal spans. Spans are in code points, end exclusive.
+Nulls: a null text is empty and has no spans. Equal texts have equal spans, repeated rows are each scanned. Spans are in
+code points, end exclusive, by start; at one start in the order of ``KINDS``. Very long texts are read whole, in one
+pass. Extra columns pass through; an input column named ``spans`` is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
