@@ -8,9 +8,10 @@ on ``BANDS`` bands of least shingle hashes instead: texts alike to 0.8 meet with
 
 Texts equal in their words (ASCII case apart) are one node. Nodes that meet are handled in units of at most two blocks,
 in two passes. Out of the first comes a least spanning forest by differing bits of each unit; its links that are alike to
-the threshold make the first components. Out of the second comes every pair that is near, could be alike by the sizes of
-its sets and is not in one component yet, and each is checked exactly. So no pair is passed over but those that checked
-links connect already, and a group of copies costs about its size in links, not its square.
+the threshold make the first components. In the second, nodes that have a near partner of another component, which could
+be alike by the sizes of their sets, come to their units with their shingle sets, and every such pair is checked there,
+in the first band on which it meets, unless links checked before connect it. So no pair is passed over, none leaves its
+unit but for links that hold, and a group of copies costs about its size in links, not its square.
 
 Nulls: a null text has no words, as an empty one; both are copies of each other. Texts of fewer words than a shingle
 are one shingle. A null id stays its own row without a component. Of an id with several rows all go if every one is a
@@ -33,8 +34,8 @@ from .simhash import BLOCK, SEED, in_blocks, units
 SHINGLE, LEAST = 5, 0.8
 WIDE, MOST, SEGMENTS = 256, 68, 8
 BANDS, ROWS = 20, 4
-#: Links of one text that are checked in one place.
-HUB = 1024
+#: Links of one text that are checked in one place; nodes of a block that come with their sets; common hashes counted at once.
+HUB, SET_BLOCK, COUNTED = 1024, 512, 1 << 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes handled at once.
 _STEP = 1 << 12
@@ -91,20 +92,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketched(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, fp, bands, size of the shingle set): one row for each row of ``docs``."""
+    """(id, node, fp, bands, lows: the low halves of the bands' keys, size of the shingle set): one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, fps, bands, counts = [], [], [], []
+            nodes, fps, bands, lows, counts = [], [], [], [], []
             for t in b.column("text"):
                 words = words_of(t.as_py() or b"")
                 fp, keys = sketch(found := shingles(words))
-                nodes.append(node_of(words)), fps.append(fp), bands.append(keys), counts.append(len(found))
-            cols = [b.column("id"), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "fp", "bands", "shingles"])
+                nodes.append(node_of(words)), fps.append(fp), bands.append(keys), lows.append(np.array(keys).astype("<u4").tobytes()), counts.append(len(found))
+            cols = [b.column("id"), pa.array(nodes, pa.binary()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(lows, pa.binary()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "node", "fp", "bands", "lows", "shingles"])
 
     bounded_batches(docs.sparkSession)
-    return _plain(docs, id_col, text_col).mapInArrow(run, "id long, node binary, fp binary, bands array<long>, shingles long")
+    return _plain(docs, id_col, text_col).mapInArrow(run, "id long, node binary, fp binary, bands array<long>, lows binary, shingles long")
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -169,33 +170,96 @@ def candidates(met: DataFrame, *, block: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def remaining(met: DataFrame, linked: DataFrame, *, least: float = LEAST, block: int = BLOCK) -> DataFrame:
-    """(a, b): every pair of nodes that meet, are near, may be alike to ``least`` by size and are not yet ``linked``.
+class _Unit:
+    """Nodes of a unit of work and which pairs of them are left to check."""
 
-    ``linked`` is (node, component). Nothing is thinned out here: what comes out has to be checked exactly.
-    """
-    met = met.join(linked, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    def __init__(self, unit: pa.Table, least: float):
+        self.names, self.fps, self.least = unit.column("node").to_pylist(), _fps(unit), least
+        self.root = unit.column("root").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        self.count, self.band = unit.column("shingles").to_numpy(), unit.column("n")[0].as_py()
+        self.lows = np.frombuffer(b"".join(unit.column("lows").to_pylist()), "<u4").reshape(-1, BANDS)
+        # Of two blocks the pairs across, of one block (or a small bucket) all.
+        self.split = int((unit.column("side").to_numpy() == 0).sum())
+
+    def partners(self, i: int) -> np.ndarray:
+        """Places of later nodes that are near, of another component, could be alike by size and meet here first."""
+        at = self.split if self.split < len(self.names) else i + 1
+        sizes = np.minimum(self.count[at:], self.count[i]) >= (self.least - 1e-9) * np.maximum(self.count[at:], self.count[i])
+        rows = np.flatnonzero((self.root[at:] != self.root[i]) & sizes) + at
+        rows = rows[(self.lows[rows] == self.lows[i]).argmax(1) == self.band] if len(rows) else rows
+        return rows[near(np.bitwise_count(self.fps[rows] ^ self.fps[i]))] if len(rows) else rows
+
+
+_KEY, _WITH = ["n", "bits", "x", "y", "side"], ["node", "fp", "lows", "shingles", "root"]
+_UNIT = "n int, bits long, x int, y int, side int, node binary, fp binary, lows binary, shingles long, root binary"
+
+
+def open_nodes(met: DataFrame, nodes: DataFrame, linked: DataFrame, *, least: float = LEAST, block: int = SET_BLOCK) -> DataFrame:
+    """Nodes, unit by unit, that have a pair left to check there; ``linked`` is (node, component). A row for each node of a unit at most."""
+    info = nodes.select("node", "lows").join(linked, "node", "left").select("node", "lows", F.coalesce("component", "node").alias("root"))
+    met = met.join(info, "node")
     mixed = met.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    columns = ["node", "fp", "shingles", "root"]
-    rows = in_blocks(met.join(mixed, "key", "left_semi"), columns, block).select("key.n", "key.bits", "x", "y", "side", *columns)
+    rows = in_blocks(met.join(mixed, "key", "left_semi"), _WITH, block).select("key.n", "key.bits", "x", "y", "side", *_WITH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches):
-            fps, names = _fps(unit), unit.column("node").to_pylist()
-            root = unit.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
-            count = unit.column("shingles").to_numpy()
-            # Of two blocks the pairs across, of one block (or a small bucket) all.
-            split = int((unit.column("side").to_numpy() == 0).sum())
-            across = split < len(names)
-            for i in range(split):
-                at = split if across else i + 1
-                sizes = np.minimum(count[at:], count[i]) >= (least - 1e-9) * np.maximum(count[at:], count[i])
-                rows = np.flatnonzero((root[at:] != root[i]) & sizes) + at
-                if len(rows):
-                    rows = rows[near(np.bitwise_count(fps[rows] ^ fps[i]))]
-                if len(rows):
-                    yield _links([(names[i], names[j]) for j in rows.tolist()])
+            u = _Unit(unit, least)
+            wanted = np.zeros(len(u.names), bool)
+            for i in range(u.split):
+                rows = u.partners(i)
+                wanted[rows] = True
+                wanted[i] |= len(rows) > 0
+            yield from unit.select([*_KEY, *_WITH]).filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, _UNIT)
+
 
+def _common(sets: list[np.ndarray]):
+    """A function of i: how many hashes each of ``sets`` has in common with the i-th."""
+    size = np.array(list(map(len, sets)))
+    owner, (_, number) = np.repeat(np.arange(len(sets)), size), np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    owner, held = owner[order], np.bincount(number)
+    start, first = np.cumsum(held) - held, np.cumsum(size) - size
+
+    def common(i: int) -> np.ndarray:
+        out, own = np.zeros(len(sets), np.int64), number[first[i] : first[i] + size[i]]
+        cut = np.flatnonzero(np.diff(np.cumsum(held[own]) // COUNTED, prepend=0))
+        for part in np.split(own, cut):
+            n = held[part]
+            ends = np.cumsum(n)
+            out += np.bincount(owner[np.repeat(start[part] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], minlength=len(sets))
+        return out
+
+    return common
+
+
+def checked(nodes: DataFrame, texts: DataFrame, *, least: float = LEAST) -> DataFrame:
+    """(a, b): links alike to ``least`` that span the components of each unit of ``open_nodes``, by exact sets within the unit."""
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingles(words_of(t.as_py() or b"")).tobytes() for t in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (*_KEY, *_WITH)], sets], names=[*_KEY, *_WITH, "set"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in units(batches):
+            u = _Unit(unit, least)
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in unit.column("set")]
+            size, common, found = np.array(list(map(len, sets))), _common(sets), []
+            for i in range(u.split):
+                rows = u.partners(i)
+                if len(rows):
+                    both = common(i)[rows]
+                    for j in rows[both / (size[i] + size[rows] - both) >= least].tolist():
+                        if u.root[i] != u.root[j]:
+                            u.root[u.root == u.root[j]] = u.root[i]
+                            found.append((u.names[i], u.names[j]))
+            yield _links(found)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.join(texts, "node").select(*_KEY, *_WITH, "text").mapInArrow(with_sets, f"{_UNIT}, set binary")
+    rows = rows.repartition(parts, "n", "bits", "x", "y").sortWithinPartitions("n", "bits", "x", "y", "side", "node")
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -245,13 +309,14 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     if least < LEAST:
         raise ValueError(f"least must be {LEAST} or more")
     rows = written(sketched(docs, id_col=id_col, text_col=text_col), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "bands", "shingles")])
+    nodes = rows.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("fp", "bands", "lows", "shingles")])
     nodes = written(nodes, "nodes")
     met = meetings(nodes.where("first IS NOT NULL"))
     texts = texts_of(docs, nodes, met, id_col=id_col, text_col=text_col)
     check = lambda links: written(verified(written(links, "candidates"), texts, least=least), "links")
     first = check(candidates(met, block=block))
-    more = check(remaining(met, components(first), least=least, block=block))
+    left = written(open_nodes(met, nodes, components(first), least=least, block=min(block, SET_BLOCK)), "open")
+    more = written(checked(left, texts, least=least), "links")
     linked = components(first.unionByName(more)).withColumnRenamed("component", "root")
     named = nodes.select("node", "first").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     component = named.groupBy("root").agg(F.min("first").alias("component"))
