@@ -84,6 +84,12 @@ def column_mapping(cells: DataFrame, names: dict[str, list[str]] | None = None)
     return tests.mapInPandas(assign, "path string, pos int, field string, source_column string, confidence double, method string")
 
 
+def mapped(mapping: DataFrame) -> DataFrame:
+    """A row a file: for each field its column (null if none has it) and the confidence (0.0 then)."""
+    of = lambda c, f: F.max(F.when(F.col("field") == f, F.col(c)))
+    return mapping.groupBy("path").agg(*[of("source_column", f).alias(f) for f in FIELDS], *[F.coalesce(of("confidence", f), F.lit(0.0)).alias(f"{f}_confidence") for f in FIELDS])
+
+
 def unique_headers(headers: DataFrame) -> DataFrame:
     """(path, pos, header, unique): blanks become ``col``, repeats get _1, _2 ... in order."""
     base = F.regexp_replace(F.trim(F.coalesce("header", F.lit(""))), r"\s+", " ")

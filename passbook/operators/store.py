@@ -87,6 +87,14 @@ def registered(datasets: DataFrame, df: DataFrame, name: str, path: str) -> Data
     return datasets.where(F.col("name") != name).unionByName(new)
 
 
+def served(datasets: DataFrame, name: str, limit: int = 100) -> DataFrame:
+    """The first ``limit`` rows, which is the feature, of a registered dataset; ValueError if there is none of that name."""
+    found = datasets.where(F.col("name") == name).select("path").limit(1).collect()
+    if not found:
+        raise ValueError(f"no dataset {name}")
+    return datasets.sparkSession.read.parquet(found[0]["path"]).limit(limit)
+
+
 def transactions(df: DataFrame, *, customer_id=None, category: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest first, ties by transaction_id; a page of ``limit`` rows, which is the feature."""
     if customer_id is not None:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import registered
+
 GRID = 200
 CLOSE = 1e-6
+#: Numbers of rows that are made and served.
+SIZES = (100, 1000, 10000)
 
 
 def _quantiles(df: DataFrame, columns: list[str], grid: int) -> list[list[float]]:
@@ -60,6 +64,13 @@ def copula_samples(df: DataFrame, n: int, *, id_col: str = "customer_id", seed:
     return df.sparkSession.range(n).mapInPandas(draw, f"{id_col} string, " + ", ".join(f"`{c}` double" for c in columns))
 
 
+def grid(df: DataFrame, datasets: DataFrame, folder: str, *, id_col: str = "customer_id", sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """The registry with a dataset ``copula-n`` of n made rows for each size, written under ``folder``."""
+    for n in sizes:
+        datasets = registered(datasets, copula_samples(df, n, id_col=id_col), f"copula-{n}", f"{folder}/copula-{n}")
+    return datasets
+
+
 def _correlation(df: DataFrame, columns: list[str]):
     import numpy as np
 

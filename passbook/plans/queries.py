@@ -406,6 +406,30 @@ def column_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_mapping(_order_cells(spark, sf_dir))
 
 
+_HEADS = [
+    # header of the file of suppliers whose key leaves this remainder, field, confidence and method
+    [("Txn Date", "date", 1.0, "exact"), ("NARRATION", "description", 1.0, "exact"), ("Debit", "debit", 1.0, "exact"), ("Credit  Amount", "credit", 1.0, "exact"), ("Closing Balance", "balance", 1.0, "exact"), ("Chq No", "reference_number", 1.0, "exact")],
+    [("Date Value", "date", 1.0, "fuzzy"), ("Particulars", "description", 1.0, "exact"), ("Withdrawals", "debit", 0.952, "fuzzy"), ("Deposits", "credit", 0.933, "fuzzy"), ("Balance Closing", "balance", 1.0, "fuzzy"), ("Extra Notes", None, 0.0, "unmapped")],
+    [("Posting Date", "date", 1.0, "exact"), ("Details", "description", 1.0, "exact"), ("Signed Amount", "amount", 1.0, "exact"), ("Something", None, 0.0, "unmapped")],
+]
+_HEAD_ROWS = ", ".join(f"({k}, {i}, '{h}', {repr(f) if f else 'NULL'}, {c}::DOUBLE, '{m}')" for k, heads in enumerate(_HEADS) for i, (h, f, c, m) in enumerate(heads))
+
+
+@query(f"SELECT CAST(s_suppkey AS VARCHAR) AS path, pos, field, header AS source_column, confidence, method FROM supplier JOIN (VALUES {_HEAD_ROWS}) AS h(k, pos, header, field, confidence, method) ON s_suppkey % {len(_HEADS)} = k")
+def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three layouts whose headers say what a column is, exactly, in another order or nearly."""
+    heads = F.array(*[F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(h).alias("header"), F.lit("x").alias("value")) for i, (h, *_) in enumerate(hs)]) for hs in _HEADS])
+    cells = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.lit(0).cast("long").alias("row"), F.explode(F.get(heads, (F.col("s_suppkey") % len(_HEADS)).cast("int"))).alias("c"))
+    return columns.column_mapping(cells.select("path", "row", "c.*"))
+
+
+@query("SELECT customer_id, coalesce(n, 0) AS n_transactions FROM (SELECT c_custkey AS customer_id FROM customer) LEFT JOIN (SELECT o_custkey AS customer_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey) USING (customer_id)")
+def customers_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, with 0 transactions where the ledger has none."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
+    return behaviour.with_customers(behaviour.totals(entries(spark, sf_dir)), customers).select("customer_id", "n_transactions")
+
+
 _ORDER_ROWS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row, * FROM orders)"
 
 

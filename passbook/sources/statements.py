@@ -7,6 +7,7 @@ cannot be read becomes a row of errors, not a failed job.
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -56,6 +57,17 @@ def inventory(spark: SparkSession, folder: str, pdf_text: Callable[[bytes], str]
     ).orderBy("path")
 
 
+def settings(spark: SparkSession, path: str) -> dict[str, dict]:
+    """Names and words that a JSON file (an object of objects) gives for ``column_mapping``, ``bank_of`` and others.
+
+    ValueError if the file holds anything else.
+    """
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if not isinstance(found, dict) or not all(isinstance(v, dict) for v in found.values()):
+        raise ValueError(f"{path} is no mapping of mappings")
+    return found
+
+
 def _csv_rows(content: bytes) -> list[list[str]]:
     import csv
 

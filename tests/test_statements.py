@@ -229,3 +229,35 @@ def test_upsert_in_buckets(spark, tmp_path):
         assert st.upsert_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), ["k"], "v", buckets=8).awaitTermination(120) is not False
     want = {k: max(n * 100 + k for n in range(4) if k in range(n, 40, n + 1)) for k in range(40)}
     assert {r.k: r.v for r in st.latest(spark, str(tmp_path / "t"), schema).collect()} == want
+
+
+def test_grid_settings_and_mapping(spark, tmp_path):
+    """Made datasets are registered and served; settings are read from a file; the mapping as a row a file."""
+    df = spark.range(60).select(F.col("id").cast("string").alias("customer_id"), (F.col("id") * 1.5).alias("a"))
+    none = spark.createDataFrame([], "name string, path string, n_rows long, columns array<string>")
+    grid = synthetic.grid(df, none, str(tmp_path / "g"), sizes=(5, 12))
+    assert {r.name: r.n_rows for r in grid.collect()} == {"copula-5": 5, "copula-12": 12} and store.served(grid, "copula-12", limit=3).count() == 3
+    with pytest.raises(ValueError, match="no dataset"):
+        store.served(grid, "copula-7")
+    (tmp_path / "s.json").write_text('{"columns": {"date": ["when"]}, "banks": {"Own": ["own bank"]}}')
+    given = statements.settings(spark, str(tmp_path / "s.json"))
+    cells = spark.createDataFrame([("p", 0, 0, "When", "x")], "path string, row long, pos int, header string, value string")
+    row = columns.mapped(columns.column_mapping(cells, given["columns"])).first()
+    assert row.date == "When" and row.date_confidence == 1.0 and row.debit is None and row.debit_confidence == 0.0
+    assert spark.createDataFrame([("at Own Bank",)], "t string").select(text.bank_of(F.col("t"), given["banks"]).alias("b")).first().b == "Own"
+    (tmp_path / "bad.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        statements.settings(spark, str(tmp_path / "bad.json"))
+
+
+def test_customers_without_transactions(spark, history):
+    known = spark.createDataFrame([("c",), ("d",)], "customer_id string")
+    got = {r.customer_id: (r.n_transactions, r.merchant_loyalty) for r in behaviour.with_customers(behaviour.summary(history), known).collect()}
+    assert got == {"c": (36, 0.2), "d": (0, None)}
+
+
+def test_tokens_and_cut_tables(spark):
+    """Rows of a table over two pages: the header's repeat goes, short rows are padded, long ones joined."""
+    rows = [("p", 1, 0, ["Date", "Text", "Sum"]), ("p", 1, 1, ["1", "a"]), ("p", 2, 0, ["date", "TEXT", "x"]), ("p", 2, 1, ["2", "b", "c", "d"])]
+    got = tables.joined_tables(spark.createDataFrame(rows, "path string, page int, row int, cells array<string>")).orderBy("page").collect()
+    assert [r.cells for r in got] == [["1", "a", ""], ["2", "b", "c d"]]
