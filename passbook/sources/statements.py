@@ -6,12 +6,17 @@ cannot be read becomes a row of errors, not a failed job.
 
 from __future__ import annotations
 
+import csv
+import functools
 import io
 import json
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyarrow import compute
+from pyarrow import csv as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +73,24 @@ def settings(spark: SparkSession, path: str) -> dict[str, dict]:
     return found
 
 
-def _csv_rows(content: bytes) -> list[list[str]]:
-    import csv
+def _csv_columns(content: bytes) -> tuple[list[str], list[pa.Array]]:
+    """Header and columns of a CSV file, all text; rows of another length are padded or cut to the header's."""
+    text = content.decode("utf-8-sig", "replace")
+    head = next((r for r in csv.reader(io.StringIO(text)) if r), [])
+    try:
+        table = pc.read_csv(
+            io.BytesIO(text.encode()), pc.ReadOptions(autogenerate_column_names=True), pc.ParseOptions(newlines_in_values=True),
+            pc.ConvertOptions(column_types={f"f{i}": pa.string() for i in range(len(head))}, strings_can_be_null=False),
+        )
+    except pa.ArrowInvalid:  # rows of several lengths, or nothing at all
+        return _as_columns(list(csv.reader(io.StringIO(text))))
+    return head, [c.slice(1).combine_chunks() for c in table.columns]
 
-    return list(csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"))))
+
+def _as_columns(rows: list[list[str]]) -> tuple[list[str], list[pa.Array]]:
+    """Header and columns of rows of cells; blank rows count as none."""
+    head, *rest = [r for r in rows if any(x.strip() for x in r)] or [[]]
+    return head, [pa.array([r[j] if j < len(r) else "" for r in rest], pa.string()) for j in range(len(head))]
 
 
 def _xlsx_rows(content: bytes) -> list[list[str]]:
@@ -100,27 +119,35 @@ def _xlsx_rows(content: bytes) -> list[list[str]]:
 def cells(spark: SparkSession, folder: str, readers: dict[str, Callable[[bytes], list[list[str]]]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(cells, errors) of the CSV and workbook files of a folder, all values text; ``readers`` adds or replaces types.
 
-    A file is read whole by one task, as statements are files of some MB; a file without rows is an error.
+    A file is read whole by one task, as statements are files of some MB, and given column by column; a file without rows
+    is an error. Spark passes over files of no bytes.
     """
-    how = {"csv": _csv_rows, "xlsx": _xlsx_rows} | (readers or {})
+    how = {k: (lambda content, f=f: _as_columns(f(content))) for k, f in ({"xlsx": _xlsx_rows} | (readers or {})).items()}
+    how.setdefault("csv", _csv_columns)
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    def column(path: str, rows: pa.Array, pos: int | None, header: str | None, values: pa.Array, error: str | None) -> pa.RecordBatch:
+        same = lambda value, kind: pa.repeat(pa.scalar(value, kind), len(rows))
+        return pa.RecordBatch.from_arrays([same(path, pa.string()), rows, same(pos, pa.int32()), same(header, pa.string()), values, same(error, pa.string())], names=["path", "row", "pos", "header", "value", "error"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, kind, content in zip(b["path"], b["file_type"], b["content"]):
+            for path, kind, content in zip(b.column("path").to_pylist(), b.column("file_type").to_pylist(), b.column("content")):
                 try:
-                    rows = [r for r in how[kind](bytes(content)) if any(x.strip() for x in r)]
-                    if len(rows) < 2:
+                    head, values = how[kind](content.as_py())
+                    blank = [compute.equal(compute.utf8_trim_whitespace(v), "") for v in values]
+                    filled = compute.invert(functools.reduce(compute.and_, blank)) if values else pa.array([], pa.bool_())
+                    values = [v.filter(filled) for v in values]
+                    if not values or not len(values[0]):
                         raise ValueError("No rows")
-                    head = [h.strip() for h in rows[0]]
-                    out = [(path, i, j, head[j], (r[j] if j < len(r) else ""), None) for i, r in enumerate(rows[1:]) for j in range(len(head))]
                 except Exception as e:  # the error is the result
-                    out = [(path, None, None, None, None, f"{kind}: {e}"[:500])]
-                yield pd.DataFrame(out, columns=["path", "row", "pos", "header", "value", "error"]).astype({"row": "Int64", "pos": "Int32"})
+                    yield column(path, pa.nulls(1, pa.int64()), None, None, pa.nulls(1, pa.string()), f"{kind}: {e}"[:500])
+                    continue
+                rows = pa.array(range(len(values[0])), pa.int64())
+                for pos, (h, v) in enumerate(zip(head, values)):
+                    yield column(path, rows, pos, h.strip(), v, None)
 
     files = _files(spark, folder).where(F.col("file_type").isin(*how)).select("path", "file_type", "content")
-    both = files.mapInPandas(run, f"{CELLS}, error string")
+    both = files.mapInArrow(run, f"{CELLS}, error string")
     return both.where("error IS NULL").drop("error"), both.where("error IS NOT NULL").select("path", "error")
 
 

@@ -261,3 +261,22 @@ def test_tokens_and_cut_tables(spark):
     rows = [("p", 1, 0, ["Date", "Text", "Sum"]), ("p", 1, 1, ["1", "a"]), ("p", 2, 0, ["date", "TEXT", "x"]), ("p", 2, 1, ["2", "b", "c", "d"])]
     got = tables.joined_tables(spark.createDataFrame(rows, "path string, page int, row int, cells array<string>")).orderBy("page").collect()
     assert [r.cells for r in got] == [["1", "a", ""], ["2", "b", "c d"]]
+
+
+def test_cells_of_odd_files(spark, tmp_path):
+    """Quotes, line breaks in cells, marks of order, bad bytes, rows of other lengths, blank rows, empty files; each equals the csv module."""
+    import csv
+    import io
+
+    files = {
+        "a.csv": b'\xef\xbb\xbfDate, Text \n1,"a ""b"", c"\n\n2,"x\ny"\n , \n3,NA\n', "b.csv": b"Date,Text\n1\n2,x,more\n3,\xff\n", "c.csv": b"", "d.csv": b"A\n", "e.csv": b"A\n1\n\n2\n", "f.csv": b"A,A\n,\n0,\n",
+    }
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    cells, errors = statements.cells(spark, str(tmp_path))
+    got = {(r.path[-5:], r.row, r.pos): (r.header, r.value) for r in cells.collect()}
+    want = {}
+    for name, raw in files.items():
+        head, *rows = [r for r in csv.reader(io.StringIO(raw.decode("utf-8-sig", "replace"))) if any(x.strip() for x in r)] or [[]]
+        want |= {(name, i, j): (h.strip(), r[j] if j < len(r) else "") for i, r in enumerate(rows) for j, h in enumerate(head)}
+    assert got == want and sorted(r.path[-5:] for r in errors.collect()) == ["d.csv"]  # Spark reads no file of no bytes
