@@ -51,7 +51,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
