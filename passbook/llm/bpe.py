@@ -212,10 +212,13 @@ class _Page:
 
 
 def _pages(docs: DataFrame, c: Codec, pattern: str, text_col: str, keep: list[str] | None) -> DataFrame:
-    """(page, row, refs) of each document and (page, words) of each page, written in buckets by page."""
+    """(page, row, low, high) of each document and (page, words) of each page, written in buckets by page.
+
+    low and high are the halves of the references: apart they are much smaller on disk.
+    """
     path, edge, longest = c.path, c.n_ids, 1 << c.rank - c.width
     df = packed(docs, keep, text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    kind = T.StructType([T.StructField("page", T.LongType()), T.StructField("row", df.schema["row"].dataType), *T.StructType.fromDDL("refs binary, words array<string>").fields])
+    kind = T.StructType([T.StructField("page", T.LongType()), T.StructField("row", df.schema["row"].dataType), *T.StructType.fromDDL("low binary, high binary, words array<string>").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, part, made, page, row = whole_words(path), TaskContext.get().partitionId(), 0, None, None
@@ -223,20 +226,24 @@ def _pages(docs: DataFrame, c: Codec, pattern: str, text_col: str, keep: list[st
             raise ValueError("too many partitions to number their pages")
 
         def batch(row: pa.Array, refs: list, words: list) -> pa.RecordBatch:
-            cols = [pa.array([page.number] * len(refs), pa.int64()), row, pa.array(refs, pa.binary()), pa.array(words, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(cols, names=["page", "row", "refs", "words"])
-
-        for b in (x.slice(i, STEP) for x in batches for i in range(0, x.num_rows, STEP)):
-            if page is None:
-                if made >> _PAGE:
-                    raise ValueError("too many pages in one partition")
-                page, made = _Page(part << _PAGE | made, whole, edge, pattern, longest), made + 1
-            row = b.column("row")
-            refs = [page.refs(t) for t in b.column("text").to_pylist()]
-            yield batch(row, refs, [None] * len(refs))
-            if page.full():
-                yield batch(pa.nulls(1, row.type), [None], [list(page.words)])
-                page = None
+            halves = [pa.array([None if r is None else np.frombuffer(r, "<u2")[k::2].tobytes() for r in refs], pa.binary()) for k in (0, 1)]
+            cols = [pa.array([page.number] * len(refs), pa.int64()), row, *halves, pa.array(words, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(cols, names=["page", "row", "low", "high", "words"])
+
+        for b in batches:
+            row, texts, refs = b.column("row"), b.column("text"), []
+            for k, text in enumerate(texts, 1):
+                if page is None:
+                    if made >> _PAGE:
+                        raise ValueError("too many pages in one partition")
+                    page, made = _Page(part << _PAGE | made, whole, edge, pattern, longest), made + 1
+                refs.append(page.refs(text.as_py()))
+                if page.full() or len(refs) == STEP or k == len(texts):
+                    yield batch(row.slice(k - len(refs), len(refs)), refs, [None] * len(refs))
+                    refs = []
+                if page.full():
+                    yield batch(pa.nulls(1, row.type), [None], [list(page.words)])
+                    page = None
         if page is not None:
             yield batch(pa.nulls(1, row.type), [None], [list(page.words)])
 
@@ -302,12 +309,12 @@ def _assembled(edge: int, kind: pa.DataType):
         start = np.concatenate([np.arange(edge), np.zeros(len(size) - edge, np.int64)])
         size[edge + at], start[edge + at] = length, edge + np.cumsum(length) - length
         flat = np.concatenate([np.arange(edge), ids]).astype("<u4")
-        refs = pa.chunked_array(body.column("refs").chunks, pa.binary()).combine_chunks().cast(pa.large_binary())
-        ends = np.frombuffer(refs.buffers()[1], np.int64)[refs.offset : refs.offset + len(refs) + 1] // 4
-        refs = np.frombuffer(refs.buffers()[2] or b"", "<u4")
+        low, high = (pa.chunked_array(body.column(c).chunks, pa.binary()).combine_chunks().cast(pa.large_binary()) for c in ("low", "high"))
+        ends, from_high = (np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] // 2 for x in (low, high))
+        low, high = (np.frombuffer(x.buffers()[2] or b"", "<u2") for x in (low, high))
         parts, before = [], np.zeros(len(ends), np.int64)  # ids before each document
         for i, j in zip(range(0, len(ends) - 1, STEP), [*range(STEP, len(ends) - 1, STEP), len(ends) - 1]):
-            own = refs[ends[i] : ends[j]]
+            own = low[ends[i] : ends[j]] | high[from_high[i] : from_high[j]].astype(np.uint32) << 16
             each = size[own]
             if len(each) and not each.all():
                 raise ValueError("a word of a page has not come back")
@@ -332,7 +339,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     as_bytes = F.transform(F.split(F.decode(F.encode("word", "UTF-8"), "ISO-8859-1"), ""), F.ascii)
     found = distinct.select("places", F.get(folded(F.array(as_bytes), c), F.lit(0)).alias("ids"))
     back = found.mapInArrow(_sent_back, "page long, at binary, size binary, ids binary")
-    body = pages.where("refs IS NOT NULL").select("page", "row", "refs")
+    body = pages.where("low IS NOT NULL").select("page", "row", "low", "high")
     out = T.StructType([body.schema["row"], *T.StructType.fromDDL("ids binary").fields])
     joined = body.groupBy("page").cogroup(back.groupBy("page")).applyInArrow(_assembled(c.n_ids, to_arrow_type(body.schema["row"].dataType)), out)
     return unpacked(joined, ids=F.col("ids"))
