@@ -40,13 +40,33 @@ def test_bpe(spark, odd):
     path = p.path("byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     docs = odd.select("doc_id", "text", "row").unionByName(spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text", F.lit("r").alias("row")))
-    got = bpe.decoded(bpe.encoded(docs, path, p.PATTERN), path).collect()
+    got = bpe.decoded(bpe.encoded(docs.repartition(3), path, p.PATTERN), path).collect()
     assert len(got) == docs.count()
     for r in got:
         assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert bpe.encoded(docs.where("false"), path, p.PATTERN).count() == 0
 
 
+def test_bpe_of_another_pattern(spark, odd):
+    """A pattern that has no word begin at a space is not cut at spaces; a page remembers few or many pieces."""
+    import public_tokenizers as p
+    import tiktoken
+
+    path, pattern = p.path("byte_bpe_50k.tiktoken"), r"\S+ ?|\s+"
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    for r in bpe.encoded(odd, path, pattern, keep=["text"]).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.text or "")
+    names = bpe.pieces(path)
+    for memo in (0, 3, 10**6):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(bpe, "_MEMO", memo)
+            page = bpe._Page(0, bpe.whole_words(path), len(names), p.PATTERN, 1 << 30)
+            for text in ("", " ", "a b a b qzx qzx", " qzx  qzx ", LONG, "it's  'qzx'd\tqzx"):
+                refs = np.frombuffer(page.refs(text), "<u4").tolist()
+                words = list(page.words)
+                assert b"".join(names[x] if x < len(names) else words[x - len(names)].encode() for x in refs) == text.encode()
+
+
 def test_warc(spark, odd, tmp_path):
     pages = odd.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit(None).cast("string").alias("url"))
     warc.write(pages, str(tmp_path / "w"), segment_bytes=700)
