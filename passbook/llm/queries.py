@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, digest, html_text, quality, secrets, simhash, transducer, warc
+from . import bpe, chat, common, decontaminate, digest, fim, html_text, periods, quality, secrets, simhash, transducer, url_rules, warc
 
 table = common.table
 
@@ -86,7 +86,54 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_warc, op3_simhash, op4_token_counts, op5_chat, op6_decontamination, op7_quality, op8_digest, op9_main_text, op10_secrets)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.filled(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select(
+        "doc_id", F.col("n_units").alias("n"), "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+#: Verdict and rule (host and start of the path).
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the labels of its number: block if of low quality or toxic, else allow."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(bad, url_rules.BLOCK).when(~bad, url_rules.ALLOW).alias("label"))
+    found = url_rules.judged(pages, url_rules.mined(pages.join(labels, "page_id")), url_rules.listed_rules(spark, URL_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten, by the CRC-32 of its number, the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    df = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    df = df.withColumn("a", F.when(F.size("w") > 0, F.pmod("g", F.size("w")))).withColumn("p", 1 + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.size("w") - F.col("a") - 1), lambda i: F.get("w", (F.col("a") + i % F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")
+    return df.select("doc_id", F.when(F.size("w") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    best = F.when(F.size("runs") > 0, longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), (-best["n"]).alias("length"), best["period"].alias("period"),
+        F.expr("0").alias("exponent_milli"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).withColumn("exponent_milli", F.floor(F.col("length") * 1000 / F.col("period")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_warc, op3_simhash, op4_token_counts, op5_chat, op6_decontamination, op7_quality, op8_digest, op9_main_text, op10_secrets, op11_fim, op12_url_rules, op13_periods)
+}
 
 ORACLE_SQL = {
     "op2_warc": """
@@ -126,4 +173,44 @@ ORACLE_SQL = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
     """,
+    "op11_fim": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+        h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y, array_to_string(u[b + 1:], '') AS z FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+          sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+    """,
+    "op12_url_rules": f"""
+        WITH u AS (
+          SELECT p.page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+            CASE WHEN quality = 0 OR toxic = 1 THEN 'block' WHEN quality <> 0 AND toxic <> 1 THEN 'allow' END AS label FROM pages p LEFT JOIN labels l ON p.page_id = l.doc_id
+        ), h AS (SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+        k AS (
+          SELECT *, CASE WHEN host = '' THEN [] ELSE list_distinct(
+            ['scheme:' || lower(regexp_extract(url, '(?s)^(.*?)://', 1))] || [ 'site:' || array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, len(string_split(host, '.')) + 1) ]
+            || [ 'path:' || x FOR x IN string_split(regexp_replace(lower(path), '[0-9]+', '#', 'g'), '/') IF x <> '' ]
+            || [ 'arg:' || string_split(x, '=')[1] FOR x IN string_split(regexp_extract(url, '(?s)^[^?#]*\\?([^#]*)', 1), '&') IF string_split(x, '=')[1] <> '' ]
+            || CASE WHEN contains(url, '#') THEN ['fragment'] ELSE [] END) END AS tokens FROM h
+        ),
+        each AS (SELECT page_id, label, unnest(tokens) AS token FROM k WHERE label IS NOT NULL), n AS (SELECT token, count(*) AS n FROM each GROUP BY token),
+        t AS (SELECT page_id, label, token FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, token) AS r FROM each JOIN n USING (token)) WHERE r <= {url_rules.MOST_TOKENS}),
+        sets AS (
+          SELECT page_id, label, [token] AS s FROM t UNION ALL SELECT a.page_id, a.label, [a.token, b.token] FROM t a JOIN t b ON a.page_id = b.page_id AND a.token < b.token
+          UNION ALL SELECT a.page_id, a.label, [a.token, b.token, c.token] FROM t a JOIN t b ON a.page_id = b.page_id AND a.token < b.token JOIN t c ON a.page_id = c.page_id AND b.token < c.token
+        ),
+        total AS (SELECT count(*) AS n FROM k WHERE label IS NOT NULL), share AS (SELECT label, count(*) / (SELECT n FROM total) AS share FROM k WHERE label IS NOT NULL GROUP BY label),
+        whole AS (SELECT s, count(*) AS n FROM sets GROUP BY s),
+        found AS (SELECT s, label, count(*) AS m, CAST(count(*) AS DOUBLE) / any_value(whole.n) AS sure FROM sets JOIN whole USING (s) GROUP BY s, label HAVING count(*) >= greatest(ceil({url_rules.SUPPORT}::DOUBLE * (SELECT n FROM total)), {url_rules.LEAST})),
+        kept AS (
+          SELECT f.* FROM found f JOIN share USING (label) WHERE sure >= {url_rules.CONFIDENCE}::DOUBLE AND sure > share
+            AND NOT EXISTS (SELECT 1 FROM found g WHERE g.label = f.label AND len(g.s) < len(f.s) AND list_has_all(f.s, g.s) AND g.sure >= f.sure)
+        ),
+        ranked AS (SELECT *, row_number() OVER (ORDER BY sure DESC, m DESC, len(s), array_to_string(s, ' '), label) AS r FROM kept),
+        best AS (SELECT page_id, min_by(ranked.label, r) AS verdict FROM k JOIN ranked ON list_has_all(tokens, s) GROUP BY page_id),
+        given AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for i, (v, r) in enumerate(URL_RULES))}) AS g(place, rule, site, start, said)),
+        first AS (SELECT page_id, arg_min(struct_pack(rule := rule, said := said), struct_pack(a := -length(rule), b := place)) AS f FROM k JOIN given ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id)
+        SELECT page_id, host, path, f.rule AS rule, coalesce(f.said, verdict, 'allow') AS verdict FROM k LEFT JOIN best USING (page_id) LEFT JOIN first USING (page_id)
+    """,
 }

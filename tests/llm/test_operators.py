@@ -27,7 +27,7 @@ def test_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("pages", "conversations", "documents", "benchmark"):
+    for t in ("pages", "conversations", "documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(f"select {', '.join(columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want))
