@@ -4,7 +4,8 @@ Texts whose sets of five-word shingles are alike to 0.8 differ in about 15 of 10
 split of 64 bits makes such fingerprints meet on equal segments, so here fingerprints have ``WIDE`` bits and texts meet
 on ``BANDS`` bands of least shingle hashes instead: texts alike to 0.8 meet with a chance of 1 - (1 - 0.8^4)^20, over
 0.9999. Of texts that meet, a pair has to have a pigeonring chain of segments within proportional budgets, then at most
-``MOST`` differing bits, and at last exact shingle sets alike to the threshold.
+``MOST`` differing bits, and at last exact shingle sets alike to the threshold. Texts of at most ``SHORT`` shingles, whose
+bits are few and coarse, go from meeting to the exact sets.
 
 Texts equal in their words (ASCII case apart) are one node. Nodes that meet are handled in units of at most two blocks,
 in two passes. Out of the first comes a least spanning forest by differing bits of each unit; its links that are alike to
@@ -36,6 +37,8 @@ WIDE, MOST, SEGMENTS = 256, 68, 8
 BANDS, ROWS = 20, 4
 #: Links of one text that are checked in one place; nodes of a block that come with their sets; common hashes counted at once.
 HUB, SET_BLOCK, COUNTED = 1024, 512, 1 << 21
+#: Shingles of a text whose pairs need no fingerprint: they go to the exact check as they meet.
+SHORT = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Hashes handled at once.
 _STEP = 1 << 12
@@ -187,7 +190,11 @@ class _Unit:
         sizes = np.minimum(self.count[at:], self.count[i]) >= (self.least - 1e-9) * np.maximum(self.count[at:], self.count[i])
         rows = np.flatnonzero((self.root[at:] != self.root[i]) & sizes) + at
         rows = rows[(self.lows[rows] == self.lows[i]).argmax(1) == self.band] if len(rows) else rows
-        return rows[near(np.bitwise_count(self.fps[rows] ^ self.fps[i]))] if len(rows) else rows
+        if len(rows) and self.count[i] > SHORT:  # bits of small sets say little: all their pairs are checked
+            small = self.count[rows] <= SHORT
+            small[near(np.bitwise_count(self.fps[rows] ^ self.fps[i]))] = True
+            rows = rows[small]
+        return rows
 
 
 _KEY, _WITH = ["n", "bits", "x", "y", "side"], ["node", "fp", "lows", "shingles", "root"]

@@ -202,5 +202,7 @@ def digests(found: DataFrame) -> DataFrame:
     first = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("n").alias("first_n"), F.col("digest").alias("first_digest"))
     named = rows.where("record_type = 'revisit'").select("refers_to").distinct()
     first = first.join(named, "refers_to", "left_semi").dropDuplicates(["refers_to"])
-    out = rows.join(first, "refers_to", "left")
+    # Responses name nothing: only revisits are looked up.
+    found = rows.where("record_type <> 'revisit'").select("*", F.lit(None).cast("long").alias("first_n"), F.lit(None).cast("string").alias("first_digest"))
+    out = found.unionByName(rows.where("record_type = 'revisit'").join(first, "refers_to", "left"))
     return out.select("page_id", F.coalesce("n", "first_n").alias("payload_bytes"), F.coalesce("digest", "first_digest").alias("payload_digest"), "record_type", "refers_to")

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, other libraries, exact round trips and held-out labels."""
 
 import hashlib
+import html
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -197,6 +199,17 @@ def test_near_copies_at_the_threshold(spark, monkeypatch):
         assert sum(got[i] != find(i) for i in range(len(texts))) == 0
 
 
+def test_near_copies_of_short_texts(spark):
+    """Pairs of 8 and 9 words (4 of 5 shingles) whose fingerprints differ in more bits than the filter allows are found too."""
+    rng = random.Random(2)
+    pairs = [[f"w{rng.randrange(10**6)}" for _ in range(9)] for _ in range(4000)]
+    prints = [[near_copies.sketch(near_copies.shingles([x.encode() for x in w[:n]]))[0] for n in (8, 9)] for w in pairs]
+    far = [w for w, (a, b) in zip(pairs, prints) if (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() > near_copies.MOST]
+    assert far
+    docs = spark.createDataFrame([(2 * i + k, " ".join(w[: 8 + k])) for i, w in enumerate(far) for k in (0, 1)], "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.deduplicated(docs).collect()} == {2 * i for i in range(len(far))}
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301), (5, 5), (None, 1)], "a long, b long")
     got = {r.node: r.component for r in graph.components(chain).collect()}
@@ -340,8 +353,56 @@ def test_quality(spark, odd):
     assert sum((r.score >= quality.THRESHOLD) == r.quality for r in got) / len(got) > 0.95
     assert all(0 <= r.score <= 1 for r in quality.scored(odd, model).collect())
     assert quality.trained(docs, labels.where("false")).share == 0.5
-    x = np.concatenate(bags := [quality.features(b"some words " * 90), quality.features(b"")])
-    assert len(model.scores(x, np.array([len(b) for b in bags]))) == 2
+    texts = [b"some words " * 90, b"", b"Long text, of many passages! 123\n" * 80_000]  # the last over 2 MiB: its passages are as wide as others
+    assert len(quality.features(texts[2])) == len(texts[2]) // quality.PASSAGE and all(len(x) <= quality._STEP // quality.PASSAGE for x in quality.blocks(texts[2]))
+    for t in texts:
+        assert abs(model.score(quality.blocks(t)) - plain_score(model, quality.features(t))) < 1e-9
+
+
+def plain_score(model, bag):
+    """The score by its definition, number by number."""
+    w, sigmoid = model.weights, lambda v: 1 / (1 + np.exp(-v))
+    encoded = [np.tanh(x @ w["encode"] + w["encode0"]) for x in (bag - model.mean) / model.scale]
+    gates = [sum(w["w"][k] * np.tanh(h @ w["v"][:, k]) * sigmoid(h @ w["u"][:, k]) for k in range(quality.GATE)) for h in encoded]
+    weights = np.exp(np.array(gates) - max(gates))
+    z = sum(a * h for a, h in zip(weights / weights.sum(), encoded))
+    return float(sigmoid(z @ w["score"] + w["score0"][0]))
+
+
+def test_quality_gradients():
+    """Each gradient against the difference quotient of the loss."""
+    rng = np.random.default_rng(3)
+    sizes, y = np.array([1, 4, 2, 7]), np.array([1.0, 0.0, 1.0, 0.0])
+    x = rng.normal(size=(sizes.sum(), quality.FEATURES))
+    shapes = {"encode": (quality.FEATURES, quality.HIDDEN), "encode0": (quality.HIDDEN,), "v": (quality.HIDDEN, quality.GATE), "u": (quality.HIDDEN, quality.GATE), "w": (quality.GATE,), "score": (quality.HIDDEN,), "score0": (1,)}
+    w = {k: rng.normal(0, 0.3, s) for k, s in shapes.items()}
+
+    def loss():
+        p = quality._sigmoid(quality._forward(w, x, sizes)["logit"])
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    g = quality._gradients(w, x, sizes, y)
+    for k, s in shapes.items():
+        for spot in {tuple(rng.integers(0, n) for n in s) for _ in range(6)}:
+            at = w[k][spot]
+            ends = []
+            for step in (1e-5, -1e-5):
+                w[k][spot] = at + step
+                ends.append(loss())
+            w[k][spot] = at
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[k][spot]) < 1e-6, k
+
+
+def test_quality_sample_bytes(spark, monkeypatch):
+    """The fit reads no more bytes than stated, whole texts in order of the hash."""
+    docs = spark.createDataFrame([(i, "x" * (100 + 900 * (i % 2))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, found: seen.append(len(found)))
+    for most in (0, 5000, 10**6):
+        quality.trained(docs, labels, sample_bytes=most)
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(60))
+    assert seen[0] == 0 and 5 <= seen[1] <= 50 and seen[2] == 60 - held
 
 
 def test_quality_of_repeated_ids(spark, monkeypatch):
@@ -401,6 +462,30 @@ def test_main_text_beside_a_mark():
     assert html_text.main_text(beside) == "\n".join(["Head", ("In the article. " * 40).strip(), *body[:2]])
 
 
+def test_main_text_in_doubtful_wrappers():
+    """What wraps the text of the page may be called anything; what stands beside it may not."""
+    one = "Some words of running text stand here, as many as a paragraph has."
+    body, want = f"<p>{one}</p>" * 6, "\n".join([one] * 6)
+    for page in (
+        "<div class='content has-sidebar'><article>{}</article></div>", "<div class='site no-sidebar'>{}</div>", "<div class='layout-with-banner'><main>{}</main></div>", "<form id='aspnetForm'>{}</form>",
+        "<article><div class='discussion-paper'>{}</div></article>", "<div class=page-sidebar><div class=banner>{}</div></div>", "<form><div class=menu><p>Home Start</p></div>{}<div class=comments><p>I think so too, and more.</p></div></form>",
+        "<article>{}</article><section class=comments>" + "<article><p>A comment of some length that a reader left there.</p></article>" * 12 + "</section>",
+        "<article>{}<div class=related><p>" + one + "</p></div></article>",
+    ):
+        assert html_text.main_text(page.format(body)) == want, page
+    assert html_text.main_text(f"<nav>{body}</nav>") == "" and html_text.main_text("<div class=menu></div><form></form>") == ""
+
+
+def test_main_text_of_given_pages(spark):
+    """On every given page: the text of its article but for what is marked as an advert or a notice inside it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in html_text.extracted(pages, keep=["page_id", "html"]).collect():
+        article = re.search(r"(?s)<article[^>]*>(.*)</article>", r.html)[1]
+        plain = lambda s: "".join(html.unescape(re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<[^>]*>", "", s)).split())
+        assert "".join(r.text.split()) in plain(article) or len("".join(r.text.split())) > 0.9 * len(plain(article)), r.page_id
+        assert len("".join(r.text.split())) >= 0.8 * len(plain(article)), r.page_id
+
+
 def test_main_text_after_unclosed_elements():
     page = lambda inner: f"<article><p>First {inner} words.</p><p>All of the rest.</p></article>"
     for icon in ('<svg class="i"/>', "<math/>", "<object data=x>", "<video src=x>", "<svg>", "<template>", "<iframe src=x>", "<svg><path d='z'/></svg>", "<noscript>n</noscript>", "<script>s</script>"):

@@ -41,7 +41,7 @@ def words(text):
 def test_low_quality_goes(spark, inputs):
     docs = inputs["quality classifier"]
     model = quality.trained(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    want = {r.doc_id for r in docs.collect() if model.scores(x := quality.features((r.text or "").encode()), np.array([len(x)]))[0] >= quality.THRESHOLD}
+    want = {r.doc_id for r in docs.collect() if model.score(quality.blocks((r.text or "").encode())) >= quality.THRESHOLD}
     assert set(after(inputs, "quality classifier")) == want and 0 < len(want) < docs.count()
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert sum(label[d] == 0 for d in want if d in label) <= 0.1 * len(want)
