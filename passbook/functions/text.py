@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,8 @@ def mode_by_word(description: Column) -> Column:
 
 def stripped(description: Column) -> Column:
     """The description without handles, noise words and long numbers, each replaced by a blank."""
-    out = F.coalesce(description, F.lit(""))
-    for p in [*rules.HANDLES, *[rf"\b{w}\b" for w in rules.NOISE_WORDS]]:
-        out = F.regexp_replace(out, f"(?i){p}", " ")
-    return F.regexp_replace(out, rules.LONG_NUMBER, " ")
+    out = F.regexp_replace(F.coalesce(description, F.lit("")), f"(?i){'|'.join(rules.HANDLES)}", " ")
+    return F.regexp_replace(out, rf"(?i)\b(?:{'|'.join(rules.NOISE_WORDS)})\b|{rules.LONG_NUMBER}", " ")
 
 
 def candidate(description: Column) -> Column:
@@ -75,11 +75,21 @@ def merchant_of(description: Column) -> Column:
     )
 
 
+def _keyword_pattern() -> str:
+    """At each place the keyword that goes first of those that begin there; keywords of one first letter stand together."""
+    by_letter: dict[str, list[str]] = {}
+    for k, _ in rules.keywords_by_length():
+        by_letter.setdefault(k[0], []).append(re.escape(k[1:]))
+    return f"(?=({'|'.join(f'{x}(?:{chr(124).join(rest)})' for x, rest in by_letter.items())}))"
+
+
 def keyword_category(text: Column) -> Column:
-    """Category of the first keyword, longest first, that is part of the text in lower case; null if none is."""
-    table = F.array(*[F.struct(F.lit(k).alias("word"), F.lit(c).alias("category")) for k, c in rules.keywords_by_length()])
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.get(F.filter(table, lambda e: F.contains(low, e["word"])), F.lit(0))["category"]
+    """Category of the first keyword, longest first, that is part of the text in lower case; null if none is. Reads the text once."""
+    ranks = {k: i for i, (k, _) in reversed(list(enumerate(rules.keywords_by_length())))}
+    rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_keyword_pattern()), F.lit(1))
+    names = F.array(*[F.lit(c) for _, c in rules.keywords_by_length()])
+    return F.get(names, F.array_min(F.transform(F.array_distinct(found), lambda k: F.element_at(rank, k))))
 
 
 def ruled_category(merchant: Column, description: Column, code: Column | None = None) -> Column:

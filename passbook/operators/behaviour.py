@@ -1,5 +1,7 @@
 """Behaviour of customers from their transactions: one row a customer, for all customers at once.
 
+All of it is worked out from the mergeable sums of ``partials``; nothing sorts or collects a customer's rows.
+
 Input columns: customer_id, date (timestamp_ntz), seq (order among equal dates), merchant, debit, credit, balance
 (decimals, nullable), category, payment_mode. Null debit and credit count as 0, a null balance is left out, blank or
 null names are left out of frequencies. Totals are exact decimals; each ratio is one division, 0 where the
@@ -12,30 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import double, ratio, slope, variance
-
-INVESTMENTS, EMI, DEBT = ["Investments"], ["EMI"], ["Loan", "EMI"]
-
-
-def _zero(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)"))
-
-
-def _sum(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0)).cast("decimal(28,2)")
+from .partials import partials
+from .quantiles import counted, quantiles
 
 
-def _total_sums() -> list[Column]:
-    debit, credit = _zero("debit"), _zero("credit")
-    spent = lambda names: _sum(F.when(F.col("category").isin(*names), debit))
-    return [
-        F.count(F.lit(1)).alias("n_transactions"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        _sum(credit).alias("incoming_total"), _sum(debit).alias("outgoing_total"), _sum(F.when(F.weekday("date") >= 5, debit)).alias("weekend_spend"),
-        spent(INVESTMENTS).alias("investment_spend"), spent(EMI).alias("emi_spend"), spent(DEBT).alias("debt_spend"),
-    ]
+def _one_part(ledger: DataFrame, part: str) -> DataFrame:
+    """One table of ``partials``; columns that it does not need may be missing."""
+    missing = {c: F.lit(None).cast(t) for c, t in (("balance", "decimal(18,2)"), ("seq", "long"), ("description", "string")) if c not in ledger.columns}
+    return partials(ledger.withColumns(missing), (part,))[part]
 
 
 def _totals(df: DataFrame, *more: str) -> DataFrame:
     """Span, totals and ratios from the sums of each customer, beside the columns ``more``."""
+    money = ("incoming_total", "outgoing_total", "weekend_spend", "investment_spend", "emi_spend", "debt_spend")
+    df = df.withColumns({c: F.coalesce(c, F.lit(0)).cast("decimal(28,2)") for c in money})
     df = df.withColumn("days_covered", F.greatest(F.expr("timestampdiff(DAY, first_date, last_date)"), F.lit(0)).cast("long"))
     months = F.greatest(double(F.col("days_covered")) / 30.0, F.lit(1.0) / 30.0)
     weeks = F.greatest(double(F.col("days_covered")) / 7.0, F.lit(1.0) / 7.0)
@@ -52,17 +44,17 @@ def _totals(df: DataFrame, *more: str) -> DataFrame:
 
 def totals(ledger: DataFrame) -> DataFrame:
     """Span, totals, spend by kind and ratios of each customer; sums are combined before the one shuffle."""
-    return _totals(ledger.groupBy("customer_id").agg(*_total_sums()))
+    return _totals(_one_part(ledger, "totals"))
 
 
-def _balance_columns() -> list[Column]:
-    mean = F.when(F.count("balance") > 0, double(F.sum("balance")) / double(F.count("balance")))
-    return [double(F.min("balance")).alias("balance_min"), double(F.max("balance")).alias("balance_max"), mean.alias("balance_mean")]
+def _balance_columns() -> dict[str, Column]:
+    mean = F.when(F.col("balances") > 0, double(F.col("balance_sum")) / double(F.col("balances")))
+    return {"balance_min": double(F.col("balance_low")), "balance_max": double(F.col("balance_high")), "balance_mean": mean}
 
 
 def balance_stats(ledger: DataFrame) -> DataFrame:
     """Least, greatest and mean balance over the rows that have one."""
-    return ledger.groupBy("customer_id").agg(*_balance_columns())
+    return _one_part(ledger, "totals").select("customer_id", *[c.alias(n) for n, c in _balance_columns().items()])
 
 
 def _point_sums(x: Column, y: Column) -> list[Column]:
@@ -77,10 +69,23 @@ def _slopes(points: DataFrame, name: str) -> DataFrame:
 
 
 def daily_trend(ledger: DataFrame) -> DataFrame:
-    """Slope of the balance on whole days since the customer's first row with a balance; 0 if it has no slope."""
-    held = ledger.where(F.col("balance").isNotNull())
-    first = held.groupBy("customer_id").agg(F.min("date").alias("first_date"))
-    return _slopes(held.join(first, "customer_id").select("customer_id", F.expr("timestampdiff(DAY, first_date, date)").alias("x"), F.col("balance").alias("y")), "balance_daily_trend")
+    """Slope of the balance on whole days since the customer's first row with a balance; 0 if it has no slope.
+
+    Sums are made by customer and time of day first: whole days since the first row are days since 1970 less a number that is
+    the same for all rows of one time of day. So no row has to meet the first one.
+    """
+    days = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01"))
+    clock = F.expr("timestampdiff(MICROSECOND, date_trunc('day', date), date)")
+    held = ledger.where(F.col("balance").isNotNull()).select("customer_id", "date", "balance", days(F.col("date")).cast("decimal(12,0)").alias("day"), clock.alias("clock"))
+    n, s, y, ss, sy = _point_sums(F.col("day"), F.col("balance"))
+    part = held.groupBy("customer_id", "clock").agg(F.min("date").alias("first"), n.alias("n"), s.alias("s"), y.alias("y"), ss.alias("ss"), sy.alias("sy"))
+    first = F.min(F.struct("first", F.col("clock").alias("at"))).over(Window.partitionBy("customer_id"))  # a row for each time of day
+    part = part.withColumn("f", first)
+    off = (days(F.col("f.first")) + (F.col("clock") < F.col("f.at")).cast("int")).cast("decimal(12,0)")
+    n, s, y, ss, sy = (F.col(c) for c in ("n", "s", "y", "ss", "sy"))
+    moved = [n, s - off * n, y, ss - 2 * off * s + off * off * n, sy - off * y]
+    sums = [F.sum(c.cast(k)) for c, k in zip(moved, ("long", "decimal(24,0)", "decimal(28,2)", "decimal(38,0)", "decimal(38,2)"))]
+    return part.groupBy("customer_id").agg(slope(*sums).alias("balance_daily_trend"))
 
 
 def period_trend(ledger: DataFrame, period: str) -> DataFrame:
@@ -91,16 +96,20 @@ def period_trend(ledger: DataFrame, period: str) -> DataFrame:
     return _slopes(last.select("customer_id", x.alias("x"), "y"), f"balance_{period}ly_trend")
 
 
-def _size_columns() -> list[Column]:
-    spent = F.when(F.col("debit") > 0, F.col("debit"))
-    n, total, squares = F.count(spent), F.sum(spent), F.sum((spent * spent).cast("decimal(38,4)"))
-    median = F.percentile(double(spent), F.lit(0.5))
-    return [F.when(n > 0, double(total) / double(n)).alias("txn_size_mean"), median.alias("txn_size_median"), variance(n, total, squares).alias("txn_size_variance")]
+def _size_columns() -> dict[str, Column]:
+    n, total, squares = F.col("spent_n"), F.col("spent_sum"), F.col("spent_squares")
+    return {"txn_size_mean": F.when(n > 0, double(total) / double(n)), "txn_size_variance": variance(n, total, squares)}
+
+
+def _size_median(amounts: DataFrame) -> DataFrame:
+    return quantiles(amounts.where("side = 'debit'"), ["customer_id"], "amount", {"txn_size_median": 0.5})
 
 
 def size_stats(ledger: DataFrame) -> DataFrame:
     """Mean, median and population variance of debits over 0."""
-    return ledger.where("debit > 0").groupBy("customer_id").agg(*_size_columns())
+    spent = ledger.where("debit > 0")
+    sums = _one_part(spent, "totals").select("customer_id", *[c.alias(n) for n, c in _size_columns().items()])
+    return sums.join(quantiles(counted(spent, ["customer_id"], "debit"), ["customer_id"], "debit", {"txn_size_median": 0.5}), "customer_id")
 
 
 def frequencies(ledger: DataFrame, column: str) -> DataFrame:
@@ -110,8 +119,7 @@ def frequencies(ledger: DataFrame, column: str) -> DataFrame:
 
 def all_frequencies(ledger: DataFrame) -> DataFrame:
     """(customer_id, kind, name, n) for merchant, category and payment_mode from one scan and one shuffle."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("merchant", "category", "payment_mode")])
-    return ledger.select("customer_id", F.explode(kinds).alias("f")).where(F.coalesce("f.name", F.lit("")) != "").groupBy("customer_id", "f.kind", "f.name").agg(F.count(F.lit(1)).alias("n"))
+    return _one_part(ledger, "names").select("customer_id", "kind", "name", "n")
 
 
 def loyalty(ledger: DataFrame) -> DataFrame:
@@ -130,32 +138,34 @@ def _volatility(net: Column, month: Column) -> Column:
     return F.when((n >= 2) & (mean != 0), F.abs(F.sqrt(variance(n, total, squares)) / mean)).otherwise(F.lit(0.0))
 
 
-def _net() -> Column:
-    return (F.sum(_zero("credit")) - F.sum(_zero("debit"))).cast("decimal(18,2)")
-
-
 def volatility(ledger: DataFrame) -> DataFrame:
     """Absolute coefficient of variation of monthly net flow from first to last month, empty months as 0."""
-    monthly = ledger.groupBy("customer_id", F.date_trunc("month", "date").alias("month")).agg(_net().alias("net"))
-    return monthly.groupBy("customer_id").agg(_volatility(F.col("net"), F.col("month")).alias("cashflow_volatility"))
+    return _one_part(ledger, "months").groupBy("customer_id").agg(_volatility(F.col("net"), F.col("month")).alias("cashflow_volatility"))
 
 
 def salaries(ledger: DataFrame) -> DataFrame:
     """(customer_id, salary_amount) where large credits repeat: median of the commonest thousand among the top quarter."""
-    whole = Window.partitionBy("customer_id")
-    credits = ledger.where("credit > 0").select("customer_id", "credit")
-    top = credits.select("*", F.count(F.lit(1)).over(whole).alias("n"), F.percentile(double(F.col("credit")), F.lit(0.75)).over(whole).alias("q"))
-    large = top.where((F.col("n") >= 2) & (double(F.col("credit")) >= F.col("q")))
-    buckets = large.groupBy("customer_id", F.bround((F.col("credit") / 1000).cast("decimal(24,8)"), 0).cast("long").alias("bucket"))
-    buckets = buckets.agg(F.count(F.lit(1)).alias("n"), F.percentile(double(F.col("credit")), F.lit(0.5)).alias("median"))
-    best = buckets.groupBy("customer_id").agg(F.sum("n").alias("kept"), F.max_by(F.struct("n", "median"), F.struct(F.col("n"), -F.col("bucket"))).alias("b"))
-    return best.where("kept >= 2 AND b.n >= 2").select("customer_id", F.col("b.median").alias("salary_amount"))
+    return salaries_of(counted(ledger.where("credit > 0"), ["customer_id"], "credit").withColumnRenamed("credit", "amount"))
+
+
+def salaries_of(credits: DataFrame) -> DataFrame:
+    """``salaries`` from how often each credit occurs: (customer_id, amount, n)."""
+    top = quantiles(credits, ["customer_id"], "amount", {"q": 0.75})
+    large = credits.join(top, "customer_id").where(double(F.col("amount")) >= F.col("q"))
+    large = large.select("customer_id", "amount", "n", F.bround((F.col("amount") / 1000).cast("decimal(24,8)"), 0).cast("long").alias("bucket"))
+    buckets = large.groupBy("customer_id", "bucket").agg(F.sum("n").alias("n"))
+    best = buckets.groupBy("customer_id").agg(F.max_by("bucket", F.struct(F.col("n"), -F.col("bucket"))).alias("bucket"), F.max("n").alias("most")).where("most >= 2")
+    chosen = large.join(best.select("customer_id", "bucket"), ["customer_id", "bucket"])
+    return quantiles(chosen, ["customer_id"], "amount", {"salary_amount": 0.5}, most=None)  # cents of a thousand
 
 
 def period_stats(ledger: DataFrame) -> DataFrame:
     """(customer_id, balance_monthly_trend, balance_quarterly_trend, cashflow_volatility) from one roll-up by month."""
-    last = F.max_by("balance", F.when(F.col("balance").isNotNull(), F.struct("date", "seq")))
-    monthly = ledger.groupBy("customer_id", F.date_trunc("month", "date").alias("month")).agg(_net().alias("net"), last.alias("y"))
+    return period_stats_of(_one_part(ledger, "months"))
+
+
+def period_stats_of(months: DataFrame) -> DataFrame:
+    monthly = months.select("customer_id", "month", "net", F.col("last.balance").alias("y"))
     by_month = Window.partitionBy("customer_id").orderBy("month")
     held = F.when(F.col("y").isNotNull(), F.date_trunc("quarter", "month"))
     after = F.first(held, ignorenulls=True).over(by_month.rowsBetween(1, Window.unboundedFollowing))
@@ -168,24 +178,32 @@ def period_stats(ledger: DataFrame) -> DataFrame:
     )
 
 
-def summary(ledger: DataFrame, *more: Column) -> DataFrame:
-    """Everything above in one row a customer, with aggregates ``more`` (named) over the customer's rows.
+def summary(ledger: DataFrame) -> DataFrame:
+    """Everything above in one row a customer."""
+    out = summary_of(partials(ledger)).join(daily_trend(ledger), "customer_id", "left")
+    return out.withColumn("balance_daily_trend", F.coalesce("balance_daily_trend", F.lit(0.0)))
 
-    One pass for all that is a sum or a median over rows, one for months, one for merchants and one for credits.
-    """
-    first = F.min(F.when(F.col("balance").isNotNull(), F.col("date"))).over(Window.partitionBy("customer_id"))
-    days = F.expr("timestampdiff(DAY, first_held, date)")
-    df = ledger.withColumn("first_held", first).groupBy("customer_id")
-    daily = slope(*_point_sums(days, F.col("balance"))).alias("balance_daily_trend")
-    df = df.agg(*_total_sums(), *_balance_columns(), *_size_columns(), daily, *more)
-    out = _totals(df, *df.columns[len(_total_sums()) + 1 :])
-    names = frequencies(ledger, "merchant").groupBy("customer_id").agg(ratio(F.max("n"), F.sum("n")).alias("merchant_loyalty"), F.count(F.lit(1)).alias("n_merchants"))
-    for part in (period_stats(ledger), names, salaries(ledger)):
+
+def summary_of(parts: dict[str, DataFrame], *more: Column) -> DataFrame:
+    """Everything above, but for the daily trend, from mergeable sums; ``more`` are aggregates (named) over a customer's ``names``."""
+    sizes, held = _size_columns(), _balance_columns()
+    out = _totals(parts["totals"].withColumns(sizes | held), *sizes, *held)
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("n"))
+    merchants = of("merchant")
+    names = parts["names"].groupBy("customer_id").agg(ratio(F.max(merchants), F.sum(merchants)).alias("merchant_loyalty"), F.count(merchants).alias("n_merchants"), *more)
+    for part in (period_stats_of(parts["months"]), names, salaries_of(parts["amounts"].where("side = 'credit'")), _size_median(parts["amounts"])):
         out = out.join(part, "customer_id", "left")
-    zero = ["balance_daily_trend", "balance_monthly_trend", "balance_quarterly_trend", "txn_size_mean", "txn_size_median", "txn_size_variance", "merchant_loyalty", "cashflow_volatility"]
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in zero} | {"n_merchants": F.coalesce("n_merchants", F.lit(0)), "salary_detected": F.col("salary_amount").isNotNull()})
+    none = ["balance_monthly_trend", "balance_quarterly_trend", "txn_size_mean", "txn_size_median", "txn_size_variance", "merchant_loyalty", "cashflow_volatility"]
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in none} | {"n_merchants": F.coalesce("n_merchants", F.lit(0)), "salary_detected": F.col("salary_amount").isNotNull()})
 
 
 def with_customers(found: DataFrame, customers: DataFrame) -> DataFrame:
-    """A row for each customer of ``customers``; those without transactions get n_transactions 0 and nulls."""
-    return customers.select("customer_id").distinct().join(found, "customer_id", "left").withColumn("n_transactions", F.coalesce("n_transactions", F.lit(0)))
+    """A row for each customer of ``customers``; those without transactions have 0 in totals, ratios, trends and counts.
+
+    Dates, the balance's least, greatest and mean, and a salary stay null, as there is none.
+    """
+    none = {"first_date", "last_date", "balance_min", "balance_max", "balance_mean", "salary_amount"}
+    out = customers.select("customer_id").distinct().join(found, "customer_id", "left")
+    kinds = {c: t for c, t in found.dtypes if c != "customer_id" and c not in none}
+    empty = {c: F.lit(False) if t == "boolean" else F.lit(0).cast(t) for c, t in kinds.items() if t in ("boolean", "int", "bigint", "double") or t.startswith("decimal")}
+    return out.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.stats import double, ratio
 from . import behaviour
-from .recurring import ranked, recurring
+from .partials import partials
+from .recurring import ranked, recurring_of
+from .scratch import written
 
 TOP = 5
 # Categories and payment modes with a column of their own.
@@ -55,19 +57,32 @@ def category_shares(ledger: DataFrame) -> DataFrame:
     return f.join(total, "customer_id").select("customer_id", F.col("name").alias("category"), ratio(F.col("n"), F.col("total")).alias("share"))
 
 
-def _list(ledger: DataFrame, column: str, name: str) -> DataFrame:
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "name")))  # TOP elements at most
-    return top_names(ledger, column).groupBy("customer_id").agg(F.transform(ranked, lambda r: r["name"]).alias(name))
+def _parts(ledger: DataFrame) -> dict[str, DataFrame]:
+    """The mergeable sums of ``ledger``, each written once: most columns come from several of them."""
+    narrow = written(ledger.select("customer_id", "date", "seq", "merchant", "debit", "credit", "balance", "category", "payment_mode", "description"), "ledger")
+    return {name: written(part, name) for name, part in partials(narrow).items()}
 
 
 def profiles(ledger: DataFrame) -> DataFrame:
     """One row a customer: income, spend, saving, ratios, preferred names and the expected cash flow as a struct."""
-    shares = category_shares(ledger).groupBy("customer_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "share")))).alias("shares"))
+    return profiles_of(_parts(ledger))
+
+
+def profiles_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """``profiles`` from mergeable sums (see ``partials``)."""
     item = F.struct("rank", "merchant", "direction", "category", "cadence", "median_amount", "amount_tolerance", "occurrences", "confidence")
     items = F.array_sort(F.collect_list(item)).alias("items")
-    df = behaviour.summary(ledger).join(_paid(ranked(recurring(ledger)), items), "customer_id", "left").withColumns(_income())
-    for part in (_list(ledger, "merchant", "preferred_merchants"), _list(ledger, "payment_mode", "preferred_payment_modes"), shares):
-        df = df.join(part, "customer_id", "left")
+    of = lambda kind: F.col("kind") == kind
+    rank = F.row_number().over(Window.partitionBy("customer_id", "kind").orderBy(F.desc("n"), "name"))
+    total = F.sum("n").over(Window.partitionBy("customer_id", "kind"))
+    names = parts["names"].withColumns({"rank": rank, "share": ratio(F.col("n"), total)})
+    # ``TOP`` elements at most, and one for each category.
+    top = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(of(kind) & (F.col("rank") <= TOP), F.struct("rank", "name")))), lambda r: r["name"])
+    lists = names.groupBy("customer_id").agg(
+        top("merchant").alias("preferred_merchants"), top("payment_mode").alias("preferred_payment_modes"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(of("category"), F.struct(F.col("name").alias("category"), "share"))))).alias("shares"),
+    )
+    df = behaviour.summary_of(parts).join(_paid(ranked(recurring_of(parts["payments"])), items), "customer_id", "left").withColumns(_income()).join(lists, "customer_id", "left")
     flow = F.struct(
         F.coalesce("income", F.lit(0.0)).alias("expected_income"), F.col("monthly_spend").alias("expected_spend"), F.col("monthly_saving").alias("expected_saving"), "net_cashflow",
         F.col("shares").alias("spend_by_category"), "cashflow_volatility", F.col("items").alias("recurring"), F.coalesce("subscriptions", F.lit(0)).alias("subscription_count"), "balance_mean", "months_covered",
@@ -77,14 +92,19 @@ def profiles(ledger: DataFrame) -> DataFrame:
 
 def feature_table(ledger: DataFrame) -> DataFrame:
     """The feature row: exactly the columns ``FEATURES``, nulls as 0."""
-    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    mode = lambda *names: F.count_if(F.col("payment_mode").isin(*names))
+    return features_of(_parts(ledger))
+
+
+def features_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """``feature_table`` from mergeable sums (see ``partials``)."""
+    total = lambda kind, *names: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("name").isin(*names) if names else F.lit(True)), F.col("n"))), F.lit(0))
+    mode = lambda *names: total("payment_mode", *names)
     counts = [
-        F.count_if(F.col("category") == "Salary").alias("salaries"), F.count_if(named("category")).alias("with_category"), F.count_if(named("payment_mode")).alias("with_mode"),
-        mode(*ONLINE).alias("online"), mode(*ONLINE, *OFFLINE).alias("known"),
-        *[F.count_if(F.col("category") == c).alias(f"c_{c}") for c in SHARES], *[mode(m).alias(f"m_{m}") for m in rules.KNOWN_SHARES],
+        total("category", "Salary").alias("salaries"), total("category").alias("with_category"), total("payment_mode").alias("with_mode"), mode(*ONLINE).alias("online"), mode(*ONLINE, *OFFLINE).alias("known"),
+        *[total("category", c).alias(f"c_{c}") for c in SHARES], *[mode(m).alias(f"m_{m}") for m in rules.KNOWN_SHARES],
     ]
-    df = behaviour.summary(ledger, *counts).join(_paid(recurring(ledger)), "customer_id", "left").withColumns(_income())
+    df = behaviour.summary_of(parts, *counts).join(_paid(recurring_of(parts["payments"])), "customer_id", "left").withColumns(_income())
+    df = df.withColumn("salaries", F.coalesce("salaries", F.lit(0)))
     n, zero = F.col("n_transactions"), F.lit(0.0)
     values = {
         "avg_income": F.col("income"), "income_consistency": F.col("income_stability"), "avg_monthly_spend": F.col("monthly_spend"), "avg_monthly_saving": F.col("monthly_saving"),

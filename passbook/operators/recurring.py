@@ -16,33 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import double, variance
+from .partials import KINDS, PAYMENT, combined, payment_rows
+from .quantiles import quantiles
+from .scan import scanned
+from .scratch import written
 
 BAND, LEAST_BAND, LEAST_ROWS = 0.10, 1.0, 3
-# Cadences by median gap in days, and words that name a kind of payment, in order.
+# Cadences by median gap in days.
 CADENCES = {"weekly": (4, 10), "monthly": (22, 38), "quarterly": (71, 111)}
-KINDS = {
-    "Rent": ["rent", "landlord", "nobroker"],
-    "EMI": ["emi", "installment", "instalment"],
-    "Insurance": ["insurance", "premium", "lic", "policy"],
-    "SIP": ["sip", "mutual", "groww", "zerodha", "upstox", "nps"],
-    "Subscription": ["netflix", "spotify", "prime", "subscription", "hotstar"],
-    "Loan Repayment": ["loan", "repayment", "disbursement"],
-    "Utility": ["electricity", "water", "gas", "broadband", "bill", "recharge"],
-}
 LARGE_RENT = 5000
-KEY = ["customer_id", "merchant", "direction"]
-
-
-def prepared(ledger: DataFrame) -> DataFrame:
-    credit, debit = F.coalesce("credit", F.lit(0)), F.coalesce("debit", F.lit(0))
-    direction = F.when(credit > 0, "credit").otherwise("debit")
-    df = ledger.select("customer_id", F.lower(F.coalesce("merchant", F.lit(""))).alias("merchant"), direction.alias("direction"), F.when(credit > 0, credit).otherwise(debit).cast("decimal(18,2)").alias("amount"), "date", F.lower(F.coalesce("description", F.lit(""))).alias("description"))
-    return df.where((F.col("merchant") != "") & (F.col("amount") != 0))
+KEY = PAYMENT
 
 
 def amount_clusters(rows: DataFrame) -> DataFrame:
-    """(key, amount, cluster): cluster is the smallest amount of its cluster."""
-    counted = rows.groupBy(*KEY, "amount").agg(F.count(F.lit(1)).alias("n"))
+    """(key, amount, cluster, occurrences): cluster is the smallest amount of its cluster, occurrences the cluster's number of rows.
+
+    ``rows`` has n, how many payments each row stands for.
+    """
+    counted = rows.groupBy(*KEY, "amount").agg(F.sum("n").alias("n"))
     cents = counted.select(*KEY, (F.col("amount") * 100).cast("decimal(20,0)").cast("long").alias("cents"), "n")
     ordered = cents.repartition(*KEY).sortWithinPartitions(*KEY, "cents")
 
@@ -58,18 +49,19 @@ def amount_clusters(rows: DataFrame) -> DataFrame:
                     last, total, count, first = key, amount * n, n, amount
                 mean = total / 100 / count
                 out.append(first)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in (*KEY, "cents")], pa.array(out, pa.int64())], names=[*KEY, "cents", "first"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in (*KEY, "cents")], b.column("n"), pa.array(out, pa.int64())], names=[*KEY, "cents", "n", "first"])
 
-    kind = T.StructType([*[ordered.schema[k] for k in (*KEY, "cents")], T.StructField("first", T.LongType())])
+    kind = T.StructType([*[ordered.schema[k] for k in (*KEY, "cents", "n")], T.StructField("first", T.LongType())])
     money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
-    return ordered.mapInArrow(fold, kind).select(*KEY, money("cents").alias("amount"), money("first").alias("cluster"))
+    found = ordered.mapInArrow(fold, kind)
+    sizes = found.groupBy(*KEY, "first").agg(F.sum("n").alias("occurrences"))
+    return found.join(sizes, [*KEY, "first"]).select(*KEY, money("cents").alias("amount"), money("first").alias("cluster"), "occurrences")
 
 
 def clustered(ledger: DataFrame) -> DataFrame:
-    """Prepared rows with their cluster, in clusters of at least three."""
-    rows = prepared(ledger)
-    df = rows.join(amount_clusters(rows), [*KEY, "amount"])
-    return df.withColumn("occurrences", F.count(F.lit(1)).over(Window.partitionBy(*KEY, "cluster"))).where(F.col("occurrences") >= LEAST_ROWS)
+    """Payments with their cluster, in clusters of at least three."""
+    rows = payment_rows(ledger)
+    return rows.join(amount_clusters(rows).where(F.col("occurrences") >= LEAST_ROWS), [*KEY, "amount"])
 
 
 def _kind(direction: Column, cadence: Column, amount: Column, has: dict[str, Column]) -> Column:
@@ -87,16 +79,26 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def recurring(ledger: DataFrame) -> DataFrame:
     """(key, cluster, category, cadence, median_amount, amount_tolerance, occurrences, regularity, confidence)."""
-    by_date = Window.partitionBy(*KEY, "cluster").orderBy("date")
-    rows = clustered(ledger).withColumn("before", F.lag("date").over(by_date))
-    gap = F.expr("timestampdiff(DAY, before, date)")
-    rows = rows.withColumn("gap", F.when(gap > 0, gap))
-    has = {k: F.max(F.greatest(*[F.contains(c, F.lit(w)).cast("int") for c in (F.col("merchant"), F.col("description")) for w in ws])).alias(k) for k, ws in KINDS.items()}
+    return recurring_of(combined(payment_rows(ledger), "payments"))
+
+
+def recurring_of(payments: DataFrame) -> DataFrame:
+    """``recurring`` from the table ``payments`` of ``partials``.
+
+    Gaps come from a segmented scan over the times of a cluster, and both medians from counted values, so a merchant with a
+    large share of all rows is spread over tasks.
+    """
+    clusters = amount_clusters(payments).where(F.col("occurrences") >= LEAST_ROWS)
+    rows = written(payments.join(clusters, [*KEY, "amount"]), "recurring")
+    group = [*KEY, "cluster"]
+    times = rows.groupBy(*group, "date").agg(F.lit(1).alias("one"))
+    times = scanned(times, group, ["date"], [F.date_trunc("year", "date")], before={"before": "date"})
+    gaps = times.select(*group, F.expr("timestampdiff(DAY, before, date)").alias("gap")).where("gap > 0").groupBy(*group, "gap").agg(F.count(F.lit(1)).alias("n"))
     g = F.col("gap").cast("decimal(12,0)")
-    df = rows.groupBy(*KEY, "cluster").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.percentile(double(F.col("amount")), F.lit(0.5)).alias("median_amount"), F.percentile(double(F.col("gap")), F.lit(0.5)).alias("median_gap"),
-        F.count("gap").alias("n"), F.sum(g).alias("s"), F.sum((g * g).cast("decimal(24,0)")).alias("ss"), *has.values(),
-    )
+    spread = gaps.groupBy(*group).agg(F.sum("n").alias("n"), F.sum((g * F.col("n")).cast("decimal(24,0)")).alias("s"), F.sum((g * g * F.col("n")).cast("decimal(38,0)")).alias("ss"))
+    spread = spread.join(quantiles(gaps, group, "gap", {"median_gap": 0.5}, most=None), group)
+    df = rows.groupBy(*group).agg(F.max("occurrences").alias("occurrences"), F.bit_or("kinds").alias("kinds"))
+    df = df.join(quantiles(rows.groupBy(*group, "amount").agg(F.sum("n").alias("n")), group, "amount", {"median_amount": 0.5}), group).join(spread, group)
     m = F.col("median_gap")
     cadence = F.lit(None).cast("string")
     for name, (low, high) in CADENCES.items():
@@ -105,5 +107,5 @@ def recurring(ledger: DataFrame) -> DataFrame:
     regularity = 1.0 - F.least(F.sqrt(variance(F.col("n"), F.col("s"), F.col("ss"))) / m, F.lit(1.0))
     df = df.withColumn("regularity", regularity)
     confidence = 0.5 * F.col("regularity") + 0.5 * F.least(double(F.col("occurrences")) / 6.0, F.lit(1.0))
-    category = _kind(F.col("direction"), F.col("cadence"), F.col("median_amount"), {k: F.col(f"`{k}`") == 1 for k in KINDS})
+    category = _kind(F.col("direction"), F.col("cadence"), F.col("median_amount"), {k: F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0 for i, k in enumerate(KINDS)})
     return df.select(*KEY, double(F.col("cluster")).alias("cluster"), category.alias("category"), "cadence", "median_amount", F.greatest(F.lit(BAND) * F.col("median_amount"), F.lit(LEAST_BAND)).alias("amount_tolerance"), "occurrences", "regularity", confidence.alias("confidence"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import scanned
+
 MONEY = "decimal(18,2)"
 MERCHANT_OF = {"ECONOMY": "Swiggy", "SMALL": "Netflix", "MEDIUM": "Amazon", "PROMO": "Landlord", "STANDARD": "Acme Corp"}
 MODE_OF = {1: "UPI", 2: "NEFT", 3: "POS", 4: "ATM", 5: "IMPS", 6: "RTGS"}
@@ -40,12 +42,14 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``entries`` with seq (order within the customer), running balance and a deterministic transaction id."""
-    by_time = Window.partitionBy("customer_id").orderBy("date", "source_key")
+    """``entries`` with seq (order within the customer), running balance and a deterministic transaction id.
+
+    Months and days cut a customer's rows in slices, so none has to pass through one task.
+    """
     signed = F.coalesce("credit", F.lit(0).cast(MONEY)) - F.coalesce("debit", F.lit(0).cast(MONEY))
-    df = entries(spark, sf_dir).withColumn("seq", F.row_number().over(by_time).cast("long"))
-    running = F.sum(signed).over(by_time.rowsBetween(Window.unboundedPreceding, 0)).cast(MONEY)
-    return df.withColumn("balance", running).withColumn("transaction_id", F.sha2(F.concat_ws("~", "customer_id", "seq"), 256)).drop("source_key")
+    slices = [F.date_trunc("month", "date"), F.date_trunc("day", "date")]
+    df = scanned(entries(spark, sf_dir), ["customer_id"], ["date", "source_key"], slices, number="seq", sums={"balance": signed})
+    return df.withColumn("balance", F.col("balance").cast(MONEY)).withColumn("transaction_id", F.sha2(F.concat_ws("~", "customer_id", "seq"), 256)).drop("source_key")
 
 
 def _sql_case(c: str, values: dict) -> str:

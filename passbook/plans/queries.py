@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import behaviour, canonical, columns, profile, recurring, store, synthetic, tables, tier2
+from ..operators import behaviour, canonical, columns, partials, profile, recurring, store, synthetic, tables, tier2
+from ..operators.scratch import written
 from ..streaming import statements
 from .ledger import LEDGER_SQL, entries, ledger, table
 
@@ -286,6 +287,18 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.feature_table(ledger(spark, sf_dir))
 
 
+@query(SQL["feature_table"])
+def feature_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows from sums that took in the ledger in three parts, by a hash of the transaction, one after the other."""
+    whole = written(ledger(spark, sf_dir), "ledger")
+    part = F.pmod(F.xxhash64("customer_id", "seq"), F.lit(3))
+    kept: dict[str, DataFrame] = {}
+    for k in range(3):
+        new = partials.partials(whole.where(part == k))
+        kept = {name: written(df, name) for name, df in (partials.merged(kept, new) if kept else new).items()}
+    return profile.features_of(kept)
+
+
 _PIECES = {**{m: f"regexp_matches(description, '(?i){p}')" for m, p in rules.MODE_PREFIXES.items()}}
 
 

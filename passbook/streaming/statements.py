@@ -1,4 +1,4 @@
-"""Streams: windows over events, and a drop folder of transactions that is upserted into a table."""
+"""Streams: windows over events, transactions that are upserted into a table, and feature rows and profiles kept up to date."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import profile
+from ..operators.partials import PARTS, combined, partials
 from ..operators.store import upserted
 
 
@@ -58,6 +60,42 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str],
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Tables that ``feature_stream`` keeps up to date, and how they are worked out from mergeable sums.
+KEPT = {"features": profile.features_of, "profiles": profile.profiles_of}
+
+
+def feature_stream(stream: DataFrame, path: str, checkpoint: str, *, tables: tuple[str, ...] = tuple(KEPT), buckets: int = BUCKETS) -> StreamingQuery:
+    """Feature rows and profiles that take in each micro-batch of new transactions; the old ones are never read again.
+
+    Under ``path`` are the mergeable sums of all transactions so far (see ``partials``) and the ``tables`` made of them, in
+    ``buckets`` by customer; a batch merges its own sums into those of the buckets it touches and makes only their rows
+    anew. Each transaction has to come once; a batch that is run again starts from the versions before it. Read the tables
+    with ``latest``.
+    """
+    spark = stream.sparkSession
+    spot = F.pmod(F.xxhash64("customer_id"), F.lit(buckets)).cast("int")
+
+    def put(df: DataFrame, name: str, number: int) -> None:
+        df.withColumn("bucket", spot).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/version={number}")
+
+    def take(batch: DataFrame, number: int) -> None:
+        touched = {r.bucket for r in batch.select(spot.alias("bucket")).distinct().collect()}  # ``buckets`` at most
+        if not touched:
+            return
+        of = lambda name, before: {b: v for b, v in _versions(spark, f"{path}/{name}", before=before).items() if b in touched}
+        now = {}
+        for name, new in partials(batch).items():
+            old = _read(spark, f"{path}/{name}", of(name, number), new.schema)
+            put(combined(old.unionByName(new), name), name, number)
+            now[name] = _read(spark, f"{path}/{name}", of(name, number + 1), new.schema)
+        for name in tables:
+            put(KEPT[name](now), name, number)
+        for name in (*PARTS, *tables):
+            _drop_older(spark, f"{path}/{name}", touched, number)
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _folder(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

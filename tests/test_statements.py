@@ -253,7 +253,7 @@ def test_grid_settings_and_mapping(spark, tmp_path):
 def test_customers_without_transactions(spark, history):
     known = spark.createDataFrame([("c",), ("d",)], "customer_id string")
     got = {r.customer_id: (r.n_transactions, r.merchant_loyalty) for r in behaviour.with_customers(behaviour.summary(history), known).collect()}
-    assert got == {"c": (36, 0.2), "d": (0, None)}
+    assert got == {"c": (36, 0.2), "d": (0, 0.0)}
 
 
 def test_tokens_and_cut_tables(spark):
