@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from functools import lru_cache
 
 def indel(a: str, b: str) -> float:
     """200 * common subsequence / (both lengths); 100 for two empty strings."""
@@ -18,7 +16,9 @@ def indel(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
+@lru_cache(maxsize=1 << 16)
 def token_sort(a: str, b: str) -> float:
+    """``indel`` of the sorted words; headers repeat from file to file, so pairs are remembered."""
     return indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
@@ -33,18 +33,3 @@ def token_set(a: str, b: str) -> float:
     one, two = (f"{both} {' '.join(sorted(s - (x & y)))}".strip() for s in (x, y))
     return max(indel(one, two), indel(both, one) if both else 0.0, indel(both, two) if both else 0.0)
 
-
-def best_name(candidate: Column, names: list[str], least: float) -> Column:
-    """struct(name, score) of the most similar name, if it reaches ``least``. Apply to distinct candidates."""
-
-    @F.pandas_udf("name string, score double")
-    def best(values):
-        import pandas as pd
-
-        out = []
-        for v in values:
-            score, name = max(((token_set(v or "", n), n) for n in names), key=lambda p: p[0])
-            out.append((name, score) if score >= least else (None, None))
-        return pd.DataFrame(out, columns=["name", "score"])
-
-    return best(candidate)

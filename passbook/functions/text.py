@@ -49,16 +49,22 @@ def _names() -> tuple[Column, Column]:
     return aliases, names
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def canonical(found: Column) -> Column:
     """struct(merchant, confidence): of the whole candidate, else of its first word with a name; null fields if none."""
     aliases, names = _names()
     lookup = lambda c: F.coalesce(F.try_element_at(aliases, c), F.try_element_at(names, c))
-    whole = lookup(F.upper(found))
-    word = F.get(F.filter(F.transform(F.split(F.upper(found), " "), lookup), F.isnotnull), F.lit(0))
-    return F.struct(
-        F.coalesce(whole, word).alias("merchant"),
-        F.when(whole.isNotNull(), rules.CONFIDENCE["alias"]).when(word.isNotNull(), rules.CONFIDENCE["word"]).cast("double").alias("confidence"),
-    )
+    sure = lambda name, by: F.struct(name.alias("merchant"), F.when(name.isNotNull(), F.lit(rules.CONFIDENCE[by])).cast("double").alias("confidence"))
+
+    def of(upper: Column) -> Column:
+        word = lambda: _let(F.get(F.filter(F.transform(F.split(upper, " "), lookup), F.isnotnull), F.lit(0)), lambda w: sure(w, "word"))
+        return _let(lookup(upper), lambda w: F.when(w.isNotNull(), sure(w, "alias")).otherwise(word()))
+
+    return _let(F.upper(found), of)
 
 
 def titled(c: Column) -> Column:
@@ -68,11 +74,13 @@ def titled(c: Column) -> Column:
 
 def merchant_of(description: Column) -> Column:
     """struct(merchant, confidence, cleaned) by exact names, then words, then the candidate in title case."""
-    found = candidate(description)
-    named = canonical(found)
-    return F.when(found == "", F.struct(F.lit(None).cast("string").alias("merchant"), F.lit(0.0).alias("confidence"), found.alias("cleaned"))).otherwise(
-        F.struct(F.coalesce(named["merchant"], titled(found)).alias("merchant"), F.coalesce(named["confidence"], F.lit(rules.CONFIDENCE["fallback"])).alias("confidence"), found.alias("cleaned"))
-    )
+    row = lambda merchant, sure, found: F.struct(merchant.alias("merchant"), sure.alias("confidence"), found.alias("cleaned"))
+
+    def of(found: Column) -> Column:
+        named = _let(canonical(found), lambda n: row(F.coalesce(n["merchant"], titled(found)), F.coalesce(n["confidence"], F.lit(rules.CONFIDENCE["fallback"])), found))
+        return F.when(found == "", row(F.lit(None).cast("string"), F.lit(0.0), found)).otherwise(named)
+
+    return _let(candidate(description), of)
 
 
 def _keyword_pattern() -> str:

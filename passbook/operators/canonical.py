@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..functions.similarity import best_name
+from . import columns
+from .names import similar_names
+from .scratch import written
 
 CONTRACT = ["transaction_id", "date", "merchant", "description", "debit", "credit", "balance", "currency", "bank", "reference_number", "account_type", "payment_mode", "category", "category_confidence"]
 _KEPT = 200
 
 
-def normalised(cells: DataFrame, mapping: DataFrame, *, bank: DataFrame | None = None, currency: str = "INR", compat_dates: bool = False) -> tuple[DataFrame, DataFrame]:
+def normalised(cells: DataFrame, mapping: DataFrame, *, bank: DataFrame | None = None, currency: str = "INR", compat_dates: bool = False, signed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(transactions, rejected): cells (path, row, pos, header, value) by the mapping of their file.
 
     A column is known by its place, so headers may repeat. Rows without a date or with a cell that is no amount are rejected with a reason. A signed amount splits into debit
-    and credit where neither is mapped. An empty description is made of the unmapped cells.
+    and credit where neither is mapped; ``signed`` (path, header) names its column in files that map no amount. An empty description is made of the unmapped cells.
     """
     long = cells.join(mapping.select("path", "pos", "field"), ["path", "pos"], "left")
     value = text.clean_cell(F.col("value"))
@@ -25,6 +27,9 @@ def normalised(cells: DataFrame, mapping: DataFrame, *, bank: DataFrame | None =
     split = mapping.groupBy("path").agg(F.max(F.col("field").isin("debit", "credit").cast("int")).alias("has_sides"))
     wide = long.groupBy("path", "row").agg(*[pick(f) for f in ("date", "description", "debit", "credit", "balance", "reference_number", "amount")], spare.alias("spare"))
     wide = wide.join(split, "path", "left")
+    if signed is not None:
+        named = cells.join(signed.select("path", "header"), ["path", "header"]).groupBy("path", "row").agg(F.min_by(value, "pos").alias("_signed"))
+        wide = wide.join(named, ["path", "row"], "left").withColumn("amount", F.coalesce("amount", "_signed")).drop("_signed")
     if bank is not None:
         wide = wide.join(bank.select("path", "bank"), "path", "left")
     signed = F.when(F.coalesce("has_sides", F.lit(0)) == 0, text.amount(F.col("amount")))
@@ -42,16 +47,19 @@ def normalised(cells: DataFrame, mapping: DataFrame, *, bank: DataFrame | None =
     return ok, df.where("reason IS NOT NULL").select("path", "row", "reason")
 
 
-def with_merchants(df: DataFrame) -> DataFrame:
-    """Adds merchant (null if none is found) and fills a missing payment_mode from the description.
+def with_merchants(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Adds merchant and merchant_confidence (null and 0 if none is found) and fills a missing payment_mode from the description.
 
-    Candidates without an exact name are compared with the known names once for each distinct one.
+    Candidates without an exact name look for a similar one of ``names`` (the known merchants by default), each distinct one once.
     """
-    df = df.withColumn("_m", text.merchant_of(F.col("description")))
-    unsure = df.where(F.col("_m.confidence") == rules.CONFIDENCE["fallback"]).select(F.col("_m.cleaned").alias("_c")).distinct()
-    similar = unsure.withColumn("_s", best_name(F.col("_c"), rules.MERCHANTS, rules.FUZZY_MERCHANT)).where(F.col("_s.name").isNotNull())
-    df = df.join(similar, (df["_m.cleaned"] == similar["_c"]) & (df["_m.confidence"] == rules.CONFIDENCE["fallback"]), "left")
-    return df.withColumn("merchant", F.coalesce("_s.name", "_m.merchant")).withColumn("payment_mode", F.coalesce("payment_mode", text.mode_by_word(F.col("description")))).drop("_m", "_c", "_s")
+    spark = df.sparkSession
+    known = spark.createDataFrame(list(enumerate(names or rules.MERCHANTS)), "place int, name string")
+    df = written(df.withColumn("_m", text.merchant_of(F.col("description"))), "merchants")
+    unsure = F.when(F.col("_m.confidence") == rules.CONFIDENCE["fallback"], F.col("_m.cleaned"))
+    similar = similar_names(df.select(unsure.alias("text")).where("text IS NOT NULL"), known, rules.FUZZY_MERCHANT).select(F.col("text").alias("_c"), F.col("name").alias("_n"), F.round(F.col("score") / 100, 3).alias("_s"))
+    df = df.join(similar, unsure == F.col("_c"), "left")
+    mode = F.col("payment_mode") if "payment_mode" in df.columns else F.lit(None).cast("string")
+    return df.withColumns({"merchant": F.coalesce("_n", "_m.merchant"), "merchant_confidence": F.coalesce("_s", "_m.confidence"), "payment_mode": F.coalesce(mode, text.mode_by_word(F.col("description")))}).drop("_m", "_c", "_n", "_s")
 
 
 def with_categories(df: DataFrame, model=None, *, code_col: str | None = None) -> DataFrame:
@@ -72,6 +80,21 @@ def with_categories(df: DataFrame, model=None, *, code_col: str | None = None) -
     return df.withColumn("category", category).withColumn("category_confidence", confidence).drop("_r", "guess", "guess_confidence")
 
 
+def ingested(cells: DataFrame, *, names: dict[str, list[str]] | None = None, model=None, strict: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """(transactions, rejected) of raw cells: mapping, signed columns, normalising, merchants and categories, one after the other.
+
+    ``options`` go to ``normalised``. With ``strict`` there has to be something in it: ValueError without cells or without a valid row.
+    """
+    if strict and cells.isEmpty():
+        raise ValueError("no cells to normalise")
+    mapping = written(columns.column_mapping(cells, names), "mapping")  # a row a column; asked for several times
+    found, bad = normalised(cells, mapping, signed=columns.signed_amount_columns(cells), **options)
+    found = written(found, "normalised")
+    if strict and found.isEmpty():
+        raise ValueError("no valid transactions")
+    return with_categories(with_merchants(found), model), bad
+
+
 def contract(df: DataFrame) -> DataFrame:
     """The columns of a canonical transaction, in order; those that ``df`` lacks are null."""
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in CONTRACT])

@@ -83,13 +83,14 @@ def payment_rows(ledger: DataFrame) -> DataFrame:
     """Rows of ``payments``: those with a merchant and an amount; bit k of ``kinds`` is the k-th of ``KINDS``."""
     credit, debit = F.coalesce("credit", F.lit(0)), F.coalesce("debit", F.lit(0))
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    words = F.concat_ws("\n", low("merchant"), low("description"))
-    kinds = reduce(Column.bitwiseOR, [F.when(words.rlike("|".join(ws)), F.lit(1 << k)).otherwise(0) for k, ws in enumerate(KINDS.values())])
-    df = ledger.select(
+    any_of = lambda ws: reduce(Column.__or__, [F.contains("_words", F.lit(w)) for w in ws])
+    kinds = reduce(Column.bitwiseOR, [F.when(any_of(ws), F.lit(1 << k)).otherwise(0) for k, ws in enumerate(KINDS.values())])
+    named = ledger.where(low("merchant") != "").withColumn("_words", F.concat_ws("\n", low("merchant"), low("description")))
+    df = named.select(
         "customer_id", low("merchant").alias("merchant"), F.when(credit > 0, "credit").otherwise("debit").alias("direction"), F.when(credit > 0, credit).otherwise(debit).cast("decimal(18,2)").alias("amount"), "date",
         F.lit(1).cast("long").alias("n"), kinds.alias("kinds"),
     )
-    return df.where((F.col("merchant") != "") & (F.col("amount") != 0))
+    return df.where(F.col("amount") != 0)
 
 
 def combined(rows: DataFrame, part: str) -> DataFrame:

@@ -58,9 +58,9 @@ def category_shares(ledger: DataFrame) -> DataFrame:
 
 
 def _parts(ledger: DataFrame) -> dict[str, DataFrame]:
-    """The mergeable sums of ``ledger``, each written once: most columns come from several of them."""
+    """The mergeable sums of ``ledger``; those that are asked for several times are written once, as is the narrow ledger."""
     narrow = written(ledger.select("customer_id", "date", "seq", "merchant", "debit", "credit", "balance", "category", "payment_mode", "description"), "ledger")
-    return {name: written(part, name) for name, part in partials(narrow).items()}
+    return {name: written(part, name) if name in ("amounts", "payments") else part for name, part in partials(narrow).items()}
 
 
 def profiles(ledger: DataFrame) -> DataFrame:

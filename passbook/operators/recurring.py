@@ -29,39 +29,44 @@ KEY = PAYMENT
 
 
 def amount_clusters(rows: DataFrame) -> DataFrame:
-    """(key, amount, cluster, occurrences): cluster is the smallest amount of its cluster, occurrences the cluster's number of rows.
+    """(key, amount, n, cluster) of the amounts in clusters of at least ``LEAST_ROWS`` payments; cluster is the smallest amount of it.
 
-    ``rows`` has n, how many payments each row stands for.
+    ``rows`` has n, how many payments each row stands for. The first amounts of a cluster wait until it is large enough.
     """
     counted = rows.groupBy(*KEY, "amount").agg(F.sum("n").alias("n"))
     cents = counted.select(*KEY, (F.col("amount") * 100).cast("decimal(20,0)").cast("long").alias("cents"), "n")
     ordered = cents.repartition(*KEY).sortWithinPartitions(*KEY, "cents")
+    fields = [ordered.schema[k] for k in (*KEY, "cents", "n")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, count, first, mean = None, 0, 0, 0, 0.0
+        last, total, count, first, mean, waiting = None, 0, 0, 0, 0.0, []
         for b in batches:
-            out = []
+            out: list[tuple] = []
             keys = zip(*[b.column(k).to_pylist() for k in KEY])
             for key, amount, n in zip(keys, b.column("cents").to_pylist(), b.column("n").to_pylist()):
                 if key == last and abs(amount / 100 - mean) <= max(BAND * abs(mean), LEAST_BAND):
                     total, count = total + amount * n, count + n
                 else:
-                    last, total, count, first = key, amount * n, n, amount
+                    last, total, count, first, waiting = key, amount * n, n, amount, []
                 mean = total / 100 / count
-                out.append(first)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in (*KEY, "cents")], b.column("n"), pa.array(out, pa.int64())], names=[*KEY, "cents", "n", "first"])
+                waiting.append((*key, amount, n, first))
+                if count >= LEAST_ROWS:
+                    out += waiting
+                    waiting = []
+            columns = list(zip(*out)) or [()] * (len(KEY) + 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[b.schema.field(k).type for k in (*KEY, "cents", "n")], pa.int64()])], names=[*KEY, "cents", "n", "first"])
 
-    kind = T.StructType([*[ordered.schema[k] for k in (*KEY, "cents", "n")], T.StructField("first", T.LongType())])
     money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
-    found = ordered.mapInArrow(fold, kind)
-    sizes = found.groupBy(*KEY, "first").agg(F.sum("n").alias("occurrences"))
-    return found.join(sizes, [*KEY, "first"]).select(*KEY, money("cents").alias("amount"), money("first").alias("cluster"), "occurrences")
+    found = ordered.mapInArrow(fold, T.StructType([*fields, T.StructField("first", T.LongType())]))
+    return found.select(*KEY, money("cents").alias("amount"), "n", money("first").alias("cluster"))
 
 
 def clustered(ledger: DataFrame) -> DataFrame:
-    """Payments with their cluster, in clusters of at least three."""
+    """Payments with their cluster and its number of rows (occurrences), in clusters of at least three."""
     rows = payment_rows(ledger)
-    return rows.join(amount_clusters(rows).where(F.col("occurrences") >= LEAST_ROWS), [*KEY, "amount"])
+    clusters = written(amount_clusters(rows), "clusters")
+    sizes = clusters.groupBy(*KEY, "cluster").agg(F.sum("n").alias("occurrences"))
+    return rows.join(clusters.drop("n").join(sizes, [*KEY, "cluster"]), [*KEY, "amount"])
 
 
 def _kind(direction: Column, cadence: Column, amount: Column, has: dict[str, Column]) -> Column:
@@ -88,8 +93,7 @@ def recurring_of(payments: DataFrame) -> DataFrame:
     Gaps come from a segmented scan over the times of a cluster, and both medians from counted values, so a merchant with a
     large share of all rows is spread over tasks.
     """
-    clusters = amount_clusters(payments).where(F.col("occurrences") >= LEAST_ROWS)
-    rows = written(payments.join(clusters, [*KEY, "amount"]), "recurring")
+    rows = written(payments.join(amount_clusters(payments).drop("n"), [*KEY, "amount"]), "recurring")
     group = [*KEY, "cluster"]
     times = rows.groupBy(*group, "date").agg(F.lit(1).alias("one"))
     times = scanned(times, group, ["date"], [F.date_trunc("year", "date")], before={"before": "date"})
@@ -97,7 +101,7 @@ def recurring_of(payments: DataFrame) -> DataFrame:
     g = F.col("gap").cast("decimal(12,0)")
     spread = gaps.groupBy(*group).agg(F.sum("n").alias("n"), F.sum((g * F.col("n")).cast("decimal(24,0)")).alias("s"), F.sum((g * g * F.col("n")).cast("decimal(38,0)")).alias("ss"))
     spread = spread.join(quantiles(gaps, group, "gap", {"median_gap": 0.5}, most=None), group)
-    df = rows.groupBy(*group).agg(F.max("occurrences").alias("occurrences"), F.bit_or("kinds").alias("kinds"))
+    df = rows.groupBy(*group).agg(F.sum("n").alias("occurrences"), F.bit_or("kinds").alias("kinds"))
     df = df.join(quantiles(rows.groupBy(*group, "amount").agg(F.sum("n").alias("n")), group, "amount", {"median_amount": 0.5}), group).join(spread, group)
     m = F.col("median_gap")
     cadence = F.lit(None).cast("string")

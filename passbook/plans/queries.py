@@ -436,28 +436,94 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.column_mapping(cells.select("path", "row", "c.*"))
 
 
-@query("SELECT customer_id, coalesce(n, 0) AS n_transactions FROM (SELECT c_custkey AS customer_id FROM customer) LEFT JOIN (SELECT o_custkey AS customer_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey) USING (customer_id)")
+@query(
+    f"""{_with_parts()} SELECT c_custkey AS customer_id, coalesce(n_transactions, 0) AS n_transactions, coalesce(incoming_total, 0) AS incoming_total, coalesce(monthly_spend, 0) AS monthly_spend, coalesce(savings_ratio, 0) AS savings_ratio, balance_min,
+    coalesce(cashflow_volatility, 0) AS cashflow_volatility, salary_amount, salary_amount IS NOT NULL AS salary_detected FROM customer LEFT JOIN (SELECT * FROM {_JOINED}) ON customer_id = c_custkey""",
+    money="incoming_total",
+)
 def customers_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer, with 0 transactions where the ledger has none."""
+    """Every customer, with zeros where the ledger has none of their rows."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
-    return behaviour.with_customers(behaviour.totals(entries(spark, sf_dir)), customers).select("customer_id", "n_transactions")
+    found = behaviour.with_customers(behaviour.summary(written(ledger(spark, sf_dir), "ledger")), customers)
+    return found.select("customer_id", "n_transactions", "incoming_total", "monthly_spend", "savings_ratio", "balance_min", "cashflow_volatility", "salary_amount", "salary_detected")
 
 
 _ORDER_ROWS = "o AS (SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row, * FROM orders)"
 
 
+_TITLED = "array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(candidate, ' ')], ' ')"
+_MERCHANT = f"CASE WHEN candidate <> '' THEN coalesce(names[upper(candidate)], [names[x] FOR x IN string_split(upper(candidate), ' ') IF names[x] IS NOT NULL][1], {_TITLED}) END"
+
+
 @query(
-    f"""WITH {_ORDER_ROWS}, m AS (SELECT path, max(field) FILTER (WHERE source_column = 'Sum') AS sum_is, count(*) FILTER (WHERE field = 'date') AS has_date FROM ({SQL['column_mapping']}) GROUP BY path),
-    r AS (SELECT path, row, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS date, o_orderpriority AS description, CAST(o_totalprice AS DECIMAL(18,2)) AS v, sum_is, lower(o_orderpriority) AS low FROM o JOIN m USING (path) WHERE has_date > 0)
-    SELECT path, row, date, description, CASE WHEN sum_is = 'debit' THEN v END AS debit, CAST(NULL AS DECIMAL(18,2)) AS credit, CASE WHEN sum_is = 'balance' THEN v END AS balance, coalesce({_KEYWORD_CASE}, 'Others') AS category FROM r""",
+    f"""WITH {_ORDER_ROWS}, mapped AS (SELECT path, max(field) FILTER (WHERE source_column = 'Sum') AS sum_is, count(*) FILTER (WHERE field = 'date') AS has_date FROM ({SQL['column_mapping']}) GROUP BY path),
+    ledger AS (SELECT path AS customer_id, row AS seq, o_orderpriority AS description, * FROM o JOIN mapped USING (path) WHERE has_date > 0), {_CANDIDATE},
+    n AS (SELECT customer_id, seq, {_MERCHANT} AS merchant FROM (SELECT *, {_NAMES_SQL} AS names FROM cand)),
+    r AS (SELECT path, row, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS date, description, merchant, CAST(o_totalprice AS DECIMAL(18,2)) AS v, sum_is, lower(concat_ws(' ', merchant, description)) AS low FROM ledger JOIN n USING (customer_id, seq))
+    SELECT path, row, date, description, merchant, CASE WHEN sum_is = 'debit' THEN v END AS debit, CAST(NULL AS DECIMAL(18,2)) AS credit, CASE WHEN sum_is = 'balance' THEN v END AS balance, coalesce({_KEYWORD_CASE}, 'Others') AS category FROM r""",
     money="debit credit balance",
 )
 def statement_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw cells of many files to transactions with a category: mapping, normalising, merchants, rules."""
-    cells = _order_cells(spark, sf_dir)
-    found, _ = canonical.normalised(cells, columns.column_mapping(cells))
-    done = canonical.with_categories(found.withColumn("merchant", F.lit(None).cast("string")))
-    return done.select("path", "row", "date", "description", "debit", "credit", "balance", "category")
+    """Raw cells of many files to transactions with merchant and category: mapping, normalising, merchants, rules."""
+    return canonical.ingested(_order_cells(spark, sf_dir))[0].select("path", "row", "date", "description", "merchant", "debit", "credit", "balance", "category")
+
+
+@query(
+    """WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, l_orderkey % 2 = 0 AS named, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS row, l_shipdate AS day, l_linestatus AS kind,
+      CAST(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2)) AS v FROM lineitem),
+    w AS (SELECT *, lag(v) OVER (PARTITION BY path ORDER BY row) AS b FROM l),
+    g AS (SELECT path, count(*) AS n, count(b) AS steps, count(*) FILTER (WHERE b <> v) AS moves, avg(CAST(v < 0 AS INT)) AS minus FROM w GROUP BY path),
+    f AS (SELECT *, n >= 3 AS enough, n >= 3 AND moves >= steps // 2 AS balance_like FROM l JOIN g USING (path)),
+    s AS (SELECT *, NOT named AND enough AND NOT balance_like AS as_debit, NOT named AND balance_like AS as_balance, named OR (minus > 0.1 AND NOT (enough AND NOT balance_like)) AS splits FROM f)
+    SELECT path, row, CAST(date_trunc('day', day) AS TIMESTAMP) AS date, CASE WHEN NOT named AND NOT enough THEN kind || ' ' || v ELSE kind END AS description,
+      CASE WHEN as_debit THEN v WHEN splits AND v < 0 THEN -v END AS debit, CASE WHEN splits AND v > 0 THEN v END AS credit, CASE WHEN as_balance THEN v END AS balance FROM s""",
+    money="debit credit balance",
+)
+def signed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as files with one column of signed amounts, which half of them name and the others only show."""
+    from pyspark.sql import Window
+
+    row = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1).cast("long")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    named = F.when(F.col("l_orderkey") % 2 == 0, "Amount").otherwise("Value")
+    values = [(F.lit("Date"), F.date_format("l_shipdate", "dd/MM/yyyy")), (F.lit("Kind"), F.col("l_linestatus")), (named, F.when(F.col("l_returnflag") == "R", -price).otherwise(price).cast("string"))]
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), h.alias("header"), v.alias("value")) for i, (h, v) in enumerate(values)])
+    rows = table(spark, sf_dir, "lineitem").withColumn("row", row)
+    cells = rows.select(F.col("l_orderkey").cast("string").alias("path"), "row", F.explode(cells).alias("c")).select("path", "row", "c.*")
+    found, _ = canonical.normalised(cells, columns.column_mapping(cells), signed=columns.signed_amount_columns(cells))
+    return found.select("path", "row", "date", "description", "debit", "credit", "balance")
+
+
+_MISSPELT = "list_value(" + ", ".join(f"'{m}'" for m in rules.MERCHANTS) + f")[1 + CAST(p_partkey % {len(rules.MERCHANTS)} AS INT)]"
+
+
+@query(
+    rf"""WITH RECURSIVE m AS (SELECT p_partkey, {_MISSPELT} AS m FROM part), k AS (SELECT *, CAST(1 + (p_partkey // {len(rules.MERCHANTS)}) % length(m) AS INT) AS spot FROM m),
+    ledger AS (SELECT 0 AS customer_id, p_partkey AS seq, 'UPI/DR/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '/' || CASE p_partkey % 3 WHEN 0 THEN left(m, spot - 1) || substr(m, spot + 1) WHEN 1 THEN left(m, spot) || 'q' || substr(m, spot + 1) ELSE m || 's' END AS description FROM k),
+    {_CANDIDATE}, t AS (SELECT DISTINCT candidate AS text FROM cand WHERE candidate <> ''), n AS (SELECT unnest({[m for m in rules.MERCHANTS]}) AS name, unnest(range({len(rules.MERCHANTS)})) AS place),
+    p AS (SELECT text, name, place, list_sort(list_distinct(string_split(text, ' '))) AS x, list_sort(list_distinct(string_split(name, ' '))) AS y FROM t, n),
+    q AS (SELECT *, array_to_string(list_sort(list_intersect(x, y)), ' ') AS b, array_to_string(list_sort([w FOR w IN x IF NOT list_contains(y, w)]), ' ') AS rx, array_to_string(list_sort([w FOR w IN y IF NOT list_contains(x, w)]), ' ') AS ry FROM p),
+    pairs AS (SELECT DISTINCT unnest([[trim(b || ' ' || rx), trim(b || ' ' || ry)], [b, trim(b || ' ' || rx)], [b, trim(b || ' ' || ry)]]) AS d FROM q),
+    lcs AS (
+      SELECT d, 0 AS i, [0 FOR z IN range(length(d[2]) + 1)] AS best FROM pairs WHERE d[1] <> '' AND d[2] <> ''
+      UNION ALL SELECT d, i + 1, [0] || [list_max([greatest(best[j + 1], CASE WHEN d[1][i + 1] = d[2][j] THEN best[j] + 1 ELSE 0 END) FOR j IN range(1, h + 1)]) FOR h IN range(1, length(d[2]) + 1)] FROM lcs WHERE i < length(d[1])
+    ), alike AS (SELECT d, 200.0::DOUBLE * best[-1] / (length(d[1]) + length(d[2])) AS s FROM lcs WHERE i = length(d[1])),
+    scored AS (SELECT text, name, place, CASE WHEN b <> '' AND (rx = '' OR ry = '') THEN 100.0::DOUBLE ELSE greatest(a.s, coalesce(CASE WHEN b <> '' THEN c.s END, 0), coalesce(CASE WHEN b <> '' THEN e.s END, 0)) END AS s
+      FROM q JOIN alike a ON a.d = [trim(b || ' ' || rx), trim(b || ' ' || ry)] LEFT JOIN alike c ON c.d = [b, trim(b || ' ' || rx)] LEFT JOIN alike e ON e.d = [b, trim(b || ' ' || ry)]),
+    likest AS (SELECT text, arg_max(struct_pack(name := name, s := s), struct_pack(s := s, p := -place)) AS f FROM scored WHERE s >= {rules.FUZZY_MERCHANT} GROUP BY text),
+    w AS (SELECT seq, candidate, names[upper(candidate)] AS whole, [names[x] FOR x IN string_split(upper(candidate), ' ') IF names[x] IS NOT NULL][1] AS word FROM (SELECT *, {_NAMES_SQL} AS names FROM cand))
+    SELECT seq AS p_partkey, CASE WHEN candidate <> '' THEN coalesce(whole, word, f.name, {_TITLED}) END AS merchant,
+      CASE WHEN candidate = '' THEN 0.0::DOUBLE WHEN whole IS NOT NULL THEN 0.95::DOUBLE WHEN word IS NOT NULL THEN 0.9::DOUBLE WHEN f IS NOT NULL THEN round(f.s / 100, 3) ELSE 0.4::DOUBLE END AS confidence FROM w LEFT JOIN likest ON text = candidate"""
+)
+def similar_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchants of descriptions that misspell them: a letter left out, replaced or added."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    n = len(rules.MERCHANTS)
+    m = F.get(F.array(*map(F.lit, rules.MERCHANTS)), (F.col("p_partkey") % n).cast("int"))
+    at = (1 + F.floor(F.col("p_partkey") / n) % F.length(m)).cast("int")
+    wrong = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.substr(m, F.lit(1), at - 1), F.substr(m, at + 1))).when(F.col("p_partkey") % 3 == 1, F.concat(F.substr(m, F.lit(1), at), F.lit("q"), F.substr(m, at + 1))).otherwise(F.concat(m, F.lit("s")))
+    df = p.select("p_partkey", F.concat(F.lit("UPI/DR/"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("/"), wrong).alias("description"))
+    return canonical.with_merchants(df).select("p_partkey", "merchant", F.col("merchant_confidence").alias("confidence"))
 
 
 @query(

@@ -34,13 +34,13 @@ def ledger(spark):
     return raw.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("debit", "credit", "balance")})
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_scan(spark, levels):
+@pytest.mark.parametrize("levels, most", [(1, 0), (2, 0), (3, 0), (2, 400), (2, 10**6)])
+def test_scan(spark, levels, most):
     rng = random.Random(levels)
     rows = [(rng.choice(["hot", "hot", "a", None]), rng.choice([None, *range(200)]), i, rng.choice([None, rng.randrange(-50, 50)]), rng.choice([None, f"v{i}"])) for i in range(1500)]
     df = spark.createDataFrame(rows, "k string, t int, id int, x long, v string")
     slices = [F.floor(F.col("t") / 50), F.floor(F.col("t") / 10), F.col("t")][:levels]
-    out = scan.scanned(df, ["k"], ["t", "id"], slices, number="nr", sums={"run": F.col("x")}, before={"was": "v"})
+    out = scan.scanned(df, ["k"], ["t", "id"], slices, number="nr", sums={"run": F.col("x")}, before={"was": "v"}, most=most)
     got, want, state = {r.id: (r.nr, r.run, r.was) for r in out.collect()}, {}, {}
     for k, _, i, x, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
         nr, run, was = state.get(k, (0, None, None))
@@ -54,7 +54,7 @@ def test_scan(spark, levels):
 def test_scan_spreads_a_hot_key(spark):
     """No task of the scan sees more rows than a slice has, though one key has all of them."""
     df = spark.range(20_000).select(F.when(F.col("id") >= 0, 1).otherwise(2).alias("k"), F.col("id").alias("t"))
-    out = scan.scanned(df, ["k"], ["t"], [F.floor(F.col("t") / 4000), F.floor(F.col("t") / 200)], number="nr")
+    out = scan.scanned(df, ["k"], ["t"], [F.floor(F.col("t") / 4000), F.floor(F.col("t") / 200)], number="nr", most=1000)
     sizes = [r.n for r in out.repartition(1).groupBy(F.floor(F.col("t") / 200)).agg(F.count(F.lit(1)).alias("n")).collect()]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert max(sizes) == 200 and out.where("nr <> t + 1").count() == 0
