@@ -123,17 +123,46 @@ def bad_amount(c: Column) -> Column:
     return ~F.lower(clean_cell(c)).isin("", "nan", "none", "-") & amount(c).isNull()
 
 
+#: Months by the first three letters of their names, and two-digit years from here on are of the last century.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+CENTURY = 75
+_DAY_NAME = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[,.]?\s+)?"
+_MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_TIME = r"(?:[\st,]+(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.\d+)?)?\s*(am|pm|)\s*(?:z|utc|gmt|[+-]\d\d:?\d\d)?)?$"
+#: Kinds of date: a pattern, and which of its groups are year, month and day.
+_DATES = {
+    "iso": (rf"^{_DAY_NAME}(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TIME}", (1, 2, 3)),
+    "plain": (rf"^(\d{{4}})(\d\d)(\d\d){_TIME}", (1, 2, 3)),
+    "day": (rf"^{_DAY_NAME}(\d{{1,2}})[-/. ](\d{{1,2}})[-/. ](\d{{2}}|\d{{4}}){_TIME}", (3, 2, 1)),
+    "named": (rf"^{_DAY_NAME}(\d{{1,2}})(?:st|nd|rd|th)?[-/., ]*{_MONTH}[-/., ]*(\d{{4}}|\d{{2}}){_TIME}", (3, 2, 1)),
+    "month": (rf"^{_DAY_NAME}{_MONTH}[-/. ]*(\d{{1,2}})(?:st|nd|rd|th)?[-/., ]+(\d{{4}}|\d{{2}}){_TIME}", (3, 1, 2)),
+}
+
+
 def statement_date(c: Column, compat: bool = False) -> Column:
-    """timestamp_ntz: ISO dates stay ISO, others are day first; null if neither fits.
+    """timestamp_ntz of a date in figures or with the name of a month, with or without a time; null if it reads as none.
 
-    ``compat`` reads ISO dates with day and month exchanged where that is a date, and falls back to month first.
+    ISO dates stay ISO; others are day first, and month first where only that is a date. Two-digit years are those from
+    1900 + ``CENTURY`` on. Names of days and zones are passed over. ``compat`` reads ISO dates with day and month exchanged
+    where that is a date.
     """
-    v = clean_cell(c)
-    formats = ["d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy", "d.M.yyyy", "d MMM yyyy", "d-MMM-yyyy"]
-    iso = ["yyyy-d-M", "yyyy-M-d"] if compat else ["yyyy-M-d"]
-    more = ["M/d/yyyy", "M-d-yyyy"] if compat else []
-    day = F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in [*iso, "yyyy/M/d", "yyyy-M-d H:m:s", "d/M/yyyy H:m:s", *formats, *more]])
-    return day.cast("timestamp_ntz")
+
+    def of(v: Column) -> Column:
+        def read(kind: str) -> Column:
+            pattern, (year, month, day) = _DATES[kind]
+            part = lambda k: F.regexp_extract(v, pattern, k)
+            number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
+            y = number(year) + F.when(F.length(part(year)) == 2, F.when(number(year) < CENTURY, 2000).otherwise(1900)).otherwise(0)
+            m = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(part(month), 1, 3)).cast("int") if kind in ("named", "month") else number(month)
+            half = part(7)
+            hour = F.when(half == "", number(4)).otherwise(number(4) % 12 + F.when(half == "pm", 12).otherwise(0))
+            made = lambda mm, dd: F.try_make_timestamp_ntz(y, mm, dd, hour, number(5), number(6).cast("decimal(8,6)"))
+            tries = {"iso": [made(number(day), m), made(m, number(day))] if compat else [made(m, number(day))], "day": [made(m, number(day)), made(number(day), m)]}.get(kind, [made(m, number(day))])
+            return F.when(v.rlike(pattern), F.coalesce(*tries))
+
+        return F.coalesce(*map(read, _DATES))
+
+    return _let(F.lower(clean_cell(c)), of)
 
 
 # Banks by words in a text (first bank with any), layouts by column words.

@@ -28,7 +28,8 @@ def samples(spark: SparkSession) -> DataFrame:
 
 
 def fit(spark: SparkSession, train: DataFrame | None = None) -> PipelineModel:
-    train = (samples(spark) if train is None else train).withColumn("grams", ngrams(F.col("text"))).coalesce(1).cache()
+    train = samples(spark).coalesce(1) if train is None else train  # of the built-in ones there are two hundred
+    train = train.withColumn("grams", ngrams(F.col("text"))).cache()
     labels = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(train)
     stages = [
         labels, HashingTF(inputCol="grams", outputCol="tf", numFeatures=BUCKETS), IDF(inputCol="tf", outputCol="tfidf"),

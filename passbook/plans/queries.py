@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import behaviour, canonical, columns, partials, profile, recurring, store, synthetic, tables, tier2
+from ..operators import asof, behaviour, canonical, columns, partials, profile, recurring, store, synthetic, tables, tier2
 from ..operators.scratch import written
 from ..streaming import statements
 from .ledger import LEDGER_SQL, entries, ledger, table
@@ -299,6 +299,33 @@ def feature_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.features_of(kept)
 
 
+@query(
+    f"""{_WITH}, l AS (SELECT customer_id, date, balance FROM ledger QUALIFY row_number() OVER (PARTITION BY customer_id, date ORDER BY balance DESC) = 1),
+    a AS (SELECT o_orderkey, o_custkey AS customer_id, o_orderdate AS date FROM orders)
+    SELECT a.o_orderkey, a.customer_id, a.date, {_d('l.balance')} AS balance FROM a ASOF LEFT JOIN l ON a.customer_id = l.customer_id AND a.date >= l.date"""
+)
+def balance_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's balance when an order was made: that of the last transaction not after it."""
+    at = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("date"))
+    held = ledger(spark, sf_dir).select("customer_id", F.col("date").cast("timestamp_ntz").alias("date"), "balance")
+    return asof.asof(at, held, ["customer_id"], "date", ["balance"]).withColumn("balance", F.col("balance").cast("double"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS customer_id, o_orderkey, o_orderdate AS opens, o_orderdate + INTERVAL 30 DAY AS closes FROM orders), t AS (SELECT o_custkey AS customer_id, l_shipdate AS date, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT s.o_orderkey, count(*) AS n, CAST(sum(price) AS DECIMAL(28,2)) AS total FROM t JOIN s ON t.customer_id = s.customer_id AND t.date >= s.opens AND t.date < s.closes GROUP BY s.o_orderkey""",
+    money="total",
+)
+def shipped_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a customer was shipped in the thirty days after each of their orders, whichever order it belongs to."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("opens"))
+    spans = orders.withColumn("closes", F.col("opens") + F.expr("INTERVAL 30 DAY"))
+    price = F.col("l_extendedprice").cast("decimal(18,2)").alias("price")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("timestamp_ntz").alias("date"), price).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "customer_id"), "l_orderkey").drop("l_orderkey")
+    met = asof.in_intervals(rows, spans, ["customer_id"], "date", "opens", "closes", unit="month")
+    return met.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("price").cast("decimal(28,2)").alias("total"))
+
+
 _PIECES = {**{m: f"regexp_matches(description, '(?i){p}')" for m, p in rules.MODE_PREFIXES.items()}}
 
 
@@ -596,14 +623,13 @@ def signed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.signed_amount_columns(li.select(F.col("l_orderkey").cast("string").alias("path"), F.explode(both).alias("c")).select("path", "c.*"))
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS path, count(*) AS n_rows, sum(length(o_orderpriority)) AS n_letters FROM orders GROUP BY o_custkey")
+@query(f"WITH {_ORDER_ROWS} SELECT path, CAST(row AS BIGINT) AS row, array_to_string([substr(o_orderpriority, 13, 4), substr(o_orderpriority, 9, 4), substr(o_orderpriority, 5, 4), substr(o_orderpriority, 1, 4)], '|') AS cells FROM o")
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages of scanned tokens, four a row of text and slightly off its line: put together in rows again."""
     o = _numbered_orders(spark, sf_dir)
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct((F.lit(100.0) - i).alias("x"), (F.col("row") * 40.0 + (i % 2) * 5).alias("y"), F.substr(F.col("o_orderpriority"), i * 4 + 1, F.lit(4)).alias("text")))
     tokens = o.select("path", F.lit(1).alias("page"), F.explode(parts).alias("t")).select("path", "page", "t.*")
-    found = tables.token_rows(tokens)
-    return found.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(F.array_join("cells", ""))).alias("n_letters"))
+    return tables.token_rows(tokens).select("path", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"))
 
 
 @query(

@@ -74,7 +74,7 @@ def settings(spark: SparkSession, path: str) -> dict[str, dict]:
 
 
 def _csv_columns(content: bytes) -> tuple[list[str], list[pa.Array]]:
-    """Header and columns of a CSV file, all text; rows of another length are padded or cut to the header's."""
+    """Header and columns of a CSV file, all text; short rows are padded, and what a row has beyond the header is joined to its last cell."""
     text = content.decode("utf-8-sig", "replace")
     head = next((r for r in csv.reader(io.StringIO(text)) if r), [])
     try:
@@ -90,6 +90,7 @@ def _csv_columns(content: bytes) -> tuple[list[str], list[pa.Array]]:
 def _as_columns(rows: list[list[str]]) -> tuple[list[str], list[pa.Array]]:
     """Header and columns of rows of cells; blank rows count as none."""
     head, *rest = [r for r in rows if any(x.strip() for x in r)] or [[]]
+    rest = [r if len(r) <= len(head) or not head else [*r[: len(head) - 1], " ".join(r[len(head) - 1 :])] for r in rest]
     return head, [pa.array([r[j] if j < len(r) else "" for r in rest], pa.string()) for j in range(len(head))]
 
 
