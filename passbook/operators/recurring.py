@@ -28,12 +28,12 @@ LARGE_RENT = 5000
 KEY = PAYMENT
 
 
-def amount_clusters(rows: DataFrame) -> DataFrame:
-    """(key, amount, n, cluster) of the amounts in clusters of at least ``LEAST_ROWS`` payments; cluster is the smallest amount of it.
+def amount_clusters(rows: DataFrame, least: int = 1) -> DataFrame:
+    """(key, amount, n, cluster) of the amounts in clusters of at least ``least`` payments; cluster is the smallest amount of it.
 
-    ``rows`` has n, how many payments each row stands for. The first amounts of a cluster wait until it is large enough.
+    Where ``rows`` have n, each stands for so many payments. The first amounts of a cluster wait until it is large enough.
     """
-    counted = rows.groupBy(*KEY, "amount").agg(F.sum("n").alias("n"))
+    counted = rows.groupBy(*KEY, "amount").agg((F.sum("n") if "n" in rows.columns else F.count(F.lit(1))).alias("n"))
     cents = counted.select(*KEY, (F.col("amount") * 100).cast("decimal(20,0)").cast("long").alias("cents"), "n")
     ordered = cents.repartition(*KEY).sortWithinPartitions(*KEY, "cents")
     fields = [ordered.schema[k] for k in (*KEY, "cents", "n")]
@@ -50,7 +50,7 @@ def amount_clusters(rows: DataFrame) -> DataFrame:
                     last, total, count, first, waiting = key, amount * n, n, amount, []
                 mean = total / 100 / count
                 waiting.append((*key, amount, n, first))
-                if count >= LEAST_ROWS:
+                if count >= least:
                     out += waiting
                     waiting = []
             columns = list(zip(*out)) or [()] * (len(KEY) + 3)
@@ -64,7 +64,7 @@ def amount_clusters(rows: DataFrame) -> DataFrame:
 def clustered(ledger: DataFrame) -> DataFrame:
     """Payments with their cluster and its number of rows (occurrences), in clusters of at least three."""
     rows = payment_rows(ledger)
-    clusters = written(amount_clusters(rows), "clusters")
+    clusters = written(amount_clusters(rows, LEAST_ROWS), "clusters")
     sizes = clusters.groupBy(*KEY, "cluster").agg(F.sum("n").alias("occurrences"))
     return rows.join(clusters.drop("n").join(sizes, [*KEY, "cluster"]), [*KEY, "amount"])
 
@@ -93,7 +93,7 @@ def recurring_of(payments: DataFrame) -> DataFrame:
     Gaps come from a segmented scan over the times of a cluster, and both medians from counted values, so a merchant with a
     large share of all rows is spread over tasks.
     """
-    rows = written(payments.join(amount_clusters(payments).drop("n"), [*KEY, "amount"]), "recurring")
+    rows = written(payments.join(amount_clusters(payments, LEAST_ROWS).drop("n"), [*KEY, "amount"]), "recurring")
     group = [*KEY, "cluster"]
     times = rows.groupBy(*group, "date").agg(F.lit(1).alias("one"))
     times = scanned(times, group, ["date"], [F.date_trunc("year", "date")], before={"before": "date"})

@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scan import MOST, scanned
+from .scratch import written
 from .store import registered
 
 GRID = 200
 CLOSE = 1e-6
+#: Values of a text column that are learned at most.
+VALUES = 1000
 #: Numbers of rows that are made and served.
 SIZES = (100, 1000, 10000)
 
@@ -21,10 +25,25 @@ def _quantiles(df: DataFrame, columns: list[str], grid: int) -> list[list[float]
     return df.approxQuantile(columns, [i / grid for i in range(grid + 1)], 0.001)
 
 
+def _intervals(df: DataFrame, column: str) -> list[tuple[str | None, float, float]]:
+    """(value, start, end) of each value of a text column, in order, as wide as its share of the rows."""
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_first(column)).limit(VALUES + 1).collect()
+    if len(counts) > VALUES:
+        raise ValueError(f"{column} has over {VALUES} values")
+    total, at, out = sum(r["n"] for r in counts), 0, []
+    for r in counts:
+        out.append((r[column], at / total, (at + r["n"]) / total))
+        at += r["n"]
+    return out
+
+
 def copula_samples(df: DataFrame, n: int, *, id_col: str = "customer_id", seed: int = 7, grid: int = GRID) -> DataFrame:
     """``n`` rows with the columns' distributions and the correlation of their normal scores; ids ``syn-000000`` on.
 
-    The fit is grid quantiles and one correlation matrix; rows are drawn where they are made. Numeric columns only.
+    The fit is grid quantiles of numeric columns, the shares of the values of text columns and one correlation matrix; rows are
+    drawn where they are made. The values of a text column, in order (null first), are intervals of the unit line as wide as
+    their shares: a value scores as the middle of its interval, and a draw gives the value in whose interval it falls.
+    ValueError for an empty table, without a column to learn, or for a text column of over ``VALUES`` values.
     """
     import bisect
     from statistics import NormalDist
@@ -32,10 +51,12 @@ def copula_samples(df: DataFrame, n: int, *, id_col: str = "customer_id", seed:
     import numpy as np
 
     columns = [c for c, t in df.dtypes if c != id_col and t in ("int", "bigint", "float", "double")]
-    clean = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    marks = _quantiles(clean, columns, grid)
-    if not columns or any(not m for m in marks):
+    words = [c for c, t in df.dtypes if c != id_col and t == "string"]
+    clean = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns], *words)
+    marks = _quantiles(clean, columns, grid) if columns else []
+    if not columns + words or any(not m for m in marks) or clean.isEmpty():
         raise ValueError("nothing to learn from")
+    spans = [_intervals(clean, c) for c in words]
 
     @F.pandas_udf("array<double>")
     def scores(values):
@@ -45,23 +66,31 @@ def copula_samples(df: DataFrame, n: int, *, id_col: str = "customer_id", seed:
         place = lambda m, v: min(max((bisect.bisect_left(m, v) + bisect.bisect_right(m, v)) / 2 / len(m), 0.5 / len(m)), 1 - 0.5 / len(m))
         return pd.Series([[inverse(place(m, v)) for m, v in zip(marks, row)] for row in values])
 
-    got = clean.select(scores(F.array(*columns)).alias("s")).select(*[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(len(columns))])
+    middle = [{v: NormalDist().inv_cdf((a + b) / 2) for v, a, b in span} for span in spans]
+    # A null is the value "" of its own interval, which has another number.
+    scored = [F.element_at(F.create_map(*[F.lit(x) for v, z in m.items() for x in ("\0" if v is None else v, z)]), F.coalesce(c, F.lit("\0"))) for m, c in zip(middle, words)]
+    numbers = scores(F.array(*columns)) if columns else F.array().cast("array<double>")
+    got = clean.select(numbers.alias("s"), *[c.alias(f"w{i}") for i, c in enumerate(scored)]).select(*[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(len(columns))], *[f"w{i}" for i in range(len(words))])
     vectors = VectorAssembler(inputCols=got.columns, outputCol="v").transform(got)
     corr = np.nan_to_num(Correlation.corr(vectors, "v").first()[0].toArray())
     np.fill_diagonal(corr, 1.0)
-    low = np.linalg.cholesky(corr + 1e-6 * np.eye(len(columns)))
+    low = np.linalg.cholesky(corr + 1e-6 * np.eye(len(corr)))
+    ends, values = [np.array([b for *_, b in span]) for span in spans], [[v for v, *_ in span] for span in spans]
 
     def draw(batches):
         import pandas as pd
 
         cdf = np.vectorize(NormalDist().cdf, otypes=[float])
         for b in batches:
-            normal = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(len(columns)) for i in b["id"]]) if len(b) else np.zeros((0, len(columns)))
-            u = cdf(normal @ low.T) * grid
-            out = {c: np.interp(u[:, i], np.arange(len(marks[i])), marks[i]) for i, c in enumerate(columns)}
+            normal = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(len(corr)) for i in b["id"]]) if len(b) else np.zeros((0, len(corr)))
+            u = cdf(normal @ low.T)
+            out = {c: np.interp(u[:, i] * grid, np.arange(len(marks[i])), marks[i]) for i, c in enumerate(columns)}
+            for k, c in enumerate(words):
+                at = np.minimum(np.searchsorted(ends[k], u[:, len(columns) + k], side="right"), len(values[k]) - 1)
+                out[c] = [values[k][j] for j in at]
             yield pd.DataFrame({id_col: [f"syn-{i:06d}" for i in b["id"]], **out})
 
-    return df.sparkSession.range(n).mapInPandas(draw, f"{id_col} string, " + ", ".join(f"`{c}` double" for c in columns))
+    return df.sparkSession.range(n).mapInPandas(draw, f"{id_col} string, " + ", ".join([*[f"`{c}` double" for c in columns], *[f"`{c}` string" for c in words]]))
 
 
 def grid(df: DataFrame, datasets: DataFrame, folder: str, *, id_col: str = "customer_id", sizes: tuple[int, ...] = SIZES) -> DataFrame:
@@ -100,6 +129,34 @@ def fidelity(real: DataFrame, made: DataFrame, columns: list[str], grid: int = G
     return out
 
 
+def distances(real: DataFrame, made: DataFrame, columns: list[str], *, most: int = MOST) -> DataFrame:
+    """(column, statistic): of each numeric column the exact two-sample Kolmogorov-Smirnov statistic, nulls left out.
+
+    Values of both tables are counted together and ranked in one segmented scan, so the greatest difference of the
+    distribution functions is found over all values. Slices are cut at approximate quantiles; they decide nothing else. A
+    column that one table lacks or has no values in has the statistic 1, or none if neither has any.
+    """
+    long = lambda df, side: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("v")).select("v.*", F.lit(side).alias("side"))
+    both = long(real, 0).unionByName(long(made, 1)).where(F.col("value").isNotNull())
+    counts = written(both.groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")), "counts")
+    marks = real.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(columns, [i / GRID for i in range(GRID + 1)], 0.001)
+    inside = F.coalesce(*[F.when(F.col("column") == c, F.size(F.filter(F.array(*map(F.lit, m)) if m else F.array().cast("array<double>"), lambda x: x <= F.col("value")))) for c, m in zip(columns, marks)])
+    run = scanned(counts, ["column"], ["value"], [inside], sums={"below_a": F.col("a"), "below_b": F.col("b")}, most=most)
+    totals = counts.groupBy("column").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    share = lambda c: F.when(F.col(f"all_{c}") > 0, F.col(f"below_{c}") / F.col(f"all_{c}")).otherwise(0.0)
+    return run.join(F.broadcast(totals), "column").groupBy("column").agg(F.max(F.abs(share("a") - share("b"))).alias("statistic"))
+
+
+def contingency(real: DataFrame, made: DataFrame, one: str, two: str) -> DataFrame:
+    """A row: 1 minus half of the summed differences of the shares of each pair of values of two columns; null is a value."""
+    pairs = lambda df, side: df.select(F.col(one).alias("x"), F.col(two).alias("y"), F.lit(side).alias("side"))
+    counts = pairs(real, 0).unionByName(pairs(made, 1)).groupBy("x", "y").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    counts = written(counts, "pairs")
+    totals = counts.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))  # one row
+    both = counts.crossJoin(F.broadcast(totals))
+    return both.agg((1 - F.sum(F.abs(F.col("a") / F.col("all_a") - F.col("b") / F.col("all_b"))) / 2).alias("similarity"), F.count(F.lit(1)).alias("pairs"))
+
+
 def _cells(df: DataFrame, pivots) -> DataFrame:
     """Adds ``far``, the distance of v to each pivot."""
 

@@ -736,6 +736,29 @@ def privacy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.privacy_check(real, made, ["balance", "nation"]).select(F.round("min_distance", 6).alias("min_distance"), "n", "passed")
 
 
+@query(
+    """WITH v AS (SELECT 'balance' AS "column", c_acctbal AS value, 0 AS side FROM customer UNION ALL SELECT 'balance', s_acctbal, 1 FROM supplier UNION ALL SELECT 'nation', c_nationkey, 0 FROM customer UNION ALL SELECT 'nation', s_nationkey, 1 FROM supplier),
+    n AS (SELECT "column", CAST(value AS DOUBLE) AS value, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM v WHERE value IS NOT NULL GROUP BY ALL),
+    r AS (SELECT "column", sum(a) OVER w AS x, sum(b) OVER w AS y, sum(a) OVER p AS m, sum(b) OVER p AS n FROM n WINDOW w AS (PARTITION BY "column" ORDER BY value), p AS (PARTITION BY "column"))
+    SELECT "column", round(max(abs(x / CAST(m AS DOUBLE) - y / CAST(n AS DOUBLE))), 9) AS statistic FROM r GROUP BY "column" """
+)
+def two_sample_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kolmogorov-Smirnov statistics of suppliers as if they were made from customers."""
+    real = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    made = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return synthetic.distances(real, made, ["balance", "nation"]).select("column", F.round("statistic", 9).alias("statistic"))
+
+
+@query(
+    """WITH c AS (SELECT l_returnflag AS x, l_linenumber AS y, count(*) FILTER (WHERE l_orderkey % 2 = 0) AS a, count(*) FILTER (WHERE l_orderkey % 2 <> 0) AS b FROM lineitem GROUP BY ALL)
+    SELECT round(1 - sum(abs(a / (SELECT CAST(sum(a) AS DOUBLE) FROM c) - b / (SELECT CAST(sum(b) AS DOUBLE) FROM c))) / 2, 9) AS similarity, count(*) AS pairs FROM c"""
+)
+def contingency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike line items of even and odd orders are in flag and number together."""
+    li = table(spark, sf_dir, "lineitem")
+    return synthetic.contingency(li.where("l_orderkey % 2 = 0"), li.where("l_orderkey % 2 <> 0"), "l_returnflag", "l_linenumber").select(F.round("similarity", 9).alias("similarity"), "pairs")
+
+
 @query()
 def copula_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation"))

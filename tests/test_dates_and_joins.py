@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passbook.functions import rules, similarity, text
-from passbook.operators import asof, canonical, names
+from passbook.operators import asof, canonical, names, synthetic
 from passbook.sources import statements
 
 D = dt.datetime
@@ -94,3 +94,33 @@ def test_ingest_is_strict_when_asked(spark, tmp_path):
     for nothing in (cells.limit(0), cells.withColumn("value", F.lit("x"))):
         with pytest.raises(ValueError):
             canonical.ingested(nothing, strict=True)
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_distances(spark, most):
+    """The exact statistic, whether or not the column is cut in slices."""
+    rng = random.Random(most)
+    a, b = [(rng.choice([None, rng.random(), rng.randrange(5)]),) for _ in range(800)], [(rng.choice([rng.random() ** 2, 3.0]),) for _ in range(300)]
+    frame = lambda rows: spark.createDataFrame([(None if v is None else float(v), 1.0) for (v,) in rows], "v double, same double")
+    got = {r.column: r.statistic for r in synthetic.distances(frame(a), frame(b), ["v", "same"], most=most).collect()}
+    x, y = [v for (v,) in a if v is not None], [v for (v,) in b]
+    want = max(abs(sum(i <= v for i in x) / len(x) - sum(i <= v for i in y) / len(y)) for v in {*x, *y})
+    assert abs(got["v"] - want) < 1e-12 and got["same"] == 0.0
+
+
+def test_copula_of_categories(spark):
+    """Made rows have the shares of each value and go along with the numbers as the real ones do."""
+    rng = random.Random(1)
+    rows = [(f"c{i}", x := rng.gauss(0, 1), (None if x < -0.5 else "mid" if x < 1 else "top"), rng.choice("aab")) for i in range(4000)]
+    real = spark.createDataFrame(rows, "customer_id string, x double, size string, kind string")
+    made = synthetic.copula_samples(real, 10_000)
+    assert made.columns == ["customer_id", "x", "size", "kind"]
+    for c in ("size", "kind"):
+        shares = [{r[c]: r["count"] / n for r in df.groupBy(c).count().collect()} for df, n in ((real, 4000), (made, 10_000))]
+        assert shares[0].keys() == shares[1].keys() and all(abs(shares[0][v] - shares[1][v]) < 0.02 for v in shares[0])
+    mean = {r["size"]: r.m for r in made.groupBy("size").agg(F.avg("x").alias("m")).collect()}
+    assert mean[None] < mean["mid"] - 0.5 < mean["top"] - 1  # values are in order, null first
+    assert synthetic.contingency(real, made, "size", "kind").first().similarity > 0.95
+    for bad in (real.limit(0), real.select("customer_id"), real.select("customer_id", F.col("customer_id").alias("other"))):
+        with pytest.raises(ValueError):
+            synthetic.copula_samples(bad, 10)
