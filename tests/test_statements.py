@@ -278,5 +278,6 @@ def test_cells_of_odd_files(spark, tmp_path):
     want = {}
     for name, raw in files.items():
         head, *rows = [r for r in csv.reader(io.StringIO(raw.decode("utf-8-sig", "replace"))) if any(x.strip() for x in r)] or [[]]
+        rows = [r if len(r) <= len(head) else [*r[: len(head) - 1], " ".join(r[len(head) - 1 :])] for r in rows]  # nothing beyond the header is lost
         want |= {(name, i, j): (h.strip(), r[j] if j < len(r) else "") for i, r in enumerate(rows) for j, h in enumerate(head)}
     assert got == want and sorted(r.path[-5:] for r in errors.collect()) == ["d.csv"]  # Spark reads no file of no bytes
