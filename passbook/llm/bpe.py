@@ -10,14 +10,20 @@ bucketed by page. Then equal words of all pages meet in a shuffle, each distinct
 corpus, and its ids go back to the pages that hold it, so no task and no driver ever holds a dictionary of the corpus.
 Decoding concatenates the pieces of the ids.
 
-Nulls: a null text is empty and has no ids. Equal texts have equal ids; repeated rows are each encoded. Long words take
-time quadratic in their length, as each merge copies an array. Extra columns pass through; an input column named like a
-result is replaced. An empty table gives no rows.
+A fold takes time quadratic in the length of its word, so a long word is folded in overlapping windows. Two neighbouring
+windows that hold one token in one place are joined there: ids are those of the whole exactly where each two neighbours are
+the ids of their own bytes, and both windows vouch for theirs. Windows without such a token (long periodic words) are
+merged again from their bytes, with a heap.
+
+Nulls: a null text is empty and has no ids. Equal texts have equal ids; repeated rows are each encoded. Very long texts are
+handled whole; one text of over 16 million different words is an error. Extra columns pass through; an input column named
+like a result is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import random
 from collections.abc import Iterator
@@ -39,6 +45,8 @@ PAGE_CHARS, PAGE_WORDS = 1 << 25, 600_000
 _AT, _PAGE = 24, 12
 #: Documents handled at once between two batches, and words that go back to their pages at once.
 STEP, BACK = 128, 150_000
+#: Words of more characters than LONG are folded in windows: one begins every STRIDE characters and goes LAP into the next.
+LONG, STRIDE, LAP = 256, 96, 48
 #: Pieces between blanks that a page remembers; the others are looked up word by word.
 _MEMO = 150_000
 #: Pages that one row of a word names; a word of more pages is folded once for each so many.
@@ -106,6 +114,11 @@ def whole_words(path: str) -> dict[str, bytes]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _ranks(path: str) -> dict[bytes, int]:
+    return load_ranks(path)
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -169,28 +182,105 @@ def _folded(word: Column, t: Column, edge: int, width: int, rank: int) -> Column
     return F.aggregate(word, first, step, lambda acc: F.transform(F.slice(acc, F.lit(2), F.size(acc) - 2), lambda x: x.bitwiseAND(F.lit(ids))))
 
 
+# Long words ----------------------------------------------------------------------------------------------------
+
+
+def heaped(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of ``data``: lowest rank first, leftmost of equals, in time n log n."""
+    end, before = list(range(1, len(data) + 1)), list(range(-1, len(data)))  # of the piece that begins here
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = end[a]
+        if b < len(data) and (r := ranks.get(data[a : end[b]])) is not None:
+            heapq.heappush(heap, (r, a, end[b]))
+
+    for i in range(len(data)):
+        offer(i)
+    while heap:
+        _, a, stop = heapq.heappop(heap)
+        b = end[a]
+        if a < 0 or b < 0 or b >= len(data) or end[b] != stop:  # either piece has changed since
+            continue
+        end[a], end[b] = stop, -1
+        if stop < len(data):
+            before[stop] = a
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    at, out = 0, []
+    while at < len(data):
+        out.append(ranks[data[at : end[at]]])
+        at = end[at]
+    return out
+
+
+def _seam(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Place where a token begins that both (places, ids) hold there; -1 if there is none."""
+    place, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    same = place[a[1][i] == b[1][j]]
+    return int(same[0]) if len(same) else -1
+
+
+def stitched(windows: list[np.ndarray], starts: np.ndarray, path: str) -> np.ndarray:
+    """Ids of a word from the ids of its windows, which begin at bytes ``starts``."""
+    piece = pieces(path)
+    at, held = [], []
+    for ids, s in zip(windows, starts.tolist()):
+        size = np.fromiter((len(piece[x]) for x in ids.tolist()), np.int64, len(ids))
+        at.append((s + np.cumsum(size) - size, np.asarray(ids, np.int64)))
+    seams = [_seam(a, b) for a, b in zip(at, at[1:])]
+    if -1 in seams:  # windows that do not meet become one
+        text = lambda ids: b"".join([piece[x] for x in ids.tolist()])
+        bounds = [0, *[k for k, x in enumerate(seams, 1) if x >= 0], len(at)]
+        for i, j in zip(bounds, bounds[1:]):
+            if j - i > 1:
+                own = [text(at[k][1])[: int(starts[k + 1] - starts[k]) if k + 1 < j else None] for k in range(i, j)]
+                ids = np.array(heaped(b"".join(own), _ranks(path)), np.int64)
+                size = np.fromiter((len(piece[x]) for x in ids.tolist()), np.int64, len(ids))
+                held.append((int(starts[i]) + np.cumsum(size) - size, ids))
+            else:
+                held.append(at[i])
+        at, seams = held, [_seam(a, b) for a, b in zip(held, held[1:])]
+        if -1 in seams:
+            whole = b"".join(text(x[1])[: int(y[0][0] - x[0][0]) if y is not None else None] for x, y in zip(at, [*at[1:], None]))
+            return np.array(heaped(whole, _ranks(path)), np.int64)
+    low, high = [-1, *seams], [*seams, 1 << 62]
+    return np.concatenate([ids[(place > a) & (place <= b)] for (place, ids), a, b in zip(at, low, high)])
+
+
 # Texts ---------------------------------------------------------------------------------------------------------
 
 
 class _Page:
     """References of documents in one page: an id under ``edge`` is a token, the others are words of the page."""
 
-    def __init__(self, number: int, whole: dict[str, bytes], edge: int, pattern: str, longest: int):
+    def __init__(self, number: int, whole: dict[str, bytes], edge: int, pattern: str):
         import regex
 
-        self.number, self.whole, self.edge, self.longest, self.size = number, whole, edge, longest, 0
+        self.number, self.whole, self.edge, self.size = number, whole, edge, 0
         self.words: dict[str, bytes] = {}
+        self.long: dict[str, list[int]] = {}  # word -> its number, how many windows, their references, their first bytes
         self.pieces: dict[str, bytes] = {}
         self.find, self.blanks, self.spaced = regex.compile(pattern).findall, regex.compile(r"\s\s").search, pattern == SPACED
 
     def _word(self, word: str) -> bytes:
         ref = self.whole.get(word) or self.words.get(word)
         if ref is None:
-            if len(word) * 4 >= self.longest or len(self.words) >> _AT:
-                raise ValueError("a word is too long, or a document has too many different ones")
+            if len(self.words) >> _AT:
+                raise ValueError("a document has too many different words")
             ref = self.words[word] = (self.edge + len(self.words)).to_bytes(4, "little")
+            if len(word) > LONG:
+                starts = range(0, len(word) - LAP, STRIDE)
+                refs = [int.from_bytes(self._word(word[i : i + STRIDE + LAP]), "little") for i in starts]
+                first = np.cumsum([0, *[len(word[i : i + STRIDE].encode()) for i in starts[:-1]]])
+                self.long[word] = [int.from_bytes(ref, "little") - self.edge, len(refs), *refs, *first.tolist()]
         return ref
 
+    def listed(self) -> tuple[list, list]:
+        """The words to fold, with None for long ones, and how these are made of others."""
+        return [None if w in self.long else w for w in self.words], [x for made in self.long.values() for x in made]
+
     def refs(self, text: str) -> bytes:
         self.size += len(text)
         if not self.spaced or text[:1].isspace() or text[-1:].isspace() or self.blanks(text):
@@ -212,23 +302,23 @@ class _Page:
 
 
 def _pages(docs: DataFrame, c: Codec, pattern: str, text_col: str, keep: list[str] | None) -> DataFrame:
-    """(page, row, low, high) of each document and (page, words) of each page, written in buckets by page.
+    """(page, row, low, high) of each document and (page, words, seams) of each page, written in buckets by page.
 
     low and high are the halves of the references: apart they are much smaller on disk.
     """
-    path, edge, longest = c.path, c.n_ids, 1 << c.rank - c.width
+    path, edge = c.path, c.n_ids
     df = packed(docs, keep, text=F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    kind = T.StructType([T.StructField("page", T.LongType()), T.StructField("row", df.schema["row"].dataType), *T.StructType.fromDDL("low binary, high binary, words array<string>").fields])
+    kind = T.StructType([T.StructField("page", T.LongType()), T.StructField("row", df.schema["row"].dataType), *T.StructType.fromDDL("low binary, high binary, words array<string>, seams array<bigint>").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, part, made, page, row = whole_words(path), TaskContext.get().partitionId(), 0, None, None
         if part >= 1 << 63 - _AT - _PAGE:
             raise ValueError("too many partitions to number their pages")
 
-        def batch(row: pa.Array, refs: list, words: list) -> pa.RecordBatch:
+        def batch(row: pa.Array, refs: list, words: list | None = None, seams: list | None = None) -> pa.RecordBatch:
             halves = [pa.array([None if r is None else np.frombuffer(r, "<u2")[k::2].tobytes() for r in refs], pa.binary()) for k in (0, 1)]
-            cols = [pa.array([page.number] * len(refs), pa.int64()), row, *halves, pa.array(words, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(cols, names=["page", "row", "low", "high", "words"])
+            cols = [pa.array([page.number] * len(refs), pa.int64()), row, *halves, pa.array([words] * len(refs), pa.list_(pa.string())), pa.array([seams] * len(refs), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["page", "row", "low", "high", "words", "seams"])
 
         for b in batches:
             row, texts, refs = b.column("row"), b.column("text"), []
@@ -236,16 +326,16 @@ def _pages(docs: DataFrame, c: Codec, pattern: str, text_col: str, keep: list[st
                 if page is None:
                     if made >> _PAGE:
                         raise ValueError("too many pages in one partition")
-                    page, made = _Page(part << _PAGE | made, whole, edge, pattern, longest), made + 1
+                    page, made = _Page(part << _PAGE | made, whole, edge, pattern), made + 1
                 refs.append(page.refs(text.as_py()))
                 if page.full() or len(refs) == STEP or k == len(texts):
-                    yield batch(row.slice(k - len(refs), len(refs)), refs, [None] * len(refs))
+                    yield batch(row.slice(k - len(refs), len(refs)), refs)
                     refs = []
                 if page.full():
-                    yield batch(pa.nulls(1, row.type), [None], [list(page.words)])
+                    yield batch(pa.nulls(1, row.type), [None], *page.listed())
                     page = None
         if page is not None:
-            yield batch(pa.nulls(1, row.type), [None], [list(page.words)])
+            yield batch(pa.nulls(1, row.type), [None], *page.listed())
 
     return bucketed(df.mapInArrow(cut, kind), "page", "pages")
 
@@ -300,8 +390,10 @@ def _sent_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held)
 
 
-def _assembled(edge: int, kind: pa.DataType):
+def _assembled(path: str, edge: int, kind: pa.DataType):
     def run(body: pa.Table, found: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
         none = np.empty(0, np.int64)
         number = lambda name, each=_numbers: np.concatenate([none, *[each(x) for x in found.column(name).to_pylist()]])
         at, length, ids = number("at", lambda x: np.cumsum(_numbers(x))), number("size"), number("ids")
@@ -309,6 +401,20 @@ def _assembled(edge: int, kind: pa.DataType):
         start = np.concatenate([np.arange(edge), np.zeros(len(size) - edge, np.int64)])
         size[edge + at], start[edge + at] = length, edge + np.cumsum(length) - length
         flat = np.concatenate([np.arange(edge), ids]).astype("<u4")
+        seams = np.array([x for s in body.column("seams").to_pylist() if s for x in s], np.int64)
+        if len(seams):
+            k, total, made = 0, len(flat), []
+            while k < len(seams):
+                word, n = seams[k : k + 2] + [edge, 0]
+                refs, first = seams[k + 2 : k + 2 + 2 * n].reshape(2, n)
+                if not size[refs].all():
+                    raise ValueError("a window of a word has not come back")
+                made.append(stitched([flat[i : i + j] for i, j in zip(start[refs].tolist(), size[refs].tolist())], first, path))
+                if word >= len(size):
+                    size, start = (np.concatenate([x, np.zeros(word + 1 - len(x), np.int64)]) for x in (size, start))
+                size[word], start[word], total, k = len(made[-1]), total, total + len(made[-1]), k + 2 + 2 * n
+            flat = np.concatenate([flat, *made]).astype("<u4")
+        body = body.filter(pc.is_valid(body.column("low")))
         low, high = (pa.chunked_array(body.column(c).chunks, pa.binary()).combine_chunks().cast(pa.large_binary()) for c in ("low", "high"))
         ends, from_high = (np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] // 2 for x in (low, high))
         low, high = (np.frombuffer(x.buffers()[2] or b"", "<u2") for x in (low, high))
@@ -331,17 +437,17 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
     """Columns ``keep`` of ``docs`` (all by default) with ``ids``: little-endian unsigned 32-bit ids, as binary."""
     c = codec(path)
     pages = _pages(docs, c, pattern, text_col, keep)
-    words = pages.where("words IS NOT NULL").select("page", "words")
-    groups = -(-words.select("page").count() // _HOLDERS) or 1
-    held = words.select("page", F.posexplode("words").alias("at", "word")).select("word", F.shiftleft("page", _AT).bitwiseOR(F.col("at").cast("long")).alias("place"), F.pmod("page", F.lit(groups)).alias("part"))
+    words = pages.where("words IS NOT NULL").select("page", F.posexplode("words").alias("at", "word")).where("word IS NOT NULL")
+    groups = -(-pages.where("words IS NOT NULL").count() // _HOLDERS) or 1
+    held = words.select("word", F.shiftleft("page", _AT).bitwiseOR(F.col("at").cast("long")).alias("place"), F.pmod("page", F.lit(groups)).alias("part"))
     distinct = held.repartition("word", "part").groupBy("word", "part").agg(F.collect_list("place").alias("places"))
     # A character of this string is a byte of the word.
     as_bytes = F.transform(F.split(F.decode(F.encode("word", "UTF-8"), "ISO-8859-1"), ""), F.ascii)
     found = distinct.select("places", F.get(folded(F.array(as_bytes), c), F.lit(0)).alias("ids"))
     back = found.mapInArrow(_sent_back, "page long, at binary, size binary, ids binary")
-    body = pages.where("low IS NOT NULL").select("page", "row", "low", "high")
+    body = pages.where("low IS NOT NULL OR size(seams) > 0").select("page", "row", "low", "high", "seams")
     out = T.StructType([body.schema["row"], *T.StructType.fromDDL("ids binary").fields])
-    joined = body.groupBy("page").cogroup(back.groupBy("page")).applyInArrow(_assembled(c.n_ids, to_arrow_type(body.schema["row"].dataType)), out)
+    joined = body.groupBy("page").cogroup(back.groupBy("page")).applyInArrow(_assembled(path, c.n_ids, to_arrow_type(body.schema["row"].dataType)), out)
     return unpacked(joined, ids=F.col("ids"))
 
 

@@ -62,13 +62,33 @@ def test_bpe_of_another_pattern(spark, odd):
     for memo in (0, 3, 10**6):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(bpe, "_MEMO", memo)
-            page = bpe._Page(0, bpe.whole_words(path), len(names), p.PATTERN, 1 << 30)
+            page = bpe._Page(0, bpe.whole_words(path), len(names), p.PATTERN)
             for text in ("", " ", "a b a b qzx qzx", " qzx  qzx ", LONG, "it's  'qzx'd\tqzx"):
                 refs = np.frombuffer(page.refs(text), "<u4").tolist()
                 words = list(page.words)
                 assert b"".join(names[x] if x < len(names) else words[x - len(names)].encode() for x in refs) == text.encode()
 
 
+def test_bpe_of_long_words(spark):
+    """Words folded in windows have the library's ids, whether windows meet (letters, kana) or not (periodic words)."""
+    import public_tokenizers as p
+    import tiktoken
+
+    path, rnd = p.path("byte_bpe_50k.tiktoken"), random.Random(5)
+    ranks = bpe.load_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    some = lambda letters, n: "".join(rnd.choices(letters, k=n))
+    kana = [chr(x) for x in [*range(0x3041, 0x3097), *range(0x4E00, 0x4E40), 0x1E00, 0x10400]]
+    texts = [some("abcdefghijklmnopqrstuvwxyz", 40_000), some("etaoins", 3000), some(kana, 5000), "b" + "a" * 9000, "xab" * 1500 + "c" + "abx" * 900, "=" * 2000, " " * 1500 + "x" * 257, "7" * 256 + " " + "7" * 305]
+    texts += [" ".join([*texts[1:4], texts[1], "end"]), texts[0]]
+    for n in (0, 1, 2, 50, 700):
+        assert bpe.heaped(texts[0][:n].encode(), ranks) == enc.encode_ordinary(texts[0][:n])
+    assert bpe.heaped(b"b" + b"a" * 500, ranks) == enc.encode_ordinary("b" + "a" * 500)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for r in bpe.encoded(df, path, p.PATTERN).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(r.text)
+
+
 def test_warc(spark, odd, tmp_path):
     pages = odd.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.lit(None).cast("string").alias("url"))
     warc.write(pages, str(tmp_path / "w"), segment_bytes=700)
