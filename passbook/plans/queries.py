@@ -778,6 +778,16 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.sessions(table(spark, sf_dir, "events"))
 
 
+@query(
+    """WITH e AS (SELECT event_type, CAST(value AS DECIMAL(18,2)) AS value, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start FROM events, range(4) AS r(k) WHERE ts IS NOT NULL)
+    SELECT event_type, window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS n, CAST(sum(coalesce(value, 0)) AS DECIMAL(28,2)) AS total FROM e GROUP BY event_type, window_start""",
+    money="total",
+)
+def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = statements.sliding(table(spark, sf_dir, "events"))
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
 @query("SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM customer GROUP BY c_mktsegment", money="total")
 def sql_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total FROM {customer} GROUP BY c_mktsegment", customer=table(spark, sf_dir, "customer"))

@@ -11,6 +11,10 @@ from ..operators.partials import PARTS, combined, partials
 from ..operators.store import upserted
 
 
+#: Parts of an upserted table by the hash of its key; a micro-batch rewrites those that it touches.
+BUCKETS = 64
+
+
 def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
@@ -30,15 +34,66 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return df.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), F.col("w.end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
+def _in_windows(events: DataFrame, length: str, slide: str) -> DataFrame:
+    ts = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return ts.select("*", F.window("ts", length, slide).alias("w"))
+
+
+def _window_sums(rows: DataFrame) -> DataFrame:
+    value = F.coalesce(F.col("value").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    return rows.groupBy("event_type", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("decimal(28,2)").alias("total"))
+
+
+def sliding(events: DataFrame, length: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
+    """(event_type, window_start, window_end, n, total): rows and value by type in overlapping windows. A row without ts is in none."""
+    return _window_sums(_in_windows(events, length, slide))
+
+
+#: Columns of the table that ``sliding_stream`` keeps.
+SLIDING = "event_type string, window_start timestamp, window_end timestamp, n bigint, total decimal(28,2)"
+
+
+def sliding_stream(stream: DataFrame, path: str, checkpoint: str, *, length: str = "1 hour", slide: str = "15 minutes", late: str = "2 hours", buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep ``sliding`` of a stream under ``path``/windows (read it with ``latest``) and lose no late row.
+
+    The watermark of a batch is the newest ts of the batches before it less ``late``. A window that ends at or before it is
+    closed and does not change; a row that belongs to closed windows goes to ``path``/late once for each of these, with
+    ``missed_start`` and ``missed_end``, and still counts in those of its windows that are open. So windows and late rows
+    together are those of the whole input. A batch merges its sums into the buckets (by window) it touches; one that is run again starts from the
+    versions before it. Rows without ts are late for nothing and in no window.
+    """
+    spark = stream.sparkSession
+    spot = F.pmod(F.xxhash64("window_start"), F.lit(buckets)).cast("int")
+
+    def take(batch: DataFrame, number: int) -> None:
+        before = [v for v in _listed(spark, f"{path}/clock", "batch") if v < number]
+        clock = spark.read.schema("newest timestamp").parquet(f"{path}/clock/batch={before[-1]}") if before else spark.createDataFrame([(None,)], "newest timestamp")
+        newest = clock.first()[0]
+        mark = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {late}")
+        rows = _in_windows(batch, length, slide).withColumn("closed", F.coalesce(F.col("w.end") <= mark, F.lit(False)))
+        new = _window_sums(rows.where("NOT closed")).withColumn("bucket", spot)
+        touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # ``buckets`` at most
+        if touched:
+            old = _read(spark, f"{path}/windows", {b: v for b, v in _versions(spark, f"{path}/windows", before=number).items() if b in touched}, SLIDING)
+            sums = old.unionByName(new.drop("bucket")).groupBy("event_type", "window_start", "window_end").agg(F.sum("n").alias("n"), F.sum("total").cast("decimal(28,2)").alias("total"))
+            sums.withColumn("bucket", spot).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/windows/version={number}")
+            _drop_older(spark, f"{path}/windows", touched, number)
+        behind = rows.where("closed").select(*batch.columns, F.col("w.start").alias("missed_start"), F.col("w.end").alias("missed_end"))
+        behind.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        top = batch.agg(F.greatest(F.max(F.col("ts").cast("timestamp")), F.lit(newest).cast("timestamp")).alias("newest"))
+        top.write.mode("overwrite").parquet(f"{path}/clock/batch={number}")
+        for v in before[:-1]:
+            place, fs = _folder(spark, f"{path}/clock/batch={v}")
+            fs.delete(place, True)
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed windows to ``path`` until the input is used up."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-#: Parts of an upserted table by the hash of its key; a micro-batch rewrites those that it touches.
-BUCKETS = 64
-
-
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str], order: str, *, buckets: int = BUCKETS) -> StreamingQuery:
     """Upsert each micro-batch into the table at ``path``: the buckets it touches get a new version, the newest counts.
 
