@@ -334,6 +334,7 @@ def _pages(docs: DataFrame, c: Codec, pattern: str, text_col: str, keep: list[st
                 if page.full():
                     yield batch(pa.nulls(1, row.type), [None], *page.listed())
                     page = None
+                    pa.default_memory_pool().release_unused()
         if page is not None:
             yield batch(pa.nulls(1, row.type), [None], *page.listed())
 
@@ -386,6 +387,7 @@ def _sent_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if n >= BACK:
             yield out(held)
             held, n = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield out(held)
 
@@ -418,16 +420,20 @@ def _assembled(path: str, edge: int, kind: pa.DataType):
         low, high = (pa.chunked_array(body.column(c).chunks, pa.binary()).combine_chunks().cast(pa.large_binary()) for c in ("low", "high"))
         ends, from_high = (np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] // 2 for x in (low, high))
         low, high = (np.frombuffer(x.buffers()[2] or b"", "<u2") for x in (low, high))
-        parts, before = [], np.zeros(len(ends), np.int64)  # ids before each document
+        before = np.zeros(len(ends), np.int64)  # ids before each document
+        data, used = np.empty(max(len(low), 1024), "<u4"), 0
         for i, j in zip(range(0, len(ends) - 1, STEP), [*range(STEP, len(ends) - 1, STEP), len(ends) - 1]):
             own = low[ends[i] : ends[j]] | high[from_high[i] : from_high[j]].astype(np.uint32) << 16
             each = size[own]
             if len(each) and not each.all():
                 raise ValueError("a word of a page has not come back")
-            parts.append(flat[_gathered(start[own], each)])
+            count = int(each.sum())
+            if used + count > len(data):
+                data = np.concatenate([data[:used], np.empty(max(used // 4, count), "<u4")])
+            data[used : used + count], used = flat[_gathered(start[own], each)], used + count
             before[i + 1 : j + 1] = before[i] + np.concatenate([[0], np.cumsum(each)])[ends[i + 1 : j + 1] - ends[i]]
-        data = np.concatenate(parts) if parts else np.empty(0, "<u4")
-        out = pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [None, pa.py_buffer(before * 4), pa.py_buffer(data)]).cast(pa.binary())
+        out = pa.Array.from_buffers(pa.large_binary(), len(before) - 1, [None, pa.py_buffer(before * 4), pa.py_buffer(data[:used])]).cast(pa.binary())
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.chunked_array(body.column("row").chunks, kind), out], names=["row", "ids"])
 
     return run
