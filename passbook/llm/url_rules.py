@@ -8,9 +8,11 @@ index: each rule is filed under its rarest token, and a URL that has it is check
 with all subdomains, start of the path) is filed in the same index under its host; the longest of these goes before what
 was mined, then the surest mined rule decides (ties: support, tokens, order of the alphabet), then ``allow``.
 
-Only mining is bounded: it reads the ``MOST_TOKENS`` commonest tokens of a labelled URL, so that rules are at most the
-number of small token sets of one URL divided by the support, whatever the number of URLs; that is what is broadcast. Matching reads
-all tokens of all URLs, and moves one row for each of them.
+Mining reads all tokens of a labelled URL that could be part of a rule: those that reach the support. Up to ``MOST_TOKENS`` of
+them FP-growth finds the sets; it knows no bound on the tokens of a set, so a URL of many tokens would cost it all their
+subsets. Where a URL has more, the sets of up to ``MOST_TOGETHER`` tokens are counted themselves, with the same result. Rules are at
+most the number of such sets of one URL divided by the support, whatever the number of URLs; that is what is broadcast.
+Matching reads all tokens of all URLs, and moves one row for each of them.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path and no tokens, so it is allowed; a null label is no label.
 Ties: among listed rules of equal length the first in the list; a host that is listed twice has the longest fitting path.
@@ -70,35 +72,58 @@ def tokens_of(url: Column) -> Column:
 
 
 def most_rules(support: float, most_tokens: int = MOST_TOKENS, most_together: int = MOST_TOGETHER) -> int:
-    """No more rules than this can reach ``support``: each labelled URL holds so many sets of tokens, and has one label."""
+    """No more rules than this can reach ``support`` if no URL has more than ``most_tokens`` tokens: each holds so many sets of them, and has one label."""
     return int(sum(comb(most_tokens, k) for k in range(1, most_together + 1)) / support)
 
 
-def transactions(labelled: DataFrame, *, url_col: str = "url", label_col: str = "label", most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """(rid, items): the ``most_tokens`` commonest tokens of each labelled URL (ties by name), and its label."""
+def transactions(labelled: DataFrame, *, url_col: str = "url", label_col: str = "label", support: float = SUPPORT, least: int = LEAST) -> tuple[DataFrame, DataFrame, int, int]:
+    """(rid, items) of each labelled URL: its tokens that reach the support, by name, and its label last; (token, freq) of these
+    tokens; how many URLs there are, and how many of them reach the support.
+    """
     rows = labelled.where(F.col(f"`{label_col}`").isNotNull()).select(F.monotonically_increasing_id().alias("rid"), F.concat(F.lit(_LABEL), F.col(f"`{label_col}`")).alias("label"), tokens_of(F.col(f"`{url_col}`")).alias("tokens"))
     rows = written(rows, "labelled")
-    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    each = rows.select("rid", F.explode("tokens").alias("token")).join(counts, "token")
-    common = each.groupBy("rid").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "token"))), 1, most_tokens), lambda t: t["token"]).alias("common"))
-    return rows.join(common, "rid", "left").select("rid", F.concat(F.coalesce("common", F.array().cast("array<string>")), F.array("label")).alias("items"))
+    n = rows.count()
+    reach = max(ceil(support * n), least, 1)
+    # Of a token that few URLs have no set has more. At most the tokens of one URL divided by the support.
+    alone = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= reach)
+    each = rows.select("rid", F.explode("tokens").alias("token")).join(alone, "token")
+    common = each.groupBy("rid").agg(F.array_sort(F.collect_list("token")).alias("common"))
+    return rows.join(common, "rid", "left").select("rid", F.concat(F.coalesce("common", F.array().cast("array<string>")), F.array("label")).alias("items")), alone, n, reach
+
+
+def _grown(items: DataFrame, n: int, reach: int, most_together: int) -> DataFrame:
+    """(antecedent, consequent, confidence, support) of sets of up to ``most_together`` tokens and a label."""
+    tokens, label = F.slice("items", F.lit(1), F.size("items") - 1), F.element_at("items", -1)
+    last = F.transform("tokens", lambda t: F.array(t))
+    all_sets = [last]
+    for _ in range(most_together - 1):
+        longer = lambda s: F.transform(F.filter("tokens", lambda t: t > F.element_at(s, -1)), lambda t: F.concat(s, F.array(t)))
+        last = F.flatten(F.transform(last, longer))
+        all_sets.append(last)
+    df = items.select(tokens.alias("tokens"), label.alias("label")).select("label", F.explode(F.concat(*all_sets)).alias("antecedent"))
+    both = df.groupBy("antecedent", "label").agg(F.count(F.lit(1)).alias("m"))
+    counts = both.groupBy("antecedent").agg(F.sum("m").alias("whole"), F.collect_list(F.when(F.col("m") >= reach, F.struct("label", "m"))).alias("l"))  # a row for each label
+    counts = counts.select("antecedent", "whole", F.explode("l").alias("l"))
+    return counts.select("antecedent", F.array("l.label").alias("consequent"), (F.col("l.m") / F.col("whole")).alias("confidence"), (F.col("l.m") / F.lit(n)).alias("support"))
 
 
 def mined(labelled: DataFrame, *, url_col: str = "url", label_col: str = "label", support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, most_tokens: int = MOST_TOKENS, most_together: int = MOST_TOGETHER) -> DataFrame:
     """(tokens, verdict, confidence, support, anchor) of the rules that stay, tokens in order of the alphabet; written.
 
-    ``anchor`` is the token that the fewest labelled URLs have.
+    ``anchor`` is the token that the fewest labelled URLs have. Up to ``most_tokens`` tokens a URL the sets come from FP-growth.
     """
     spark = labelled.sparkSession
-    items = written(transactions(labelled, url_col=url_col, label_col=label_col, most_tokens=most_tokens), "transactions")
     kind = "tokens array<string>, verdict string, confidence double, support double, anchor string"
-    n = items.count()
-    rows = max(ceil(support * n), least, 1)
-    if rows > n:
+    items, alone, n, reach = transactions(labelled, url_col=url_col, label_col=label_col, support=support, least=least)
+    if reach > n:
         return spark.createDataFrame([], kind)
-    model = FPGrowth(itemsCol="items", minSupport=(rows - 0.5) / n, minConfidence=0.0).fit(items)
+    items, alone = written(items, "transactions"), written(alone, "alone")
+    if items.agg(F.max(F.size("items"))).first()[0] - 1 <= most_tokens:
+        rules = FPGrowth(itemsCol="items", minSupport=(reach - 0.5) / n, minConfidence=0.0).fit(items).associationRules
+    else:
+        rules = _grown(items, n, reach, most_together)
     to_label = F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda t: t.startswith(_LABEL)) & (F.size("antecedent") <= most_together)
-    found = model.associationRules.where(to_label).select(F.array_sort("antecedent").alias("tokens"), F.substr(F.col("consequent")[0], F.lit(len(_LABEL) + 1)).alias("verdict"), "confidence", "support")
+    found = rules.where(to_label).select(F.array_sort("antecedent").alias("tokens"), F.substr(F.col("consequent")[0], F.lit(len(_LABEL) + 1)).alias("verdict"), "confidence", "support")
     share = items.groupBy(F.substr(F.element_at("items", -1), F.lit(len(_LABEL) + 1)).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
     share = share.select("verdict", (F.col("n") / F.lit(n)).alias("share"))  # a row for each label
     found = written(found, "rules")
@@ -108,7 +133,6 @@ def mined(labelled: DataFrame, *, url_col: str = "url", label_col: str = "label"
     general = found.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("before"))
     beaten = found.select("tokens", "verdict", "confidence", F.explode(F.array_distinct(parts)).alias("part")).join(general, ["part", "verdict"]).where(F.col("before") >= F.col("confidence")).select("tokens", "verdict").distinct()
     kept = found.where(F.col("confidence") >= confidence).join(share, "verdict").where(F.col("confidence") > F.col("share")).join(beaten, ["tokens", "verdict"], "left_anti")
-    alone = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     anchors = kept.select("tokens", "verdict", F.explode("tokens").alias("token")).join(alone, "token").groupBy("tokens", "verdict").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
     return written(kept.join(anchors, ["tokens", "verdict"]).select("tokens", "verdict", "confidence", "support", "anchor"), "kept")
 

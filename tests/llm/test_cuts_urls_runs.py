@@ -179,6 +179,21 @@ def test_mined_rules_against_counts(spark):
     assert got == want and (("site:spam.net",), "block") in got
 
 
+def test_no_token_of_a_long_url_is_left_out_of_mining(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(240):
+        odd, bad = i % 8 == 0, rng.random() < 0.3
+        path = "/".join(f"p{c}" for c in "abcdefghijklm")  # commoner than the token that decides
+        rows.append((f"http://h.com/{path}{'/zz' if odd else ''}?{rng.choice('xy')}=1", "block" if odd or bad else "allow"))
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    got = url_rules.mined(labelled, least=3)
+    assert (["path:zz"], "block") in [(r.tokens, r.verdict) for r in got.collect()]
+    short = spark.createDataFrame([(f"http://{rng.choice('ab')}.com/{rng.choice('pq')}/{rng.choice('rs')}", "block" if rng.random() < 0.6 else "allow") for _ in range(200)], "url string, label string")
+    rules = lambda most: sorted(tuple(r) for r in url_rules.mined(short, least=3, confidence=0.5, most_tokens=most).select("tokens", "verdict", F.round("confidence", 9), F.round("support", 9), "anchor").collect())
+    assert rules(12) == rules(1) != []
+
+
 def test_judged(spark):
     labelled = spark.createDataFrame([(f"http://s{i % 40}.{'bad' if i % 2 else 'good'}.com/p/{i}", "block" if i % 2 else "allow") for i in range(200)], "url string, label string")
     rules = url_rules.mined(labelled)
