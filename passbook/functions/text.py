@@ -112,15 +112,25 @@ def ruled_category(merchant: Column, description: Column, code: Column | None =
     return F.coalesce(rule(by_merchant, rules.CONFIDENCE["merchant"]), rule(by_code, rules.CONFIDENCE["code"]), by_word, none)
 
 
+#: All that reads as a decimal: a cast that fails is dear.
+_NUMBER = r"^[\x00-\x20\p{Z}]*[+-]?(?:\p{Nd}+\.?\p{Nd}*|\.\p{Nd}+)(?:[eE][+-]?\p{Nd}+)?[\x00-\x20\p{Z}]*$"
+
+
+def number(c: Column, kind: str) -> Column:
+    """The decimal that a text shows; null if it shows none or one that ``kind`` does not hold."""
+    return F.when(c.rlike(_NUMBER), c.try_cast(kind))
+
+
 def amount(c: Column) -> Column:
     """decimal(18,2); null for blank, ``nan``, ``none``, ``-`` and for what is no number (see ``bad_amount``)."""
     v = clean_cell(c)
-    return F.when(~F.lower(v).isin("", "nan", "none", "-"), F.regexp_replace(v, "[,₹]", "").try_cast("decimal(18,2)"))
+    return number(F.translate(v, ",₹", ""), "decimal(18,2)")
 
 
 def bad_amount(c: Column) -> Column:
     """Whether a cell holds something that should be an amount and is none."""
-    return ~F.lower(clean_cell(c)).isin("", "nan", "none", "-") & amount(c).isNull()
+    v = clean_cell(c)
+    return F.when((v == "") | amount(c).isNotNull(), False).otherwise(~F.lower(v).isin("nan", "none", "-"))
 
 
 #: Months by the first three letters of their names, and two-digit years from here on are of the last century.
@@ -150,19 +160,29 @@ def statement_date(c: Column, compat: bool = False) -> Column:
     def of(v: Column) -> Column:
         def read(kind: str) -> Column:
             pattern, (year, month, day) = _DATES[kind]
-            part = lambda k: F.regexp_extract(v, pattern, k)
-            number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
+            # All groups from one match; what may follow it is the last part.
+            line = F.split(F.regexp_replace(v, pattern, f"${year}|${month}|${day}|$4|$5|$6|$7|"), r"\|")
+            return F.when(v.rlike(pattern), _let(line, lambda parts: timed(kind, parts)))
+
+        def timed(kind: str, parts: Column) -> Column:
+            year, month, day = 1, 2, 3
+            part = lambda k: F.get(parts, F.lit(k - 1))
+            number = lambda k: F.when(part(k) != "", part(k).try_cast("int")).otherwise(0)
             y = number(year) + F.when(F.length(part(year)) == 2, F.when(number(year) < CENTURY, 2000).otherwise(1900)).otherwise(0)
             m = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(part(month), 1, 3)).cast("int") if kind in ("named", "month") else number(month)
             half = part(7)
             hour = F.when(half == "", number(4)).otherwise(number(4) % 12 + F.when(half == "pm", 12).otherwise(0))
             made = lambda mm, dd: F.try_make_timestamp_ntz(y, mm, dd, hour, number(5), number(6).cast("decimal(8,6)"))
             tries = {"iso": [made(number(day), m), made(m, number(day))] if compat else [made(m, number(day))], "day": [made(m, number(day)), made(number(day), m)]}.get(kind, [made(m, number(day))])
-            return F.when(v.rlike(pattern), F.coalesce(*tries))
+            return F.coalesce(*tries)
 
         return F.coalesce(*map(read, _DATES))
 
-    return _let(F.lower(clean_cell(c)), of)
+    # The commonest form needs no pattern with groups.
+    v = clean_cell(c)
+    y, a, b = (F.substring(v, i, n).try_cast("int") for i, n in ((7, 4), (1, 2), (4, 2)))
+    made = lambda mm, dd: F.try_make_timestamp_ntz(y, mm, dd, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
+    return F.when(v.rlike(r"^[0-9]{2}[-/][0-9]{2}[-/][0-9]{4}$") & (F.length(v) == 10), F.coalesce(made(b, a), made(a, b))).otherwise(_let(F.lower(v), of))
 
 
 # Banks by words in a text (first bank with any), layouts by column words.

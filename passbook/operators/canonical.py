@@ -17,19 +17,26 @@ _KEPT = 200
 def normalised(cells: DataFrame, mapping: DataFrame, *, bank: DataFrame | None = None, currency: str = "INR", compat_dates: bool = False, signed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(transactions, rejected): cells (path, row, pos, header, value) by the mapping of their file.
 
-    A column is known by its place, so headers may repeat. Rows without a date or with a cell that is no amount are rejected with a reason. A signed amount splits into debit
+    A column is known by its place, so headers may repeat; ``mapping`` is that of ``column_mapping`` or ``column_layouts``. Rows without a date or with a cell that is no amount are rejected with a reason. A signed amount splits into debit
     and credit where neither is mapped; ``signed`` (path, header) names its column in files that map no amount. An empty description is made of the unmapped cells.
     """
-    long = cells.join(mapping.select("path", "pos", "field"), ["path", "pos"], "left")
-    value = text.clean_cell(F.col("value"))
-    pick = lambda f: F.max(F.when(F.col("field") == f, value)).alias(f)
-    spare = F.array_sort(F.collect_list(F.when(F.col("field").isNull() & (value != ""), F.struct("pos", value.alias("v")))))
-    split = mapping.groupBy("path").agg(F.max(F.col("field").isin("debit", "credit").cast("int")).alias("has_sides"))
-    wide = long.groupBy("path", "row").agg(*[pick(f) for f in ("date", "description", "debit", "credit", "balance", "reference_number", "amount")], spare.alias("spare"))
-    wide = wide.join(split, "path", "left")
+    if "columns" not in mapping.columns:
+        mapping = mapping.groupBy("path").agg(F.collect_list(F.struct("pos", "field")).alias("columns"))
+    wide = cells.groupBy("path", "row").agg(F.array_sort(F.collect_list(F.struct("pos", text.clean_cell(F.col("value")).alias("v"), "header"))).alias("cells"))
+    fields = ("date", "description", "debit", "credit", "balance", "reference_number", "amount")
+    of = lambda test: F.transform(F.filter("columns", test), lambda m: m["pos"])
+    at = lambda f: of(lambda m: m["field"] == f)
+    places = {f"_{f}": at(f) for f in fields} | {"_known": of(lambda m: m["field"].isNotNull()), "has_sides": F.exists("columns", lambda m: F.coalesce(m["field"].isin("debit", "credit"), F.lit(False))).cast("int")}
+    wide = wide.join(mapping.select("path", *[c.alias(n) for n, c in places.items()]), "path", "left")
+    pick = lambda f: F.when(F.size(f"_{f}") > 0, F.array_max(F.transform(F.filter("cells", lambda c: F.array_contains(f"_{f}", c["pos"])), lambda c: c["v"]))).alias(f)
+    spare = F.filter("cells", lambda c: (c["v"] != "") & ~F.coalesce(F.array_contains("_known", c["pos"]), F.lit(False)))
+    kept = []
     if signed is not None:
-        named = cells.join(signed.select("path", "header"), ["path", "header"]).groupBy("path", "row").agg(F.min_by(value, "pos").alias("_signed"))
-        wide = wide.join(named, ["path", "row"], "left").withColumn("amount", F.coalesce("amount", "_signed")).drop("_signed")
+        wide = wide.join(signed.select("path", F.col("header").alias("_header")), "path", "left")
+        kept = [F.get(F.filter("cells", lambda c: c["header"] == F.col("_header")), F.lit(0))["v"].alias("_signed")]
+    wide = wide.select("path", "row", *[pick(f) for f in fields], spare.alias("spare"), "has_sides", *kept)
+    if signed is not None:
+        wide = wide.withColumn("amount", F.coalesce("amount", "_signed")).drop("_signed")
     if bank is not None:
         wide = wide.join(bank.select("path", "bank"), "path", "left")
     signed = F.when(F.coalesce("has_sides", F.lit(0)) == 0, text.amount(F.col("amount")))
@@ -87,7 +94,7 @@ def ingested(cells: DataFrame, *, names: dict[str, list[str]] | None = None, mod
     """
     if strict and cells.isEmpty():
         raise ValueError("no cells to normalise")
-    mapping = written(columns.column_mapping(cells, names), "mapping")  # a row a column; asked for several times
+    mapping = written(columns.column_layouts(cells, names), "mapping")  # a row a file; asked for several times
     found, bad = normalised(cells, mapping, signed=columns.signed_amount_columns(cells), **options)
     found = written(found, "normalised")
     if strict and found.isEmpty():

@@ -413,8 +413,8 @@ def _numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with path (the customer) and row."""
     from pyspark.sql import Window
 
-    row = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long")
-    return table(spark, sf_dir, "orders").select("*", F.col("o_custkey").cast("string").alias("path"), row.alias("row"))
+    row = (F.row_number().over(Window.partitionBy("path").orderBy("o_orderkey")) - 1).cast("long")
+    return table(spark, sf_dir, "orders").withColumn("path", F.col("o_custkey").cast("string")).withColumn("row", row)
 
 
 def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,14 +510,15 @@ def signed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as files with one column of signed amounts, which half of them name and the others only show."""
     from pyspark.sql import Window
 
-    row = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1).cast("long")
+    row = (F.row_number().over(Window.partitionBy("path").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1).cast("long")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     named = F.when(F.col("l_orderkey") % 2 == 0, "Amount").otherwise("Value")
     values = [(F.lit("Date"), F.date_format("l_shipdate", "dd/MM/yyyy")), (F.lit("Kind"), F.col("l_linestatus")), (named, F.when(F.col("l_returnflag") == "R", -price).otherwise(price).cast("string"))]
     cells = F.array(*[F.struct(F.lit(i).alias("pos"), h.alias("header"), v.alias("value")) for i, (h, v) in enumerate(values)])
-    rows = table(spark, sf_dir, "lineitem").withColumn("row", row)
-    cells = rows.select(F.col("l_orderkey").cast("string").alias("path"), "row", F.explode(cells).alias("c")).select("path", "row", "c.*")
-    found, _ = canonical.normalised(cells, columns.column_mapping(cells), signed=columns.signed_amount_columns(cells))
+    # Rows of a file are together from here on, so what is asked of a file or a row moves none of them again.
+    rows = table(spark, sf_dir, "lineitem").withColumn("path", F.col("l_orderkey").cast("string")).withColumn("row", row)
+    cells = rows.select("path", "row", F.explode(cells).alias("c")).select("path", "row", "c.*")
+    found, _ = canonical.normalised(cells, columns.column_layouts(cells), signed=columns.signed_amount_columns(cells))
     return found.select("path", "row", "date", "description", "debit", "credit", "balance")
 
 
@@ -559,7 +560,7 @@ def similar_merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _order_cells(spark, sf_dir)
-    return canonical.normalised(cells, columns.column_mapping(cells))[1]
+    return canonical.normalised(cells, columns.column_layouts(cells))[1]
 
 
 _CODE = "CAST(CASE p_size % 4 WHEN 0 THEN 5411 WHEN 1 THEN 5812 ELSE p_size END AS VARCHAR)"
