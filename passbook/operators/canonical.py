@@ -61,12 +61,14 @@ def with_merchants(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     known = spark.createDataFrame(list(enumerate(names or rules.MERCHANTS)), "place int, name string")
-    df = written(df.withColumn("_m", text.merchant_of(F.col("description"))), "merchants")
+    described = F.coalesce("description", F.lit(""))
+    texts = written(df.select(described.alias("_t")).distinct().withColumn("_m", text.merchant_of(F.col("_t"))), "merchants")
     unsure = F.when(F.col("_m.confidence") == rules.CONFIDENCE["fallback"], F.col("_m.cleaned"))
-    similar = similar_names(df.select(unsure.alias("text")).where("text IS NOT NULL"), known, rules.FUZZY_MERCHANT).select(F.col("text").alias("_c"), F.col("name").alias("_n"), F.round(F.col("score") / 100, 3).alias("_s"))
-    df = df.join(similar, unsure == F.col("_c"), "left")
+    similar = similar_names(texts.select(unsure.alias("text")).where("text IS NOT NULL"), known, rules.FUZZY_MERCHANT).select(F.col("text").alias("_c"), F.col("name").alias("_n"), F.round(F.col("score") / 100, 3).alias("_s"))
+    found = texts.join(similar, unsure == F.col("_c"), "left").select("_t", F.coalesce("_n", "_m.merchant").alias("_merchant"), F.coalesce("_s", "_m.confidence").alias("_sure"))
+    df = df.join(written(found, "named"), described == F.col("_t"), "left")
     mode = F.col("payment_mode") if "payment_mode" in df.columns else F.lit(None).cast("string")
-    return df.withColumns({"merchant": F.coalesce("_n", "_m.merchant"), "merchant_confidence": F.coalesce("_s", "_m.confidence"), "payment_mode": F.coalesce(mode, text.mode_by_word(F.col("description")))}).drop("_m", "_c", "_n", "_s")
+    return df.withColumns({"merchant": F.col("_merchant"), "merchant_confidence": F.col("_sure"), "payment_mode": F.coalesce(mode, text.mode_by_word(F.col("description")))}).drop("_t", "_merchant", "_sure")
 
 
 def with_categories(df: DataFrame, model=None, *, code_col: str | None = None) -> DataFrame:
@@ -99,7 +101,9 @@ def ingested(cells: DataFrame, *, names: dict[str, list[str]] | None = None, mod
     found = written(found, "normalised")
     if strict and found.isEmpty():
         raise ValueError("no valid transactions")
-    return with_categories(with_merchants(found), model), bad
+    # Merchant and category depend on the description alone, so each distinct one is looked at once.
+    named = written(with_categories(with_merchants(found.select("description", "payment_mode").distinct()), model), "named")
+    return found.drop("payment_mode").join(named, "description"), bad
 
 
 def contract(df: DataFrame) -> DataFrame:
