@@ -79,16 +79,26 @@ def _rows(ledger: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _low(c: str) -> Column:
+    return F.lower(F.coalesce(c, F.lit("")))
+
+
+def with_kinds(ledger: DataFrame) -> DataFrame:
+    """``ledger`` with the kinds of payment that its words name in ``_kinds``, if they are not there yet; then it needs no description."""
+    if "_kinds" in ledger.columns:
+        return ledger
+    any_of = lambda ws: reduce(Column.__or__, [F.contains("_words", F.lit(w)) for w in ws])
+    kinds = reduce(Column.bitwiseOR, [F.when(any_of(ws), F.lit(1 << k)).otherwise(0) for k, ws in enumerate(KINDS.values())])
+    return ledger.withColumn("_words", F.concat_ws("\n", _low("merchant"), _low("description"))).withColumn("_kinds", kinds).drop("_words")
+
+
 def payment_rows(ledger: DataFrame) -> DataFrame:
     """Rows of ``payments``: those with a merchant and an amount; bit k of ``kinds`` is the k-th of ``KINDS``."""
     credit, debit = F.coalesce("credit", F.lit(0)), F.coalesce("debit", F.lit(0))
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    any_of = lambda ws: reduce(Column.__or__, [F.contains("_words", F.lit(w)) for w in ws])
-    kinds = reduce(Column.bitwiseOR, [F.when(any_of(ws), F.lit(1 << k)).otherwise(0) for k, ws in enumerate(KINDS.values())])
-    named = ledger.where(low("merchant") != "").withColumn("_words", F.concat_ws("\n", low("merchant"), low("description")))
+    named = with_kinds(ledger.where(_low("merchant") != ""))
     df = named.select(
-        "customer_id", low("merchant").alias("merchant"), F.when(credit > 0, "credit").otherwise("debit").alias("direction"), F.when(credit > 0, credit).otherwise(debit).cast("decimal(18,2)").alias("amount"), "date",
-        F.lit(1).cast("long").alias("n"), kinds.alias("kinds"),
+        "customer_id", _low("merchant").alias("merchant"), F.when(credit > 0, "credit").otherwise("debit").alias("direction"), F.when(credit > 0, credit).otherwise(debit).cast("decimal(18,2)").alias("amount"), "date",
+        F.lit(1).cast("long").alias("n"), F.col("_kinds").alias("kinds"),
     )
     return df.where(F.col("amount") != 0)
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.stats import double, ratio
 from . import behaviour
-from .partials import partials
+from .partials import partials, with_kinds
 from .recurring import ranked, recurring_of
-from .scratch import written
+from .scratch import laid
 
 TOP = 5
 # Categories and payment modes with a column of their own.
@@ -57,19 +57,27 @@ def category_shares(ledger: DataFrame) -> DataFrame:
     return f.join(total, "customer_id").select("customer_id", F.col("name").alias("category"), ratio(F.col("n"), F.col("total")).alias("share"))
 
 
-def _parts(ledger: DataFrame) -> dict[str, DataFrame]:
+def narrow(ledger: DataFrame, together: int | None = None) -> DataFrame:
+    """What the sums need of ``ledger``, written once, in ``together`` buckets of customers if given."""
+    columns = ("customer_id", "date", "seq", "merchant", "debit", "credit", "balance", "category", "payment_mode")
+    return laid(with_kinds(ledger).select(*columns, "_kinds"), "ledger", "customer_id", together)
+
+
+def _parts(ledger: DataFrame, together: int | None) -> dict[str, DataFrame]:
     """The mergeable sums of ``ledger``; those that are asked for several times are written once, as is the narrow ledger."""
-    narrow = written(ledger.select("customer_id", "date", "seq", "merchant", "debit", "credit", "balance", "category", "payment_mode", "description"), "ledger")
-    return {name: written(part, name) if name in ("amounts", "payments") else part for name, part in partials(narrow).items()}
+    return {name: laid(part, name, "customer_id", together) if name in ("amounts", "payments") else part for name, part in partials(narrow(ledger, together)).items()}
+
 
+def profiles(ledger: DataFrame, together: int | None = None) -> DataFrame:
+    """One row a customer: income, spend, saving, ratios, preferred names and the expected cash flow as a struct.
 
-def profiles(ledger: DataFrame) -> DataFrame:
-    """One row a customer: income, spend, saving, ratios, preferred names and the expected cash flow as a struct."""
-    return profiles_of(_parts(ledger))
+    ``together`` is a number of buckets of customers, for ledgers of which every customer fits a task: rows then move once.
+    """
+    return profiles_of(_parts(ledger, together), together)
 
 
-def profiles_of(parts: dict[str, DataFrame]) -> DataFrame:
-    """``profiles`` from mergeable sums (see ``partials``)."""
+def profiles_of(parts: dict[str, DataFrame], together: int | None = None) -> DataFrame:
+    """``profiles`` from mergeable sums (see ``partials``), which lie in ``together`` buckets of customers if given."""
     item = F.struct("rank", "merchant", "direction", "category", "cadence", "median_amount", "amount_tolerance", "occurrences", "confidence")
     items = F.array_sort(F.collect_list(item)).alias("items")
     of = lambda kind: F.col("kind") == kind
@@ -82,7 +90,7 @@ def profiles_of(parts: dict[str, DataFrame]) -> DataFrame:
         top("merchant").alias("preferred_merchants"), top("payment_mode").alias("preferred_payment_modes"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(of("category"), F.struct(F.col("name").alias("category"), "share"))))).alias("shares"),
     )
-    df = behaviour.summary_of(parts).join(_paid(ranked(recurring_of(parts["payments"])), items), "customer_id", "left").withColumns(_income()).join(lists, "customer_id", "left")
+    df = behaviour.summary_of(parts).join(_paid(ranked(recurring_of(parts["payments"], together)), items), "customer_id", "left").withColumns(_income()).join(lists, "customer_id", "left")
     flow = F.struct(
         F.coalesce("income", F.lit(0.0)).alias("expected_income"), F.col("monthly_spend").alias("expected_spend"), F.col("monthly_saving").alias("expected_saving"), "net_cashflow",
         F.col("shares").alias("spend_by_category"), "cashflow_volatility", F.col("items").alias("recurring"), F.coalesce("subscriptions", F.lit(0)).alias("subscription_count"), "balance_mean", "months_covered",
@@ -90,20 +98,20 @@ def profiles_of(parts: dict[str, DataFrame]) -> DataFrame:
     return df.select("customer_id", "income", "income_stability", "monthly_spend", "monthly_saving", "savings_ratio", "investment_ratio", "debt_ratio", "expense_ratio", "preferred_merchants", "preferred_payment_modes", flow.alias("expected_cashflow"))
 
 
-def feature_table(ledger: DataFrame) -> DataFrame:
-    """The feature row: exactly the columns ``FEATURES``, nulls as 0."""
-    return features_of(_parts(ledger))
+def feature_table(ledger: DataFrame, together: int | None = None) -> DataFrame:
+    """The feature row: exactly the columns ``FEATURES``, nulls as 0. ``together`` as in ``profiles``."""
+    return features_of(_parts(ledger, together), together)
 
 
-def features_of(parts: dict[str, DataFrame]) -> DataFrame:
-    """``feature_table`` from mergeable sums (see ``partials``)."""
+def features_of(parts: dict[str, DataFrame], together: int | None = None) -> DataFrame:
+    """``feature_table`` from mergeable sums (see ``partials``), which lie in ``together`` buckets of customers if given."""
     total = lambda kind, *names: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("name").isin(*names) if names else F.lit(True)), F.col("n"))), F.lit(0))
     mode = lambda *names: total("payment_mode", *names)
     counts = [
         total("category", "Salary").alias("salaries"), total("category").alias("with_category"), total("payment_mode").alias("with_mode"), mode(*ONLINE).alias("online"), mode(*ONLINE, *OFFLINE).alias("known"),
         *[total("category", c).alias(f"c_{c}") for c in SHARES], *[mode(m).alias(f"m_{m}") for m in rules.KNOWN_SHARES],
     ]
-    df = behaviour.summary_of(parts, *counts).join(_paid(recurring_of(parts["payments"])), "customer_id", "left").withColumns(_income())
+    df = behaviour.summary_of(parts, *counts).join(_paid(recurring_of(parts["payments"], together)), "customer_id", "left").withColumns(_income())
     df = df.withColumn("salaries", F.coalesce("salaries", F.lit(0)))
     n, zero = F.col("n_transactions"), F.lit(0.0)
     values = {

@@ -2,15 +2,17 @@
 
 Amounts are clustered in ascending order: an amount joins the current cluster if it is within 10 % (1.0 at least) of
 the cluster's running mean. Equal amounts always fall together, so rows are counted by amount first; the fold then reads
-the distinct amounts of a key in order, as a stream that holds three numbers, however many there are. Rows without
-merchant or without an amount take no part.
+the distinct amounts of a key in order, as a stream that holds three numbers, however many there are. It passes over
+stretches between sure breaks that hold too few payments. Rows without merchant or without an amount take no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +21,7 @@ from ..functions.stats import double, variance
 from .partials import KINDS, PAYMENT, combined, payment_rows
 from .quantiles import quantiles
 from .scan import scanned
-from .scratch import written
+from .scratch import laid
 
 BAND, LEAST_BAND, LEAST_ROWS = 0.10, 1.0, 3
 # Cadences by median gap in days.
@@ -28,43 +30,79 @@ LARGE_RENT = 5000
 KEY = PAYMENT
 
 
-def amount_clusters(rows: DataFrame, least: int = 1) -> DataFrame:
+def _same(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first is that before it; nulls are equal."""
+    a, b = column.slice(0, len(column) - 1), column.slice(1)
+    return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+
+def _apart(before, cents):
+    """Whether ``cents`` is in no cluster with ``before``, the next smaller amount: a cluster's mean is not above its largest amount."""
+    return (before > 0) & (cents - before > np.maximum(BAND * before, 100 * LEAST_BAND) * (1 + 1e-9))
+
+
+def amount_clusters(rows: DataFrame, least: int = 1, together: int | None = None) -> DataFrame:
     """(key, amount, n, cluster) of the amounts in clusters of at least ``least`` payments; cluster is the smallest amount of it.
 
     Where ``rows`` have n, each stands for so many payments. The first amounts of a cluster wait until it is large enough.
+    Rows that lie in ``together`` buckets of customers stay in them.
     """
     counted = rows.groupBy(*KEY, "amount").agg((F.sum("n") if "n" in rows.columns else F.count(F.lit(1))).alias("n"))
     cents = counted.select(*KEY, (F.col("amount") * 100).cast("decimal(20,0)").cast("long").alias("cents"), "n")
-    ordered = cents.repartition(*KEY).sortWithinPartitions(*KEY, "cents")
+    # Spark leaves this shuffle out where the rows lie so already.
+    dealt = cents.repartition(together, "customer_id") if together else cents.repartition(*KEY)
+    ordered = dealt.sortWithinPartitions(*KEY, "cents")
     fields = [ordered.schema[k] for k in (*KEY, "cents", "n")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total, count, first, mean, waiting = None, 0, 0, 0, 0.0, []
+        before, total, count, first, mean, waiting = None, 0, 0, 0, 0.0, []
         for b in batches:
-            out: list[tuple] = []
-            keys = zip(*[b.column(k).to_pylist() for k in KEY])
-            for key, amount, n in zip(keys, b.column("cents").to_pylist(), b.column("n").to_pylist()):
-                if key == last and abs(amount / 100 - mean) <= max(BAND * abs(mean), LEAST_BAND):
-                    total, count = total + amount * n, count + n
+            if not b.num_rows:
+                continue
+            cents, n = b.column("cents").to_numpy(), b.column("n").to_numpy()
+            row = lambda i: tuple(b.column(c)[i].as_py() for c in (*KEY, "cents", "n"))
+            new = np.ones(len(cents), bool)
+            new[1:] = ~np.logical_and.reduce([_same(b.column(k)) for k in KEY]) | _apart(cents[:-1], cents[1:])
+            new[0] = before is None or before[:-2] != row(0)[:-2] or _apart(before[-2], cents[0])
+            before = row(len(cents) - 1)
+            # Between two sure breaks with too few payments no cluster can be; the first and last stretch may go on in other batches.
+            starts = np.union1d([0], np.flatnonzero(new))
+            looked = np.add.reduceat(n, starts) >= least
+            looked[[0, -1]] = True
+            at = np.flatnonzero(np.repeat(looked, np.diff(np.append(starts, len(cents)))))
+            old, taken, firsts = [], [], []
+            for i, fresh, amount, m in zip(at.tolist(), new[at].tolist(), cents[at].tolist(), n[at].tolist()):
+                if not fresh and abs(amount / 100 - mean) <= max(BAND * abs(mean), LEAST_BAND):
+                    total, count = total + amount * m, count + m
                 else:
-                    last, total, count, first, waiting = key, amount * n, n, amount, []
+                    total, count, first, waiting = amount * m, m, amount, []
                 mean = total / 100 / count
-                waiting.append((*key, amount, n, first))
+                waiting.append(i)
                 if count >= least:
-                    out += waiting
+                    for w in waiting:
+                        if isinstance(w, int):
+                            taken.append(w)
+                            firsts.append(first)
+                        else:
+                            old.append((*w, first))
                     waiting = []
-            columns = list(zip(*out)) or [()] * (len(KEY) + 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[b.schema.field(k).type for k in (*KEY, "cents", "n")], pa.int64()])], names=[*KEY, "cents", "n", "first"])
+            waiting = [row(w) if isinstance(w, int) else w for w in waiting]
+            names, kinds = [*KEY, "cents", "n", "first"], [*[b.schema.field(c).type for c in (*KEY, "cents", "n")], pa.int64()]
+            if old:  # rows of the batches before
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*old), kinds)], names=names)
+            found = b.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[found.column(c) for c in names[:-1]], pa.array(firsts, pa.int64())], names=names)
 
     money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
     found = ordered.mapInArrow(fold, T.StructType([*fields, T.StructField("first", T.LongType())]))
+    found = found.repartition(together, "customer_id") if together else found
     return found.select(*KEY, money("cents").alias("amount"), "n", money("first").alias("cluster"))
 
 
-def clustered(ledger: DataFrame) -> DataFrame:
-    """Payments with their cluster and its number of rows (occurrences), in clusters of at least three."""
-    rows = payment_rows(ledger)
-    clusters = written(amount_clusters(rows, LEAST_ROWS), "clusters")
+def clustered(ledger: DataFrame, together: int | None = None) -> DataFrame:
+    """Payments (key, amount, date) with their cluster and its number of rows (occurrences), in clusters of at least three."""
+    rows = laid(payment_rows(ledger).select(*KEY, "amount", "date"), "payments", "customer_id", together)
+    clusters = laid(amount_clusters(rows, LEAST_ROWS, together), "clusters", "customer_id", together)
     sizes = clusters.groupBy(*KEY, "cluster").agg(F.sum("n").alias("occurrences"))
     return rows.join(clusters.drop("n").join(sizes, [*KEY, "cluster"]), [*KEY, "amount"])
 
@@ -82,21 +120,21 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def recurring(ledger: DataFrame) -> DataFrame:
+def recurring(ledger: DataFrame, together: int | None = None) -> DataFrame:
     """(key, cluster, category, cadence, median_amount, amount_tolerance, occurrences, regularity, confidence)."""
-    return recurring_of(combined(payment_rows(ledger), "payments"))
+    return recurring_of(laid(combined(payment_rows(ledger), "payments"), "payments", "customer_id", together), together)
 
 
-def recurring_of(payments: DataFrame) -> DataFrame:
-    """``recurring`` from the table ``payments`` of ``partials``.
+def recurring_of(payments: DataFrame, together: int | None = None) -> DataFrame:
+    """``recurring`` from the table ``payments`` of ``partials``, which lies in ``together`` buckets of customers if given.
 
     Gaps come from a segmented scan over the times of a cluster, and both medians from counted values, so a merchant with a
     large share of all rows is spread over tasks.
     """
-    rows = written(payments.join(amount_clusters(payments, LEAST_ROWS).drop("n"), [*KEY, "amount"]), "recurring")
+    rows = laid(payments.join(amount_clusters(payments, LEAST_ROWS, together).drop("n"), [*KEY, "amount"]), "recurring", "customer_id", together)
     group = [*KEY, "cluster"]
     times = rows.groupBy(*group, "date").agg(F.lit(1).alias("one"))
-    times = scanned(times, group, ["date"], [F.date_trunc("year", "date")], before={"before": "date"})
+    times = scanned(times, group, ["date"], [F.date_trunc("year", "date")], before={"before": "date"}, small=together is not None)
     gaps = times.select(*group, F.expr("timestampdiff(DAY, before, date)").alias("gap")).where("gap > 0").groupBy(*group, "gap").agg(F.count(F.lit(1)).alias("n"))
     g = F.col("gap").cast("decimal(12,0)")
     spread = gaps.groupBy(*group).agg(F.sum("n").alias("n"), F.sum((g * F.col("n")).cast("decimal(24,0)")).alias("s"), F.sum((g * g * F.col("n")).cast("decimal(38,0)")).alias("ss"))

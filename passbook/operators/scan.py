@@ -40,17 +40,18 @@ def _carries(totals: DataFrame, key: list[str], marks: list[str], sums: list[str
     return _running(rows, [*key, *above], [own], sums, lasts, -1)
 
 
-def scanned(df: DataFrame, key: list[str], order: list[str], slices: list[Column], *, number: str | None = None, sums: dict[str, Column] | None = None, before: dict[str, str] | None = None, most: int = MOST) -> DataFrame:
+def scanned(df: DataFrame, key: list[str], order: list[str], slices: list[Column], *, number: str | None = None, sums: dict[str, Column] | None = None, before: dict[str, str] | None = None, most: int = MOST, small: bool = False) -> DataFrame:
     """``df`` with the row's number within its key (``number``), running sums (name -> summed column) and the last value of
     other columns before the row (name -> column, nulls passed over).
 
     ``slices`` are columns that never fall along ``order``, coarse ones first. Null sums count as nothing; nulls of ``order`` come
-    first; among rows equal in ``order`` the sequence is arbitrary. Names that begin with ``_`` are taken.
+    first; among rows equal in ``order`` the sequence is arbitrary. Names that begin with ``_`` are taken. ``small`` says that no
+    key has over ``most`` rows; else they are counted.
     """
     sums, before = sums or {}, before or {}
     marks, adds, lasts = [f"_slice{i}" for i in range(len(slices))], ["_n", *[f"_sum{i}" for i in range(len(sums))]], [f"_last{i}" for i in range(len(before))]
-    large = written(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]), "large")  # rows / ``most`` at most
-    if large.isEmpty():
+    large = None if small else written(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]), "large")  # rows / ``most`` at most
+    if large is None or large.isEmpty():
         marks = []
     else:
         df = df.join(large.withColumn("_large", F.lit(True)), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)], "left").drop(*large.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.scan import scanned
+from ..operators.scan import MOST, scanned
 
 MONEY = "decimal(18,2)"
 MERCHANT_OF = {"ECONOMY": "Swiggy", "SMALL": "Netflix", "MEDIUM": "Amazon", "PROMO": "Landlord", "STANDARD": "Acme Corp"}
@@ -17,39 +17,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _case(c, values: dict):
-    out = F.lit(None).cast("string")
+def _case(c, values: dict, kind: str = "string"):
+    out = F.lit(None).cast(kind)
     for k, v in values.items():
         out = F.when(c == k, v).otherwise(out)
     return out
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger without balance and order: customer_id, date, description, merchant, debit, credit, category, payment_mode."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+#: Rows of a bucket of customers, and cells of the counts that bound a customer's rows.
+PART_ROWS, CELLS = 250_000, 1 << 20
+
+
+def together(spark: SparkSession, sf_dir: str) -> int | None:
+    """Buckets of customers for tables in which every customer fits a task; None where one has over ``scan.MOST`` rows and has to be spread.
+
+    No customer has more rows than the largest number of orders of one times the largest number of rows of an order; both
+    are bounded by counts of hashed keys, which are small. Only where that is too much rows are counted by customer.
+    """
+    li, orders = table(spark, sf_dir, "lineitem").select("l_orderkey"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    rows = li.count()
+    if rows > MOST:
+        most = lambda df, key: df.groupBy(F.pmod(F.xxhash64(key), F.lit(CELLS))).count().agg(F.max("count")).first()[0] or 0
+        if most(li, "l_orderkey") * most(orders, "o_custkey") > MOST and li.join(orders, "l_orderkey").groupBy("o_custkey").count().where(F.col("count") > MOST).limit(1).count():
+            return None
+    return max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
+
+
+def _lines(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
+    """Line items with customer and part in few bytes, as they cross three shuffles; texts are made of them by ``_worded``."""
+    price = F.col("l_extendedprice").cast(MONEY).alias("price")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price, (F.col("l_returnflag") == "R").alias("is_credit"), F.col("l_shipdate").alias("date"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size")
-    price, credit = F.col("l_extendedprice").cast(MONEY), F.col("l_returnflag") == "R"
+    kind = _case(F.col("p_type"), {k: i for i, k in enumerate(MERCHANT_OF)}, "int")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), kind.alias("type"), (F.col("p_size") % 10).alias("size"))
     df = li.join(orders, "l_orderkey").join(part, "l_partkey")
-    mode, merchant = _case(F.col("l_linenumber"), MODE_OF), _case(F.col("p_type"), MERCHANT_OF)
-    return df.select(
-        "customer_id", F.col("l_shipdate").alias("date"),
-        F.concat_ws("/", mode, F.lit("DR"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.upper(merchant), F.lit("HDFC")).alias("description"),
-        merchant.alias("merchant"), F.when(~credit, price).alias("debit"), F.when(credit, price).alias("credit"),
-        _case(F.col("p_size") % 10, CATEGORY_OF).alias("category"), mode.alias("payment_mode"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price.alias("price")).alias("source_key"),
+    return df.repartition(parts, "customer_id") if parts else df
+
+
+def _worded(lines: DataFrame, *more) -> DataFrame:
+    mode, merchant = _case(F.col("l_linenumber"), MODE_OF), _case(F.col("type"), dict(enumerate(MERCHANT_OF.values())))
+    return lines.select(
+        "customer_id", "date", F.concat_ws("/", mode, F.lit("DR"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.upper(merchant), F.lit("HDFC")).alias("description"),
+        merchant.alias("merchant"), F.when(~F.col("is_credit"), F.col("price")).alias("debit"), F.when(F.col("is_credit"), F.col("price")).alias("credit"),
+        _case(F.col("size"), CATEGORY_OF).alias("category"), mode.alias("payment_mode"), *more,
     )
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Ledger without balance and order: customer_id, date, description, merchant, debit, credit, category, payment_mode.
+
+    With ``parts`` (see ``together``) rows of a customer are in one of so many partitions.
+    """
+    return _worded(_lines(spark, sf_dir, parts))
+
+
+def ledger(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """``entries`` with seq (order within the customer), running balance and a deterministic transaction id.
 
-    Months and days cut a customer's rows in slices, so none has to pass through one task.
+    Without ``parts`` they are found. Months and days cut the rows of a customer with too many of them in slices, so none has to
+    pass through one task.
     """
-    signed = F.coalesce("credit", F.lit(0).cast(MONEY)) - F.coalesce("debit", F.lit(0).cast(MONEY))
+    parts = parts or together(spark, sf_dir)
+    zero = F.lit(0).cast(MONEY)
+    signed = F.coalesce(F.when(F.col("is_credit"), F.col("price")), zero) - F.coalesce(F.when(~F.col("is_credit"), F.col("price")), zero)
     slices = [F.date_trunc("month", "date"), F.date_trunc("day", "date")]
-    df = scanned(entries(spark, sf_dir), ["customer_id"], ["date", "source_key"], slices, number="seq", sums={"balance": signed})
-    return df.withColumn("balance", F.col("balance").cast(MONEY)).withColumn("transaction_id", F.sha2(F.concat_ws("~", "customer_id", "seq"), 256)).drop("source_key")
+    order = ["date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price"]
+    df = scanned(_lines(spark, sf_dir, parts), ["customer_id"], order, slices, number="seq", sums={"balance": signed}, small=parts is not None)
+    df = _worded(df, "seq", F.col("balance").cast(MONEY).alias("balance"))
+    return df.withColumn("transaction_id", F.sha2(F.concat_ws("~", "customer_id", "seq"), 256))
 
 
 def _sql_case(c: str, values: dict) -> str:

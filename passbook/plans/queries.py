@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import asof, behaviour, canonical, columns, partials, profile, recurring, store, synthetic, tables, tier2
-from ..operators.scratch import written
+from ..operators.scratch import laid
 from ..streaming import statements
-from .ledger import LEDGER_SQL, entries, ledger, table
+from .ledger import LEDGER_SQL, entries, ledger, table, together
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,7 +137,7 @@ for _c in ("merchant", "category", "payment_mode"):
     _WITH + "".join(f"{' UNION ALL' if i else ''} SELECT customer_id, '{c}' AS kind, {c} AS name, count(*) AS n FROM ledger WHERE coalesce({c}, '') <> '' GROUP BY ALL" for i, c in enumerate(("merchant", "category", "payment_mode")))
 )
 def all_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return behaviour.all_frequencies(entries(spark, sf_dir))
+    return behaviour.all_frequencies(entries(spark, sf_dir, together(spark, sf_dir)))
 
 
 @query(f"{_WITH}, f AS (SELECT customer_id, merchant, count(*) AS n FROM ledger WHERE merchant <> '' GROUP BY ALL) SELECT customer_id, {_ratio('max(n)', 'sum(n)')} AS merchant_loyalty FROM f GROUP BY customer_id")
@@ -195,12 +195,14 @@ _RECURRING = f"""
 
 @query(f"{_WITH}, {_CLUSTERS} SELECT customer_id, merchant, direction, amount, date, cluster, occurrences FROM clustered", money="amount cluster")
 def recurring_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurring.clustered(entries(spark, sf_dir)).select("customer_id", "merchant", "direction", "amount", "date", "cluster", "occurrences")
+    parts = together(spark, sf_dir)
+    return recurring.clustered(entries(spark, sf_dir, parts), parts).select("customer_id", "merchant", "direction", "amount", "date", "cluster", "occurrences")
 
 
 @query(f"{_WITH}, {_CLUSTERS}, {_RECURRING} SELECT *, 0.5::DOUBLE * regularity + 0.5::DOUBLE * least({_d('occurrences')} / 6.0::DOUBLE, 1.0::DOUBLE) AS confidence FROM recurring")
 def recurring_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recurring.recurring(entries(spark, sf_dir))
+    parts = together(spark, sf_dir)
+    return recurring.recurring(entries(spark, sf_dir, parts), parts)
 
 
 @query(
@@ -208,7 +210,7 @@ def recurring_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY confidence DESC, occurrences DESC, merchant, direction, cluster) AS rank, merchant, direction, cluster, confidence FROM c2"""
 )
 def recurring_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recurring.ranked(recurring.recurring(entries(spark, sf_dir)))
+    found = recurring.ranked(recurring_items(spark, sf_dir))
     return found.select("customer_id", F.col("rank").cast("long").alias("rank"), "merchant", "direction", "cluster", "confidence")
 
 
@@ -252,7 +254,8 @@ def _with_parts(*more: str) -> str:
 )
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with the lists and the expected cash flow as plain columns."""
-    df, flow = profile.profiles(ledger(spark, sf_dir)), "expected_cashflow"
+    parts = together(spark, sf_dir)
+    df, flow = profile.profiles(ledger(spark, sf_dir, parts), parts), "expected_cashflow"
     share = F.transform(F.array_sort(F.map_entries(f"{flow}.spend_by_category")), lambda e: F.concat_ws("=", e["key"], F.floor(e["value"] * 1000000).cast("string")))
     item = F.transform(f"{flow}.recurring", lambda i: F.concat_ws(":", i["merchant"], i["direction"], i["category"], i["cadence"], i["occurrences"]))
     text_of = lambda c, by: F.coalesce(F.array_join(c, by), F.lit(""))
@@ -284,19 +287,21 @@ _FEATURE_SQL = {
     SELECT customer_id, {', '.join(f"coalesce({_FEATURE_SQL.get(c, c)}, 0.0::DOUBLE) AS {c}" for c in profile.FEATURES[1:])} FROM {_JOINED} LEFT JOIN counts USING (customer_id)"""
 )
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.feature_table(ledger(spark, sf_dir))
+    parts = together(spark, sf_dir)
+    return profile.feature_table(ledger(spark, sf_dir, parts), parts)
 
 
 @query(SQL["feature_table"])
 def feature_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows from sums that took in the ledger in three parts, by a hash of the transaction, one after the other."""
-    whole = written(ledger(spark, sf_dir), "ledger")
+    parts = together(spark, sf_dir)
+    whole = profile.narrow(ledger(spark, sf_dir, parts), parts)
     part = F.pmod(F.xxhash64("customer_id", "seq"), F.lit(3))
     kept: dict[str, DataFrame] = {}
     for k in range(3):
         new = partials.partials(whole.where(part == k))
-        kept = {name: written(df, name) for name, df in (partials.merged(kept, new) if kept else new).items()}
-    return profile.features_of(kept)
+        kept = {name: laid(df, name, "customer_id", parts) for name, df in (partials.merged(kept, new) if kept else new).items()}
+    return profile.features_of(kept, parts)
 
 
 @query(
@@ -471,7 +476,8 @@ def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customers_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer, with zeros where the ledger has none of their rows."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
-    found = behaviour.with_customers(behaviour.summary(written(ledger(spark, sf_dir), "ledger")), customers)
+    parts = together(spark, sf_dir)
+    found = behaviour.with_customers(behaviour.summary(profile.narrow(ledger(spark, sf_dir, parts), parts)), customers)
     return found.select("customer_id", "n_transactions", "incoming_total", "monthly_spend", "savings_ratio", "balance_min", "cashflow_volatility", "salary_amount", "salary_detected")
 
 
