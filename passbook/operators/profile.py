@@ -57,10 +57,11 @@ def category_shares(ledger: DataFrame) -> DataFrame:
     return f.join(total, "customer_id").select("customer_id", F.col("name").alias("category"), ratio(F.col("n"), F.col("total")).alias("share"))
 
 
-def narrow(ledger: DataFrame, together: int | None = None) -> DataFrame:
-    """What the sums need of ``ledger``, written once, in ``together`` buckets of customers if given."""
-    columns = ("customer_id", "date", "seq", "merchant", "debit", "credit", "balance", "category", "payment_mode")
-    return laid(with_kinds(ledger).select(*columns, "_kinds"), "ledger", "customer_id", together)
+def narrow(ledger: DataFrame, together: int | None = None, *, payments: bool = True) -> DataFrame:
+    """What the sums need of ``ledger`` (those of ``payments`` need kinds), written once, in ``together`` buckets of customers if given."""
+    columns = ["customer_id", "date", "seq", "merchant", "debit", "credit", "balance", "category", "payment_mode"]
+    df = with_kinds(ledger) if payments else ledger.withColumn("_kinds", F.lit(None).cast("int"))
+    return laid(df.select(*columns, "_kinds"), "ledger", "customer_id", together)
 
 
 def _parts(ledger: DataFrame, together: int | None) -> dict[str, DataFrame]:

@@ -21,7 +21,7 @@ from ..functions.stats import double, variance
 from .partials import KINDS, PAYMENT, combined, payment_rows
 from .quantiles import quantiles
 from .scan import scanned
-from .scratch import laid
+from .scratch import laid, written
 
 BAND, LEAST_BAND, LEAST_ROWS = 0.10, 1.0, 3
 # Cadences by median gap in days.
@@ -30,29 +30,42 @@ LARGE_RENT = 5000
 KEY = PAYMENT
 
 
-def _same(column: pa.Array) -> np.ndarray:
-    """Whether each value but the first is that before it; nulls are equal."""
-    a, b = column.slice(0, len(column) - 1), column.slice(1)
-    return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
-
-
-def _apart(before, cents):
-    """Whether ``cents`` is in no cluster with ``before``, the next smaller amount: a cluster's mean is not above its largest amount."""
-    return (before > 0) & (cents - before > np.maximum(BAND * before, 100 * LEAST_BAND) * (1 + 1e-9))
-
-
-def amount_clusters(rows: DataFrame, least: int = 1, together: int | None = None) -> DataFrame:
+def amount_clusters(rows: DataFrame, least: int = 1) -> DataFrame:
     """(key, amount, n, cluster) of the amounts in clusters of at least ``least`` payments; cluster is the smallest amount of it.
 
     Where ``rows`` have n, each stands for so many payments. The first amounts of a cluster wait until it is large enough.
-    Rows that lie in ``together`` buckets of customers stay in them.
     """
     counted = rows.groupBy(*KEY, "amount").agg((F.sum("n") if "n" in rows.columns else F.count(F.lit(1))).alias("n"))
-    cents = counted.select(*KEY, (F.col("amount") * 100).cast("decimal(20,0)").cast("long").alias("cents"), "n")
+    return _folded(counted.repartition(*KEY), least)
+
+
+def clustered_rows(rows: DataFrame, least: int, together: int | None) -> DataFrame:
+    """``rows`` (key, amount, n, more) in clusters of at least ``least`` payments, with their cluster.
+
+    In ``together`` buckets of customers the rows themselves are folded (equal amounts still fall together) and none moves;
+    else their distinct amounts are, and rows look theirs up.
+    """
+    if together is None:
+        return rows.join(amount_clusters(rows, least).drop("n"), [*KEY, "amount"])
     # Spark leaves this shuffle out where the rows lie so already.
-    dealt = cents.repartition(together, "customer_id") if together else cents.repartition(*KEY)
-    ordered = dealt.sortWithinPartitions(*KEY, "cents")
-    fields = [ordered.schema[k] for k in (*KEY, "cents", "n")]
+    return _folded(rows.repartition(together, "customer_id"), least)
+
+
+def _folded(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` (key, amount, n, more), of which a key is in one partition, with cluster; those of smaller clusters are left out."""
+    more = [c for c in rows.columns if c not in (*KEY, "amount", "n")]
+    columns = [*KEY, "cents", "n", *more]
+    ordered = rows.withColumn("cents", (F.col("amount") * 100).cast("decimal(20,0)").cast("long")).select(*columns).sortWithinPartitions(*KEY, "cents")
+
+    # All that the fold calls is within this function, so that it travels with it.
+    def same(column: pa.Array) -> np.ndarray:
+        """Whether each value but the first is that before it; nulls are equal."""
+        a, b = column.slice(0, len(column) - 1), column.slice(1)
+        return pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+
+    def apart(before, cents):
+        """Whether ``cents`` is in no cluster with ``before``, the next smaller amount: a cluster's mean is not above its largest amount."""
+        return (before > 0) & (cents - before > np.maximum(BAND * before, 100 * LEAST_BAND) * (1 + 1e-9))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, total, count, first, mean, waiting = None, 0, 0, 0, 0.0, []
@@ -60,10 +73,10 @@ def amount_clusters(rows: DataFrame, least: int = 1, together: int | None = None
             if not b.num_rows:
                 continue
             cents, n = b.column("cents").to_numpy(), b.column("n").to_numpy()
-            row = lambda i: tuple(b.column(c)[i].as_py() for c in (*KEY, "cents", "n"))
+            row = lambda i: tuple(b.column(c)[i].as_py() for c in columns)
             new = np.ones(len(cents), bool)
-            new[1:] = ~np.logical_and.reduce([_same(b.column(k)) for k in KEY]) | _apart(cents[:-1], cents[1:])
-            new[0] = before is None or before[:-2] != row(0)[:-2] or _apart(before[-2], cents[0])
+            new[1:] = ~np.logical_and.reduce([same(b.column(k)) for k in KEY]) | apart(cents[:-1], cents[1:])
+            new[0] = before is None or before[: len(KEY)] != row(0)[: len(KEY)] or apart(before[len(KEY)], cents[0])
             before = row(len(cents) - 1)
             # Between two sure breaks with too few payments no cluster can be; the first and last stretch may go on in other batches.
             starts = np.union1d([0], np.flatnonzero(new))
@@ -87,24 +100,23 @@ def amount_clusters(rows: DataFrame, least: int = 1, together: int | None = None
                             old.append((*w, first))
                     waiting = []
             waiting = [row(w) if isinstance(w, int) else w for w in waiting]
-            names, kinds = [*KEY, "cents", "n", "first"], [*[b.schema.field(c).type for c in (*KEY, "cents", "n")], pa.int64()]
+            names, kinds = [*columns, "first"], [*[b.schema.field(c).type for c in columns], pa.int64()]
             if old:  # rows of the batches before
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*old), kinds)], names=names)
             found = b.take(pa.array(taken, pa.int64()))
             yield pa.RecordBatch.from_arrays([*[found.column(c) for c in names[:-1]], pa.array(firsts, pa.int64())], names=names)
 
     money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(18,2)")
-    found = ordered.mapInArrow(fold, T.StructType([*fields, T.StructField("first", T.LongType())]))
-    found = found.repartition(together, "customer_id") if together else found
-    return found.select(*KEY, money("cents").alias("amount"), "n", money("first").alias("cluster"))
+    found = ordered.mapInArrow(fold, T.StructType([*ordered.schema.fields, T.StructField("first", T.LongType())]))
+    return found.select(*KEY, money("cents").alias("amount"), "n", *more, money("first").alias("cluster"))
 
 
 def clustered(ledger: DataFrame, together: int | None = None) -> DataFrame:
     """Payments (key, amount, date) with their cluster and its number of rows (occurrences), in clusters of at least three."""
-    rows = laid(payment_rows(ledger).select(*KEY, "amount", "date"), "payments", "customer_id", together)
-    clusters = laid(amount_clusters(rows, LEAST_ROWS, together), "clusters", "customer_id", together)
-    sizes = clusters.groupBy(*KEY, "cluster").agg(F.sum("n").alias("occurrences"))
-    return rows.join(clusters.drop("n").join(sizes, [*KEY, "cluster"]), [*KEY, "amount"])
+    rows = payment_rows(ledger).select(*KEY, "amount", "n", "date")
+    # Without buckets rows are asked for twice.
+    found = clustered_rows(rows if together else written(rows, "payments"), LEAST_ROWS, together)
+    return found.withColumn("occurrences", F.sum("n").over(Window.partitionBy(*KEY, "cluster"))).drop("n")
 
 
 def _kind(direction: Column, cadence: Column, amount: Column, has: dict[str, Column]) -> Column:
@@ -122,7 +134,8 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def recurring(ledger: DataFrame, together: int | None = None) -> DataFrame:
     """(key, cluster, category, cadence, median_amount, amount_tolerance, occurrences, regularity, confidence)."""
-    return recurring_of(laid(combined(payment_rows(ledger), "payments"), "payments", "customer_id", together), together)
+    payments = combined(payment_rows(ledger), "payments")
+    return recurring_of(payments if together else written(payments, "payments"), together)
 
 
 def recurring_of(payments: DataFrame, together: int | None = None) -> DataFrame:
@@ -131,7 +144,7 @@ def recurring_of(payments: DataFrame, together: int | None = None) -> DataFrame:
     Gaps come from a segmented scan over the times of a cluster, and both medians from counted values, so a merchant with a
     large share of all rows is spread over tasks.
     """
-    rows = laid(payments.join(amount_clusters(payments, LEAST_ROWS, together).drop("n"), [*KEY, "amount"]), "recurring", "customer_id", together)
+    rows = laid(clustered_rows(payments, LEAST_ROWS, together), "recurring", "customer_id", together)
     group = [*KEY, "cluster"]
     times = rows.groupBy(*group, "date").agg(F.lit(1).alias("one"))
     times = scanned(times, group, ["date"], [F.date_trunc("year", "date")], before={"before": "date"}, small=together is not None)
