@@ -52,9 +52,9 @@ def test_a_large_customer_is_spread(spark, monkeypatch):
     monkeypatch.setattr(plan, "MOST", 10)
     assert plan.together(spark, SF) is None
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "part"):
+    for t in ("lineitem", "orders", "part", "customer"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("recurring_clusters", "recurring_items", "all_frequencies"):
+    for name in ("recurring_clusters", "recurring_items", "all_frequencies", "balance_stats", "feature_table"):
         df = queries.QUERIES[name](spark, SF)
         got = sorted(map(repr, map(tuple, df.collect())))
         assert got == sorted(map(repr, con.execute(f"select {', '.join(df.columns)} from ({queries.SQL[name]})").fetchall())), name
