@@ -24,25 +24,42 @@ def _case(c, values: dict, kind: str = "string"):
     return out
 
 
-#: Rows of a bucket of customers, and cells of the counts that bound a customer's rows.
-PART_ROWS, CELLS = 250_000, 1 << 20
+#: Rows of a bucket of customers, of a task of a join at most, and for a cell of the counts that bound a customer's rows.
+PART_ROWS, JOIN_ROWS, CELL_ROWS = 250_000, 4_000_000, 1024
+#: Rows of a narrow table that is sent to every task instead.
+SENT = 2_000_000
 
 
 def together(spark: SparkSession, sf_dir: str) -> int | None:
-    """Buckets of customers for tables in which every customer fits a task; None where one has over ``scan.MOST`` rows and has to be spread.
+    """Buckets of customers for tables in which every customer fits a task; None where one (or an order, or a part) has over ``scan.MOST`` rows and has to be spread.
 
     No customer has more rows than the largest number of orders of one times the largest number of rows of an order; both
     are bounded by counts of hashed keys, which are small. Only where that is too much rows are counted by customer.
     """
-    li, orders = table(spark, sf_dir, "lineitem").select("l_orderkey"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    li, orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     rows = li.count()
     if rows > MOST:
-        most = lambda df, key: df.groupBy(F.pmod(F.xxhash64(key), F.lit(CELLS))).count().agg(F.max("count")).first()[0] or 0
-        if most(li, "l_orderkey") * most(orders, "o_custkey") > MOST and li.join(orders, "l_orderkey").groupBy("o_custkey").count().where(F.col("count") > MOST).limit(1).count():
+        cells = 1 << max(16, (rows // CELL_ROWS).bit_length())
+        most = lambda df, key: df.groupBy(F.pmod(F.xxhash64(key), F.lit(cells))).count().agg(F.max("count")).first()[0] or 0
+        of_order = most(li, "l_orderkey")
+        if max(of_order, most(li, "l_partkey")) > MOST:
+            return None
+        if of_order * most(orders, "o_custkey") > MOST and li.join(orders, "l_orderkey").groupBy("o_custkey").count().where(F.col("count") > MOST).limit(1).count():
             return None
     return max(spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS))
 
 
+def _met(lines: DataFrame, other: DataFrame, key: str, parts: int) -> DataFrame:
+    """``lines`` with the row of ``other`` of their ``key``. What a task holds is its rows of ``other``; lines pass by and are not sorted.
+
+    Spark puts 64 MB of a shuffle in a task, in so many tasks at most as the session says; more are asked for where these are too few.
+    """
+    tasks = parts * PART_ROWS // JOIN_ROWS
+    if tasks > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        lines, other = lines.repartition(tasks, key), other.repartition(tasks, key)
+    return lines.join(other.hint("shuffle_hash"), key)
+
+
 def _lines(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
     """Line items with customer and part in few bytes, as they cross three shuffles; texts are made of them by ``_worded``."""
     price = F.col("l_extendedprice").cast(MONEY).alias("price")
@@ -50,8 +67,11 @@ def _lines(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
     kind = _case(F.col("p_type"), {k: i for i, k in enumerate(MERCHANT_OF)}, "int")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), kind.alias("type"), (F.col("p_size") % 10).alias("size"))
-    df = li.join(orders, "l_orderkey").join(part, "l_partkey")
-    return df.repartition(parts, "customer_id") if parts else df
+    if parts is None:
+        return li.join(orders, "l_orderkey").join(part, "l_partkey")
+    df = _met(li, orders, "l_orderkey", parts)
+    df = df.join(F.broadcast(part), "l_partkey") if part.count() <= SENT else _met(df, part, "l_partkey", parts)
+    return df.repartition(parts, "customer_id")
 
 
 def _worded(lines: DataFrame, *more) -> DataFrame:
@@ -66,9 +86,9 @@ def _worded(lines: DataFrame, *more) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Ledger without balance and order: customer_id, date, description, merchant, debit, credit, category, payment_mode.
 
-    With ``parts`` (see ``together``) rows of a customer are in one of so many partitions.
+    Rows of a customer are in one of ``parts`` partitions, which are found if not given (see ``together``).
     """
-    return _worded(_lines(spark, sf_dir, parts))
+    return _worded(_lines(spark, sf_dir, parts or together(spark, sf_dir)))
 
 
 def ledger(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:

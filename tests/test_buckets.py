@@ -71,3 +71,29 @@ def test_rows_of_a_customer_move_once(spark):
     moved = [e for e in exchanges(queries.all_frequencies(spark, SF)) if "customer_id" in e]
     assert len(moved) == 1 and "kind" not in moved[0]
     assert "description" not in profile.narrow(plan.ledger(spark, SF, 4), 4).columns
+
+
+def test_joins_of_the_ledger_hold_no_lines(spark, monkeypatch):
+    """Orders and parts are hashed, lines pass by unsorted, and the number of tasks grows with the lines."""
+    plain = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    count = lambda df: df.groupBy("customer_id", "merchant", "category").count()
+    want = sorted(map(repr, count(plan.entries(spark, SF)).collect()))
+    monkeypatch.setattr(plan, "SENT", 0)
+    for most, tasks in ((plan.JOIN_ROWS, 4), (100_000, 20)):  # 4 is the number of the session
+        monkeypatch.setattr(plan, "JOIN_ROWS", most)
+        df = plan.entries(spark, SF, 8)
+        found = plain(df)
+        assert found.count("ShuffledHashJoin") == 2 and "Sort" not in found
+        for key in ("l_orderkey", "l_partkey"):
+            assert re.search(rf"hashpartitioning\({key}#\w+, {tasks}\)", found)
+        assert sorted(map(repr, count(df).collect())) == want
+    assert "ShuffledHashJoin" in plain(plan.entries(spark, SF))  # queries that name no buckets have the same joins
+
+
+def test_a_large_part_is_spread(spark, monkeypatch, tmp_path):
+    """One part in most rows would land in one task of the hash join."""
+    monkeypatch.setattr(plan, "MOST", 2500)
+    for name in ("lineitem", "orders"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        (df.withColumn("l_partkey", df.l_partkey * 0 + 1) if name == "lineitem" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert plan.together(spark, SF) is not None and plan.together(spark, str(tmp_path)) is None
