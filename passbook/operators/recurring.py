@@ -48,14 +48,38 @@ def clustered_rows(rows: DataFrame, least: int, together: int | None) -> DataFra
     if together is None:
         return rows.join(amount_clusters(rows, least).drop("n"), [*KEY, "amount"])
     # Spark leaves this shuffle out where the rows lie so already.
-    return _folded(rows.repartition(together, "customer_id"), least)
+    return _folded(_in_reach(rows.repartition(together, "customer_id"), least), least)
+
+
+def _with_cents(rows: DataFrame) -> DataFrame:
+    return rows if "cents" in rows.columns else rows.withColumn("cents", (F.col("amount") * 100).cast("decimal(20,0)").cast("long"))
+
+
+def _in_reach(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` (key, amount, n, more) but for those whose stretch between sure breaks has under ``least`` payments; order and place stay.
+
+    Each n is 1 or more, so a stretch with less is within ``least`` - 1 rows on either side. The window also tells Spark that
+    buckets count: what only a Python function reads is taken from files in pieces of any size, which may cut a key in two.
+    """
+    w, cents = Window.partitionBy(*KEY).orderBy("cents"), F.col("cents")
+    rows = _with_cents(rows)
+    apart = lambda a, b: F.coalesce((a > 0) & (b - a > F.greatest(a * BAND, F.lit(100 * LEAST_BAND)) * (1 + 1e-9)), F.lit(True))
+    rows = rows.withColumn("_new", apart(F.lag("cents").over(w), cents))
+    total = F.col("n")
+    for side, shift in ((F.lag, 0), (F.lead, 1)):
+        near = F.lit(True)
+        for k in range(1, least):
+            # The break between a row and the one before it is marked on the later one.
+            near = near & ~(side("_new", k - 1 + shift).over(w) if k - 1 + shift else F.col("_new"))
+            total = total + F.when(F.coalesce(near, F.lit(False)), F.coalesce(side("n", k).over(w), F.lit(0))).otherwise(0)
+    return rows.withColumn("_near", total).where(F.col("_near") >= least).drop("_new", "_near")
 
 
 def _folded(rows: DataFrame, least: int) -> DataFrame:
     """``rows`` (key, amount, n, more), of which a key is in one partition, with cluster; those of smaller clusters are left out."""
-    more = [c for c in rows.columns if c not in (*KEY, "amount", "n")]
+    more = [c for c in rows.columns if c not in (*KEY, "amount", "n", "cents")]
     columns = [*KEY, "cents", "n", *more]
-    ordered = rows.withColumn("cents", (F.col("amount") * 100).cast("decimal(20,0)").cast("long")).select(*columns).sortWithinPartitions(*KEY, "cents")
+    ordered = _with_cents(rows).select(*columns).sortWithinPartitions(*KEY, "cents")
 
     # All that the fold calls is within this function, so that it travels with it.
     def same(column: pa.Array) -> np.ndarray:

@@ -97,3 +97,14 @@ def test_a_large_part_is_spread(spark, monkeypatch, tmp_path):
         df = spark.read.parquet(f"{SF}/{name}.parquet")
         (df.withColumn("l_partkey", df.l_partkey * 0 + 1) if name == "lineitem" else df).write.parquet(f"{tmp_path}/{name}.parquet")
     assert plan.together(spark, SF) is not None and plan.together(spark, str(tmp_path)) is None
+
+
+def test_the_fold_reads_buckets(spark):
+    """What goes to the fold is read bucket by bucket (else by size of files, so that a task grows with the input), sorted once, without amounts that can be in no cluster."""
+    rows = laid(recurring.payment_rows(plan.entries(spark, SF, 7)), "payments", "customer_id", 7)
+    df = recurring.clustered_rows(rows, 3, 7)
+    found = df._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in found and "disabled by query planner" not in found and found.count("Sort [") == 1
+    assert df.rdd.getNumPartitions() == 7
+    assert recurring._in_reach(rows, 3).count() < rows.count() / 2
+    assert sorted(map(repr, recurring._folded(rows.coalesce(1), 3).collect())) == sorted(map(repr, df.collect()))
