@@ -21,15 +21,22 @@ def _any(text: Column, words: list[str]) -> Column:
     return out
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each worked out once: Spark moves filters and expressions that use a column below a plain select, which repeats it, but not below a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def text_lines(texts: DataFrame, id_col: str = "path", text_col: str = "text") -> DataFrame:
     """(id, line_no, date, description, debit, credit, balance) of the lines that read as transactions; blanks as ''."""
     lines = texts.select(F.col(id_col), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("line_no", "line"))
-    line = F.trim("line")
-    rest = F.regexp_extract(line, _LINE, 2)
-    tail = F.regexp_extract(rest, _AMOUNTS, 1)
-    df = lines.where(line.rlike(_LINE)).select(id_col, "line_no", F.regexp_extract(line, _LINE, 1).alias("date"), F.trim(F.substr(rest, F.lit(1), F.length(rest) - F.length(tail))).alias("description"), F.filter(F.split(F.trim(tail), r"\s+"), lambda t: t != "").alias("amounts"))
-    low = F.lower("description")
-    df = df.where((F.size("amounts") > 0) & (F.col("description") != "") & ~(F.contains(low, F.lit("debit")) & F.contains(low, F.lit("credit"))))
+    # A line has no line feed, so these part what one match finds.
+    df = _once(lines, parts=F.split(F.regexp_replace(F.trim("line"), _LINE, "$1\n$2\n"), "\n")).where(F.size("parts") == 3)
+    df = df.select(id_col, "line_no", F.col("parts")[0].alias("date"), F.col("parts")[1].alias("rest"))
+    df = _once(df, tail=F.regexp_extract("rest", _AMOUNTS, 1)).where("tail <> ''")
+    description = F.trim(F.substr("rest", F.lit(1), F.length("rest") - F.length("tail")))
+    df = _once(df, description=description, low=F.lower(description), amounts=F.regexp_extract_all("tail", F.lit(r"\S+"), F.lit(0)))
+    low = F.col("low")
+    df = df.where((F.col("description") != "") & ~(F.contains(low, F.lit("debit")) & F.contains(low, F.lit("credit"))))
     n = F.size("amounts")
     at = lambda k: F.get("amounts", n - k)
     one = F.when(n == 2, at(2)).otherwise(at(1))

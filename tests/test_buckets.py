@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from passbook.operators import behaviour, partials, profile, recurring
+from passbook.operators import behaviour, partials, profile, recurring, tables
 from passbook.operators.scratch import laid
 from passbook.plans import ledger as plan
 from passbook.plans import queries
@@ -108,3 +108,15 @@ def test_the_fold_reads_buckets(spark):
     assert df.rdd.getNumPartitions() == 7
     assert recurring._in_reach(rows, 3).count() < rows.count() / 2
     assert sorted(map(repr, recurring._folded(rows.coalesce(1), 3).collect())) == sorted(map(repr, df.collect()))
+
+
+def test_a_line_is_matched_once(spark):
+    """Filters and uses of what a line is cut into repeat no pattern, and odd lines are read as before."""
+    lines = ["01/02/2024 UPI/x 1.00 0.00 5.50", "1-2-24\ta  b\t-1,000.00 7.00", "01/02/2024  1.00", "01/02/2024 salary 9.00", "01/02/2024 debit credit 1.00", "01/02/2024 x 1.00\r", "x 1.00", "", "01/02/2024 $1 \\ 2.0 3.00"]
+    df = tables.text_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "path long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(tables._LINE) == 1 and plan.count(tables._AMOUNTS) == 1
+    assert sorted(map(tuple, df.collect())) == [
+        (1, 0, "01/02/2024", "UPI/x", "1.00", "0.00", "5.50"), (1, 1, "1-2-24", "a  b", "-1,000.00", "", "7.00"), (1, 3, "01/02/2024", "salary", "", "9.00", ""), (1, 5, "01/02/2024", "x", "1.00", "", ""),
+        (1, 8, "01/02/2024", "$1 \\ 2.0", "3.00", "", ""),
+    ]
