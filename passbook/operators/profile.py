@@ -69,6 +69,12 @@ def _parts(ledger: DataFrame, together: int | None) -> dict[str, DataFrame]:
     return {name: laid(part, name, "customer_id", together) if name in ("amounts", "payments") else part for name, part in partials(narrow(ledger, together)).items()}
 
 
+def _items(payments: DataFrame, together: int | None) -> DataFrame:
+    """``recurring_of``, few rows; they go to the ``together`` buckets of customers if given, else Spark moves all that lies there to them."""
+    found = recurring_of(payments, together)
+    return found.repartition(together, "customer_id") if together else found
+
+
 def profiles(ledger: DataFrame, together: int | None = None) -> DataFrame:
     """One row a customer: income, spend, saving, ratios, preferred names and the expected cash flow as a struct.
 
@@ -91,7 +97,7 @@ def profiles_of(parts: dict[str, DataFrame], together: int | None = None) -> Dat
         top("merchant").alias("preferred_merchants"), top("payment_mode").alias("preferred_payment_modes"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(of("category"), F.struct(F.col("name").alias("category"), "share"))))).alias("shares"),
     )
-    df = behaviour.summary_of(parts).join(_paid(ranked(recurring_of(parts["payments"], together)), items), "customer_id", "left").withColumns(_income()).join(lists, "customer_id", "left")
+    df = behaviour.summary_of(parts).join(_paid(ranked(_items(parts["payments"], together)), items), "customer_id", "left").withColumns(_income()).join(lists, "customer_id", "left")
     flow = F.struct(
         F.coalesce("income", F.lit(0.0)).alias("expected_income"), F.col("monthly_spend").alias("expected_spend"), F.col("monthly_saving").alias("expected_saving"), "net_cashflow",
         F.col("shares").alias("spend_by_category"), "cashflow_volatility", F.col("items").alias("recurring"), F.coalesce("subscriptions", F.lit(0)).alias("subscription_count"), "balance_mean", "months_covered",
@@ -112,7 +118,7 @@ def features_of(parts: dict[str, DataFrame], together: int | None = None) -> Dat
         total("category", "Salary").alias("salaries"), total("category").alias("with_category"), total("payment_mode").alias("with_mode"), mode(*ONLINE).alias("online"), mode(*ONLINE, *OFFLINE).alias("known"),
         *[total("category", c).alias(f"c_{c}") for c in SHARES], *[mode(m).alias(f"m_{m}") for m in rules.KNOWN_SHARES],
     ]
-    df = behaviour.summary_of(parts, *counts).join(_paid(recurring_of(parts["payments"], together)), "customer_id", "left").withColumns(_income())
+    df = behaviour.summary_of(parts, *counts).join(_paid(_items(parts["payments"], together)), "customer_id", "left").withColumns(_income())
     df = df.withColumn("salaries", F.coalesce("salaries", F.lit(0)))
     n, zero = F.col("n_transactions"), F.lit(0.0)
     values = {

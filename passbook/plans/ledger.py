@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scan import MOST, scanned
@@ -28,6 +28,8 @@ def _case(c, values: dict, kind: str = "string"):
 PART_ROWS, JOIN_ROWS, CELL_ROWS = 250_000, 4_000_000, 1024
 #: Rows of a narrow table that is sent to every task instead.
 SENT = 2_000_000
+#: Stands for a line number that is null; no int is as large.
+NO_NUMBER = 1 << 40
 
 
 def together(spark: SparkSession, sf_dir: str) -> int | None:
@@ -60,18 +62,41 @@ def _met(lines: DataFrame, other: DataFrame, key: str, parts: int) -> DataFrame:
     return lines.join(other.hint("shuffle_hash"), key)
 
 
+def _packed(number: Column, credit: Column) -> Column:
+    """Line number and credit in one number, as a shuffle pays for each column; ``_part_code`` is added to it, ``_unpacked`` takes it apart. Unknown values have codes of their own."""
+    return F.coalesce(number.cast("long"), F.lit(NO_NUMBER)) * 256 + F.coalesce(credit.cast("long"), F.lit(2))
+
+
+def _part_code(kind: Column, size: Column) -> Column:
+    """Merchant and category (by the last figure of the size) as they lie in the number of ``_packed``: its lowest byte, with the credit."""
+    category = F.when(size.between(0, 8), size).otherwise(9)
+    return (3 * F.coalesce(_case(kind, {k: i for i, k in enumerate(MERCHANT_OF)}, "int"), F.lit(len(MERCHANT_OF))) + 18 * category).cast("long")
+
+
+def _unpacked(line: Column) -> dict[str, Column]:
+    number, low = F.shiftright(line, 8), line.bitwiseAND(255).cast("int")
+    credit, kind = low % 3, F.floor(low / 3).cast("int") % 6
+    return {
+        "l_linenumber": F.when(number != NO_NUMBER, number).cast("int"), "is_credit": F.when(credit < 2, credit == 1),
+        "type": F.when(kind < len(MERCHANT_OF), kind), "size": F.floor(low / 18).cast("int"),
+    }
+
+
 def _lines(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
     """Line items with customer and part in few bytes, as they cross three shuffles; texts are made of them by ``_worded``."""
     price = F.col("l_extendedprice").cast(MONEY).alias("price")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", price, (F.col("l_returnflag") == "R").alias("is_credit"), F.col("l_shipdate").alias("date"))
+    line = _packed(F.col("l_linenumber"), F.col("l_returnflag") == "R").alias("line")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", price, line, F.col("l_shipdate").alias("date"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
-    kind = _case(F.col("p_type"), {k: i for i, k in enumerate(MERCHANT_OF)}, "int")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), kind.alias("type"), (F.col("p_size") % 10).alias("size"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), _part_code(F.col("p_type"), F.col("p_size") % 10).alias("code"))
+    coded = lambda df: df.withColumn("line", F.col("line") + F.col("code")).drop("code")
     if parts is None:
-        return li.join(orders, "l_orderkey").join(part, "l_partkey")
-    df = _met(li, orders, "l_orderkey", parts)
-    df = df.join(F.broadcast(part), "l_partkey") if part.count() <= SENT else _met(df, part, "l_partkey", parts)
-    return df.repartition(parts, "customer_id")
+        df = coded(li.join(orders, "l_orderkey").join(part, "l_partkey"))
+    else:
+        df = _met(li, orders, "l_orderkey", parts)
+        df = df.join(F.broadcast(part), "l_partkey") if part.count() <= SENT else _met(df, part, "l_partkey", parts)
+        df = coded(df).repartition(parts, "customer_id")
+    return df.withColumns(_unpacked(F.col("line"))).drop("line")
 
 
 def _worded(lines: DataFrame, *more) -> DataFrame:

@@ -120,3 +120,41 @@ def test_a_line_is_matched_once(spark):
         (1, 0, "01/02/2024", "UPI/x", "1.00", "0.00", "5.50"), (1, 1, "1-2-24", "a  b", "-1,000.00", "", "7.00"), (1, 3, "01/02/2024", "salary", "", "9.00", ""), (1, 5, "01/02/2024", "x", "1.00", "", ""),
         (1, 8, "01/02/2024", "$1 \\ 2.0", "3.00", "", ""),
     ]
+
+
+def test_small_values_of_a_line_cross_shuffles_as_one_number(spark, monkeypatch, tmp_path):
+    """A shuffle pays for each column. Unknown and odd values come back as they went, and rows are those of the SQL."""
+    odd = {
+        "lineitem": "l_linenumber = CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 7 = 1 THEN -2147483648 WHEN l_orderkey % 7 = 2 THEN 2147483647 ELSE l_linenumber END, l_returnflag = CASE WHEN l_orderkey % 5 > 0 THEN l_returnflag END",
+        "part": "p_type = CASE WHEN p_partkey % 3 > 0 THEN p_type END, p_size = CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN -p_size ELSE p_size END",
+        "orders": "",
+    }
+    con = duckdb.connect()
+    for t, changes in odd.items():
+        con.execute(f"create table {t} as select * from '{SF}/{t}.parquet'")
+        if changes:
+            con.execute(f"update {t} set {changes}")
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    columns = "customer_id, date, description, merchant, debit, credit, category, payment_mode, seq, balance"
+    want = sorted(map(repr, con.execute(f"with {plan.LEDGER_SQL} select {columns} from ledger").fetchall()))
+    for parts in (3, None):
+        monkeypatch.setattr(plan, "together", lambda *_: parts)
+        df = plan.ledger(spark, str(tmp_path)).select(*columns.split(", "))
+        assert sorted(map(repr, map(tuple, df.collect()))) == want
+    below = plan.entries(spark, SF, 3)._jdf.queryExecution().executedPlan().toString().partition("Exchange hashpartitioning(customer_id")[2]
+    assert below and not re.search(r"AS (is_credit|type|size|l_linenumber)#", below) and "l_linenumber#" not in below.partition("AS line#")[0].rpartition("Project [")[0]
+
+
+def test_joins_of_sums_move_no_buckets(spark):
+    """What lies in buckets stays where the session's tasks are more and nothing is broadcast; what is joined with it goes to them."""
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        moved = {name: [re.sub(r"#\w+", "", e) for e in exchanges(queries.QUERIES[name](spark, SF))] for name in ("feature_increments", "profile_table")}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for name, found in moved.items():  # the other ones are of the recurring items
+        assert [e for e in found if "cluster" not in e] == ["hashpartitioning(customer_id, 4)"], name
