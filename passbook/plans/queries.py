@@ -477,6 +477,7 @@ def customers_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer, with zeros where the ledger has none of their rows."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"))
     parts = together(spark, sf_dir)
+    customers = customers.repartition(parts, "customer_id") if parts else customers  # so that what was found is not moved
     found = behaviour.with_customers(behaviour.summary(profile.narrow(ledger(spark, sf_dir, parts), parts, payments=False)), customers)
     return found.select("customer_id", "n_transactions", "incoming_total", "monthly_spend", "savings_ratio", "balance_min", "cashflow_volatility", "salary_amount", "salary_detected")
 

@@ -152,7 +152,7 @@ def test_joins_of_sums_move_no_buckets(spark):
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        moved = {name: [re.sub(r"#\w+", "", e) for e in exchanges(queries.QUERIES[name](spark, SF))] for name in ("feature_increments", "profile_table")}
+        moved = {name: [re.sub(r"#\w+", "", e) for e in exchanges(queries.QUERIES[name](spark, SF))] for name in ("customers_without_rows", "feature_increments", "profile_table")}
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
